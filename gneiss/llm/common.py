@@ -47,3 +47,29 @@ def n_words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_text(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, str]], make, rows: int = 256) -> DataFrame:
+    """The kept columns and new ones computed from one text column in Arrow batches.
+
+    make() gives, once per task, a function from a list of texts to a list of columns (lists or arrays).
+    Batches are cut to few rows, so memory is bounded by some whole texts, not by the batch size.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    added = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields]
+    schema = T.StructType([df.schema[c] for c in keep] + added)
+    kinds = [to_arrow_type(f.dataType) for f in added]
+    names = [*keep, *(name for name, _ in fields)]
+
+    def run(batches):
+        one = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = one(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=names)
+
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, mixing, pii
+from gneiss.llm import bitslice, bpe, mixing, pii, quality, toxicity, warc
 from gneiss.llm.common import read_table
 
 #: Where the public vocabulary file lies; a parameter, the file is never part of this repository.
@@ -27,6 +27,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *(count(k.name) for k in pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(read_table(spark, sf_dir, "pages")))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return bitslice.search(bitslice.build(vectors), vectors.filter("vec_id % 50 = 0"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary_path()
@@ -38,10 +53,49 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    return quality.judge(docs, quality.fit(docs, labels), ["doc_id"])
+
+
 QUERIES = {
     "op3_pii": op3_pii,
+    "op4_warc": op4_warc,
+    "op5_topk": op5_topk,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h
+            FROM pages
+        ), d AS (
+            SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS last,
+                   list_transform(range(0, 160, 5), lambda b:
+                       ((strpos('0123456789abcdef', h[b // 4 + 1]) - 1) * 16 + strpos('0123456789abcdef', h[b // 4 + 2]) - 1) >> (3 - b % 4) & 31) AS five
+            FROM p
+        )
+        SELECT page_id, payload_bytes, list_aggregate(list_transform(five, lambda v: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v + 1]), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to
+        FROM d
+    """,
+    "op5_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 5
+    """,
+}
