@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bitslice, bpe, mixing, pii, quality, toxicity, warc
+from gneiss.llm import bitslice, bpe, mixing, pii, quality, simhash, toxicity, urls, warc
 from gneiss.llm.common import read_table
 
 #: Where the public vocabulary file lies; a parameter, the file is never part of this repository.
@@ -18,6 +18,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = pii.find(docs).select("doc_id", "spans")
@@ -53,18 +57,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
     return quality.judge(docs, quality.fit(docs, labels), ["doc_id"])
 
 
 QUERIES = {
+    "op2_urls": op2_urls,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_topk": op5_topk,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
