@@ -135,7 +135,10 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def features(text: str, lexicon: Lexicon, known: dict[str, int]) -> list[float]:
-    """exact, near and quoted hits (log counts), and hits per hundred words."""
+    """exact, near and quoted hits (log counts), hits per hundred words, and whether two hits are exact.
+
+    One hit may be a chance likeness; two of them seldom are.
+    """
     low, hits, n = text.lower(), Counter(), 0
     words = TOKEN.findall(low)
     suspects = {}
@@ -153,7 +156,7 @@ def features(text: str, lexicon: Lexicon, known: dict[str, int]) -> list[float]:
             if m[0] in suspects:
                 n += 1
                 hits["quoted" if quoted(low, *m.span()) else "near" if suspects[m[0]] else "exact"] += 1
-    return [np.log1p(hits["exact"]), np.log1p(hits["near"]), np.log1p(hits["quoted"]), min(3.0, 100 * (hits["exact"] + hits["near"]) / max(1, len(words)))]
+    return [np.log1p(hits["exact"]), np.log1p(hits["near"]), np.log1p(hits["quoted"]), min(3.0, 100 * (hits["exact"] + hits["near"]) / max(1, len(words))), float(hits["exact"] > 1)]
 
 
 @dataclass
@@ -244,11 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     rows.sort(key=lambda r: (r["toxic"], r["x"]))
     y = np.array([r["toxic"] for r in rows], float)
     if not terms or y.sum() in (0, len(y)):
-        return Model(terms, [0.0] * 4, -2.0)
+        return Model(terms, [0.0] * 5, -2.0)
     x = np.array([r["x"] for r in rows])
     w, aim = np.zeros(x.shape[1] + 1), y
     x1 = np.c_[x, np.ones(len(x))]
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    weight = np.full(len(y), 1 / len(y))
     for _ in range(rounds):  # damped Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         grad = x1.T @ (weight * (p - aim)) + 1e-4 * w
