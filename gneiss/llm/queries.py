@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bitslice, bpe, mixing, pii, quality, simhash, toxicity, urls, warc
+from gneiss.llm import bitslice, bpe, mixing, pii, quality, simhash, substring, toxicity, urls, warc
 from gneiss.llm.common import read_table
 
 #: Where the public vocabulary file lies; a parameter, the file is never part of this repository.
@@ -18,6 +18,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.deduplicated(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -68,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op2_urls": op2_urls,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
