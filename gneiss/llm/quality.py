@@ -17,12 +17,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import map_text
 
-SAMPLE, BITS, THRESHOLD = 4000, 17, 0.5
+SAMPLE, BITS, THRESHOLD = 2000, 17, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 WORDS, PAIRS, CHARS = 0, 1, 2  # the feature blocks
@@ -96,8 +97,8 @@ def base_counts(text: str, data: bytes, words: list[bytes], ids: np.ndarray, n_d
     return chars, symbols, dup, repeat
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list:
-    """Rows (place, quality, features, counts) of the sample, sorted by place; bounded by ``sample`` documents."""
+def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quality and number of features of each sampled document, and all features and counts end to end."""
     place = F.xxhash64("doc_id")
     chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.select("doc_id", "quality", place.alias("place")).orderBy("place", "doc_id").limit(sample)
@@ -117,40 +118,40 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
         return one
 
-    rows = map_text(texts, "text", ["place", "quality"], [("features", "array<int>"), ("counts", "array<float>")], make, 64)
-    return sorted(rows.toArrow().to_pylist(), key=lambda r: (r["place"], len(r["features"]), r["features"]))
+    table = map_text(texts, "text", ["place", "quality"], [("features", "array<int>"), ("counts", "array<float>")], make, 64).toArrow()
+    table = table.append_column("n", pc.list_value_length(table["features"])).sort_by([("place", "ascending"), ("n", "ascending")]).combine_chunks()
+    flat = lambda c: table[c].combine_chunks().flatten().to_numpy()
+    return table["quality"].to_numpy(), table["n"].to_numpy(), flat("features"), flat("counts")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 150) -> Model:
     """Train on two of three sampled documents, calibrate on the third."""
-    rows = sample_features(docs, labels, sample)
+    quality, n, features, counts = sample_features(docs, labels, sample)
     size = 3 << BITS
-    good = sum(r["quality"] for r in rows)
-    if not rows or good in (0, len(rows)):
-        share = (good + 1) / (len(rows) + 2) if rows else 0.9
+    good = int(quality.sum())
+    if good in (0, len(quality)):
+        share = (good + 1) / (len(quality) + 2) if len(quality) else 0.9
         return Model(np.zeros(size, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    train, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
+    train = np.arange(len(quality)) % 3 > 0
 
     def matrix(some):
-        at = np.cumsum([0] + [len(r["features"]) for r in some])
-        cols = np.concatenate([np.asarray(r["features"], np.int64) for r in some])
-        vals = np.concatenate([np.asarray(r["counts"], np.float32) for r in some]) * 30
-        return cols, vals, np.repeat(np.arange(len(some)), np.diff(at)), np.asarray([r["quality"] for r in some], np.float64)
+        mask = np.repeat(some, n)
+        return features[mask], counts[mask] * np.float32(30), np.repeat(np.arange(some.sum(), dtype=np.int32), n[some]), quality[some].astype(np.float64)
 
     cols, vals, row, y = matrix(train)
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     for t in range(1, rounds + 1):  # Adam on the balanced logistic loss
-        z = np.bincount(row, w[cols] * vals, len(y)) + bias
+        z = np.bincount(row, w.astype(np.float32)[cols] * vals, len(y)) + bias
         g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw, gb = np.bincount(cols, g[row] * vals, size) + 1e-6 * w, g.sum()
+        gw, gb = np.bincount(cols, g.astype(np.float32)[row] * vals, size) + 1e-6 * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.999**t
         w -= 0.05 * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= 0.05 * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    cols, vals, row, y = matrix(rest)
+    cols, vals, row, y = matrix(~train)
     z = np.bincount(row, w[cols] * vals, len(y)) + bias
     slope, shift = platt(z, y)
     return Model((w * 30).astype(np.float32), float(bias), slope, shift)
