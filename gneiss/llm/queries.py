@@ -85,7 +85,81 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+#: Patterns of the base kinds as RE2 reads them.
+_PII_SQL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+}
+_PII_HOLDS = {
+    "email": "true",
+    "ip": r"len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR (len(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0",
+    "card": """len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(regexp_replace(m, '[^0-9]', '', 'g')) + 1),
+        lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)
+                       ELSE (2 * CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)) % 10 + CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) // 5 END)) % 10 = 0""",
+    "phone": "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15",
+    "iban": """len(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''),
+        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1""",
+}
+
+
+def _pii_sql() -> str:
+    kinds = list(_PII_SQL)
+    parts = [
+        f"""SELECT doc_id, {n} AS k, '{k}' AS kind, ms[i] AS m, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda p: len(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: len(p))), 0) AS BIGINT) AS s
+            FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM
+                (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, string_split_regex(coalesce(text, ''), '{p}') AS ps FROM documents))
+        """
+        for n, (k, p) in enumerate(_PII_SQL.items())
+    ]
+    holds = " ".join(f"WHEN '{k}' THEN {_PII_HOLDS[k]}" for k in kinds)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""
+        WITH spans AS ({' UNION ALL '.join(parts)}), kept AS (SELECT *, kind || ':' || s || ':' || (s + len(m)) AS span FROM spans WHERE CASE kind {holds} END),
+        per AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY k, s) AS spans, string_agg(span, ',' ORDER BY k, s) FILTER (kind <> 'iban') AS base FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN per USING (doc_id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+        f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (s) WHERE first < doc_id) GROUP BY doc_id),
+        o AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed,
+               sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+        FROM o
+    """,
+    "op3_pii": _pii_sql(),
+    "op8_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS h
+            FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CAST([5, 2, 1][(r - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS BIGINT) * CAST(1.5 AS DOUBLE) AS budget FROM s
+        ), l AS (
+            SELECT *, cap / weight AS ratio, (budget - coalesce(sum(cap) OVER low, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER low, 0)) AS level
+            FROM w WINDOW low AS (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+            SELECT *, CASE WHEN ratio <= level THEN cap ELSE weight * (SELECT arg_min(level, (ratio, r)) FROM l WHERE ratio > level) END AS target FROM l
+        ), o AS (
+            SELECT d.doc_id, size, h, r, source_size, target, budget, pass,
+                   (pass * source_size + sum(size) OVER (PARTITION BY r, pass ORDER BY h ROWS UNBOUNDED PRECEDING)) / weight AS finish
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) p(pass)
+        ), c AS (
+            SELECT *, sum(size) OVER (ORDER BY finish, h, r, pass ROWS UNBOUNDED PRECEDING) <= budget AS taken FROM o
+        )
+        SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN taken THEN size ELSE 0 END) AS BIGINT) AS taken
+        FROM c GROUP BY doc_id, h, r, size, source_size, target
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h
