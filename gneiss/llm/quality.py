@@ -195,3 +195,10 @@ def judge(docs: DataFrame, model: Model, keep: list[str], threshold: float = THR
 
     fields = [(c, "long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return map_text(docs, "text", keep, [*fields, ("base_failed", "boolean"), ("probability", "double"), ("kept", "boolean")], make)
+
+
+def passing(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, all columns as they are, whatever their names."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), "text")
+    kept = judge(packed, model, ["row"], threshold).filter("kept")
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
