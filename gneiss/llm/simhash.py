@@ -59,42 +59,70 @@ def segments(distance: int = DISTANCE, bits: int = BITS) -> list[tuple[int, int]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(fp: Column, distance: int = DISTANCE) -> Column:
-    """All one-wildcard variants of all segments: array<long>, the wildcard's place above the segment's bits."""
-    keys = []
-    for first, length in segments(distance):
-        part = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << length) - 1))
-        keys += [part.bitwiseAND(F.lit(((1 << length) - 1) & ~(1 << i))).bitwiseOR(F.lit((first + i) << 40)) for i in range(length)]
-    return F.array(*keys)
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-#: Different fingerprints up to which a variant alone is selective enough; beyond, it is refined.
-REFINE_FROM = 4_000_000
+def signatures(distance: int = DISTANCE, refine: bool = False) -> list[tuple[int, int, list[int]]]:
+    """(segment, mask, blocks passed over) of every variant: a segment's bits without a wildcard bit.
+
+    Refined, each variant also has one of distance + 1 blocks of the other bits, of which one must be
+    equal: the same links by five times as many keys, each hundreds of times as selective.
+    """
+    out = []
+    for number, (first, length) in enumerate(segments(distance)):
+        whole = (1 << length) - 1 << first
+        rest = [i for i in range(BITS) if not whole >> i & 1]
+        n = distance + 1
+        blocks = [sum(1 << i for i in rest[len(rest) * b // n : len(rest) * (b + 1) // n]) for b in range(n)] if refine else [0]
+        for wild in range(first, first + length):
+            out += [(number, whole & ~(1 << wild) | block, blocks[:b]) for b, block in enumerate(blocks)]
+    return out
+
 
+def variants(fp: Column, distance: int = DISTANCE, refine: bool = False) -> Column:
+    """All variants of a fingerprint: array<struct<place int, bits long>>."""
+    return F.array(*(F.struct(F.lit(i).alias("place"), fp.bitwiseAND(F.lit(signed(mask))).alias("bits")) for i, (_, mask, _) in enumerate(signatures(distance, refine))))
 
-def refined(fp: Column, distance: int = DISTANCE) -> Column:
-    """Variants each joined with one of distance + 1 blocks of the other bits, of which one must be equal.
 
-    It finds the same links by five times as many keys, each hundreds of times as selective.
+def first_shared(x: Column, place: Column, distance: int = DISTANCE, refine: bool = False) -> Column:
+    """Whether ``place`` is the first variant that two fingerprints of XOR ``x`` share, so each link is made once.
+
+    That is in the first segment with at most one differing bit: its wildcard is the differing bit, or the
+    segment's first bit if none differs; refined, with the first block that is equal.
     """
-    keys = []
-    for first, length in segments(distance):
-        rest = [i for i in range(BITS) if not first <= i < first + length]
-        blocks = [sum(1 << i for i in rest[len(rest) * b // (distance + 1) : len(rest) * (b + 1) // (distance + 1)]) for b in range(distance + 1)]
-        for wild in range(first, first + length):
-            mask = ((1 << length) - 1 << first) & ~(1 << wild)
-            for number, block in enumerate(blocks):
-                whole = (mask | block) - (1 << 64 if (mask | block) >> 63 else 0)
-                keys.append(F.xxhash64(fp.bitwiseAND(F.lit(whole)), F.lit(wild * 8 + number)))
-    return F.array(*keys)
+    differ = lambda mask: F.bit_count(x.bitwiseAND(F.lit(signed(mask))))
+    sizes = [((1 << length) - 1) << first for first, length in segments(distance)]
+    cases, at = None, 0
+    for number, (first, length) in enumerate(segments(distance)):
+        group = [s for s in signatures(distance, refine) if s[0] == number]
+        per = len(group) // length
+        inside = x.bitwiseAND(F.lit(signed(sizes[number])))
+        bit = F.lit(first) + F.floor((place - at) / per).cast("int")
+        fits = F.when(inside == 0, bit == first).otherwise(inside == F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+        for mask in sizes[:number]:
+            fits = fits & (differ(mask) > 1)
+        for b in range(1, per):
+            passed = group[b][2]
+            skip = (place - at) % per < b
+            fits = fits & (skip | (differ(passed[b - 1]) > 0))
+        upto = at + len(group)
+        cases = F.when(place < upto, fits) if cases is None else cases.when(place < upto, fits)
+        at = upto
+    return cases
+
+
+#: Different fingerprints up to which a variant alone is selective enough; beyond, it is refined.
+REFINE_FROM = 4_000_000
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, refine: bool = False) -> DataFrame:
-    """(a, b), a < b: all pairs of different fingerprints in ``fp`` with at most ``distance`` differing bits."""
-    keyed = nodes.select(F.explode(refined(F.col("fp"), distance) if refine else variants(F.col("fp"), distance)).alias("key"), F.col("fp"))
+    """(a, b), a < b: all pairs of different fingerprints in ``fp`` with at most ``distance`` differing bits, once each."""
+    keyed = nodes.select(F.explode(variants(F.col("fp"), distance, refine)).alias("v"), F.col("fp")).select("v.place", "v.bits", "fp")
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return left.join(right, "key").filter(near).select("a", "b").distinct()
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance)
+    return left.join(right, ["place", "bits"]).filter(near & first_shared(x, F.col("place"), distance, refine)).select("a", "b")
 
 
 def roots(edges: DataFrame) -> DataFrame:
