@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pre-tokeniser's pattern (a fixed value); white space is spelt out as the Unicode property.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Most pieces kept per Python worker, and the longest that is kept.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 64
+CACHE_PIECES, CACHE_LENGTH = 200_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,6 +37,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Piece -> its ids as little-endian 32-bit numbers, worked out on the first look-up; bounded."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.merge(piece.encode())).tobytes()
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Bpe:
     """Encoder and decoder for a byte-level BPE vocabulary given as the text of its JSON file."""
 
@@ -48,59 +66,59 @@ class Bpe:
         self.byte_ids = [0] * 256
         for letter, b in letters.items():
             self.byte_ids[b] = vocab[letter]
-        self.merges = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # by rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
+            self.made.append(vocab[a + b])
         self.find = regex.compile(PIECE).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda s: [s]
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = Pieces(self.merge)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Merge one piece: lowest rank first, leftmost first among equals."""
-        ids = [self.byte_ids[b] for b in piece]
-        n, merges = len(ids), self.merges
+        """Merge one piece: lowest rank first, leftmost first among equals.
+
+        A queue entry is rank and place in one number; it is stale if the pair at its place has another rank.
+        """
+        n = len(piece)
         if n == 1:
-            return (ids[0],)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            if m := merges.get((ids[i], ids[i + 1])):
-                queue.append((m[0], i, ids[i], ids[i + 1], m[1]))
+            return (self.byte_ids[piece[0]],)
+        ids = [self.byte_ids[b] for b in piece]
+        rank_of, made, push = self.ranks.get, self.made, heapq.heappush
+        queue = [(r << 40) + i for i, r in enumerate(map(rank_of, zip(ids, ids[1:], strict=False))) if r is not None]
         heapq.heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & 0xFFFFFFFFFF
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j == n or ids[i] < 0 or rank_of((ids[i], ids[j])) != entry >> 40:
                 continue  # stale
-            ids[i], ids[j] = new, -1
+            new = ids[i] = made[entry >> 40]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (m[0], i, new, ids[k], m[1]))
+                if (r := rank_of((new, ids[k]))) is not None:
+                    push(queue, (r << 40) + i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(queue, (m[0], h, ids[h], new, m[1]))
-        return tuple(x for x in ids if x >= 0)
+            if h >= 0 and (r := rank_of((ids[h], new))) is not None:
+                push(queue, (r << 40) + h)
+        return tuple([x for x in ids if x >= 0])
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        kept = self.kept
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers."""
+        out: list[bytes] = []
         for part in self.cut(text or ""):
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            for piece in self.find(part):
-                got = kept.get(piece)
-                if got is None:
-                    got = self.merge(piece.encode())
-                    if len(piece) <= CACHE_LENGTH:
-                        if len(kept) >= CACHE_PIECES:
-                            kept.clear()
-                        kept[piece] = got
-                out += got
-        return out
+                out.append(array("i", [self.special[part]]).tobytes())
+            else:
+                out += map(self.kept.__getitem__, self.find(part))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -129,10 +147,11 @@ def share_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(text)
 
 
-def _map(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
-    """df with a column computed from another in Arrow batches; text columns come one batch slice at a time."""
-    rest = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(name, kind)])
+def _map(df: DataFrame, added: list[tuple[str, T.DataType]], source: str, make) -> DataFrame:
+    """df with columns computed from another in Arrow batches, a slice of rows at a time."""
+    rest = [c for c in df.columns if c not in {n for n, _ in added}]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(n, t) for n, t in added])
+    names = [*rest, *(n for n, _ in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
@@ -140,20 +159,34 @@ def _map(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataF
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = one(part.column(part.schema.get_field_index(source)))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), made], names=[*rest, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *made], names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with ``ids`` array<int>: the whole text encoded with the vocabulary file at that path."""
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with ``ids`` array<int>: the whole text encoded with the vocabulary file at that path.
+
+    With ``decoded``, a column of that name has the text decoded from the ids, in the same pass.
+    """
     spec = share_vocabulary(df.sparkSession, vocabulary)
 
     def make():
         coder = loaded(spec)
-        return lambda col: pa.array([coder.encode(x) for x in col.to_pylist()], pa.list_(pa.int32()))
 
-    return _map(df, ids, T.ArrayType(T.IntegerType()), text, make)
+        def one(col):
+            packed = [coder.packed(x) for x in col.to_pylist()]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+            out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            if decoded:
+                out.append(pa.array([coder.decode(array("i", p)) for p in packed], pa.string()))
+            return out
+
+        return one
+
+    added = [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.StringType())] if decoded else [])]
+    return _map(df, added, text, make)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -162,6 +195,12 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 
     def make():
         coder = loaded(spec)
-        return lambda col: pa.array([coder.decode(x or ()) for x in col.to_pylist()], pa.string())
 
-    return _map(df, text, T.StringType(), ids, make)
+        def one(col):
+            ends = col.offsets.to_numpy() - col.offsets[0].as_py()  # a slice's values start at its first offset
+            flat = col.values.slice(col.offsets[0].as_py(), int(ends[-1])).to_numpy(zero_copy_only=False).tolist()
+            return [pa.array([coder.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())]
+
+        return one
+
+    return _map(df, [(text, T.StringType())], ids, make)

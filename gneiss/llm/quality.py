@@ -17,6 +17,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,27 +172,25 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-3) / scale), float(theta[1])
 
 
+def verdict(text: str | None, model: Model, threshold: float = THRESHOLD) -> tuple:
+    """n_words, the base counts, base_failed, probability and kept of a text."""
+    text = text or ""
+    data = text.encode()
+    words = data.split()
+    ids, distinct = word_ids(words)
+    counts = base_counts(text, data, words, ids, len(distinct))
+    failed = len(words) < MIN_WORDS or 100 * counts[3] > MAX_REPEAT_PERCENT * len(words)
+    good = model.probability(margin(model, hashed(data, ids, distinct)))
+    return len(words), *counts, failed, good, not failed and good >= threshold
+
+
 def judge(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns with n_words, the base counts, base_failed, probability and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats a block, whatever the data
 
     def make():
         model = shared.value
-
-        def one(texts):
-            rows = []
-            for text in texts:
-                text = text or ""
-                data = text.encode()
-                words = data.split()
-                ids, distinct = word_ids(words)
-                counts = base_counts(text, data, words, ids, len(distinct))
-                failed = len(words) < MIN_WORDS or 100 * counts[3] > MAX_REPEAT_PERCENT * len(words)
-                good = model.probability(margin(model, hashed(data, ids, distinct)))
-                rows.append((len(words), *counts, failed, good, not failed and good >= threshold))
-            return list(zip(*rows, strict=True)) if rows else [[]] * 8
-
-        return one
+        return lambda texts: list(zip(*(verdict(t, model, threshold) for t in texts), strict=True)) if texts else [[]] * 8
 
     fields = [(c, "long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return map_text(docs, "text", keep, [*fields, ("base_failed", "boolean"), ("probability", "double"), ("kept", "boolean")], make)
@@ -199,6 +198,14 @@ def judge(docs: DataFrame, model: Model, keep: list[str], threshold: float = THR
 
 def passing(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, all columns as they are, whatever their names."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), "text")
-    kept = judge(packed, model, ["row"], threshold).filter("kept")
-    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    shared, at_text, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns
+    placed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array([verdict(t, model, threshold)[-1] for t in part.column(at_text).to_pylist()], pa.bool_()))
+
+    return placed.mapInArrow(run, placed.schema).toDF(*columns)

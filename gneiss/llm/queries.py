@@ -53,8 +53,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path)
+    coded = bpe.encode(docs, vocabulary_path(), decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
