@@ -7,7 +7,7 @@ import re
 OPENING = re.compile(r'//[^\n]*|/\*|"""|"')
 COMMENT = re.compile(r"/\*|\*/")
 TRIPLE = re.compile(r'\\[^\n]|"""')
-SINGLE = re.compile(r'((?:\\[^\n]|[^"\\\n]|\\(?=\n))*)("?)')
+SINGLE = re.compile(r'((?:\\[^\n]|[^"\\\n]|\\(?=\n|\Z))*)("?)')
 
 
 def strip(text: str) -> tuple[list[str], list[list[str]]]:

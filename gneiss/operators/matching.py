@@ -36,7 +36,14 @@ def token_rules(names: DataFrame, rules: DataFrame, key: list[str], name: str =
     many = rules.filter("size(tokens) > 1").select("ordinal", "joined")
     lengths = [r[0] for r in many.select(F.length("joined")).distinct().collect()]  # of a fixed table
     whole = names.select(*key, F.array_join(name_tokens(F.col(name)), "").alias("all"))
-    parts = F.flatten(F.array(*(F.when(F.length("all") >= n, F.transform(F.sequence(F.lit(1), F.length("all") - n + 1), lambda i, n=n: F.substring(F.col("all"), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)))) if lengths else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+
+    def pieces(n: int):
+        """All substrings of n letters."""
+        starts = F.sequence(F.lit(1), F.length("all") - n + 1)
+        return F.when(F.length("all") >= n, F.transform(starts, lambda i: F.substring(F.col("all"), i, F.lit(n)))).otherwise(none)
+
+    parts = F.flatten(F.array(*map(pieces, sorted(lengths)))) if lengths else none
     held = whole.select(*key, F.explode(F.array_distinct(parts)).alias("joined")).join(many, "joined").select(*key, "ordinal")
     found = met.unionByName(held).distinct().join(toks, key).join(rules, "ordinal")
     found = found.filter(~F.arrays_overlap("have", "blockers") & ((F.size("context") == 0) | F.arrays_overlap("have", "context")))

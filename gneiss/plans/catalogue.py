@@ -630,7 +630,7 @@ def role_stats(spark, d):
 
 
 @query(f"""WITH {ROLES_SQL}, t AS (SELECT count(*) FILTER (role = 'viewModel') AS vm, count(*) FILTER (role = 'model') AS m, count(*) FILTER (role = 'view') AS v FROM r)
-    SELECT 'MVVM' AS pattern, round(CASE WHEN v >= 20 AND vm < greatest(1, v // 100) THEN 0 ELSE least(.40 + .20 + .15 + .15, 1) END, 6) AS score FROM t WHERE vm >= 3 AND m >= 2""")
+    SELECT 'MVVM' AS pattern, round(CAST(CASE WHEN v >= 20 AND vm < greatest(1, v // 100) THEN 0 ELSE least(.40 + .20 + .15 + .15, 1) END AS DOUBLE), 6) AS score FROM t WHERE vm >= 3 AND m >= 2""")
 def arch_threshold_topk(spark, d):
     f = layered(spark, d).withColumn("imports", F.array().cast("array<string>"))
     none = spark.createDataFrame([], "file_path string, name string, kind string")
