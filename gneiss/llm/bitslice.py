@@ -202,8 +202,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, queries_per_block:
 
     query_blocks = blocks(usable(queries), "queries", queries_per_block, query_blob)
     n_rows, n_queries = index.count(), query_blocks.count()
-    at = index.agg(F.sort_array(F.collect_list("block")).alias("b")).first()["b"] if n_rows else []  # a number per 32768 rows
-    each = query_blocks.select(F.explode(F.array(*map(F.lit, at)) if at else F.array().cast("array<int>")).alias("at"), F.col("block").alias("query_block"), F.col("blob").alias("query_blob"))
+    last = index.agg(F.max("block")).first()[0] if n_rows else None
+    every = F.sequence(F.lit(0), F.lit(last)) if n_rows else F.array().cast("array<int>")  # the blocks' numbers; one without rows joins nothing
+    each = query_blocks.select(F.explode(every).alias("at"), F.col("block").alias("query_block"), F.col("blob").alias("query_blob"))
     pairs = each.join(index.select(F.col("block").alias("at"), "blob"), "at").repartition(max(1, n_rows * n_queries), "at", "query_block").select("query_block", "blob", "query_blob")
 
     def run(batches):

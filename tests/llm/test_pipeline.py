@@ -63,3 +63,23 @@ def test_bpe_stage_round_trips(stages):
     texts = {r.doc_id: r.text for r in before.collect()}
     assert after.count() == before.count()
     assert all(coder.decode(r.ids) == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in after.collect())
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty, blank and long texts, ties, repeated rows, and columns whose names clash."""
+    long = " ".join(f"w{i} mail{i}@x.org" for i in range(4000))
+    plain = " ".join(f"plain{i}" for i in range(80))
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n\t", None, "a", 3), (4, long, "en", "a", None), (5, plain, "en", "a", 9), (5, plain, "en", "a", 9), (6, plain, "de", "b", 9), (7, plain.upper(), "de", "b", 9), (None, plain + " more", "en", "c", 1)]
+    odd = spark.createDataFrame([(*r, "x", 1.5, [1]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, spans string, kept double, ids array<int>")
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.limit(0)):
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if name != "bpe":
+                assert out.dtypes == docs.dtypes
+            assert len(got) <= 2 * len(rows)
+        if name == "simhash_dedup":
+            kept = [r.doc_id for r in stage(spark, odd, SF).collect()]
+            assert sorted(kept, key=repr) == sorted(set(kept), key=repr) and {1, 4, 5} <= set(kept) and 6 not in kept and 7 not in kept
+        if name == "bpe":
+            assert len(stage(spark, odd, SF).collect()) == len(rows)
