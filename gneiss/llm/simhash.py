@@ -112,6 +112,8 @@ def first_shared(x: Column, place: Column, distance: int = DISTANCE, refine: boo
     return cases
 
 
+#: Tasks over which the neighbours of one node are dealt.
+SALTS = 8
 #: Different fingerprints up to which a variant alone is selective enough; beyond, it is refined.
 REFINE_FROM = 4_000_000
 
@@ -131,8 +133,9 @@ def roots(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node links to the least of the node and its neighbours
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        spread = both.filter("v > u").withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))  # a hub's neighbours are dealt over several tasks
+        large = spread.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours link to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
