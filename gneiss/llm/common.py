@@ -45,10 +45,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def map_text(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, str]], make, rows: int = 256) -> DataFrame:
     """The kept columns and new ones computed from one text column in Arrow batches.
 

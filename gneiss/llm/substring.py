@@ -31,9 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import partitions
-
-SPAN, GRAM, BLOCK_BYTES, HOT = 13, 7, 2 << 20, 200
+SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, HOT = 13, 7, 2 << 20, 4 << 20, 200
 NONE = np.iinfo(np.int64).max
 P, Q, R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 SEPARATOR = np.zeros(256, bool)
@@ -185,11 +183,12 @@ class Automaton:
             last = new
 
 
-def as_rows(shards: np.ndarray, n_shards: int, columns: dict[str, np.ndarray]) -> dict[int, dict[str, bytes]]:
-    """The columns' values of each shard, packed."""
+def as_rows(shards: np.ndarray, columns: dict[str, np.ndarray]) -> dict[int, dict[str, bytes]]:
+    """The columns' values of each shard that has any, packed; so rows never outnumber values."""
     order = np.argsort(shards, kind="stable")
-    cuts = np.searchsorted(shards[order], np.arange(n_shards + 1))
-    return {s: {k: v[order[cuts[s] : cuts[s + 1]]].tobytes() for k, v in columns.items()} for s in range(n_shards) if cuts[s] < cuts[s + 1]}
+    some, first = np.unique(shards[order], return_index=True)
+    cuts = [*first.tolist(), len(order)]
+    return {s: {k: v[order[cuts[i] : cuts[i + 1]]].tobytes() for k, v in columns.items()} for i, s in enumerate(some.tolist())}
 
 
 def unpack(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +206,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     """doc_id, n_words, n_removed and kept_text of every document."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("b")).first()["b"]
     n_blocks = max(1, -(-total // block_bytes))
-    n_shards = max(16, n_blocks // 4)
+    n_shards = max(16, -(-total // SHARD_BYTES))
     block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int")
     base = docs.select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -216,7 +215,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         b = _block_of(table, span)
         pair = np.unique(np.stack([b.anchor, b.doc[b.first].astype(np.uint64)], 1), axis=0) if len(b.first) else np.zeros((0, 2), np.uint64)
         found, times = np.unique(pair[:, 0], return_counts=True)
-        rows = as_rows((found % np.uint64(n_shards)).astype(np.int64), n_shards, {"anchors": found, "times": np.minimum(times, 255).astype(np.uint8)})
+        rows = as_rows((found % np.uint64(n_shards)).astype(np.int64), {"anchors": found, "times": np.minimum(times, 255).astype(np.uint8)})
         return pa.table({"shard": pa.array(list(rows), pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "anchors": pa.array([r["anchors"] for r in rows.values()], pa.binary()), "times": pa.array([r["times"] for r in rows.values()], pa.binary())})
 
     def shared(table: pa.Table) -> pa.Table:
@@ -247,7 +246,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         most = docs_of[np.concatenate([head[1:], [len(h)]]) - 1] if len(h) else docs_of
         first, after, key, h, docs_of = (x[head] for x in (first, after, key, h, docs_of))
         shard = (key % np.uint64(n_shards)).astype(np.int64)
-        rows = as_rows(shard, n_shards, {"key": key, "hash": h, "low": docs_of, "high": most, "words": (after - first).astype(np.int32)})
+        rows = as_rows(shard, {"key": key, "hash": h, "low": docs_of, "high": most, "words": (after - first).astype(np.int32)})
         order = np.argsort(shard, kind="stable")
         texts: dict[int, list[bytes]] = {s: [] for s in rows}
         for s, i in zip(shard[order].tolist(), order.tolist(), strict=True):
@@ -266,9 +265,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         order = np.lexsort((h, low, key))
         cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         # an anchor with one run: its smallest id is the first document of all its windows
-        different = np.add.reduceat(np.concatenate([[0], h[order][1:] != h[order][:-1]]), cuts[:-1]) if len(key) else np.zeros(0)
         inner = np.concatenate([[0], (h[order][1:] != h[order][:-1]) & (key[order][1:] == key[order][:-1])]) if len(key) else np.zeros(0)
-        different = np.add.reduceat(inner, cuts[:-1]) if len(key) else different
+        different = np.add.reduceat(inner, cuts[:-1]) if len(key) else inner
         firsts: list[np.ndarray | None] = [None] * len(key)
         for g in range(len(cuts) - 1):
             group = order[cuts[g] : cuts[g + 1]]
@@ -293,10 +291,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         lost = np.fromiter((f is not None and f.min() < high[i] for i, f in enumerate(firsts)), bool, len(key))
         blocks, out_h, out_n, out_f = [], [], [], []
         for r in range(table.num_rows):
-            mine = np.flatnonzero(lost & (row == r)) if table.num_rows < 4 else None
-            if mine is None:
-                a, z = np.searchsorted(row, [r, r + 1])
-                mine = a + np.flatnonzero(lost[a:z])
+            a, z = np.searchsorted(row, [r, r + 1])
+            mine = a + np.flatnonzero(lost[a:z])
             if len(mine):
                 blocks.append(table.column("block")[r].as_py())
                 out_h.append(h[mine].tobytes())
