@@ -26,3 +26,15 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
     """The first k rows of each key; the order must be total."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def chunked(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """df with the number of the chunk of ``size`` rows that each row falls in; for bounded lists."""
+    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+
+
+def chunks_of(array: Column, size: int) -> Column:
+    """An array cut into arrays of ``size``."""
+    n = F.size(array)
+    starts = F.sequence(F.lit(1), n, F.lit(size))
+    return F.when(n > 0, F.transform(starts, lambda i: F.slice(array, i, F.lit(size)))).otherwise(F.array())

@@ -161,3 +161,19 @@ def chain_depths(parent_of: DataFrame, most: int = 64) -> DataFrame:
             break
         out = out.unionByName(frontier.select("id", F.lit(depth).alias("depth")))
     return out.groupBy("id").agg(F.max("depth").alias("depth"))
+
+
+def declaration_graph(declarations: DataFrame, tokens: DataFrame, most: int = 100, least: int = 4) -> DataFrame:
+    """package, src, dst: which classes and actors name which types of their package, by name, once each.
+
+    declarations: package, path, name, kind, score; of large packages the types of the best scored files.
+    tokens: package, path, token.
+    """
+    from gneiss.functions.windows import top_per
+
+    some = declarations.filter(F.col("kind").isin("class", "struct", "enum", "actor") & (F.length("name") >= least))
+    some = top_per(some, ["package"], [F.col("score").desc(), F.col("path").desc(), F.col("name")], most)
+    sources = some.filter(F.col("kind").isin("class", "actor")).select("package", "path", F.col("name").alias("src"))
+    targets = some.select("package", F.col("name").alias("token")).distinct()
+    named = sources.join(tokens.select("package", "path", "token").distinct(), ["package", "path"]).join(targets, ["package", "token"])
+    return named.filter("src <> token").select("package", "src", F.col("token").alias("dst")).distinct()

@@ -117,10 +117,41 @@ def team(authors: DataFrame, k: int = 15) -> DataFrame:
 
 def merge_timing(merges: DataFrame) -> DataFrame:
     """One row of means, each over its sane range: lifetime and time to merge in days, delay in hours; 0 if none."""
-    within = lambda c, most: F.coalesce(F.avg(F.when(F.col(c).between(0, most), F.col(c))), F.lit(0.0)).alias(c)
+    within = lambda c, most: F.coalesce(F.avg(F.when((F.col(c) >= 0) & (F.col(c) < most), F.col(c))), F.lit(0.0)).alias(c)
     return merges.agg(within("lifetime_days", 365), within("time_to_merge_days", 730), within("delay_hours", 8760))
 
 
+def merge_times(commits: DataFrame, merges: DataFrame, brought: DataFrame) -> DataFrame:
+    """lifetime_days, time_to_merge_days and delay_hours of each merge (merge, ts) from the commits it brought in (merge, hash)."""
+    spans = brought.join(commits.select("hash", F.col("ts").alias("at")), "hash").groupBy("merge").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    both = merges.join(spans, "merge")
+    return both.select("merge", ((F.col("last") - F.col("first")) / 86400).alias("lifetime_days"), ((F.col("ts") - F.col("first")) / 86400).alias("time_to_merge_days"), ((F.col("ts") - F.col("last")) / 3600).alias("delay_hours"))
+
+
+def dual_merges(main: DataFrame, other: DataFrame, least: int = 2) -> DataFrame:
+    """One row: whether so many merge subjects stand on both branches."""
+    return main.select("subject").intersect(other.select("subject")).agg((F.count("*") >= least).alias("dual_merges"))
+
+
+# fixed values: names of branches that tell a branching model
+INTEGRATION = ("develop", "dev", "devel", "development", "integration", "next")
+RELEASE, HOTFIX = r"^(release|rel|releases)/", r"^(hotfix[/-]|hf/)"
+ENVIRONMENT = r"^(staging|stage|production|prod|preprod|preview|qa)($|[/-])"
+
+
+def branching_features(commits: DataFrame, refs: DataFrame, timing: DataFrame, dual: DataFrame, cascades: bool, as_of: Column, protected: tuple[str, ...] = ("main", "master", "HEAD")) -> DataFrame:
+    """The row of evidence for ``branching_scores``; the age of the main branch counts from its first commit."""
+    name = F.col("name")
+    names = ref_names(refs.filter("kind <> 'tag'")).agg(
+        F.coalesce(F.bool_or(name.isin(*INTEGRATION)), F.lit(False)).alias("has_integration"), F.count_if(name.rlike(RELEASE)).alias("releases"), F.count_if(name.rlike(HOTFIX)).alias("hotfixes"),
+        F.count_if(name.rlike(ENVIRONMENT) & ~name.isin(*protected, *INTEGRATION)).alias("env_branches"),
+    )
+    merged = F.count_if(F.size("parents") > 1)
+    days = F.greatest((as_of - F.min("ts")) / 86400, F.lit(1.0))
+    main = commits.agg(F.count("*").alias("main_commits"), F.coalesce(merged / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0)).alias("merge_ratio"), F.coalesce(merged / days, F.lit(0.0)).alias("merges_per_day"))
+    return main.join(names).join(timing.select("lifetime_days")).join(dual).withColumn("cascades", F.lit(cascades))  # one row each
+
+
 MODELS = ("Gitflow", "Trunk-Based", "GitHub Flow", "GitLab Flow", "OneFlow")
 
 

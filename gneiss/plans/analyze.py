@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     vertices = nodes.select(F.col("file_path").alias("id"))
     edges = cut(graph.clean(edges, vertices))
     ranks = cut(graph.pagerank(vertices, edges))
+    scored = decls.join(nodes.select("file_path", "package"), "file_path").join(ranks, F.col("file_path") == F.col("id")).select("package", F.col("file_path").alias("path"), "name", "kind", "score")
+    out["declaration_graph"] = graph.declaration_graph(scored, tokens)
     out |= {"vertices": vertices, "edges": edges, "ranks": ranks, "degrees": graph.degrees(vertices, edges), "hotspots": graph.hotspots(ranks, config.hotspots)}
     out["learning_path"] = graph.learning_path(vertices, edges).orderBy("place", "id").limit(config.learning_path)
     out["package_graph"] = graph.collapsed(edges, nodes.filter("package <> ''").select(F.col("file_path").alias("id"), F.col("package").alias("grp")))
@@ -47,8 +51,11 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     with_module = texts.join(placed.select("file_path", F.coalesce(F.nullif("module_name", F.lit("")), "package_name").alias("module")), "file_path")
     out["traffic"] = traffic.entries(with_module)
     out["layers"] = architecture.layer_totals(placed)
-    out["roles"] = architecture.role_stats(placed, decls)
-    out["architecture"] = architecture.patterns(placed, decls)
+    own = placed.filter(~packages.is_infrastructure(F.col("file_path")))
+    own_decls = decls.join(own.select("file_path"), "file_path", "left_semi")
+    out["roles"] = architecture.role_stats(own, own_decls)
+    out["architecture"] = architecture.patterns(own, own_decls)
+    out["letters"] = architecture.letters(own, own_decls)
     out["components"] = architecture.components(texts.sparkSession, imports)
     out["packages"] = packages.major(packages.totals(placed, decls))
     out["package_categories"] = packages.categories(placed, imports, decls)
@@ -81,9 +88,23 @@ def history_tables(blocks: DataFrame, refs: DataFrame, merged: DataFrame, as_of:
     out["tags"] = history.tags(refs)
     out["branches"] = history.branch_counts(refs, merged)
     out["stale"] = history.stale(refs.filter("kind = 'head'"), F.lit(as_of))
+    merges = cut(history_source.merges(commits))
+    brought = history.feature_commits(history_source.parents(commits), merges)
+    out["merge_timing"] = history.merge_timing(history.merge_times(commits, merges, brought))
     return out
 
 
+def branching(spark: SparkSession, root: str, tables: dict[str, DataFrame], refs: DataFrame, as_of: int) -> DataFrame:
+    """Scores of the branching models of a local repository."""
+    names = [r["name"] for r in history.ref_names(refs.filter("kind <> 'tag'")).orderBy("name").collect()]  # bounded by its branches
+    subjects = lambda b: spark.createDataFrame([(x,) for x in history_source.git(root, "log", b, "--merges", "-50", "--pretty=format:%s").splitlines() if x], "subject string")
+    integration = next((n for n in names if n in history.INTEGRATION), None)
+    dual = history.dual_merges(subjects("HEAD"), subjects(integration) if integration else subjects("HEAD").limit(0))
+    environments = [n for n in names if re.match(history.ENVIRONMENT, n)][:3]
+    cascades = any(history_source.git(root, "log", n, "--merges", "-3", "--pretty=format:%s").strip() for n in environments)
+    return history.branching_scores(history.branching_features(tables["commits"], refs, tables["merge_timing"], dual, cascades, F.lit(as_of)))
+
+
 def analyze(spark: SparkSession, root: str, config: Config | None = None, as_of: int | None = None) -> dict[str, DataFrame]:
     """All tables of a repository; those of its history only where there is one."""
     config = config or Config()
@@ -96,7 +117,9 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, as_of:
     if "://" not in root and history_source.git(root, "rev-parse", "HEAD"):
         blocks = cut(history_source.log_text(spark, root))
         now = as_of if as_of is not None else blocks.select(F.max(F.split(F.split("block", "\n")[0], "\t")[3].try_cast("long"))).first()[0]
-        out |= history_tables(blocks, history_source.refs(spark, root), history_source.merged(spark, root), now, out["files"].select(F.col("file_path").alias("path")))
+        refs = cut(history_source.refs(spark, root))
+        out |= history_tables(blocks, refs, history_source.merged(spark, root), now, out["files"].select(F.col("file_path").alias("path")))
+        out["branching"] = branching(spark, root, out, refs, now)
         out["files"] = history.enriched(out["files"].withColumnRenamed("file_path", "path"), out["file_history"]).withColumnRenamed("path", "file_path")
         out["author_packages"] = packages.author_packages(out["files"].filter("top_authors IS NOT NULL"))
         wanted: dict[str, list[int]] = {}

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
-from gneiss.functions.windows import frame, parity, previous, top_per
-from gneiss.operators import architecture, graph, history, matching, security, style
+from gneiss.functions.windows import chunked, frame, parity, previous, top_per
+from gneiss.operators import architecture, graph, history, matching, packages, security, style
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -301,7 +301,7 @@ def daily_growth(spark, d):
 
 
 @query("""WITH m AS (SELECT date_diff('day', o_orderdate, l_shipdate) AS a, l_quantity AS b, l_linenumber * 24.0 AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    SELECT round(coalesce(avg(a) FILTER (a BETWEEN 0 AND 365), 0), 6) AS lifetime_days, round(coalesce(avg(b) FILTER (b BETWEEN 0 AND 730), 0), 6) AS time_to_merge_days, round(coalesce(avg(c) FILTER (c BETWEEN 0 AND 8760), 0), 6) AS delay_hours FROM m""")
+    SELECT round(coalesce(avg(a) FILTER (a >= 0 AND a < 365), 0), 6) AS lifetime_days, round(coalesce(avg(b) FILTER (b >= 0 AND b < 730), 0), 6) AS time_to_merge_days, round(coalesce(avg(c) FILTER (c >= 0 AND c < 8760), 0), 6) AS delay_hours FROM m""")
 def merge_timing(spark, d):
     m = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     m = m.select(F.datediff("l_shipdate", "o_orderdate").alias("lifetime_days"), F.col("l_quantity").alias("time_to_merge_days"), (F.col("l_linenumber") * 24.0).alias("delay_hours"))
@@ -420,6 +420,30 @@ def import_fallback_join(spark, d):
     return graph.import_edges(f, i)
 
 
+@query("""WITH t AS (SELECT DISTINCT lang AS package, doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM documents WHERE doc_id % 3 = 0),
+    n AS (SELECT lang AS package, doc_id, regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*') AS name FROM documents WHERE doc_id % 2 = 0),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY doc_id DESC, name) AS r FROM n WHERE length(name) >= 4) WHERE r <= 100),
+    s AS (SELECT package, doc_id, name FROM c WHERE doc_id % 3 = 0)
+    SELECT DISTINCT s.package, s.name AS src, c.name AS dst FROM s JOIN t ON s.doc_id = t.doc_id AND s.package = t.package JOIN c ON c.package = s.package AND c.name = t.token WHERE c.name <> s.name""")
+def declaration_graph(spark, d):
+    f = files(spark, d).withColumn("name", F.regexp_extract("text", "[A-Za-z_][A-Za-z0-9_]*", 0))
+    decls = f.filter("doc_id % 2 = 0").select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), "name", F.when(F.col("doc_id") % 3 == 0, "class").otherwise("struct").alias("kind"), F.col("doc_id").alias("score"))
+    tokens = f.filter("doc_id % 3 = 0").select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), F.explode(T.identifiers(F.col("text"), 1, ascii_only=True)).alias("token"))
+    return graph.declaration_graph(decls, tokens).select("package", "src", "dst")
+
+
+@query("SELECT n_nationkey AS id, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 7 AS BIGINT) AS chunk FROM nation")
+def chunks(spark, d):
+    return chunked(vertices(spark, d), [F.col("id")], 7)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE split_part(p_name, ' ', 1) NOT IN ('red', 'old')")
+def vendored_anti(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.concat(F.lit("repo/"), F.replace("p_name", F.lit(" "), F.lit("/"))).alias("file_path"))
+    names = spark.createDataFrame([("red",), ("old",)], "name string")
+    return packages.without_vendored(p, names).select("p_partkey", "p_name")
+
+
 # rules
 
 SUFFIXES = [("t", "short"), ("lt", "pair"), ("bolt", "fastener"), ("ring", "ring"), ("r", "end"), ("ear", "gear-like"), ("widget", "widget"), ("o", "vowel")]

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 MOST_ROWS = 50
 SECTIONS = (
     ("Project", ("metadata", "layers", "packages", "package_categories", "components", "import_classes", "vendored")),
-    ("Architecture", ("architecture", "roles", "package_graph", "hotspots", "learning_path", "penetration")),
+    ("Architecture", ("architecture", "letters", "roles", "package_graph", "declaration_graph", "hotspots", "learning_path", "penetration")),
     ("Constructs", ("patterns", "structures", "algorithms", "constants", "complexity_health", "complexity_time", "complexity_space", "collection_usage")),
     ("Security", ("security_score", "security_categories", "security_results", "security_violations")),
     ("Style", ("style",)),
     ("Traffic", ("traffic",)),
-    ("History", ("team", "churn", "branches", "conventional", "compliance", "tags", "reverts", "weekdays", "stale", "author_packages")),
+    ("History", ("team", "churn", "branches", "branching", "merge_timing", "conventional", "compliance", "tags", "reverts", "weekdays", "stale", "author_packages")),
     ("Notes", ("notes", "longest_functions", "biggest_types", "assets", "heavy_types", "shaders")),
 )
 

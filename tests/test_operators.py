@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
 from gneiss.functions.lexer import strip
-from gneiss.functions.windows import frame, parity, previous, top_per
+from gneiss.functions.windows import chunks_of, frame, parity, previous, top_per
 from gneiss.operators import graph, history, matching
 from gneiss.plans.config import BadConfig, Config, Exists, NotAFolder, PathMissing, TooManyFiles
 from gneiss.sources import files as sf
@@ -127,6 +127,12 @@ def test_scalars(spark):
     assert one(T.version_key(lit("v1.10.2"))) == [1, 10, 2] and one(T.stem(lit("a/b.tar.gz"))) == "b.tar"
 
 
+def test_chunks(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    array = lambda n: F.array(*map(F.lit, range(n)))
+    assert one(chunks_of(array(5), 2)) == [[0, 1], [2, 3], [4]] and one(chunks_of(array(3), 3)) == [[0, 1, 2]]
+
+
 def test_frames(spark):
     df = spark.createDataFrame([("f", i, c) for i, c in enumerate("abcde")], "f string, n int, c string")
     got = [r.x for r in df.select("n", frame(F.col("c"), ["f"], "n", -1, 1).alias("x")).orderBy("n").collect()]
@@ -249,6 +255,8 @@ def test_git_source(spark, repo):
     m = sh.merges(sh.commits(blocks))
     assert history.feature_commits(sh.parents(sh.commits(blocks)), m).count() == 1
     assert {r.name for r in sh.refs(spark, repo).filter("kind = 'tag'").collect()} == {"v1.10.0", "v1.9.0", "note"}
+    times = history.merge_times(sh.commits(blocks), m, history.feature_commits(sh.parents(sh.commits(blocks)), m)).first()
+    assert (times.lifetime_days, times.time_to_merge_days, times.delay_hours) == (0.0, 2.0, 48.0)
     assert sh.main_branch(repo) == "main" and sh.merged(spark, repo).count() == 2
     blame = sh.blame_of(spark, repo, {"App/AuthHandler.swift": [1, 15]})
     assert {(r.line, r.author) for r in blame.collect()} == {(1, "Ann"), (15, "Bob")}

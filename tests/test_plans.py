@@ -25,6 +25,7 @@ def test_analyze(spark, repo, tmp_path):
     assert {r.name for r in tables["stale"].collect()} == {"main", "feature/one"}
     assert tables["tags"].first().latest == "v1.10.0" and tables["reverts"].first().reverts == 1
     assert {r.path: r.changes for r in tables["churn"].collect()}[client] == 2
+    assert tables["branching"].count() == 0 and tables["merge_timing"].first().time_to_merge_days == 2.0
     some = {k: tables[k] for k in ("layers", "hotspots", "ranks", "edges", "security_score", "team", "traffic")}
     report.page(some, str(tmp_path / "r.html"), "A <report>")
     text = (tmp_path / "r.html").read_text()
