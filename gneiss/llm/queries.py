@@ -123,6 +123,37 @@ def _pii_sql() -> str:
     """
 
 
+def _urls_sql() -> str:
+    """The template tree as SQL: one step of common tables for each level."""
+    fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
+    longest = sorted(urls.RULES, key=lambda r: -len(r.text))
+    by = lambda field: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, field)}'" for r in longest) + " END"
+    steps, tree = [], "t0"
+    for level in range(1, urls.DEPTH + 2):
+        b, c, q, w, t = (f"{x}{level}" for x in "bcqwt")
+        steps.append(f"""
+            {b} AS (SELECT *, shape[{level}] AS branch FROM {tree}),
+            {c} AS (SELECT host, template, branch, sum(n) AS cn, sum(blocked) AS cb, sum(allowed) AS ca FROM {b} WHERE branch IS NOT NULL GROUP BY ALL),
+            {q} AS (SELECT *, count(*) OVER p AS k, count(*) FILTER (cn <= 2) OVER p AS rare, sum(cb) OVER p AS pb, sum(ca) OVER p AS pa FROM {c} WINDOW p AS (PARTITION BY host, template)),
+            {w} AS (SELECT host, template, branch, template || '/' || CASE WHEN k > {urls.FEW} AND rare >= {urls.RARE} * k THEN '*'
+                WHEN cb + ca > 0 AND pb + pa > cb + ca AND abs(cb / (cb + ca) - pb / (pb + pa)) / sqrt(greatest(pb / (pb + pa) * (1 - pb / (pb + pa)), 0.01) / (cb + ca)) < {urls.Z} THEN '~' ELSE branch END AS longer FROM {q}),
+            {t} AS (SELECT b.host, b.shape, n, blocked, allowed, coalesce(longer, b.template) AS template FROM {b} b LEFT JOIN {w} w ON b.host = w.host AND b.template = w.template AND b.branch = w.branch)""")
+        tree = t
+    return f"""
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT *, {by("text")} AS rule, {by("verdict")} AS by_rule, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS parts FROM p),
+        u AS (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {urls.DEPTH} THEN list_concat(parts[:{urls.DEPTH}], ['...']) ELSE parts END AS shape FROM r),
+        t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (by_rule = 'block') AS blocked, count(*) FILTER (by_rule = 'allow') AS allowed, '' AS template FROM u GROUP BY host, shape),
+        {",".join(steps)},
+        o AS (SELECT (sum(blocked) + 1.0) / (sum(blocked) + sum(allowed) + 2.0) AS overall FROM {tree}),
+        h AS (SELECT host, (sum(blocked) + {urls.SMOOTH} * any_value(overall)) / (sum(blocked) + sum(allowed) + {urls.SMOOTH}) AS share FROM {tree}, o GROUP BY host),
+        l AS (SELECT host, template, sum(blocked) AS tb, sum(allowed) AS ta FROM {tree} GROUP BY ALL),
+        j AS (SELECT host, template, tb + ta >= {urls.LEAST} AND (tb + {urls.SMOOTH} * share) / (tb + ta + {urls.SMOOTH}) >= {urls.THRESHOLD} AS rejected FROM l JOIN h USING (host))
+        SELECT page_id, u.host, path, rule, coalesce(by_rule, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u JOIN {tree} t ON u.host = t.host AND u.shape = t.shape JOIN j ON j.host = t.host AND j.template = t.template
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -134,6 +165,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
         FROM o
     """,
+    "op2_urls": _urls_sql(),
     "op3_pii": _pii_sql(),
     "op8_mixing": r"""
         WITH d AS (

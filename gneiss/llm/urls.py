@@ -94,8 +94,8 @@ def grown(tree: DataFrame, level: int) -> DataFrame:
     both = children.join(parents, ["host", "template"])
     wild = (F.col("k") > FEW) & (F.col("rare") >= RARE * F.col("k"))
     n, m = F.col("cb") + F.col("ca"), F.col("pb") + F.col("pa")
-    pooled = F.col("pb") / m
-    z = F.abs(F.col("cb") / n - pooled) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / n)
+    pooled = F.try_divide(F.col("pb"), m)
+    z = F.try_divide(F.abs(F.try_divide(F.col("cb"), n) - pooled), F.sqrt(F.try_divide(F.greatest(pooled * (1 - pooled), F.lit(0.01)), n)))
     like = (n > 0) & (m > n) & (z < Z)
     name = F.when(wild, "*").when(like, "~").otherwise(F.col("branch"))
     named = both.select("host", "template", "branch", F.concat(F.col("template"), F.lit("/"), name).alias("longer"))
