@@ -79,21 +79,15 @@ def hotspots(ranks: DataFrame, k: int = 15) -> DataFrame:
 
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the round in which each vertex has no in-edges left; null on and behind cycles."""
-    left, kept, level = cut(vertices.select("id")), cut(edges.select("src", "dst")), 0
-    parts = []
-    while True:
-        free = left.join(kept.select(F.col("dst").alias("id")), "id", "left_anti")
-        free = cut(free.withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            break
-        parts.append(free)
-        left = cut(left.join(free, "id", "left_anti"))
-        kept = cut(kept.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+    kept = cut(edges.select("src", "dst"))
+    into = kept.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    state = cut(vertices.select("id").join(into, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("level")))
+    free, level = F.col("level").isNull() & (F.col("waits") == 0), 0
+    while not state.filter(free).isEmpty():
+        done = kept.join(state.filter(free).select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        state = cut(state.join(done, "id", "left").select("id", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.when(free, level).otherwise(F.col("level")).alias("level")))
         level += 1
-    out = left.withColumn("level", F.lit(None).cast("int"))
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    return state.select("id", "level")
 
 
 def has_cycle(leveled: DataFrame) -> bool:
