@@ -167,12 +167,11 @@ def from_query_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(vectors: DataFrame, name: str, per_block: int, to_blob) -> DataFrame:
-    """(block, blob) of about per_block vectors each, dealt out by a hash of the row's place and content."""
+    """(block, blob) of about per_block vectors each, dealt out by a hash of the row, the same whenever it is run again."""
     import pyarrow as pa
 
     n = max(1, -(-vectors.count() // per_block))
-    salt = F.monotonically_increasing_id() % 1021  # repeated rows are spread too
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id", salt), F.lit(n)).cast("int").alias("block"), "vec_id", "embedding")
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int").alias("block"), "vec_id", "embedding")
 
     def gather(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
