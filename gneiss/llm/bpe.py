@@ -27,7 +27,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pre-tokeniser's pattern (a fixed value); white space is spelt out as the Unicode property.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Most pieces kept per Python worker, and the longest that is kept.
-CACHE_PIECES, CACHE_LENGTH = 200_000, 64
+CACHE_PIECES, CACHE_LENGTH = 120_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,18 +38,27 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pieces(dict):
-    """Piece -> its ids as little-endian 32-bit numbers, worked out on the first look-up; bounded."""
+    """Piece -> its ids as little-endian 32-bit numbers, worked out on the first look-up.
+
+    Bounded by two generations: when this one is full it becomes the old one, from which pieces that are
+    met again come back; so frequent pieces stay.
+    """
 
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.merge(piece.encode())).tobytes()
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.merge(piece.encode())).tobytes()
+            if len(piece) > CACHE_LENGTH:
+                return ids
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
