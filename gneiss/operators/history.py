@@ -80,26 +80,31 @@ def reverts(commits: DataFrame) -> DataFrame:
     return commits.agg(F.count_if(back).alias("reverts"), F.count("*").alias("commits")).withColumn("rate", F.when(F.col("commits") > 0, F.col("reverts") / F.col("commits")).otherwise(0.0))
 
 
-CONVENTIONAL = r"^([a-z]+)(\([^)]*\))?!?: "
+# fixed values: types of conventional subjects
+TYPES = ("feat", "fix", "docs", "chore", "refactor", "test", "style", "ci", "build", "perf", "revert")
 
 
-def conventional(commits: DataFrame, k: int = 6) -> DataFrame:
+def prefix_pattern(types: tuple[str, ...] = TYPES) -> str:
+    return "^(" + "|".join(types) + r")(\([^)]+\))?!?:\s"
+
+
+def conventional(commits: DataFrame, k: int = 6, types: tuple[str, ...] = TYPES) -> DataFrame:
     """The k most used prefixes of conventional subjects."""
-    prefix = F.regexp_extract("subject", CONVENTIONAL, 1)
+    prefix = F.regexp_extract("subject", prefix_pattern(types), 1)
     return commits.select(prefix.alias("prefix")).filter("prefix <> ''").groupBy("prefix").count().orderBy(F.col("count").desc(), "prefix").limit(k)
 
 
-def compliance(commits: DataFrame, samples: int = 5) -> DataFrame:
+def compliance(commits: DataFrame, samples: int = 5, types: tuple[str, ...] = TYPES) -> DataFrame:
     """One row: the share of conventional subjects, and the first few others (by ord)."""
-    fits = F.col("subject").rlike(CONVENTIONAL)
-    other = commits.filter(~fits).orderBy("ord").limit(samples)
+    fits = F.col("subject").rlike(prefix_pattern(types))
+    other = commits.filter(~fits & (F.col("subject") != "")).orderBy("ord").limit(samples)
     said = other.agg(F.array_sort(F.collect_list(F.struct("ord", "subject")))["subject"].alias("samples"))
-    return commits.agg((F.count_if(fits) / F.greatest(F.count("*"), F.lit(1))).alias("compliance")).join(said)
+    return commits.filter("subject <> ''").agg((F.count_if(fits) / F.greatest(F.count("*"), F.lit(1))).alias("compliance")).join(said)
 
 
 def tags(refs: DataFrame) -> DataFrame:
     """One row: tags, those that are versions, and the newest version."""
-    version = F.col("name").rlike(r"^v?[0-9]+\.[0-9]+(\.[0-9]+)?")
+    version = F.col("name").rlike(r"^v?[0-9]+\.[0-9]+\.[0-9]+")
     parts = F.transform(F.regexp_extract_all("name", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
     newest = F.max(F.when(version, F.struct(parts.alias("p"), F.col("name").alias("n"))))["n"]
     return refs.filter("kind = 'tag'").agg(F.count("*").alias("tags"), F.count_if(version).alias("version_tags"), newest.alias("latest"))

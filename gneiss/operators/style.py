@@ -53,6 +53,7 @@ def scores(counts: DataFrame) -> DataFrame:
     return out.withColumn("total", F.floor(F.least(F.greatest(total * 100, F.lit(0.0)), F.lit(100.0))).cast("int"))
 
 
+# fixed values: patterns of declarations
 CLASS = r"^\s*((?:(?:public|internal|private|fileprivate|open|final)\s+)*)class\s+([A-Z]\w*)(?:\s*<[^>]+>)?\s*(?::\s*([^\{]+))?"
 STRUCT = r"^\s*(?:(?:public|internal|private|fileprivate)\s+)*struct\s+[A-Z]\w*(?:\s*<[^>]+>)?\s*(?::\s*([^\{]+))?"
 CONSTRAINED = r"\bfunc\s+\w+\s*<[^>]*:\s*[A-Z]|\bwhere\s+\w+\s*:\s*[A-Z]"

@@ -247,12 +247,12 @@ def stale_authors(spark, d):
 
 
 @query(f"""WITH {COMMITS_SQL}, s AS (SELECT CASE WHEN k % 4 = 0 THEN 'fix' WHEN k % 4 = 1 THEN 'feat(' || event_type || ')' ELSE event_type END || CASE WHEN k % 5 = 0 THEN ' ' ELSE ': ' END || k AS subject FROM commits)
-    SELECT regexp_extract(subject, '^([a-z]+)(\\([^)]*\\))?!?: ', 1) AS prefix, count(*) AS count FROM s WHERE regexp_matches(subject, '^([a-z]+)(\\([^)]*\\))?!?: ') GROUP BY prefix ORDER BY count DESC, prefix LIMIT 6""")
+    SELECT regexp_extract(subject, '^(fix|feat|view|error)(\\([^)]+\\))?!?:\\s', 1) AS prefix, count(*) AS count FROM s WHERE regexp_matches(subject, '^(fix|feat|view|error)(\\([^)]+\\))?!?:\\s') GROUP BY prefix ORDER BY count DESC, prefix LIMIT 6""")
 def conventional_mix(spark, d):
     k = F.col("k")
     head = F.when(k % 4 == 0, F.lit("fix")).when(k % 4 == 1, F.concat(F.lit("feat("), "event_type", F.lit(")"))).otherwise(F.col("event_type"))
     subject = F.concat(head, F.when(k % 5 == 0, " ").otherwise(": "), k.cast("string"))
-    return history.conventional(commits(spark, d).select(subject.alias("subject")))
+    return history.conventional(commits(spark, d).select(subject.alias("subject")), types=("fix", "feat", "view", "error"))
 
 
 @query(f"WITH {COMMITS_SQL} SELECT count(*) FILTER (event_type = 'error') AS reverts, count(*) AS commits, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS rate FROM commits")

@@ -7,8 +7,8 @@ from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 # fixed values: path components that are never scanned
-EXCLUDED = """.git .build .swiftpm DerivedData Pods Carthage node_modules vendor Vendor build Build .index-build xcuserdata fastlane
-.idea .vscode __pycache__ .gradle dist out target coverage .cache .bundle Generated generated""".split()
+EXCLUDED = """.git .idea .xcode .build .swiftpm DerivedData Pods Carthage build node_modules .next .nuxt dist .turbo venv .venv env .env
+__pycache__ .tox site-packages vendor .bundle .gradle .kotlin target .cache .tmp tmp out output""".split()
 
 
 class GneissError(Exception):
@@ -40,8 +40,9 @@ class Config:
     exclude: list[str] = field(default_factory=lambda: list(EXCLUDED))
     extensions: list[str] = field(default_factory=lambda: ["swift"])
     max_files: int = 30_000
+    commits: int = 5000
     hotspots: int = 15
-    learning_path: int = 50
+    learning_path: int = 20
     months: int = 6
     interval_days: int = 30
     compat: bool = False

@@ -14,7 +14,7 @@ from gneiss.plans.config import Config, NotAFolder, PathMissing, TooManyFiles
 
 BUNDLES = r"\.(xcassets|bundle|app|appex|xctestplan)$"
 # fixed values: media types
-MEDIA = "png jpg jpeg gif svg pdf webp heic heif tiff bmp ico mp3 wav aac m4a caf ogg mp4 mov m4v avi webm".split()
+MEDIA = "png jpg jpeg pdf svg heic webp gif jxl mp3 wav aac m4a ogg flac caf aiff mp4 mov m4v avi mkv".split()
 HEAVY_BYTES = 102_400
 
 
@@ -57,8 +57,15 @@ def sources(spark: SparkSession, root: str, config: Config) -> DataFrame:
 
 
 def is_mixed(listed: DataFrame) -> bool:
-    """Whether there is an Objective-C file or a bridging header; a lone header is none."""
-    return not listed.filter(extension(F.col("rel_path")).isin("m", "mm") | F.col("rel_path").endswith("-Bridging-Header.h")).isEmpty()
+    """Whether there is an Objective-C file; a lone header is none."""
+    return not listed.filter(extension(F.col("rel_path")).isin("m", "mm")).isEmpty()
+
+
+def bridging_header(project: DataFrame) -> DataFrame:
+    """The bridging header that the project file names, relative to the root."""
+    name = F.trim(F.regexp_extract("text", r'SWIFT_OBJC_BRIDGING_HEADER\s*=\s*"?([^";]+)"?', 1))
+    rows = project.filter(F.col("file_path").rlike(r"^[^/]+\.xcodeproj/project\.pbxproj$") & (name != ""))
+    return rows.orderBy("file_path").limit(1).select(F.regexp_replace(name, r"^\$\((SRCROOT|PROJECT_DIR)\)/", "").alias("header"))
 
 
 def project_texts(spark: SparkSession, root: str, exclude: list[str]) -> DataFrame:
@@ -98,7 +105,7 @@ def shaders(listed: DataFrame, exclude: list[str]) -> DataFrame:
 
 def vendored(listed: DataFrame, libraries: DataFrame, least: int = 2) -> DataFrame:
     """Folders named like a known library (name) that hold enough source files: name, path, file_count, est_lines."""
-    source = with_ext(listed).filter(F.col("ext").isin("swift", "h", "m", "mm", "c", "cc", "cpp", "hpp"))
+    source = with_ext(listed).filter(F.col("ext").isin("swift", "h", "m", "mm", "c", "cc", "cpp", "cxx", "hpp", "hxx"))
     parts = F.split("rel_path", "/")
     n = F.size(parts) - 1
     folders = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lower(F.element_at(parts, i)).alias("name"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("dir"))))

@@ -203,9 +203,9 @@ def test_history(spark):
     c = spark.createDataFrame([("a@x", "A", 10, 5), ("a@x", "Ann", 30, 2), ("b@x", "B", 20, 0)], "author string, name string, ts long, added long")
     got = {r.author: (r.commits, r.first_ts, r.last_ts, r.name, r.loc_added) for r in history.author_stats(c).collect()}
     assert got == {"a@x": (2, 10, 30, "Ann", 7), "b@x": (1, 20, 20, "B", 0)}
-    refs = spark.createDataFrame([("origin/a", "remote", 1), ("origin/HEAD", "remote", 1), ("a", "head", 1), ("x/y/z", "head", 5), ("v1.10", "tag", 1), ("v1.9", "tag", 2)], "name string, kind string, ts long")
+    refs = spark.createDataFrame([("origin/a", "remote", 1), ("origin/HEAD", "remote", 1), ("a", "head", 1), ("x/y/z", "head", 5), ("v1.10.0", "tag", 1), ("v1.9.0", "tag", 2), ("v2.0", "tag", 2)], "name string, kind string, ts long")
     assert {r.name for r in history.ref_names(refs.filter("kind <> 'tag'")).collect()} == {"a", "x/y/z"}
-    assert tuple(history.tags(refs).first()) == (2, 2, "v1.10")
+    assert tuple(history.tags(refs).first()) == (3, 2, "v1.10.0")
     assert [r.name for r in history.stale(refs.filter("kind = 'head'"), F.lit(100 * 86400), 90).collect()] == ["a", "x/y/z"]
     b = history.branch_counts(refs, spark.createDataFrame([("a",), ("main",)], "name string")).first()
     assert (b.local_branches, b.remote_branches, b.max_depth, b.merged_branches) == (2, 2, 3, 1)
@@ -281,6 +281,8 @@ def test_file_sources(spark, repo, tmp_path):
     assert {r.file_path for r in project.collect()} >= {"App/.env", "App/Info.plist"}
     root_manifest = spark.createDataFrame([("Package.swift", corpus.FILES["Packages/Shop/Package.swift"]), ("X.xcodeproj/project.pbxproj", "MARKETING_VERSION = 2.5;")], "file_path string, text string")
     m = sf.metadata(root_manifest, texts).first()
+    pbx = spark.createDataFrame([("X.xcodeproj/project.pbxproj", 'SWIFT_OBJC_BRIDGING_HEADER = "$(SRCROOT)/App/App-Bridging-Header.h";')], "file_path string, text string")
+    assert sf.bridging_header(pbx).first().header == "App/App-Bridging-Header.h"
     assert (m.language_version, m.targets, m.app_version) == ("5.9", ["iOS 16", "macOS 13.1"], "2.5")
     from gneiss.operators import parse
 
