@@ -186,16 +186,41 @@ def patterns(files: DataFrame, declarations: DataFrame, threshold: float = 0.15,
     return rows.filter(F.col("score") >= threshold).orderBy(F.round("score", 9).desc(), "ordinal").limit(k).select("pattern", "score")
 
 
+def role_health(files: Column, lines: Column, decls: Column) -> Column:
+    """missing, weak (one small file, one type at most) or present."""
+    return F.when((files == 0) & (decls == 0), "missing").when((files <= 1) & (lines < 150) & (decls <= 1), "weak").otherwise("present")
+
+
+# fixed values: the roles that a pattern's letters stand for
+LETTERS = {
+    "TCA": "feature state action reducer", "VIP": "view interactor presenter", "VIPER": "view interactor presenter entity router", "RIBs": "router interactor builder", "Clean": "useCase repository entity",
+    "Redux": "state action reducer store", "MVVM+C": "model view viewModel coordinator", "MVVM+S": "model view viewModel service", "MVVM": "model view viewModel", "MVP": "model view presenter",
+    "MVC": "model view viewController", "MV": "model view", "PureMVC": "facade proxy mediator command",
+}
+
+
+def all_roles(files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """role, files, lines, decls: the roles, and state, action and store types, which have no files of their own."""
+    roles = role_stats(files, declarations).select("role", "files", "lines", "decls")
+    kinds = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("lines"), F.col(c).alias("decls")) for r, c in (("state", "states"), ("action", "actions"), ("store", "stores"))))
+    return roles.unionByName(declaration_counts(declarations).select(F.explode(kinds).alias("k")).select("k.*"))
+
+
+def pattern_letters(files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """pattern, role, files, decls and health of every letter of the patterns found."""
+    spark = files.sparkSession
+    table = spark.createDataFrame([(p, i, r) for p, some in LETTERS.items() for i, r in enumerate(some.split())], "pattern string, ordinal int, role string")
+    found = patterns(files, declarations).join(table, "pattern").join(all_roles(files, declarations), "role")
+    return found.select("pattern", "ordinal", "role", "files", "decls", role_health(F.col("files"), F.col("lines"), F.col("decls")).alias("health"), "score").orderBy(F.round("score", 9).desc(), "pattern", "ordinal").drop("score")
+
+
 def letters(files: DataFrame, declarations: DataFrame) -> DataFrame:
     """One row: whether a command layer and an event bus stand beside the pattern; a weak one is hidden by a strong pattern."""
-    row = features(files, declarations)
+    row = features(files, declarations).join(role_stats(files, declarations).filter("role = 'command'").select(F.col("lines").alias("command_lines")))
     top = F.array_max(F.array(*pattern_scores().values()))
-    command, bus = F.col("f_command") + F.col("d_command"), F.col("f_eventBus") + F.col("d_eventBus")
-    return row.select(((command >= 1) & ((top < 0.5) | (command >= 3))).alias("command"), ((bus >= 1) | (F.col("notification_names") >= 1)).alias("event_bus"))
-
-
-def role_health(files: Column) -> Column:
-    return F.when(files == 0, "missing").when(files < 3, "weak").otherwise("present")
+    health = role_health(F.col("f_command"), F.col("command_lines"), F.col("d_command"))
+    bus = (F.col("f_eventBus") > 0) | F.arrays_overlap("imports", F.array(F.lit("EmitterKit"), F.lit("Signals"))) | (F.col("notification_names") >= 3)
+    return row.select(((health == "present") | ((health == "weak") & (top < 0.5))).alias("command"), bus.alias("event_bus"))
 
 
 # fixed values: components by the frameworks that show them

@@ -61,7 +61,7 @@ def stale(refs: DataFrame, as_of: Column, days: int = 90, k: int = 10, protected
     return refs.filter(~F.col("name").isin(*protected) if protected else F.lit(True)).withColumn("days", age).filter(F.col("days") > days).orderBy(F.col("days").desc(), "name").limit(k)
 
 
-def branch_counts(refs: DataFrame, merged: DataFrame, protected: tuple[str, ...] = ("main", "master", "HEAD")) -> DataFrame:
+def branch_counts(refs: DataFrame, merged: DataFrame, protected: tuple[str, ...] = ("main", "master", "develop", "development", "HEAD")) -> DataFrame:
     """One row: local, remote and merged branches, and the deepest name."""
     names = refs.withColumn("depth", F.size(F.split("name", "/")))
     counts = names.agg(F.count_if(F.col("kind") == "head").alias("local_branches"), F.count_if(F.col("kind") == "remote").alias("remote_branches"), F.max(F.when(F.col("kind") == "head", F.col("depth"))).alias("max_depth"))

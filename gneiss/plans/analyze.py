@@ -55,7 +55,7 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     own_decls = decls.join(own.select("file_path"), "file_path", "left_semi")
     out["roles"] = architecture.role_stats(own, own_decls)
     out["architecture"] = architecture.patterns(own, own_decls)
-    out["letters"] = architecture.letters(own, own_decls)
+    out |= {"letters": architecture.letters(own, own_decls), "pattern_letters": architecture.pattern_letters(own, own_decls)}
     out["components"] = architecture.components(texts.sparkSession, imports)
     out["packages"] = packages.major(packages.totals(placed, decls))
     out["package_categories"] = packages.categories(placed, imports, decls)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MOST_ROWS = 50
 SECTIONS = (
     ("Project", ("metadata", "layers", "packages", "package_categories", "components", "import_classes", "vendored")),
-    ("Architecture", ("architecture", "letters", "roles", "package_graph", "declaration_graph", "hotspots", "learning_path", "penetration")),
+    ("Architecture", ("architecture", "pattern_letters", "letters", "roles", "package_graph", "declaration_graph", "hotspots", "learning_path", "penetration")),
     ("Constructs", ("patterns", "structures", "algorithms", "constants", "complexity_health", "complexity_time", "complexity_space", "collection_usage")),
     ("Security", ("security_score", "security_categories", "security_results", "security_violations")),
     ("Style", ("style",)),

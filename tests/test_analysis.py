@@ -225,8 +225,10 @@ def test_architecture(spark, parsed):
     names = {r.name for r in architecture.components(spark, parse.imports(parsed)).collect()}
     assert names == {"SwiftUI", "UIKit", "Combine", "CoreData", "Testing"}
     assert architecture.letters(placed, decls).first().command is False
-    health = spark.createDataFrame([(0,), (2,), (9,)], "f int").select(architecture.role_health(F.col("f")).alias("h")).collect()
-    assert [r.h for r in health] == ["missing", "weak", "present"]
+    health = spark.createDataFrame([(0, 0, 0), (1, 9, 1), (1, 200, 1), (9, 9, 9)], "f int, n int, d int").select(architecture.role_health(F.col("f"), F.col("n"), F.col("d")).alias("h")).collect()
+    assert [r.h for r in health] == ["missing", "weak", "present", "present"]
+    got = [(r.pattern, r.role, r.health) for r in architecture.pattern_letters(placed, decls).collect()]
+    assert ("MVVM", "viewModel", "weak") in got and ("MVVM", "view", "missing") in got
 
 
 def test_imports_and_packages(spark, parsed):
