@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import threading
 from array import array
 from collections.abc import Iterator
 
@@ -133,7 +134,35 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+#: A worker that has coded nothing for so many seconds gives its tables back, for the stages of others.
+IDLE_SECONDS = 15.0
 _loaded: dict[str, Bpe] = {}
+_lock = threading.Lock()
+_busy = 0
+_timer: threading.Timer | None = None
+
+
+def _begin() -> None:
+    global _busy
+    with _lock:
+        _busy += 1
+
+
+def _end() -> None:
+    global _busy, _timer
+    with _lock:
+        _busy -= 1
+        if _timer:
+            _timer.cancel()
+        _timer = threading.Timer(IDLE_SECONDS, _forget)
+        _timer.daemon = True
+        _timer.start()
+
+
+def _forget() -> None:
+    with _lock:
+        if not _busy:
+            _loaded.clear()
 
 
 def loaded(spec) -> Bpe:
@@ -163,12 +192,16 @@ def _map(df: DataFrame, added: list[tuple[str, T.DataType]], source: str, make)
     names = [*rest, *(n for n, _ in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = one(part.column(part.schema.get_field_index(source)))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *made], names=names)
+        _begin()
+        try:
+            one = make()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    made = one(part.column(part.schema.get_field_index(source)))
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *made], names=names)
+        finally:
+            _end()
 
     return df.mapInArrow(run, schema)
 
