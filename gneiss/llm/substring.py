@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,7 +253,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         for s, i in zip(shard[order].tolist(), order.tolist(), strict=True):
             texts[s].append(b.text(first[i], after[i]))
         columns = {c: pa.array([r[c] for r in rows.values()], pa.binary()) for c in ("key", "hash", "low", "high", "words")}
-        return pa.table({"shard": pa.array(list(rows), pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), **columns, "texts": pa.array([b"\n".join(t) for t in texts.values()], pa.binary())})
+        return pa.table({"shard": pa.array(list(rows), pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), **columns, "texts": pa.array([zstandard.compress(b"\n".join(t), 1) for t in texts.values()], pa.binary())})
 
     def matched(table: pa.Table) -> pa.Table:
         """The first document of every window of every run that some document of its block loses words to."""
@@ -261,7 +262,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         low, _ = unpack(table.column("low"), np.int64)
         high, _ = unpack(table.column("high"), np.int64)
         n_windows = unpack(table.column("words"), np.int32)[0].astype(np.int64) - span + 1
-        texts = [t for x in table.column("texts") for t in x.as_py().split(b"\n")] if len(key) else []
+        texts = [t for x in table.column("texts") for t in zstandard.decompress(x.as_py()).split(b"\n")] if len(key) else []
         order = np.lexsort((h, low, key))
         cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         # an anchor with one run: its smallest id is the first document of all its windows
