@@ -162,13 +162,17 @@ def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return label(write_shared(fingerprints(docs, ["doc_id"]), "fingerprints"), distance)
 
 
-def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: the one of the smallest id, and of the smallest content if rows repeat it."""
+def survivors(docs: DataFrame, labelled) -> DataFrame:
+    """docs with one row of each root that ``labelled`` (docs with _content -> doc_id, _content, root) gives."""
     columns = docs.columns
     content = F.md5(F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)))))
     marked = docs.withColumn("_content", content)
-    slim = write_shared(fingerprints(marked, ["doc_id", "_content"]), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_content").alias("c"))
-    stay = label(slim, distance).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.i").alias("_id"), F.col("p.c").alias("_c"))
+    stay = labelled(marked).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.i").alias("_id"), F.col("p.c").alias("_c"))
     kept = marked.join(stay, (F.col("_content") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return kept.dropDuplicates(["_content"]).select(*columns)
+
+
+def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: the one of the smallest id, and of the smallest content if rows repeat it."""
+    return survivors(docs, lambda marked: label(write_shared(fingerprints(marked, ["doc_id", "_content"]), "fingerprints"), distance))

@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables, each against its own input."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -83,3 +85,28 @@ def test_stages_on_odd_rows(spark):
             assert sorted(kept, key=repr) == sorted(set(kept), key=repr) and {1, 4, 5} <= set(kept) and 6 not in kept and 7 not in kept
         if name == "bpe":
             assert len(stage(spark, odd, SF).collect()) == len(rows)
+
+
+def test_dedup_stage_joins_every_pair_of_similarity_four_fifths(spark):
+    """A few replaced words of 100: similar by five-word shingles, many bits apart by SimHash. Brute force decides."""
+    rng, rows = random.Random(8), []
+    for base in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((10 * base, " ".join(words)))
+        for copy, changed in enumerate((1, 2, 3, 6), 1):
+            other = list(words)
+            for at in rng.sample(range(100), changed):
+                other[at] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * base + copy, " ".join(other)))
+    split = {i: t.split() for i, t in rows}
+    runs = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in split.items()}
+    root = {i: i for i in runs}
+    for _ in range(5):
+        for i, a in runs.items():
+            for j in range(i // 10 * 10, i // 10 * 10 + 5):
+                if 5 * len(a & runs[j]) >= 4 * len(a | runs[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    far = [(simhash.fingerprint(t) ^ simhash.fingerprint(dict(rows)[root[i]])).bit_count() for i, t in rows if root[i] != i]
+    assert sum(d > 4 for d in far) > len(far) / 2
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, SF).collect()} == set(root.values())
