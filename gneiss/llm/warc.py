@@ -6,8 +6,9 @@ archives are rows (name, data) of a Parquet table in the shared folder; the read
 files through Spark's binaryFile source (columns path, content).
 
 Reading: the skippable frame's dictionary is loaded, frames are decoded one by one, and every record's
-version line, mandatory headers, Content-Length and (for responses) payload digest are validated; an
-archive that breaks a rule raises ``WarcError``.
+version line, mandatory headers, Content-Length and (for responses and resources) payload digest are
+validated; an archive that breaks a rule raises ``WarcError``. ``read_records`` and ``read_files`` give whole
+records of any type and any id; ``read`` gives the digest columns of pages.
 
 Equal payloads of at least ``min_bytes``: the record with the largest id is the response, the others are
 revisits that name it. Defined results: null html is an empty payload; a null id can't be referred to, so
@@ -34,6 +35,7 @@ ARCHIVE_BYTES, DICTIONARY_BYTES, LEAST_SAMPLES = 8 << 20, 32 << 10, 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "record_type string, record_id string, target_uri string, date string, headers map<string,string>, http_head string, payload binary, payload_bytes long, payload_digest string, refers_to string"
 
 
 class WarcError(ValueError):
@@ -108,10 +110,14 @@ def parse(one: bytes) -> tuple[dict[str, str], bytes]:
         raise WarcError("no WARC version line")
     headers = {}
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and headers:  # a folded line goes on with the last value
+            headers[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon or not name:
             raise WarcError(f"bad header line {line[:80]!r}")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        headers[name] = f"{headers[name]}, {value.strip()}" if name in headers else value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise WarcError(f"no {name} header")
@@ -123,24 +129,82 @@ def parse(one: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:length]
 
 
-def page_of(urn: str) -> int | None:
-    inner = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(inner) if inner else None
+def page_of(urn: str | None) -> int | None:
+    """The number in an id of this module's form; null for any other id."""
+    inner = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(inner) if inner.isascii() and inner.isdigit() else None
+
+
+def unchunked(body: bytes) -> bytes:
+    """The content of a body in HTTP's chunked coding."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at : max(end, at)].partition(b";")[0].strip()
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            raise WarcError("bad chunk size")
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        at = end + 2 + n + 2
+        if body[at - 2 : at] != b"\r\n":
+            raise WarcError("a chunk is cut short")
+        out.append(body[end + 2 : at - 2])
+
+
+def holds(said: str, payload: bytes) -> bool:
+    """Whether a labelled digest fits, in base 32 or 16; one of an algorithm not known here is not judged."""
+    name, _, value = said.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    raw = hashlib.new(name, payload).digest()
+    return value.rstrip("=").upper() == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex()
+
+
+def whole(headers: dict[str, str], block: bytes) -> tuple:
+    """The fields of RECORD for a record of any type, validated."""
+    kind, http, payload, size = headers["warc-type"], None, block, len(block)
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        http, gap, body = block.partition(b"\r\n\r\n")
+        if not gap or kind != "request" and not http.startswith(b"HTTP/"):
+            raise WarcError("no whole HTTP head")
+        fields = [line.partition(b":") for line in http.split(b"\r\n")[1:]]
+        of = lambda name: [v.strip() for k, _, v in fields if k.strip().lower() == name]
+        sizes, chunked = of(b"content-length"), any(v.lower().endswith(b"chunked") for v in of(b"transfer-encoding"))
+        cut, payload, http = "warc-truncated" in headers, body, http.decode("latin-1")
+        if chunked and kind != "revisit" and not cut:
+            try:
+                payload = unchunked(body)
+            except WarcError:
+                # some crawlers store the content but leave the header; then the digest must fit the stored bytes
+                if "warc-payload-digest" not in headers or not holds(headers["warc-payload-digest"], body):
+                    raise
+        elif not chunked and sizes and not cut:
+            if not sizes[0].isdigit() or len(set(sizes)) > 1:
+                raise WarcError("bad HTTP Content-Length")
+            if kind == "response" and len(body) != int(sizes[0]):
+                raise WarcError("the payload doesn't match its length")
+        size = len(payload) if kind != "revisit" else int(sizes[0]) if sizes and sizes[0].isdigit() else None
+        payload = None if kind == "revisit" else payload
+        # digests are taken of the body with or without its chunk sizes
+        stored = (payload, body)
+    else:
+        stored = (block,)
+        if kind == "revisit":
+            payload, size = None, None
+    said = headers.get("warc-payload-digest")
+    if said and kind in ("response", "resource") and "warc-truncated" not in headers and not any(holds(said, x) for x in stored):
+        raise WarcError("the payload doesn't match its digest")
+    if not said and payload is not None:
+        said = "sha1:" + digest(payload)
+    return kind, headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-date"], headers, http, payload, size, said, headers.get("warc-refers-to")
 
 
 def interpret(headers: dict[str, str], block: bytes) -> tuple:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of a record."""
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    sizes = [line.split(b":", 1)[1].strip() for line in http.split(b"\r\n")[1:] if line.lower().startswith(b"content-length:")]
-    if not gap or not http.startswith(b"HTTP/") or len(sizes) != 1 or not sizes[0].isdigit():
-        raise WarcError("no whole HTTP head")
-    size, kind = int(sizes[0]), headers["warc-type"]
-    said = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and (len(payload) != size or digest(payload) != said):
-        raise WarcError("the payload doesn't match its length or digest")
-    if kind == "revisit" and "warc-refers-to" not in headers:
-        raise WarcError("a revisit without WARC-Refers-To")
-    return page_of(headers["warc-record-id"]), size, said, kind, page_of(headers["warc-refers-to"]) if kind == "revisit" else None
+    kind, name, _, _, _, _, _, size, said, refers_to = whole(headers, block)
+    return page_of(name), size, said and said.removeprefix("sha1:"), kind, page_of(refers_to) if kind == "revisit" else None
 
 
 def payload_of(html: Column) -> Column:
@@ -177,23 +241,49 @@ def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYT
     return write_shared(rows.mapInArrow(run, "name string, data binary"), "warc")
 
 
-def read(archives: DataFrame, data: str = "data") -> DataFrame:
-    """The records of archives (a table with a binary column): page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def decoded(archives: DataFrame, data: str, make, schema: str) -> DataFrame:
+    """Rows of ``schema`` that make(headers, block) gives for records, but for those where it gives None."""
     import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    names = [f.split()[0] for f in RESULT.split(", ")]
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), kinds, strict=True)], names=kinds.names)
+
         for batch in batches:
             for archive in batch.column(0):
-                rows = [interpret(*parse(f)) for f in frames(archive.as_py())]
+                rows, held = [], 0
+                for one in frames(archive.as_py()):
+                    row = make(*parse(one))
+                    if row is not None:
+                        rows.append(row)
+                        held += len(one)
+                    if held >= ARCHIVE_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield batch_of(rows)
+
+    return archives.select(F.col(data)).mapInArrow(run, schema)
+
 
-    return archives.select(F.col(data)).mapInArrow(run, RESULT)
+def read_records(archives: DataFrame, data: str = "data") -> DataFrame:
+    """All records of archives (a table with a binary column), of any type: the columns of RECORD.
+
+    ``headers`` has lower-case names, repeated ones joined by commas; ``payload`` is an HTTP body without
+    chunk sizes, or else the whole block, and null for a revisit.
+    """
+    return decoded(archives, data, lambda headers, block: (*(r := whole(headers, block))[:4], list(r[4].items()), *r[5:]), RECORD)
+
+
+def read(archives: DataFrame, data: str = "data") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the responses and revisits of archives."""
+    return decoded(archives, data, lambda headers, block: interpret(headers, block) if headers["warc-type"] in ("response", "revisit") else None, RESULT)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of .warc.zst files that any Hadoop store holds."""
-    return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(path), "content")
+    """All records, as read_records gives them, of .warc.zst files that any Hadoop store holds."""
+    return read_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(path), "content")

@@ -206,6 +206,33 @@ def test_warc_archives_are_validated(tmp_path, spark):
     assert warc.read_files(spark, str(tmp_path)).count() == 200
 
 
+def test_warc_reads_ordinary_archives(tmp_path, spark):
+    """Records of other tools: any type, uuid ids, chunked bodies, folded and missing headers."""
+    made = lambda kind, more, block: (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n{more}Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    http, at = "Content-Type: application/http; msgtype=response\r\n", "WARC-Target-URI: http://h/x\r\n"
+    sha = lambda x: f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(x).digest()).decode()}\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4;x=1\r\nwiki\r\n3\r\n\x00ab\r\n0\r\n\r\n"
+    records = [
+        made("warcinfo", "Content-Type: application/warc-fields\r\n", b"software: x\r\n"),
+        made("request", at + "Content-Type: application/http; msgtype=request\r\n", b"GET /x HTTP/1.1\r\nHost: h\r\n\r\n"),
+        made("response", at + http + sha(b"wiki\x00ab"), chunked),
+        made("revisit", at + http + "WARC-Profile: p\r\n  q\r\n", b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        made("metadata", at, b"via: y\r\n"),
+        made("resource", "WARC-Target-URI: dns:h\r\nContent-Type: text/dns\r\n", b"1.2.3.4\n"),
+    ]
+    (tmp_path / "b.warc.zst").write_bytes(b"".join(zstandard.ZstdCompressor().compress(r) for r in records))
+    got = {r.record_type: r for r in warc.read_files(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and all(r.record_id == f"<urn:uuid:{k}>" for k, r in got.items())
+    assert bytes(got["response"].payload) == b"wiki\x00ab" and got["response"].payload_bytes == 7 and got["response"].target_uri == "http://h/x"
+    assert got["response"].http_head.startswith("HTTP/1.1 200 OK\r\nTransfer") and got["revisit"].headers["warc-profile"] == "p q"
+    assert got["revisit"].payload is None and bytes(got["resource"].payload) == b"1.2.3.4\n" and bytes(got["warcinfo"].payload) == b"software: x\r\n"
+    for bad in (records[2].replace(b"wiki", b"wild"), made("response", http, chunked[:-12])):
+        with pytest.raises(warc.WarcError):
+            warc.whole(*warc.parse(bad))
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>" * i) for i in range(1, 4)], "page_id long, url string, html string")
+    assert {(r.target_uri, bytes(r.payload).decode()) for r in warc.read_records(warc.write(pages)).collect()} == {(f"http://h/{i}", "<p>" * i) for i in range(1, 4)}
+
+
 # exact top-k
 
 
