@@ -122,11 +122,9 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, as_of:
         out["branching"] = branching(spark, root, out, refs, now)
         out["files"] = history.enriched(out["files"].withColumnRenamed("file_path", "path"), out["file_history"]).withColumnRenamed("path", "file_path")
         out["author_packages"] = packages.author_packages(out["files"].filter("top_authors IS NOT NULL"))
-        wanted: dict[str, list[int]] = {}
-        for r in out["security_violations"].filter("line_no > 0").select("file_path", "line_no").distinct().orderBy("file_path", "line_no").limit(5000).collect():
-            wanted.setdefault(r["file_path"], []).append(r["line_no"])
-        if wanted:
-            out["security_violations"] = security.with_authors(out["security_violations"], history_source.blame_of(spark, root, wanted))
+        hits = cut(out["security_violations"])
+        lines = hits.filter("line_no > 0").select(F.col("file_path").alias("path"), F.col("line_no").alias("line"))
+        out["security_violations"] = security.with_authors(hits, history_source.blame_all(spark, root, lines))
     return out
 
 

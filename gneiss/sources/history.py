@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.functions.lineage import cut
+
 LOG = "__COMMIT__%n%H%x09%ae%x09%an%x09%at%x09%P%x09%s"
 
 
@@ -109,5 +112,20 @@ def blame_of(spark: SparkSession, root: str, wanted: dict[str, list[int]]) -> Da
     for path, lines in wanted.items():
         ranges = [x for n in sorted(set(lines)) if n > 0 for x in ("-L", f"{n},{n}")]
         if ranges:
-            rows.append((path, git(root, "blame", "--porcelain", *ranges, "--", path)))
+            few = ranges if len(ranges) <= 400 else []  # of many lines the whole file is blamed: a command line is bounded
+            rows.append((path, git(root, "blame", "--porcelain", *few, "--", path)))
     return blame(spark.createDataFrame(rows, "path string, text string"))
+
+
+def blame_all(spark: SparkSession, root: str, lines: DataFrame, files: int = 200) -> DataFrame:
+    """Blame of every line (path, line): so many files at a time, each lot stored before the next is asked for."""
+    per = cut(lines.groupBy("path").agg(F.collect_set("line").alias("lines")))
+    out, lot = [], {}
+    for r in per.toLocalIterator():
+        lot[r["path"]] = r["lines"]
+        if len(lot) == files:
+            out.append(cut(blame_of(spark, root, lot)))
+            lot = {}
+    out.append(cut(blame_of(spark, root, lot)))
+    found = functools.reduce(DataFrame.union, out)
+    return found.join(lines.select("path", "line").distinct(), ["path", "line"], "left_semi")

@@ -1,10 +1,13 @@
 """A whole analysis of a small repository with history."""
 
+import subprocess
+
 import pytest
 
 from gneiss.plans import report
 from gneiss.plans.analyze import analyze, evolution
 from gneiss.plans.config import Config
+from gneiss.sources import history
 from tests import corpus
 
 
@@ -37,3 +40,19 @@ def test_evolution(spark, repo):
     got = snapshots.collect()
     assert [r.ts for r in got] == sorted(r.ts for r in got) and all(r.est_lines == 50 * r.files for r in got)
     assert report.evolution_lines(snapshots, growth)[-1] == "net growth 0.0 %"
+
+
+def test_blame_of_every_line(spark, tmp_path):
+    """More lines than the limit of old (5000), in one lot of files and in several."""
+    root = tmp_path / "many"
+    root.mkdir()
+    for name in ("a", "z"):
+        (root / f"{name}.swift").write_text("".join(f"let v{i} = {i}\n" for i in range(2700)))
+    for args in (["init", "-q"], ["add", "-A"], ["-c", "user.name=Ann", "-c", "user.email=ann@x.org", "commit", "-qm", "x"]):
+        subprocess.run(["git", "-C", str(root), *args], check=True, capture_output=True)
+    want = {(f"{n}.swift", i, "Ann") for n in "az" for i in range(1, 2701)}
+    lines = spark.createDataFrame([(p, i) for p, i, _ in want] + [("a.swift", 1)], "path string, line int")
+    for files in (1, 200):
+        got = [tuple(r) for r in history.blame_all(spark, str(root), lines, files).collect()]
+        assert len(got) == 5400 and set(got) == want
+    assert history.blame_all(spark, str(root), lines.limit(0)).collect() == []
