@@ -63,7 +63,7 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def signatures(distance: int = DISTANCE, refine: bool = False) -> list[tuple[int, int, list[int]]]:
+def signatures(distance: int = DISTANCE, refine: bool = True) -> list[tuple[int, int, list[int]]]:
     """(segment, mask, blocks passed over) of every variant: a segment's bits without a wildcard bit.
 
     Refined, each variant also has one of distance + 1 blocks of the other bits, of which one must be
@@ -80,12 +80,12 @@ def signatures(distance: int = DISTANCE, refine: bool = False) -> list[tuple[int
     return out
 
 
-def variants(fp: Column, distance: int = DISTANCE, refine: bool = False) -> Column:
+def variants(fp: Column, distance: int = DISTANCE, refine: bool = True) -> Column:
     """All variants of a fingerprint: array<struct<place int, bits long>>."""
     return F.array(*(F.struct(F.lit(i).alias("place"), fp.bitwiseAND(F.lit(signed(mask))).alias("bits")) for i, (_, mask, _) in enumerate(signatures(distance, refine))))
 
 
-def first_shared(x: Column, place: Column, distance: int = DISTANCE, refine: bool = False) -> Column:
+def first_shared(x: Column, place: Column, distance: int = DISTANCE, refine: bool = True) -> Column:
     """Whether ``place`` is the first variant that two fingerprints of XOR ``x`` share, so each link is made once.
 
     That is in the first segment with at most one differing bit: its wildcard is the differing bit, or the
@@ -112,13 +112,11 @@ def first_shared(x: Column, place: Column, distance: int = DISTANCE, refine: boo
     return cases
 
 
-#: Tasks over which the neighbours of one node are dealt.
+#: Tasks over which the neighbours of one node, or the members of one component, are dealt.
 SALTS = 8
-#: Different fingerprints up to which a variant alone is selective enough; beyond, it is refined.
-REFINE_FROM = 4_000_000
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, refine: bool = False) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, refine: bool = True) -> DataFrame:
     """(a, b), a < b: all pairs of different fingerprints in ``fp`` with at most ``distance`` differing bits, once each."""
     keyed = nodes.select(F.explode(variants(F.col("fp"), distance, refine)).alias("v"), F.col("fp")).select("v.place", "v.bits", "fp")
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
@@ -149,12 +147,16 @@ def roots(edges: DataFrame) -> DataFrame:
 def label(slim: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``slim`` (with doc_id and fp) with ``root`` and ``component_id``, the smallest doc_id of the component."""
     nodes = write_shared(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    found = roots(links(nodes, distance, nodes.count() > REFINE_FROM))
-    grouped = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    grouped = write_shared(grouped, "grouped")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = write_shared(grouped.join(least, "root").select("fp", "root", "component_id"), "components")
-    return slim.join(by_fp, "fp")
+    found = roots(links(nodes, distance))
+    # only linked nodes meet by root, dealt over several tasks: one component may hold most of them
+    members = found.union(found.select("root", "root").distinct())
+    linked = write_shared(nodes.join(members.toDF("fp", "root"), "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = least.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    dealt = linked.select("fp", "root", F.pmod(F.hash("fp"), F.lit(SALTS)).alias("salt"))
+    named = dealt.join(least, ["root", "salt"]).select("fp", "root", "component_id")
+    of_all = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return slim.join(write_shared(of_all, "components"), "fp")
 
 
 def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -163,14 +165,20 @@ def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def survivors(docs: DataFrame, labelled) -> DataFrame:
-    """docs with one row of each root that ``labelled`` (docs with _content -> doc_id, _content, root) gives."""
+    """docs with one row of each root that ``labelled`` (doc_id, text, _content -> doc_id, _content, root) gives.
+
+    Columns keep their names and values, whatever they are called: inside they go by position. Rows are told
+    apart by a hash of all columns, so rows that repeat each other are one.
+    """
     columns = docs.columns
-    content = F.md5(F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)))))
-    marked = docs.withColumn("_content", content)
+    placed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    content = F.md5(F.to_json(F.struct(*(F.col(f"c{i}").cast("string").alias(f"c{i}") for i in range(len(columns))))))
+    marked = placed.withColumn("_content", content)
+    at = {c: F.col(f"c{columns.index(c)}").alias(c) for c in ("doc_id", "text")}
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_content").alias("c"))
-    stay = labelled(marked).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.i").alias("_id"), F.col("p.c").alias("_c"))
-    kept = marked.join(stay, (F.col("_content") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_content"]).select(*columns)
+    stay = labelled(marked.select(*at.values(), "_content")).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.c").alias("_content"))
+    # the content tells the id too, so texts are dealt by it once, for the join and for repeated rows
+    return marked.join(stay, "_content", "left_semi").dropDuplicates(["_content"]).drop("_content").toDF(*columns)
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
