@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from gneiss.llm import bpe, pii, queries, quality, simhash
+from gneiss.llm import bpe, jaccard, pii, queries, quality, simhash
 from gneiss.llm.common import read_table, write_shared
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +110,28 @@ def test_dedup_stage_joins_every_pair_of_similarity_four_fifths(spark):
     assert sum(d > 4 for d in far) > len(far) / 2
     table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, SF).collect()} == set(root.values())
+
+
+def test_links_across_hubs_are_found(spark, monkeypatch):
+    """One cluster whose texts mostly aren't linked with their keys' hubs, in several tiles: components by brute force."""
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(150):
+        words = list(base if rng.random() < 0.4 or not texts else rng.choice(texts).split())
+        for at in rng.sample(range(90), rng.randint(1, 6)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [frozenset(jaccard.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {find(i) for i in range(len(texts))}
+    assert 10 < len(want) < 140
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.deduplicated(table).collect()} == want
