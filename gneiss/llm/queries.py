@@ -129,28 +129,40 @@ def _urls_sql() -> str:
     longest = sorted(urls.RULES, key=lambda r: -len(r.text))
     by = lambda field: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, field)}'" for r in longest) + " END"
     steps, tree = [], "t0"
-    for level in range(1, urls.DEPTH + 2):
-        b, c, q, w, t = (f"{x}{level}" for x in "bcqwt")
+    for level in range(1, 5):  # paths of the tables have two or three segments; deeper ones would need more steps
+        b, k, c, p, a, w, t = (f"{x}{level}" for x in "bkcpawt")
         steps.append(f"""
-            {b} AS (SELECT *, shape[{level}] AS branch FROM {tree}),
-            {c} AS (SELECT host, template, branch, sum(n) AS cn, sum(blocked) AS cb, sum(allowed) AS ca FROM {b} WHERE branch IS NOT NULL GROUP BY ALL),
-            {q} AS (SELECT *, count(*) OVER p AS k, count(*) FILTER (cn <= 2) OVER p AS rare, sum(cb) OVER p AS pb, sum(ca) OVER p AS pa FROM {c} WINDOW p AS (PARTITION BY host, template)),
-            {w} AS (SELECT host, template, branch, template || '/' || CASE WHEN k > {urls.FEW} AND rare >= {urls.RARE} * k THEN '*'
-                WHEN cb + ca > 0 AND pb + pa > cb + ca AND abs(cb / (cb + ca) - pb / (pb + pa)) / sqrt(greatest(pb / (pb + pa) * (1 - pb / (pb + pa)), 0.01) / (cb + ca)) < {urls.Z} THEN '~' ELSE branch END AS longer FROM {q}),
-            {t} AS (SELECT b.host, b.shape, n, blocked, allowed, coalesce(longer, b.template) AS template FROM {b} b LEFT JOIN {w} w ON b.host = w.host AND b.template = w.template AND b.branch = w.branch)""")
+            {b} AS (SELECT *, parts[{level}] AS branch, greatest(len(parts) - {level}, 0) || ':' || regexp_replace(regexp_replace(coalesce(parts[{level + 1}], ''), '[0-9]+', '#', 'g'), '[^#.]+', 'a', 'g') AS kind FROM {tree}),
+            {k} AS (SELECT host, template, branch, kind, count(*) AS ck, CAST(sum(blocked) AS BIGINT) AS cb, CAST(sum(allowed) AS BIGINT) AS ca FROM {b} WHERE branch IS NOT NULL GROUP BY ALL),
+            {c} AS (SELECT host, template, branch, CAST(sum(ck) AS BIGINT) AS c, CAST(sum(cb) AS BIGINT) AS cb, CAST(sum(ca) AS BIGINT) AS ca FROM {k} GROUP BY ALL),
+            {p} AS (SELECT *, count(*) FILTER (c * {urls.FEW} < n) OVER (PARTITION BY host, template) > {urls.FEW} AS variable FROM
+                (SELECT *, CAST(sum(c) OVER q AS BIGINT) AS n, first_value(branch) OVER r AS anchor, first_value(c) OVER r AS a, first_value(cb) OVER r AS ab, first_value(ca) OVER r AS aa
+                 FROM {c} WINDOW q AS (PARTITION BY host, template), r AS (PARTITION BY host, template ORDER BY c DESC, branch))),
+            {a} AS (SELECT host, template, kind, ck AS ak, a FROM {k} JOIN {p} USING (host, template, branch) WHERE branch = anchor),
+            {w} AS (SELECT host, template, branch, template || '/' || CASE WHEN variable AND c * {urls.FEW} < n THEN '*'
+                    WHEN n > c AND (branch = anchor OR terms + (a - met) * c / a <= kinds + own - 1 + {urls.Z} * sqrt(2 * (kinds + own - 1)) + 1e-9
+                        AND coalesce(abs(cb / nullif(cb + ca, 0) - ab / nullif(ab + aa, 0))
+                            / sqrt(greatest((cb + ab) / nullif(cb + ca + ab + aa, 0) * (1 - (cb + ab) / nullif(cb + ca + ab + aa, 0)), 0.01) * (1 / nullif(cb + ca, 0) + 1 / nullif(ab + aa, 0))) < {urls.Z}, true)) THEN '~'
+                    ELSE branch END AS longer
+                FROM {p} JOIN (SELECT {k}.host, {k}.template, {k}.branch, sum(power(ck * sqrt({p}.a / c) - coalesce(ak, 0) * sqrt(c / {p}.a), 2) / (ck + coalesce(ak, 0))) AS terms,
+                        CAST(sum(coalesce(ak, 0)) AS BIGINT) AS met, count(*) FILTER (ak IS NULL) AS own
+                    FROM {k} JOIN {p} ON {k}.host = {p}.host AND {k}.template = {p}.template AND {k}.branch = {p}.branch
+                    LEFT JOIN {a} ON {k}.host = {a}.host AND {k}.template = {a}.template AND {k}.kind = {a}.kind GROUP BY ALL) USING (host, template, branch)
+                JOIN (SELECT host, template, count(*) AS kinds FROM {a} GROUP BY ALL) USING (host, template)),
+            {t} AS (SELECT b.host, b.path, parts, blocked, allowed, coalesce(longer, b.template) AS template FROM {b} b LEFT JOIN {w} w ON b.host = w.host AND b.template = w.template AND b.branch = w.branch)""")
         tree = t
     return f"""
         WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-        r AS (SELECT *, {by("text")} AS rule, {by("verdict")} AS by_rule, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS parts FROM p),
-        u AS (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {urls.DEPTH} THEN list_concat(parts[:{urls.DEPTH}], ['...']) ELSE parts END AS shape FROM r),
-        t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (by_rule = 'block') AS blocked, count(*) FILTER (by_rule = 'allow') AS allowed, '' AS template FROM u GROUP BY host, shape),
+        u AS (SELECT *, {by("text")} AS rule, {by("verdict")} AS by_rule FROM p),
+        t0 AS (SELECT DISTINCT host, path, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN x IN ('*', '~') THEN '%' || x ELSE x END) AS parts,
+            CAST(coalesce(by_rule = 'block', false) AS INT) AS blocked, CAST(coalesce(by_rule = 'allow', false) AS INT) AS allowed, '' AS template FROM u),
         {",".join(steps)},
-        o AS (SELECT (sum(blocked) + 1.0) / (sum(blocked) + sum(allowed) + 2.0) AS overall FROM {tree}),
+        o AS (SELECT (coalesce(sum(blocked), 0) + 1.0) / (coalesce(sum(blocked), 0) + coalesce(sum(allowed), 0) + 2.0) AS overall FROM {tree}),
         h AS (SELECT host, (sum(blocked) + {urls.SMOOTH} * any_value(overall)) / (sum(blocked) + sum(allowed) + {urls.SMOOTH}) AS share FROM {tree}, o GROUP BY host),
-        l AS (SELECT host, template, sum(blocked) AS tb, sum(allowed) AS ta FROM {tree} GROUP BY ALL),
-        j AS (SELECT host, template, tb + ta >= {urls.LEAST} AND (tb + {urls.SMOOTH} * share) / (tb + ta + {urls.SMOOTH}) >= {urls.THRESHOLD} AS rejected FROM l JOIN h USING (host))
-        SELECT page_id, u.host, path, rule, coalesce(by_rule, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
-        FROM u JOIN {tree} t ON u.host = t.host AND u.shape = t.shape JOIN j ON j.host = t.host AND j.template = t.template
+        l AS (SELECT host, template, count(*) AS n, sum(blocked) AS tb, sum(allowed) AS ta FROM {tree} GROUP BY ALL),
+        j AS (SELECT host, template, tb + ta >= {urls.COVERED} * n AND (tb + {urls.SMOOTH} * share) / (tb + ta + {urls.SMOOTH}) >= {urls.THRESHOLD} AS rejected FROM l JOIN h USING (host))
+        SELECT page_id, u.host, u.path, rule, coalesce(by_rule, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u JOIN {tree} t ON u.host = t.host AND u.path = t.path JOIN j ON j.host = t.host AND j.template = t.template
     """
 
 

@@ -1,20 +1,28 @@
 """URL filters: fixed rules by host and path, and for the rest a tree of path templates per host.
 
-The tree is grown level by level: the segments of all urls of a host that share a template so far are its
-branches. Where most branches are rare, they are variable and become one wildcard; of the others, those
-whose share of blocked labelled urls is statistically like their parent's are merged into one branch. A
-template is rejected if it has enough labelled urls and their blocked share, smoothed towards its host's
-and the whole table's, reaches the threshold; a template without labelled urls is allowed. The labelled
-urls are those that a rule fits; the rule's verdict stands for them.
+The tree is grown level by level over the different (host, path): the segments of those that share a
+template so far are its branches.
+
+* A branch is rare if it holds less than one in FEW of its parent's paths. Where more than FEW are rare, the
+  segment is variable there and the rare branches become one wildcard, ``*``.
+* The others are held against the largest branch by two tests of two samples: whether what follows has the
+  same kinds of segments (chi square), and whether the labelled paths are blocked as often (two proportions;
+  no labels on either side: no evidence against). Branches that pass both are one with it, ``~``.
+
+A template is rejected if at least COVERED of its paths are labelled and their blocked share, smoothed
+towards its host's and the whole table's, reaches THRESHOLD. So unlabelled branches are judged with labelled
+siblings that are like them, and a template of which little is known is allowed. Labelled are the urls that a
+rule fits; for these the rule's verdict stands. Copies of a url don't change any verdict.
 
 All counts are grouped sums formed before the shuffle; urls themselves are only joined with their
-templates. Defined results: a null url, or one without ``://``, has an empty host and path and is judged
-like any other; repeated rows and ids are judged alike; an empty table gives no rows; other columns are
-ignored.
+templates. One round per level, until no template has two paths left. Defined results: a null url, or one
+without ``://``, has an empty host and path and is judged like any other; empty segments don't count;
+repeated rows and ids are judged alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +46,7 @@ class Rule:
 
 
 RULES = (Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("allow", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/"))
-DEPTH, FEW, RARE, Z, SMOOTH, LEAST, THRESHOLD = 3, 12, 0.25, 1.96, 2.0, 5, 0.8
+FEW, Z, SMOOTH, COVERED, THRESHOLD = 12, 1.96, 2.0, 0.5, 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,57 +67,84 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def shapes(path: Column) -> Column:
-    """The first DEPTH segments of a path, numbers as '#', what lies deeper as one '...'."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("...")))).otherwise(shaped)
-
-
-def templates(urls: DataFrame) -> DataFrame:
-    """From (host, shape, blocked, allowed): host, shape, and whether its template is rejected."""
-    per = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    tree = write_shared(per.withColumn("template", F.lit("")), "url-shapes")
-    for level in range(1, DEPTH + 2):
-        tree = grown(tree, level)
-    tree = write_shared(tree, "url-tree")
+def segments(path: Column) -> Column:
+    """The segments of a path; those that read like a mark of the tree are escaped."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.isin("*", "~"), F.concat(F.lit("%"), s)).otherwise(s))
+
+
+def kind_after(parts: Column, level: int) -> Column:
+    """What follows a level: how many segments, and the next one with digits as '#' and other runs as 'a'."""
+    after = F.greatest(F.size(parts) - level, F.lit(0))
+    following = F.when(after > 0, F.element_at(parts, F.least(F.lit(level + 1), F.size(parts)))).otherwise(F.lit(""))
+    return F.concat(after.cast("string"), F.lit(":"), F.regexp_replace(F.regexp_replace(following, "[0-9]+", "#"), "[^#.]+", "a"))
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """From the different (host, path, blocked, allowed): host, path, template, purity and whether it is rejected."""
+    live = write_shared(paths.select("host", "path", segments(F.col("path")).alias("parts"), "blocked", "allowed", F.lit("").alias("template")), "url-level")
+    done, level = [], 0
+    while True:
+        # what has ended, or is alone under its template, is named to its end
+        alone = live.groupBy("host", "template").agg(F.count("*").alias("n")).filter("n = 1").drop("n").withColumn("alone", F.lit(True))
+        live = live.join(alone, ["host", "template"], "left")
+        rest = F.concat(F.col("template"), F.concat_ws("", F.transform(F.slice("parts", level + 1, 1 << 30), lambda s: F.concat(F.lit("/"), s))))
+        ended = F.col("alone").isNotNull() | (F.size("parts") <= level)
+        done.append(live.filter(ended).select("host", "path", "blocked", "allowed", rest.alias("template")))
+        live = live.filter(~ended).drop("alone")
+        level += 1
+        live = write_shared(grown(live, level), "url-level")
+        if live.isEmpty():
+            break
+    tree = write_shared(functools.reduce(DataFrame.union, done), "url-tree")
     total = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("a")).first()
     overall = (total["b"] + 1.0) / (total["b"] + total["a"] + 2.0)
     share = lambda b, a, prior: (b + SMOOTH * prior) / (b + a + SMOOTH)
     hosts = tree.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))
     hosts = hosts.select("host", share(F.col("hb"), F.col("ha"), F.lit(overall)).alias("host_share"))
-    leaves = tree.groupBy("host", "template").agg(F.sum("blocked").alias("tb"), F.sum("allowed").alias("ta"))
+    leaves = tree.groupBy("host", "template").agg(F.count("*").alias("n"), F.sum("blocked").alias("tb"), F.sum("allowed").alias("ta"))
     judged = leaves.join(hosts, "host").withColumn("purity", share(F.col("tb"), F.col("ta"), F.col("host_share")))
-    judged = judged.select("host", "template", "purity", ((F.col("tb") + F.col("ta") >= LEAST) & (F.col("purity") >= THRESHOLD)).alias("rejected"))
-    return tree.join(judged, ["host", "template"]).select("host", "shape", "template", "purity", "rejected")
-
-
-def grown(tree: DataFrame, level: int) -> DataFrame:
-    """The tree's templates extended by one level; rows whose shape has ended stay."""
-    branch = F.when(F.size("shape") >= level, F.element_at("shape", F.least(F.lit(level), F.size("shape"))))
-    tree = tree.withColumn("branch", branch)
-    children = tree.filter("branch IS NOT NULL").groupBy("host", "template", "branch").agg(F.sum("n").alias("cn"), F.sum("blocked").alias("cb"), F.sum("allowed").alias("ca"))
-    # a parent with many branches, most of them rare, is variable there
-    parents = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum(F.when(F.col("cn") <= 2, 1).otherwise(0)).alias("rare"), F.sum("cb").alias("pb"), F.sum("ca").alias("pa"))
-    both = children.join(parents, ["host", "template"])
-    wild = (F.col("k") > FEW) & (F.col("rare") >= RARE * F.col("k"))
-    n, m = F.col("cb") + F.col("ca"), F.col("pb") + F.col("pa")
-    pooled = F.try_divide(F.col("pb"), m)
-    z = F.try_divide(F.abs(F.try_divide(F.col("cb"), n) - pooled), F.sqrt(F.try_divide(F.greatest(pooled * (1 - pooled), F.lit(0.01)), n)))
-    like = (n > 0) & (m > n) & (z < Z)
-    name = F.when(wild, "*").when(like, "~").otherwise(F.col("branch"))
-    named = both.select("host", "template", "branch", F.concat(F.col("template"), F.lit("/"), name).alias("longer"))
-    out = tree.join(named, ["host", "template", "branch"], "left")
-    return out.select("host", "shape", "n", "blocked", "allowed", F.coalesce("longer", "template").alias("template"))
+    rejected = (F.col("tb") + F.col("ta") >= COVERED * F.col("n")) & (F.col("purity") >= THRESHOLD)
+    judged = judged.select("host", "template", "purity", rejected.alias("rejected"))
+    return tree.join(judged, ["host", "template"]).select("host", "path", "template", "purity", "rejected")
+
+
+def grown(live: DataFrame, level: int) -> DataFrame:
+    """Rows with their templates extended by a branch, the segment at this level."""
+    live = live.withColumn("branch", F.element_at("parts", level)).withColumn("kind", kind_after(F.col("parts"), level))
+    node = ["host", "template"]
+    kinds = live.groupBy(*node, "branch", "kind").agg(F.count("*").alias("ck"), F.sum("blocked").alias("cb"), F.sum("allowed").alias("ca"))
+    children = kinds.groupBy(*node, "branch").agg(F.sum("ck").alias("c"), F.sum("cb").alias("cb"), F.sum("ca").alias("ca"))
+    largest = F.min(F.struct((-F.col("c")).alias("less"), "branch", F.col("cb").alias("b"), F.col("ca").alias("a"))).alias("top")
+    parents = children.groupBy(*node).agg(F.sum("c").alias("n"), largest)
+    parents = parents.select(*node, "n", F.col("top.branch").alias("anchor"), (-F.col("top.less")).alias("a"), F.col("top.b").alias("ab"), F.col("top.a").alias("aa"))
+    children = children.join(parents, node).withColumn("rare", F.col("c") * FEW < F.col("n"))
+    variable = children.groupBy(*node).agg((F.count_if("rare") > FEW).alias("variable"))
+    # chi square of a branch's kinds against the anchor's; kinds that only the anchor has are added in one term
+    anchors = kinds.join(parents, node).filter("branch = anchor").select(*node, "kind", F.col("ck").alias("ak"))
+    b, a, ak = F.col("c"), F.col("a"), F.coalesce("ak", F.lit(0))
+    term = F.pow(F.col("ck") * F.sqrt(a / b) - ak * F.sqrt(b / a), F.lit(2)) / (ak + F.col("ck"))
+    sums = kinds.select(*node, "branch", "kind", "ck").join(anchors, [*node, "kind"], "left").join(children.select(*node, "branch", "c", "a"), [*node, "branch"])
+    sums = sums.groupBy(*node, "branch").agg(F.sum(term).alias("terms"), F.sum(ak).alias("met"), F.count_if(F.col("ak").isNull()).alias("own"))
+    both = children.join(sums, [*node, "branch"]).join(variable, node).join(anchors.groupBy(*node).agg(F.count("*").alias("kinds")), node)
+    chi, freedom = F.col("terms") + (a - F.col("met")) * b / a, (F.col("kinds") + F.col("own") - 1).cast("double")
+    alike = chi <= freedom + Z * F.sqrt(2 * freedom) + 1e-9
+    n, m = F.col("cb") + F.col("ca"), F.col("ab") + F.col("aa")
+    pooled = F.try_divide(F.col("cb") + F.col("ab"), n + m)
+    apart = F.abs(F.try_divide(F.col("cb"), n) - F.try_divide(F.col("ab"), m))
+    z = apart / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m)))
+    like = (F.col("c") < F.col("n")) & ((F.col("branch") == F.col("anchor")) | alike & F.coalesce(z < Z, F.lit(True)))
+    name = F.when(F.col("variable") & F.col("rare"), "*").when(like, "~").otherwise(F.col("branch"))
+    named = both.select(*node, "branch", F.concat(F.col("template"), F.lit("/"), name).alias("longer"))
+    return live.join(named, [*node, "branch"]).select("host", "path", "parts", "blocked", "allowed", F.col("longer").alias("template"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page's url."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    paths = urls.select("host", "path").distinct()
+    _, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    marked = paths.select("host", "path", F.coalesce(verdict == "block", F.lit(False)).cast("int").alias("blocked"), F.coalesce(verdict == "allow", F.lit(False)).cast("int").alias("allowed"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = urls.select("page_id", "host", "path", shapes(F.col("path")).alias("shape"), text.alias("rule"), verdict.alias("by_rule"))
-    marked = urls.select("host", "shape", F.when(F.col("by_rule") == "block", 1).otherwise(0).alias("blocked"), F.when(F.col("by_rule") == "allow", 1).otherwise(0).alias("allowed"))
-    out = urls.join(templates(marked), ["host", "shape"], "left")
+    out = urls.select("page_id", "host", "path", text.alias("rule"), verdict.alias("by_rule")).join(templates(marked), ["host", "path"], "left")
     method = F.when(F.col("rejected"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "template", "purity")
