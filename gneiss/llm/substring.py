@@ -8,19 +8,21 @@ content, so that equal windows always meet:
 1. Documents are dealt to blocks of some MB. A window's anchor is the least hash among its 7-grams, so
    equal windows have equal anchors. Each block sends its different anchors (8 bytes each, one in four
    words) to shards, which answer with those that other blocks or documents also have.
-2. Blocks send the runs of windows around such anchors, each different run once with its smallest id.
+2. Blocks send the runs of windows around such anchors, each different run once with its smallest id and a
+   number.
    In its shard, the runs of an anchor are a reference shard: streamed in order of id through a suffix
    automaton of words, whose states know the first document they occurred in, each gets its matching
    statistics; where ``span`` or more words match, the first document of the window is known. A run
    that isn't wholly matched extends the automaton.
-3. Blocks get the runs' first documents back and remove the maximal spans they cover.
+3. Blocks get the first documents of numbered runs back and remove the maximal spans they cover.
 
 Anchors of more than ``hot`` blocks or documents are dealt by whole windows instead of by anchor, so a
 passage that a third of all documents share is one entry per block and its surroundings spread evenly.
-Nothing is capped or sampled, hashes only decide what meets where, and matches are of words.
+Nothing is capped or sampled. Hashes only decide what meets where: runs of a block are one where all their
+words are equal, runs of a shard where their texts are, and the automaton's steps are whole words.
 
-Defined results: a null text has no words; a null id neither loses words nor takes any from others; rows
-that repeat an id don't take from each other; a text shorter than a window loses nothing; an empty table
+Defined results: a null text has no words; a null id neither loses words nor takes any from others, so such
+rows are only counted and joined, wherever they lie; rows that repeat an id don't take from each other; a text shorter than a window loses nothing; an empty table
 gives no rows; other columns are ignored. Whole texts are processed.
 """
 
@@ -28,10 +30,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import WORD
+
 SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, HOT = 13, 7, 2 << 20, 4 << 20, 200
 NONE = np.iinfo(np.int64).max
 P, Q, R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -85,7 +90,10 @@ class Block:
         opened = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1] if raw else np.zeros(0, np.int64)
         self.doc = np.searchsorted(opened, self.start, "right") - 1  # of each word
         self.doc_ids = np.array([NONE if i is None else i for i in self.ids], np.int64)
-        self.words = range_hashes(a.astype(np.uint64) + np.uint64(1), P, self.start, self.end)
+        numbers: dict[bytes, int] = {}
+        number_of = numbers.setdefault
+        self.word = np.fromiter((number_of(w, len(numbers)) for w in self.data.split()), np.int64, self.n)  # equal words, equal numbers
+        self.words = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[self.word]
         self.runs()
 
     def runs(self) -> None:
@@ -112,6 +120,27 @@ class Block:
         self.anchor = least[self.first]
         self.hash = range_hashes(self.words, R, self.first, self.last + span - 1)
 
+    def classes(self, first: np.ndarray, after: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """For each range of words the place of the first range with the same words; hashes only bring them together."""
+        size = after - first
+        order = np.lexsort((size, hashes))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (size[order][1:] != size[order][:-1])
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        out = np.empty(len(order), np.int64)
+        out[order] = head
+        other = np.flatnonzero(out != np.arange(len(out)))
+        each = np.repeat(np.arange(len(other)), size[other])
+        step = np.arange(len(each)) - np.repeat(np.cumsum(size[other]) - size[other], size[other])
+        differ = self.word[first[other][each] + step] != self.word[first[out[other]][each] + step]
+        wrong = np.unique(each[differ])
+        if len(wrong):  # ranges that share a hash but not their words
+            clash = np.isin(out, np.unique(out[other[wrong]]))
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(clash).tolist():
+                out[i] = seen.setdefault(self.word[first[i] : after[i]].tobytes(), i)
+        return out
+
     def exploded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows of the chosen runs as (window, hash)."""
         size = (self.last - self.first)[which]
@@ -209,7 +238,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     n_blocks = max(1, -(-total // block_bytes))
     n_shards = max(16, -(-total // SHARD_BYTES))
     block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int")
-    base = docs.select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = docs.filter(F.col(doc_id).isNotNull()).select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def anchors(table: pa.Table) -> pa.Table:
         """Each shard's anchors of a block, with the number of its documents that have each (at most 255)."""
@@ -240,43 +269,42 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         first = np.concatenate([b.first[which], windows])
         after = np.concatenate([b.last[which], windows + 1]) + span - 1
         key, h = np.concatenate([b.anchor[which], hashes]), np.concatenate([b.hash[which], hashes])
+        number = np.concatenate([which, len(b.first) + windows])  # of a run, or of a window beyond all runs
         docs_of = b.doc_ids[b.doc[first]]
-        order = np.lexsort((docs_of, h))
-        first, after, key, h, docs_of = (x[order] for x in (first, after, key, h, docs_of))
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        most = docs_of[np.concatenate([head[1:], [len(h)]]) - 1] if len(h) else docs_of
-        first, after, key, h, docs_of = (x[head] for x in (first, after, key, h, docs_of))
+        same = b.classes(first, after, h)
+        low, high = docs_of.copy(), docs_of.copy()
+        np.minimum.at(low, same, docs_of)
+        np.maximum.at(high, same, docs_of)
+        head = np.unique(same)
+        first, after, key, number, low, high = (x[head] for x in (first, after, key, number, low, high))
         shard = (key % np.uint64(n_shards)).astype(np.int64)
-        rows = as_rows(shard, {"key": key, "hash": h, "low": docs_of, "high": most, "words": (after - first).astype(np.int32)})
+        rows = as_rows(shard, {"key": key, "number": number.astype(np.int32), "low": low, "high": high, "words": (after - first).astype(np.int32)})
         order = np.argsort(shard, kind="stable")
         texts: dict[int, list[bytes]] = {s: [] for s in rows}
         for s, i in zip(shard[order].tolist(), order.tolist(), strict=True):
             texts[s].append(b.text(first[i], after[i]))
-        columns = {c: pa.array([r[c] for r in rows.values()], pa.binary()) for c in ("key", "hash", "low", "high", "words")}
+        columns = {c: pa.array([r[c] for r in rows.values()], pa.binary()) for c in ("key", "number", "low", "high", "words")}
         return pa.table({"shard": pa.array(list(rows), pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), **columns, "texts": pa.array([zstandard.compress(b"\n".join(t), 1) for t in texts.values()], pa.binary())})
 
     def matched(table: pa.Table) -> pa.Table:
         """The first document of every window of every run that some document of its block loses words to."""
         key, row = unpack(table.column("key"), np.uint64)
-        h, _ = unpack(table.column("hash"), np.uint64)
+        number, _ = unpack(table.column("number"), np.int32)
         low, _ = unpack(table.column("low"), np.int64)
         high, _ = unpack(table.column("high"), np.int64)
         n_windows = unpack(table.column("words"), np.int32)[0].astype(np.int64) - span + 1
         texts = [t for x in table.column("texts") for t in zstandard.decompress(x.as_py()).split(b"\n")] if len(key) else []
-        order = np.lexsort((h, low, key))
+        order = np.lexsort((low, key))
         cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-        # an anchor with one run: its smallest id is the first document of all its windows
-        inner = np.concatenate([[0], (h[order][1:] != h[order][:-1]) & (key[order][1:] == key[order][:-1])]) if len(key) else np.zeros(0)
-        different = np.add.reduceat(inner, cuts[:-1]) if len(key) else inner
         firsts: list[np.ndarray | None] = [None] * len(key)
         for g in range(len(cuts) - 1):
-            group = order[cuts[g] : cuts[g + 1]]
-            if not different[g]:
-                for i in group.tolist():
+            group = order[cuts[g] : cuts[g + 1]].tolist()
+            one = texts[group[0]]
+            if all(texts[i] == one for i in group):  # an anchor with one run: its smallest id is the first document of all its windows
+                for i in group:
                     firsts[i] = np.full(n_windows[i], low[group[0]], np.int64)
                 continue
             automaton, at = Automaton(), 0
-            group = group.tolist()
             while at < len(group):  # all runs of a document are matched before any of them is added
                 doc, upto, new = low[group[at]], at, []
                 while upto < len(group) and low[group[upto]] == doc:
@@ -296,25 +324,26 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
             mine = a + np.flatnonzero(lost[a:z])
             if len(mine):
                 blocks.append(table.column("block")[r].as_py())
-                out_h.append(h[mine].tobytes())
+                out_h.append(number[mine].tobytes())
                 out_n.append(n_windows[mine].tobytes())
                 out_f.append(np.concatenate([firsts[i] for i in mine.tolist()]).tobytes())
-        return pa.table({"block": pa.array(blocks, pa.int32()), "hash": pa.array(out_h, pa.binary()), "n": pa.array(out_n, pa.binary()), "firsts": pa.array(out_f, pa.binary())})
+        return pa.table({"block": pa.array(blocks, pa.int32()), "number": pa.array(out_h, pa.binary()), "n": pa.array(out_n, pa.binary()), "firsts": pa.array(out_f, pa.binary())})
 
     def cut(table: pa.Table, answer: pa.Table) -> pa.Table:
         """The documents of a block without the spans that occur in smaller documents."""
         b = _block_of(table, span)
         gone = np.zeros(b.n + 1, np.int64)
         if answer.num_rows:
-            h, n, firsts = (unpack(answer.column(c), k)[0] for c, k in (("hash", np.uint64), ("n", np.int64), ("firsts", np.int64)))
+            number, n, firsts = (unpack(answer.column(c), k)[0] for c, k in (("number", np.int32), ("n", np.int64), ("firsts", np.int64)))
             begin = np.cumsum(n) - n
-            order = np.argsort(h, kind="stable")
 
-            def remove(first: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> None:
-                """Mark the windows of runs whose first document is smaller than their own."""
-                place = np.minimum(np.searchsorted(h[order], hashes), len(h) - 1)
-                hit = np.flatnonzero((h[order][place] == hashes) & (n[order][place] == size))
-                found, size = begin[order][place[hit]], size[hit]
+            def remove(first: np.ndarray, size: np.ndarray, hashes: np.ndarray, told: np.ndarray, places: np.ndarray) -> None:
+                """Mark the windows whose first document is smaller than their own, in the ranges equal to those at ``places``."""
+                same = b.classes(first, first + size + span - 1, hashes)
+                of = np.full(len(first), -1, np.int64)
+                of[same[places]] = told
+                hit = np.flatnonzero(of[same] >= 0)
+                found, size = begin[of[same[hit]]], size[hit]
                 shift = np.cumsum(size) - size
                 each = np.arange(int(size.sum()))
                 windows = np.repeat(first[hit] - shift, size) + each
@@ -322,9 +351,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
                 np.add.at(gone, windows[lost], 1)
                 np.add.at(gone, windows[lost] + span, -1)
 
-            remove(b.first, b.last - b.first, b.hash)
-            windows, hashes = b.exploded(np.flatnonzero(b.last - b.first > 1))
-            remove(windows, np.ones(len(windows), np.int64), hashes)
+            whole = number < len(b.first)
+            remove(b.first, b.last - b.first, b.hash, np.flatnonzero(whole), number[whole])
+            if not whole.all():
+                windows, hashes = b.exploded(np.arange(len(b.first)))
+                remove(windows, np.ones(len(windows), np.int64), hashes, np.flatnonzero(~whole), np.searchsorted(windows, number[~whole] - len(b.first)))
         covered = np.cumsum(gone)[: b.n] > 0
         edges = np.searchsorted(b.doc, np.arange(len(b.ids) + 1))
         n_words, n_removed = np.diff(edges), np.diff(np.concatenate([[0], np.cumsum(covered)])[edges])
@@ -343,6 +374,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     by_block = base.groupBy("block")
     sent = by_block.applyInArrow(anchors, "shard int, block int, anchors binary, times binary")
     answers = sent.groupBy("shard").applyInArrow(shared, "block int, cold binary, hot binary")
-    found = by_block.cogroup(answers.groupBy("block")).applyInArrow(runs, "shard int, block int, key binary, hash binary, low binary, high binary, words binary, texts binary")
-    firsts = found.groupBy("shard").applyInArrow(matched, "block int, hash binary, n binary, firsts binary")
-    return by_block.cogroup(firsts.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    found = by_block.cogroup(answers.groupBy("block")).applyInArrow(runs, "shard int, block int, key binary, number binary, low binary, high binary, words binary, texts binary")
+    firsts = found.groupBy("shard").applyInArrow(matched, "block int, number binary, n binary, firsts binary")
+    found = by_block.cogroup(firsts.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+    unnamed = docs.filter(F.col(doc_id).isNull()).select(words.alias("w")).select(F.lit(None).cast("long").alias("doc_id"), F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("w", " ").alias("kept_text"))
+    return found.unionByName(unnamed)

@@ -68,6 +68,31 @@ def test_substring_matches_brute_force(spark, span, block_bytes, hot):
     assert tuples(substring.deduplicated(docs(spark, rows), span=span, block_bytes=block_bytes, hot=hot)) == cut_by_hand(rows, span)
 
 
+def test_substring_compares_words_where_hashes_meet(spark, monkeypatch):
+    """Long words on which polynomial hashes agree, and then hashes that agree on everything."""
+    even = ["a"]
+    for _ in range(11):
+        even = even + ["b" if c == "a" else "a" for c in even]
+    one, other = "".join(even), "".join("b" if c == "a" else "a" for c in even)
+    rng = random.Random(9)
+    twelve = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{twelve} {one}", "s"), (2, f"{twelve} {other}", "s"), (3, f"{twelve} {one}", "s")]
+    assert tuples(substring.deduplicated(docs(spark, rows))) == cut_by_hand(rows, 13)
+    rows += [(i, babble(rng, rng.randint(1, 40), WORDS[:3]), "s") for i in range(4, 20)]
+    plain = substring.Block.runs
+
+    def blunt(self):
+        self.words = self.words % np.uint64(2)
+        plain(self)
+        self.hash = self.hash % np.uint64(2)
+
+    monkeypatch.setattr(substring.Block, "runs", blunt)
+    block = substring.Block([r[0] for r in rows], [r[1] for r in rows], 5)
+    same = block.classes(block.first, block.last + 4, block.hash)
+    texts = [block.text(a, z) for a, z in zip(block.first, block.last + 4, strict=True)]
+    assert [texts.index(t) for t in texts] == [texts.index(texts[i]) for i in same.tolist()] and len(set(same.tolist())) == len(set(texts))
+
+
 def test_substring_of_an_empty_table(spark):
     assert substring.deduplicated(docs(spark, [])).collect() == []
 
