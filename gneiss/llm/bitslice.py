@@ -12,12 +12,16 @@ Blocks of queries meet every block of rows once: the queries are a stated subset
 Defined results: a vector that is null or holds a null or non-finite component takes no part; so does a
 null id; components that a shorter vector lacks count as 0; an empty vector scores 0; rows that repeat an
 id are all candidates of other queries, none of its own, and the id is one query per row; an empty table
-gives no rows; other columns are ignored; quantised components beyond 2**25 count as that bound.
+gives no rows; other columns are ignored. Components have no bound: where 64 bits don't hold them, slices are
+cut from whole numbers of any size, and ranks are by exact scores; a score that a long can't hold is returned
+as the nearest long.
 """
 
 from __future__ import annotations
 
+import math
 import struct
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -25,32 +29,54 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.common import write_shared
 
-K, SCALE, ROWS, QUERIES = 5, 256, 32768, 64
+K, SCALE, ROWS, QUERIES = 5, 256, 32768, (64, 1024)
+#: Tasks over which pairs of blocks are dealt, at most.
+MOST_TASKS = 100_000
 
 
-#: Quantised components are held within these bounds, so that scores of up to 2**13 components fit a long.
-LIMIT = 1 << 25
+LONG = np.iinfo(np.int64)
 
 
 def quantised(values: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(SCALE * values.astype(np.float64)), -LIMIT, LIMIT).astype(np.int64)
+    """floor(SCALE * x), exact: as int64, or as whole numbers of any size where some are beyond 2**53."""
+    values = values.astype(np.float64)
+    if not len(values) or np.abs(values).max() < 2.0**53 / SCALE:
+        return np.floor(SCALE * values).astype(np.int64)
+    return np.array([math.floor(SCALE * Fraction(x)) for x in values.tolist()], object)
+
+
+def whole_blob(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes: how wide they are, then each, little-endian."""
+    if values.dtype != object:
+        return struct.pack("<q", 8) + values.astype("<i8").tobytes()
+    width = 8 * (max((int(v).bit_length() for v in values.flat), default=0) // 64 + 1)
+    return struct.pack("<q", width) + b"".join(int(v).to_bytes(width, "little", signed=True) for v in values.flat)
+
+
+def from_whole_blob(blob: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """n numbers that whole_blob wrote at a place, and the place after them."""
+    (width,) = struct.unpack_from("<q", blob, at)
+    at, end = at + 8, at + 8 + n * width
+    if width == 8:
+        return np.frombuffer(blob, "<i8", n, at), end
+    return np.array([int.from_bytes(blob[i : i + width], "little", signed=True) for i in range(at, end, width)], object), end
 
 
 class Index:
-    """Bit slices of a block: ids ascending, values as an int64 matrix (rows x components)."""
+    """Bit slices of a block: ids ascending, values as a matrix of whole numbers (rows x components)."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, values = ids[order], values[order]
         self.n, self.dims = values.shape
         self.words = -(-self.n // 64)
-        self.low = values.min(axis=0) if self.n and self.dims else np.zeros(self.dims, np.int64)
+        self.low = values.min(axis=0) if self.n and self.dims else np.zeros(self.dims, values.dtype)
         over = values - self.low
         self.bits = [int(m).bit_length() for m in (over.max(axis=0) if self.n else self.low * 0)]
         self.slices = [np.stack([self.pack((over[:, d] >> b) & 1) for b in range(self.bits[d])]) if self.bits[d] else None for d in range(self.dims)]
 
     def to_blob(self) -> bytes:
-        head = struct.pack("<qq", self.n, self.dims) + self.ids.astype("<i8").tobytes() + self.low.astype("<i8").tobytes() + np.array(self.bits, "<i8").tobytes()
+        head = struct.pack("<qq", self.n, self.dims) + self.ids.astype("<i8").tobytes() + whole_blob(self.low) + np.array(self.bits, "<i8").tobytes()
         return head + b"".join(x.astype("<u8").tobytes() for x in self.slices if x is not None)
 
     @classmethod
@@ -59,7 +85,7 @@ class Index:
         self.n, self.dims = struct.unpack_from("<qq", blob)
         self.words, at = -(-self.n // 64), 16
         self.ids, at = np.frombuffer(blob, "<i8", self.n, at), at + 8 * self.n
-        self.low, at = np.frombuffer(blob, "<i8", self.dims, at), at + 8 * self.dims
+        self.low, at = from_whole_blob(blob, self.dims, at)
         self.bits, at = np.frombuffer(blob, "<i8", self.dims, at).tolist(), at + 8 * self.dims
         self.slices = []
         for b in self.bits:
@@ -157,13 +183,13 @@ class Index:
 
 
 def query_blob(ids: np.ndarray, values: np.ndarray) -> bytes:
-    return struct.pack("<qq", *values.shape) + ids.astype("<i8").tobytes() + values.astype("<i8").tobytes()
+    return struct.pack("<qq", *values.shape) + ids.astype("<i8").tobytes() + whole_blob(values)
 
 
 def from_query_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, dims = struct.unpack_from("<qq", blob)
     ids = np.frombuffer(blob, "<i8", n, 16)
-    return ids, np.frombuffer(blob, "<i8", n * dims, 16 + 8 * n).reshape(n, dims)
+    return ids, from_whole_blob(blob, n * dims, 16 + 8 * n)[0].reshape(n, dims)
 
 
 def blocks(vectors: DataFrame, name: str, per_block: int, to_blob) -> DataFrame:
@@ -177,8 +203,8 @@ def blocks(vectors: DataFrame, name: str, per_block: int, to_blob) -> DataFrame:
         ids = table.column("vec_id").to_numpy()
         rows = table.column("embedding").combine_chunks()
         sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
-        values = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
         flat = quantised(rows.flatten().to_numpy(zero_copy_only=False))
+        values = np.zeros((len(ids), int(sizes.max(initial=0))), flat.dtype)
         values[np.arange(values.shape[1]) < sizes[:, None]] = flat
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "blob": pa.array([to_blob(ids, values)], pa.binary())})
 
@@ -195,16 +221,22 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = K, queries_per_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows of the index."""
+def search(index: DataFrame, queries: DataFrame, k: int = K, queries_per_block: tuple[int, int] = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best rows of the index.
+
+    A task holds one block of rows and one of queries at a time. Blocks of queries have between
+    ``queries_per_block`` queries, some 32 blocks if they can: each block of rows travels once per block.
+    """
     import pyarrow as pa
 
-    query_blocks = blocks(usable(queries), "queries", queries_per_block, query_blob)
+    some, most = queries_per_block
+    asked = usable(queries)
+    query_blocks = blocks(asked, "queries", max(some, min(most, -(-asked.count() // 32))), query_blob)
     n_rows, n_queries = index.count(), query_blocks.count()
     last = index.agg(F.max("block")).first()[0] if n_rows else None
     every = F.sequence(F.lit(0), F.lit(last)) if n_rows else F.array().cast("array<int>")  # the blocks' numbers; one without rows joins nothing
     each = query_blocks.select(F.explode(every).alias("at"), F.col("block").alias("query_block"), F.col("blob").alias("query_blob"))
-    pairs = each.join(index.select(F.col("block").alias("at"), "blob"), "at").repartition(max(1, n_rows * n_queries), "at", "query_block").select("query_block", "blob", "query_blob")
+    pairs = each.join(index.select(F.col("block").alias("at"), "blob"), "at").repartition(max(1, min(n_rows * n_queries, MOST_TASKS)), "at", "query_block").select("query_block", "blob", "query_blob")
 
     def run(batches):
         for batch in batches:
@@ -214,10 +246,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, queries_per_block:
                 out: list[list[int]] = [[], [], [], [], []]
                 for number, (own, query) in enumerate(zip(ids, values, strict=True)):
                     found, scores = block.top(query, int(own), k)
-                    for column, some in zip(out, ([query_block.as_py()] * len(found), [number] * len(found), [int(own)] * len(found), found, scores), strict=True):
+                    for column, some in zip(out, ([query_block.as_py()] * len(found), [number] * len(found), [int(own)] * len(found), found, [str(x) for x in scores]), strict=True):
                         column += some
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_block", "number", "query_id", "vec_id", "score"])
-
-    best = pairs.mapInArrow(run, "query_block long, number long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_block", "number").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], names=["query_block", "number", "query_id", "vec_id", "score"])
+
+    best = pairs.mapInArrow(run, "query_block long, number long, query_id long, vec_id long, score string")
+    # as text in order of size: sign, number of digits, digits; exact whatever the size
+    text = F.col("score")
+    digits, below = F.ltrim(text, F.lit("-")), text.startswith("-")
+    sign = F.when(below, -1).otherwise(1)
+    order = Window.partitionBy("query_block", "number").orderBy(sign.desc(), (sign * F.length(digits)).desc(), F.when(~below, digits).desc(), digits, "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", F.coalesce(text.try_cast("long"), F.when(below, LONG.min).otherwise(LONG.max)).alias("score"))

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -345,20 +347,34 @@ def test_topk_matches_brute_force(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(150)]
     rows += [(200 + i, [0.5] * 8) for i in range(30)] + [(300, [1.0, -2.0]), (350, []), (400, None), (450, [1.0, None] + [0.0] * 6), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (None, [1.0] * 8), (50, rows[50][1]), (50, [9.0] * 8), (600, [-1e9] * 8)]
     table = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, score long")
-    fine = [(i, np.clip(np.floor(256 * np.array(v, np.float32).astype(float)), -bitslice.LIMIT, bitslice.LIMIT).astype(object)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    fine = [(i, np.array([math.floor(256 * Fraction(float(x))) for x in np.array(v, np.float32)], object)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = []
     for q, a in fine:
         if q % 50 == 0:
             best = sorted((-sum(int(x) * int(y) for x, y in zip(a, b)), i) for i, b in fine if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     for per_block in (1000, 40):
-        got = bitslice.search(bitslice.build(table, per_block), table.filter("vec_id % 50 = 0"), queries_per_block=3)
+        got = bitslice.search(bitslice.build(table, per_block), table.filter("vec_id % 50 = 0"), queries_per_block=(3, 3))
         assert tuples(got) == sorted(want, key=repr)
     assert bitslice.search(bitslice.build(table.limit(0)), table.limit(0)).collect() == []
     few = bitslice.search(bitslice.build(table.filter("vec_id < 2")), table.filter("vec_id = 0"))
     assert [(r.query_id, r.rank, r.vec_id) for r in few.collect()] == [(0, 1, 1)]
 
 
+def test_topk_has_no_bound_on_components(spark):
+    rng = random.Random(3)
+    for scale in (1e6, 1e12, 1e40):
+        rows = [(i, [rng.uniform(-scale, scale) for _ in range(4)]) for i in range(50)] + [(100, [0.001, 1.0, scale, -scale]), (150, [0.0, -1.0, 2.0, scale])]
+        fine = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows}
+        dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+        want = []
+        for q in (0, 100, 150):
+            best = sorted((-dot(fine[q], v), i) for i, v in fine.items() if i != q)[:5]
+            want += [(q, k + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, i) in enumerate(best)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert tuples(bitslice.search(bitslice.build(table, 20), table.filter("vec_id % 50 = 0"))) == sorted(want, key=repr)
+
+
 # toxicity
 
 
