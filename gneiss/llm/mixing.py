@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import n_words, write_shared
 
 WEIGHTS, SHARE, PASSES, BUCKET_ROWS, BINS = (5.0, 2.0, 1.0), 1.5, 2, 2000, 4096
+#: Offers that one task puts in order at the cut; a bin with more is cut finer.
+FEW_OFFERS = 20_000
 #: Sources up to which their table is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 5000
 
@@ -93,38 +95,55 @@ def cut_point(offers: DataFrame):
     top = offers.agg(F.max("finish").alias("top"), F.max("budget").alias("budget"), F.sum(words).alias("all")).first()
     if not top["top"] or top["all"] <= top["budget"]:
         return None
-    low, high, before = 0.0, top["top"], 0
-    for _ in range(8):  # narrower and narrower bins, until one bin holds few offers
-        width = (high - low) / BINS
-        bin_of = F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1))
-        some = offers.filter((F.col("finish") >= low) & (F.col("finish") <= high))
-        rows = some.groupBy(bin_of.alias("bin")).agg(F.sum(words).alias("words"), F.count("*").alias("n"), F.min("finish").alias("least"), F.max("finish").alias("most")).orderBy("bin").collect()
-        for r in rows:
-            if before + r["words"] > top["budget"]:
-                break
-            before += r["words"]
-        low, high = r["least"], r["most"]
-        if r["n"] <= 100_000 or low == high:
+    some, before = offers, 0
+    # first by finish time, then, among equal ones, by the order of the hash; bins get narrower until one holds few offers
+    for value in (F.col("finish"), place_of("h", 1), place_of("h", 9)):
+        ends = some.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n")).first()
+        low, high, n = ends["low"], ends["high"], ends["n"]
+        while n > FEW_OFFERS and low < high:
+            bin_of = F.least(F.floor((value - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+            inside = some.filter((value >= low) & (value <= high))
+            rows = inside.groupBy(bin_of.alias("bin")).agg(F.sum(words).alias("words"), F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most")).orderBy("bin").collect()
+            for r in rows:
+                if before + r["words"] > top["budget"]:
+                    break
+                before += r["words"]
+            low, high, n = r["least"], r["most"], r["n"]
+        some = some.filter((value >= low) & (value <= high))
+        if n <= FEW_OFFERS:
             break
-    some = offers.filter((F.col("finish") >= low) & (F.col("finish") <= high))
-    run = F.sum(words).over(Window.orderBy("finish", "h", "source_rank", "pass").rowsBetween(Window.unboundedPreceding, 0))
     place = F.struct("finish", "h", "source_rank", "pass")
+    run = F.sum(words).over(Window.orderBy("finish", "h", "source_rank", "pass").rowsBetween(Window.unboundedPreceding, 0))
     last = some.select(place.alias("place"), run.alias("run")).filter(F.col("run") + before <= top["budget"]).agg(F.max("place").alias("place")).first()["place"]
-    if last is None:  # the bin's first offer is already beyond: the cut lies just before it
-        return (low, "", 0, -1)
+    if last is None:  # the first offer is already beyond: the cut lies just before it
+        first = some.agg(F.min(place).alias("place")).first()["place"]
+        return (first["finish"], first["h"], first["source_rank"], first["pass"] - 1)
     return tuple(last)
 
 
+def place_of(h: str, at: int) -> Column:
+    """Eight digits of a hash as a number, exact in a double."""
+    return F.conv(F.substring(h, at, 8), 16, 10).cast("double")
+
+
+def repeated(rows: DataFrame, times) -> DataFrame:
+    """Each row so many times; no array is longer than 4096, however often."""
+    step = 4096
+    few = rows.withColumn("again", times.cast("long")).filter("again > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.col("again") - 1) / step).cast("int"))))
+    return few.withColumn("at", F.explode(F.sequence(F.lit(1), F.least(F.lit(step), F.col("again") - F.col("at") * step).cast("int")))).drop("again", "at")
+
+
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: docs with each row as often as its document is taken, all columns kept."""
-    took = queue(docs, doc_id, text, source, **how).filter("passes > 0").select(F.col("h").alias("_h"), F.col("source").alias("_s"), F.col("passes").alias("_n"))
-    keyed = docs.select("*", order_key(doc_id, text).alias("_key"))
-    out = keyed.join(took, (F.col("_key") == F.col("_h")) & keyed[source].eqNullSafe(F.col("_s")))
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*(keyed[c] for c in docs.columns))
+    """The mix itself: docs with each row as often as its document is taken, all columns kept, whatever their names."""
+    at = {c: f"c{docs.columns.index(c)}" for c in (doc_id, text, source)}
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    took = queue(placed, at[doc_id], at[text], at[source], **how).filter("passes > 0").select(F.col("h").alias("took_h"), F.col("source").alias("took_source"), F.col("passes").alias("took"))
+    keyed = placed.select("*", order_key(at[doc_id], at[text]).alias("key"))
+    out = keyed.join(took, (F.col("key") == F.col("took_h")) & F.col(at[source]).eqNullSafe(F.col("took_source")))
+    return repeated(out.select(*placed.columns, "took"), F.col("took")).select(*placed.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """One row per document: doc_id, size, source_size, target and taken words."""
     q = queue(docs, doc_id, text, source, **how)
-    rows = q.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return repeated(q.select("doc_id", "size", "source_size", "target", "taken", "copies"), F.col("copies")).select("doc_id", "size", "source_size", "target", "taken")
