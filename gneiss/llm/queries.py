@@ -91,7 +91,15 @@ _PII_SQL = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "secret": r"[A-Za-z0-9_-]{20,}",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
+
+
+def _near(kind: str) -> str:
+    return f"regexp_matches(near, '{next(k.context for k in pii.KINDS if k.name == kind)}')"
+
+
 _PII_HOLDS = {
     "email": "true",
     "ip": r"len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR (len(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0",
@@ -99,7 +107,9 @@ _PII_HOLDS = {
         lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)
                        ELSE (2 * CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)) % 10 + CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) // 5 END)) % 10 = 0""",
     "phone": "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15",
-    "iban": """len(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''),
+    "secret": f"len(regexp_replace(m, '[^0-9]', '', 'g')) >= 4 AND len(regexp_replace(m, '[^A-Za-z]', '', 'g')) >= 4 AND {_near('secret')}",
+    "ssn": f"NOT regexp_matches(m, '^(000|666|9)') AND NOT regexp_matches(m, '-00-') AND NOT ends_with(m, '-0000') AND {_near('ssn')}",
+    "iban": f"({_near('iban')} OR map({list(pii.IBAN_LENGTHS)}, {list(pii.IBAN_LENGTHS.values())})[m[:2]] = len(replace(m, ' ', ''))) AND " + """len(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''),
         lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1""",
 }
 
@@ -107,7 +117,8 @@ _PII_HOLDS = {
 def _pii_sql() -> str:
     kinds = list(_PII_SQL)
     parts = [
-        f"""SELECT doc_id, {n} AS k, '{k}' AS kind, ms[i] AS m, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda p: len(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: len(p))), 0) AS BIGINT) AS s
+        f"""SELECT doc_id, {n} AS k, '{k}' AS kind, ms[i] AS m, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda p: len(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: len(p))), 0) AS BIGINT) AS s,
+                lower(right(ps[i], 40) || chr(10) || left(ps[i + 1], 40)) AS near
             FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM
                 (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, string_split_regex(coalesce(text, ''), '{p}') AS ps FROM documents))
         """
@@ -117,7 +128,7 @@ def _pii_sql() -> str:
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
     return f"""
         WITH spans AS ({' UNION ALL '.join(parts)}), kept AS (SELECT *, kind || ':' || s || ':' || (s + len(m)) AS span FROM spans WHERE CASE kind {holds} END),
-        per AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY k, s) AS spans, string_agg(span, ',' ORDER BY k, s) FILTER (kind <> 'iban') AS base FROM kept GROUP BY doc_id)
+        per AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY k, s) AS spans, string_agg(span, ',' ORDER BY k, s) FILTER (kind IN ('email', 'ip', 'card', 'phone')) AS base FROM kept GROUP BY doc_id)
         SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM documents d LEFT JOIN per USING (doc_id)
     """

@@ -14,7 +14,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from gneiss.llm import bitslice, bpe, mixing, pii, quality, queries, simhash, substring, toxicity, urls, warc
+from gneiss.llm import bitslice, bpe, jaccard, mixing, pii, quality, queries, simhash, substring, toxicity, urls, warc
 from gneiss.llm.common import map_text, n_words, shared_dir, write_shared
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string, score string"
@@ -255,7 +255,7 @@ def test_pii_base_spans(spark):
     got = pii.find(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).select("doc_id", "spans", "kept").collect()
     assert len(got) == len(texts)
     for r in got:
-        base = [(s.kind, s.start, s.end) for s in r.spans if s.kind != "iban"]
+        base = [(s.kind, s.start, s.end) for s in r.spans if s.kind in ("email", "ip", "card", "phone")]
         assert base == spans_by_hand(texts[r.doc_id]), texts[r.doc_id]
 
 
@@ -269,6 +269,55 @@ def test_pii_iban_and_redaction(spark):
     assert clean.filter("text IS NULL").count() == 2
 
 
+def test_pii_context_decides_added_kinds(spark):
+    code, plain = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "w" * 39
+    kept = [f'x token = "{code}" y', f"{code} was the old API key", f"clave secreta: {code}", "SSN 123-45-6789", "123-45-6789 (social security)", "MT84 MALT 0110 0001 2345 MTLC AST0 01S is my IBAN", "GB82 WEST 1234 5698 7654 32"]
+    dropped = [f'x commit = "{code}" y', code, f"token {plain}", f"token {'q' * 10 + ' ' * 41}{code}", "123-45-6789", "SSN 000-45-6789", "SSN 123-00-6789", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "IBAN GB82 WEST 1234 5698 7654 33"]
+    found = pii.find(docs(spark, [(i, t, "s") for i, t in enumerate(kept + dropped)])).collect()
+    for r in found:
+        assert len(r.spans) == (1 if r.doc_id < len(kept) else 0), r
+        assert all(s.score >= 0.6 for s in r.spans)
+    every = pii.find(docs(spark, [(1, f"{code} {plain}", "s")]), threshold=0.5).collect()[0].spans
+    assert [(s.kind, s.start, s.end) for s in every] == []  # without a word of context anywhere nothing is proposed
+
+
+def test_pii_many_spans_and_overlaps(spark):
+    """Offsets and replacements over the chunks' bounds, by hand."""
+    rng = random.Random(12)
+    for n in (1, 127, 128, 129, 300, 9000):
+        text = " ".join(rng.choice([f"é{i} a{i}@x.org", "+49 1234567890", "1.2.3.4", "4111 1111 1111 1111", "token: a1b2c3d4e5f6a7b8c9d0e1"]) for i in range(n))
+        want, at, parts = spans_by_hand(text), 0, []
+        got = pii.find(docs(spark, [(1, text, "s")])).collect()[0].spans
+        assert [(s.kind, s.start, s.end) for s in got if s.kind != "secret"] == want
+        for s in sorted(got, key=lambda s: (s.start, -s.end, s.kind)):
+            if s.start >= at:
+                parts.append(text[at : s.start] + f"<{s.kind.upper()}>")
+            at = max(at, s.end)
+        assert pii.redact(docs(spark, [(1, text, "s")])).collect()[0].text == "".join(parts) + text[at:]
+
+
+CLASHES = "_id _c _content _h _n _s _key _again _copy _text _pii_email c0 c1 s s_email spans kept score fp node root keys n size h taken passes component_id place quality features".split()
+
+
+def test_clashing_columns_pass_through(spark):
+    """Columns named like anything inside an operator keep their names and values."""
+    rng = random.Random(1)
+    rows = [(i, babble(rng, 60) + f" a{i}@b.co", "a" if i % 2 else None, *(f"{c}{i}" for c in CLASHES)) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+    of = {r[0]: r[2:] for r in rows}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    vocabulary = queries.vocabulary_path()
+    outs = [simhash.deduplicated(table), jaccard.deduplicated(table), mixing.mixed(table), pii.redact(table), quality.passing(table, quality.fit(table, labels)), bpe.encode(table, vocabulary, decoded="again")]
+    for out in outs:
+        assert out.columns[: len(table.columns)] == table.columns
+        for r in out.collect():
+            assert tuple(r)[2 : len(table.columns)] == of[r.doc_id]
+    assert pii.find(table).columns == [c for c in table.columns if c != "spans"] + ["spans"]
+    assert {r.doc_id for r in mixing.report(table).collect()} == set(of)
+    for out in (substring.deduplicated(table), simhash.components(table), toxicity.score(table, toxicity.fit(table, labels), ["doc_id"]), quality.judge(table, quality.fit(table, labels), ["doc_id"])):
+        assert {r.doc_id for r in out.collect()} == set(of)
+
+
 # WARC
 
 
