@@ -24,14 +24,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import map_text
+from gneiss.llm.common import map_text, write_shared
 
-#: At most so many labelled documents are learnt from, and so many prefixes reach the driver.
-SAMPLE, MOST_PREFIXES, LEAST, LONGEST = 6000, 20_000, 3, 16
+#: At most so many labelled documents are learnt from; a prefix needs LEAST toxic ones, and SHARE of all of them.
+SAMPLE, LEAST, SHARE = 6000, 3, 0.02
+#: Depth of the lexicon's trie in letters: no term is longer, a stem of that length matches whatever follows.
+DEPTH = 64
 TOKEN = re.compile(r"[^\W_]+")
 LEET = str.maketrans("013457", "oieast")
 QUOTES = "\"'“”„«»‘’`"
-REPORTING = frozenset("said says called quote quoted quotes word term wrote writes insult slur".split())
+REPORTING = frozenset((
+    "said", "says", "called", "quote", "quoted", "quotes", "word", "term", "wrote", "writes", "insult", "slur",
+    "sagt", "sagte", "nannte", "zitat", "zitiert", "wort", "begriff", "schrieb", "beleidigung",
+    "dit", "disait", "citation", "cite", "mot", "terme", "insulte",
+    "dice", "dijo", "cita", "citado", "palabra", "término", "escribió", "insulto",
+))
 WINDOW_CHARS, WINDOW_WORDS = 48, 5
 
 
@@ -187,8 +194,9 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool]]:
                 some = set()
                 for w in {plain(m[0]) for m in tokens(text or "")}:
                     if w.isalpha():
-                        some.update(w[:k] for k in range(3, min(len(w), LONGEST) + 1))
-                        some.add(w + "$")
+                        some.update(w[:k] for k in range(3, min(len(w), DEPTH) + 1))
+                        if len(w) <= DEPTH:
+                            some.add(w + "$")
                 seen[t] += 1
                 (toxic if t else clean).update(some)
         keys = ["", *(toxic.keys() | clean.keys())]
@@ -198,9 +206,13 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool]]:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["prefix", "toxic", "clean"])
 
     counts = sample.select("toxic", "text").mapInArrow(count, "prefix string, toxic long, clean long").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    likely = counts.filter(f"prefix = '' OR (toxic >= {LEAST} AND clean * 4 <= toxic)").orderBy(F.col("toxic").desc(), "prefix").limit(MOST_PREFIXES).collect()
+    counts = write_shared(counts, "prefixes")
+    seen = counts.filter("prefix = ''").first()
+    n_toxic, n_clean = (seen["toxic"], seen["clean"]) if seen else (0, 0)
+    # only prefixes that can be chosen, or name one that is, reach the driver: each is in SHARE of the toxic sample, so few are
+    least = max(LEAST, 0.95 * SHARE * n_toxic)
+    likely = counts.filter(f"prefix <> '' AND toxic >= {least} AND clean * 4 <= toxic").collect()
     of = {r["prefix"]: (r["toxic"], r["clean"]) for r in likely}
-    n_toxic, n_clean = of.pop("", (0, 0))
     if not n_toxic or not n_clean:
         return []
     return choose_terms(of, n_toxic, n_clean)
@@ -212,7 +224,7 @@ def choose_terms(of: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) ->
     A prefix tells by its likelihood ratio against the overall share. The best is taken, what lies above
     and below it in the trie is not, and so on; of prefixes with the same documents the longest is best.
     """
-    share, least = n_toxic / (n_toxic + n_clean), max(LEAST, 0.02 * n_toxic)
+    share, least = n_toxic / (n_toxic + n_clean), max(LEAST, SHARE * n_toxic)
 
     def tells(p: str) -> float:
         t, c = of[p]
@@ -238,10 +250,11 @@ def choose_terms(of: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 400) -> Model:
-    """Learn from at most ``sample`` labelled documents that aren't held out, those of the smallest hash."""
+    """Learn from at most ``sample`` labelled documents that aren't held out, those of the smallest hash; one row an id."""
     chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    some = write_shared(some.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")).select("one.*"), "toxic-sample")
     terms = learn_terms(some)
     rows = map_text(some, "text", ["toxic"], [("x", "array<double>")], _scorer(terms)).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["toxic"], r["x"]))
