@@ -4,7 +4,8 @@ plain counts with fixed limits.
 
 Features are the L1-normalised counts of hashed words, word pairs and byte 4-grams; a pair of equal words
 has a bucket of its own. The fit uses at most ``sample`` labelled documents, those of the smallest hash of
-their id: a documented bound; a third of them calibrate (Platt), the rest train.
+their id, one row an id: a documented bound; a third of them calibrate (Platt), the rest train. Hashing bounds what a
+text of any length adds to the fit: 3 x 2**BITS features, each a bucket and a share.
 
 Defined results: a null text counts as empty and has no words, so it fails the base rule; repeated rows
 are judged alike; labels of one class or none give every document that class's smoothed share; an empty
@@ -103,7 +104,9 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     place = F.xxhash64("doc_id")
     chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.select("doc_id", "quality", place.alias("place")).orderBy("place", "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min_by(F.struct("place", "quality", "text"), F.struct(F.xxhash64("text"), "text"))
+    texts = texts.groupBy("doc_id").agg(one.alias("one")).select("one.*")
 
     def make():
         def one(texts):

@@ -567,6 +567,35 @@ def test_mix_in_many_buckets(spark, monkeypatch):
     assert tuples(mixing.report(table)) == whole
 
 
+def test_toxicity_features_and_score_by_hand():
+    """Hits by edit distance to every term, one by one; the score from the weights."""
+    terms = [("idiot", False), ("worthless", False), ("lowei", True), ("scum", False)]
+    lexicon, rng = toxicity.Lexicon(terms), random.Random(21)
+    pieces = ["idiot", "idoit", "1diot", "worthles", "worthless", "loweish", "scum", "scam", "fine", "day", '"idiot"', "«scum»", "said scum", "he", "x" * 70]
+
+    def near(word):
+        best = 9
+        for letters, stem in terms:
+            some = {word[:k] for k in range(len(word) + 1)} if stem else {word}
+            best = min([best, *(d for d in (_edits(letters, x) for x in some) if d <= toxicity.errors_allowed(len(letters)))])
+        return best
+
+    model = toxicity.Model(terms, [1.5, 0.5, -1.0, 0.2, 2.0], -2.0)
+    for _ in range(300):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        low, n, hits = text.lower(), 0, {"exact": 0, "near": 0, "quoted": 0}
+        for m in re.finditer(r"[^\W_]+", low):
+            n += 1
+            e = near(toxicity.plain(m[0]))
+            if e < 9:
+                hits["quoted" if toxicity.quoted(low, *m.span()) else "near" if e else "exact"] += 1
+        want = [math.log1p(hits["exact"]), math.log1p(hits["near"]), math.log1p(hits["quoted"]), min(3.0, 100 * (hits["exact"] + hits["near"]) / max(1, n)), float(hits["exact"] > 1)]
+        got = toxicity.features(text, lexicon, {})
+        assert got == pytest.approx(want)
+        assert model.score(got) == pytest.approx(1 / (1 + math.exp(2.0 - sum(a * b for a, b in zip(model.weights, want, strict=True)))))
+    assert toxicity.quoted("er sagte: scum", 10, 14) and toxicity.quoted("la palabra scum", 11, 15) and not toxicity.quoted("you scum", 4, 8)
+
+
 # SimHash
 
 
@@ -674,6 +703,37 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.judge(table.limit(0), model, ["doc_id"]).collect() == []
 
 
+def test_quality_margin_and_calibration_by_hand(spark):
+    """The margin as a sum over every feature, one by one; slope and shift where the smoothed loss is least."""
+    import zlib
+
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(0, 1, 3 << quality.BITS).astype(np.float32), 0.25, 1.7, -0.4)
+    for text in ("", "a", "a a b", "ab cd ab cd é", babble(random.Random(1), 200)):
+        data = text.encode()
+        words, mask = data.split(), (1 << quality.BITS) - 1
+        hashes = [zlib.crc32(w) for w in words]
+        pair = lambda x, y: 0 if x == y else (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) >> 64 - quality.BITS
+        parts = [[h & mask for h in hashes], [pair(x, y) for x, y in zip(hashes, hashes[1:])], [(int.from_bytes(data[i : i + 4], "little") * 2654435761 & 0xFFFFFFFF) >> 32 - quality.BITS for i in range(len(data) - 3)]]
+        want = 0.25 + sum(sum(float(model.weights[(block << quality.BITS) + h]) for h in hs) / len(hs) for block, hs in enumerate(parts) if hs)
+        got = quality.verdict(text, model)
+        assert got[6] == pytest.approx(1 / (1 + math.exp(-(1.7 * want - 0.4))), rel=1e-6)
+    z, y = rng.normal(0, 2, 400), (rng.random(400) < 0.6).astype(float)
+    slope, shift = quality.platt(z, y)
+    aim = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = lambda a, b: -np.mean(aim * np.log(1 / (1 + np.exp(-a * z - b))) + (1 - aim) * np.log(1 - 1 / (1 + np.exp(-a * z - b))))
+    assert all(loss(slope, shift) <= loss(max(slope + d, 1e-3), shift + e) + 1e-6 for d in (-0.1, 0, 0.1) for e in (-0.1, 0, 0.1))
+
+
+def test_fits_take_one_row_of_an_id(spark):
+    rng = random.Random(5)
+    rows = [(i, babble(rng, 60) + (" vile scumbag" if i % 2 else ""), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    once, often = docs(spark, rows), docs(spark, rows + [rows[3]] * 200 + [(None, "x", "s")])
+    assert all((a == b).all() for a, b in zip(quality.sample_features(once, labels), quality.sample_features(often, labels), strict=True))
+    assert toxicity.fit(once, labels) == toxicity.fit(often, labels)
+
+
 # shared helpers
 
 
