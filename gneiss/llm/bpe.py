@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import threading
 from array import array
 from collections.abc import Iterator
 
@@ -86,6 +85,10 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda s: [s]
         self.kept = Pieces(self.merge)
 
+    def forget(self) -> None:
+        """Let the pieces met so far go."""
+        self.kept = Pieces(self.merge)
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge one piece: lowest rank first, leftmost first among equals.
 
@@ -134,35 +137,7 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-#: A worker that has coded nothing for so many seconds gives its tables back, for the stages of others.
-IDLE_SECONDS = 15.0
 _loaded: dict[str, Bpe] = {}
-_lock = threading.Lock()
-_busy = 0
-_timer: threading.Timer | None = None
-
-
-def _begin() -> None:
-    global _busy
-    with _lock:
-        _busy += 1
-
-
-def _end() -> None:
-    global _busy, _timer
-    with _lock:
-        _busy -= 1
-        if _timer:
-            _timer.cancel()
-        _timer = threading.Timer(IDLE_SECONDS, _forget)
-        _timer.daemon = True
-        _timer.start()
-
-
-def _forget() -> None:
-    with _lock:
-        if not _busy:
-            _loaded.clear()
 
 
 def loaded(spec) -> Bpe:
@@ -187,23 +162,24 @@ def share_vocabulary(spark: SparkSession, path: str):
 
 def _map(df: DataFrame, added: list[tuple[str, T.DataType]], source: str, make) -> DataFrame:
     """df with columns computed from another in Arrow batches, a slice of rows at a time."""
-    rest = [c for c in df.columns if c not in {n for n, _ in added}]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(n, t) for n, t in added])
-    names = [*rest, *(n for n, _ in added)]
+    text = df.columns.index(source)
+    kept = [i for i, c in enumerate(df.columns) if c not in {n for n, _ in added}]
+    names = [*(df.columns[i] for i in kept), *(n for n, _ in added)]
+    # inside, columns go by position, so that none of their names can clash
+    inside = T.StructType([T.StructField(f"c{i}", df.schema.fields[i].dataType) for i in kept] + [T.StructField(f"a{i}", t) for i, (_, t) in enumerate(added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _begin()
         try:
             one = make()
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    made = one(part.column(part.schema.get_field_index(source)))
-                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *made], names=names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *one(part.column(text))], names=inside.names)
         finally:
-            _end()
+            for coder in _loaded.values():  # an idle worker holds vocabularies, which have a fixed size, and no pieces
+                coder.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, inside).toDF(*names)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
