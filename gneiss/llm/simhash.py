@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import map_text, write_shared
+from gneiss.llm.common import discard, map_text, write_shared
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 
@@ -139,6 +139,7 @@ def roots(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         new = write_shared(small.filter("u <> v").distinct(), "stars")
         state = [df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for df in (pairs, new)]
+        discard(pairs)
         pairs = new
         if state[0] == state[1]:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))

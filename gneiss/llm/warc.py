@@ -32,6 +32,7 @@ from gneiss.llm.common import write_shared
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528  # fixed values: magic numbers of the two kinds of frame
 ARCHIVE_BYTES, DICTIONARY_BYTES, LEAST_SAMPLES = 8 << 20, 32 << 10, 32
+SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -218,7 +219,9 @@ def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYT
     slim = pages.select("page_id", "url", "html", F.sha1(payload_of(F.col("html"))).alias("_sha"), F.octet_length(payload_of(F.col("html"))).alias("_size"))
     # only digests that occur again are joined; the maximum is formed before the shuffle
     first = slim.filter(F.col("_size") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = slim.join(first, "_sha", "left")
+    # one payload may be a third of all pages: its pages are dealt over several tasks
+    first = first.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    joined = slim.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(first, ["_sha", "_salt"], "left")
     again = F.col("_first").isNotNull() & (F.col("page_id") < F.col("_first")) & (F.col("_size") >= min_bytes)
     rows = joined.select("page_id", "url", F.when(again, F.col("_first")).alias("refers_to"), "html")
 
