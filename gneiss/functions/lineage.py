@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and read back; a local folder only where that is unset."""
+    """df written under spark.checkpoint.dir and read back; where that is unset, a local folder if the master is local, else an error."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             shared = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             shared = tempfile.mkdtemp(prefix="gneiss-")
             spark.sparkContext.setCheckpointDir(shared)
