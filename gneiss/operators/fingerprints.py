@@ -173,7 +173,7 @@ def of_comparison(left: list[str], op: str, right: list[str]) -> Iterator[str]:
         yield "adjacent"
     if op == "<" and "+" in left:
         base = indexed(left[: left.index("+")])
-        if base and "[" in right and "".join(right).rpartition(".")[2].startswith(base[0] + "["):
+        if base and "[" in right and "".join(right).partition("[")[0].rpartition(".")[2] == base[0]:
             yield "relax"
 
 

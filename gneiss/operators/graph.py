@@ -142,19 +142,40 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
     return found
 
 
-def chain_depths(parent_of: DataFrame, most: int = 64) -> DataFrame:
-    """(id, depth): how many known parents lie above each child (id, parent); a cycle ends the chain."""
-    known = cut(parent_of.select("id", "parent"))
-    out = known.select("id", F.lit(1).alias("depth"))
-    frontier = known.select("id", F.col("parent").alias("at"), F.array("id").alias("seen"))
-    for depth in range(2, most):
-        up = known.select(F.col("id").alias("at"), F.col("parent").alias("next"))
-        frontier = frontier.filter("NOT array_contains(seen, at)").join(up, "at").select("id", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"))
+def chain_depths(parent_of: DataFrame) -> DataFrame:
+    """(id, depth): how many known parents lie above each child (id, parent); a cycle ends the chain.
+
+    One parent a child. Steps are doubled each round, so a chain of any length takes some log2 of it. On a
+    cycle, or above one, a chain ends before the first node that it would meet again.
+    """
+    known = cut(parent_of.select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth")))
+    most = known.count() + 1  # no chain without a cycle is longer
+    jumps, step = known, 1
+    while True:
+        up = jumps.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        further = jumps.join(up, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        further = cut(further)
+        if step > most or further.join(known.select(F.col("id").alias("at")), "at", "left_semi").isEmpty():
+            break
+        jumps, step = further, 2 * step
+    # a chain that still has a parent after so many steps runs into a cycle
+    endless = further.join(known.select(F.col("id").alias("at")), "at", "left_semi").select("id", "at")
+    plain = further.join(endless.select("id"), "id", "left_anti").select("id", F.col("depth").cast("int").alias("depth"))
+    return plain if endless.isEmpty() else plain.unionByName(_into_cycles(known, endless.select("id")))
+
+
+def _into_cycles(known: DataFrame, some: DataFrame) -> DataFrame:
+    """Depths of the chains that run into a cycle: different nodes on the way, the start itself left out."""
+    out = frontier = cut(some.join(known.select("id", "at"), "id").select("id", "at", F.array("id").alias("seen")))
+    out = frontier.filter("NOT array_contains(seen, at)").select("id", F.lit(1).alias("depth"))
+    depth, above = 1, known.select(F.col("id").alias("at"), F.col("at").alias("next"))
+    while True:
+        frontier = frontier.filter("NOT array_contains(seen, at)").join(above, "at").select("id", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"))
         frontier = cut(frontier.filter("NOT array_contains(seen, at)"))
         if frontier.isEmpty():
-            break
+            return some.join(out.groupBy("id").agg(F.max("depth").alias("depth")), "id", "left").select("id", F.coalesce("depth", F.lit(1)).alias("depth"))
+        depth += 1
         out = out.unionByName(frontier.select("id", F.lit(depth).alias("depth")))
-    return out.groupBy("id").agg(F.max("depth").alias("depth"))
 
 
 def declaration_graph(declarations: DataFrame, tokens: DataFrame, most: int = 100, least: int = 4) -> DataFrame:

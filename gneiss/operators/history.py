@@ -230,18 +230,21 @@ def growth(snapshots: DataFrame) -> DataFrame:
     return snapshots.agg(first.alias("first_files"), last.alias("last_files")).withColumn("growth", F.when(F.col("first_files") > 0, 100.0 * (F.col("last_files") - F.col("first_files")) / F.col("first_files")).otherwise(0.0))
 
 
-def reachable(parents: DataFrame, tips: DataFrame, most: int = 10_000) -> DataFrame:
-    """(tip, hash): all ancestors of each tip, itself included; parents has (hash, parent)."""
+def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
+    """(tip, hash): all ancestors of each tip, itself included; parents has (hash, parent).
+
+    Steps are doubled each round, so a history of any depth takes some log2 of it.
+    """
     from gneiss.functions.lineage import cut
 
-    found = frontier = cut(tips.select("tip", F.col("tip").alias("hash")))
-    for _ in range(most):
-        step = frontier.join(parents, "hash").select("tip", F.col("parent").alias("hash")).distinct()
-        frontier = cut(step.join(found, ["tip", "hash"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = cut(found.union(frontier))
-    return found
+    found = cut(tips.select("tip", F.col("tip").alias("hash")).distinct())
+    jumps, n = cut(parents.select("hash", "parent").distinct()), found.count()
+    while True:
+        found = cut(found.union(found.join(jumps, "hash").select("tip", F.col("parent").alias("hash"))).distinct())
+        if (more := found.count()) == n:
+            return found
+        onward = jumps.select(F.col("hash").alias("parent"), F.col("parent").alias("next"))
+        jumps, n = cut(jumps.union(jumps.join(onward, "parent").select("hash", F.col("next").alias("parent"))).distinct()), more
 
 
 def feature_commits(parents: DataFrame, merges: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ SPACE = " \t             　"
 IMPORT_KINDS = {"struct", "class", "enum", "protocol", "func", "var", "let", "typealias"}
 DECLARATION = re.compile(r"(?:(?:public|internal|private|fileprivate|open) )?(?:final )?(?:nonisolated )?(class|struct|enum|protocol|actor|extension) ([\w.]*)")
 # fixed values: words after a keyword that aren't names
-NOT_NAMES = set("func var let subscript init deinit typealias case where if guard switch for while return throw try".split()) | {""}
+NOT_NAMES = set((
+    "func", "var", "let", "subscript", "init", "deinit", "typealias", "case", "where", "if", "guard", "switch", "for", "while", "return", "throw", "try",
+)) | {""}
 FUNCTION = re.compile(r"func (\w+)")
 OBJC_IMPORT = re.compile(r'^[ \t]*#(?:import|include)[ \t]*[<"]([^>"]+)[>"]', re.M)
 OBJC_MODULE = re.compile(r"^[ \t]*@import[ \t]+([\w.]+)", re.M)

@@ -16,10 +16,13 @@ from gneiss.sources import history as history_source
 
 
 
-def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """Tables from source texts (file_path, text), project texts and all paths (rel_path)."""
+def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config: Config, listed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables from source texts (file_path, text), project texts and all paths (rel_path).
+
+    With a listing and a cache named in the config, only files that changed since are parsed again.
+    """
     texts = cut(texts.dropDuplicates(["file_path"]))
-    parsed = cut(parse.parsed(texts))
+    parsed = cut(files_source.cached(listed, texts, parse.parsed, config.cache) if config.cache and listed is not None else parse.parsed(texts))
     scan = cut(constructs.scanned(texts))
     placed = parsed.join(parse.packages(parsed.select("file_path"), paths), "file_path")
     placed = cut(placed)
@@ -111,7 +114,7 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, as_of:
     listed = cut(files_source.listing(spark, root))
     texts = files_source.sources(spark, root, config)
     project = cut(files_source.project_texts(spark, root, config.exclude))
-    out = code_tables(texts, project, listed.select("rel_path"), config)
+    out = code_tables(texts, project, listed.select("rel_path"), config, listed)
     libraries = spark.createDataFrame([(n,) for n in files_source.LIBRARIES], "name string")
     out |= {"assets": architecture.asset_totals(files_source.assets(listed)), "heavy_types": files_source.heavy_types(listed), "shaders": files_source.shaders(listed, config.exclude), "vendored": files_source.vendored(listed, libraries), "metadata": files_source.metadata(project, texts)}
     if "://" not in root and history_source.git(root, "rev-parse", "HEAD"):

@@ -7,8 +7,10 @@ from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 # fixed values: path components that are never scanned
-EXCLUDED = """.git .idea .xcode .build .swiftpm DerivedData Pods Carthage build node_modules .next .nuxt dist .turbo venv .venv env .env
-__pycache__ .tox site-packages vendor .bundle .gradle .kotlin target .cache .tmp tmp out output""".split()
+EXCLUDED = (
+    ".git", ".idea", ".xcode", ".build", ".swiftpm", "DerivedData", "Pods", "Carthage", "build", "node_modules", ".next", ".nuxt", "dist", ".turbo", "venv",
+    ".venv", "env", ".env", "__pycache__", ".tox", "site-packages", "vendor", ".bundle", ".gradle", ".kotlin", "target", ".cache", ".tmp", "tmp", "out", "output",
+)
 
 
 class GneissError(Exception):
@@ -46,7 +48,6 @@ class Config:
     months: int = 6
     interval_days: int = 30
     compat: bool = False
-    compat_caps: bool = False
     cache: str | None = None
     links: str | None = None
     ai: dict = field(default_factory=lambda: {"enabled": False, "files": 10, "preview": 3000})

@@ -14,7 +14,9 @@ from gneiss.plans.config import Config, NotAFolder, PathMissing, TooManyFiles
 
 BUNDLES = r"\.(xcassets|bundle|app|appex|xctestplan)$"
 # fixed values: media types
-MEDIA = "png jpg jpeg pdf svg heic webp gif jxl mp3 wav aac m4a ogg flac caf aiff mp4 mov m4v avi mkv".split()
+MEDIA = (
+    "png", "jpg", "jpeg", "pdf", "svg", "heic", "webp", "gif", "jxl", "mp3", "wav", "aac", "m4a", "ogg", "flac", "caf", "aiff", "mp4", "mov", "m4v", "avi", "mkv",
+)
 HEAVY_BYTES = 102_400
 
 
@@ -115,12 +117,15 @@ def vendored(listed: DataFrame, libraries: DataFrame, least: int = 2) -> DataFra
 
 
 #: A few libraries that are often copied into repositories; pass an own table for more.
-LIBRARIES = """ffmpeg opus ogg webrtc libvpx openh264 dav1d flac thorvg rlottie skia cairo harfbuzz freetype libpng libjpeg libwebp giflib
-imgui stb mozjpeg zlib lz4 zstd brotli snappy lzma minizip openssl boringssl libsodium mbedtls curl nghttp2 libuv nanopb protobuf
-rapidjson cjson yyjson flatbuffers msgpack sqlite3 sqlcipher eigen opencv whisper.cpp llama.cpp ggml icu pcre2 leveldb rocksdb lmdb
-realm-core lua quickjs hermes wasm3 libffi jemalloc abseil-cpp breakpad portaudio libxml2 expat boost fmt spdlog libyuv xxhash
-alamofire moya afnetworking starscream rxswift promisekit sdwebimage kingfisher nuke realm fmdb grdb mmkv swiftyjson objectmapper
-charts lottie-ios hero snapkit masonry swinject quick nimble cryptoswift firebase reachability keychainaccess zipfoundation""".split()
+LIBRARIES = (
+    "ffmpeg", "opus", "ogg", "webrtc", "libvpx", "openh264", "dav1d", "flac", "thorvg", "rlottie", "skia", "cairo", "harfbuzz", "freetype", "libpng", "libjpeg",
+    "libwebp", "giflib", "imgui", "stb", "mozjpeg", "zlib", "lz4", "zstd", "brotli", "snappy", "lzma", "minizip", "openssl", "boringssl", "libsodium", "mbedtls",
+    "curl", "nghttp2", "libuv", "nanopb", "protobuf", "rapidjson", "cjson", "yyjson", "flatbuffers", "msgpack", "sqlite3", "sqlcipher", "eigen", "opencv",
+    "whisper.cpp", "llama.cpp", "ggml", "icu", "pcre2", "leveldb", "rocksdb", "lmdb", "realm-core", "lua", "quickjs", "hermes", "wasm3", "libffi", "jemalloc",
+    "abseil-cpp", "breakpad", "portaudio", "libxml2", "expat", "boost", "fmt", "spdlog", "libyuv", "xxhash", "alamofire", "moya", "afnetworking", "starscream",
+    "rxswift", "promisekit", "sdwebimage", "kingfisher", "nuke", "realm", "fmdb", "grdb", "mmkv", "swiftyjson", "objectmapper", "charts", "lottie-ios", "hero",
+    "snapkit", "masonry", "swinject", "quick", "nimble", "cryptoswift", "firebase", "reachability", "keychainaccess", "zipfoundation",
+)
 
 
 # project metadata
