@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,8 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import WORD
 
 SPAN, GRAM, BLOCK_BYTES, SHARD_BYTES, HOT = 13, 7, 2 << 20, 4 << 20, 200
+#: Words that are compared at once.
+WORDS = 1 << 17
 NONE = np.iinfo(np.int64).max
 P, Q, R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 SEPARATOR = np.zeros(256, bool)
@@ -74,6 +75,23 @@ def range_hashes(values: np.ndarray, base: np.uint64, first: np.ndarray, after:
     return mixed((sums[after] - sums[first]) * down[first] + (after - first).astype(np.uint64))
 
 
+def numbered(values: list[bytes]) -> dict[bytes, int]:
+    """A number for each different value."""
+    different = dict.fromkeys(values)
+    return dict(zip(different, range(len(different)), strict=True))
+
+
+def is_in(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted s."""
+    return s[np.minimum(np.searchsorted(s, x), len(s) - 1)] == x if len(s) else np.zeros(len(x), bool)
+
+
+def spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of these sizes end to end: the range that each element is of, and its place in it."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 class Block:
     """The words of a block's documents end to end, the windows inside documents, and their runs by anchor."""
 
@@ -90,10 +108,8 @@ class Block:
         opened = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1] if raw else np.zeros(0, np.int64)
         self.doc = np.searchsorted(opened, self.start, "right") - 1  # of each word
         self.doc_ids = np.array([NONE if i is None else i for i in self.ids], np.int64)
-        numbers: dict[bytes, int] = {}
-        number_of = numbers.setdefault
-        self.word = np.fromiter((number_of(w, len(numbers)) for w in self.data.split()), np.int64, self.n)  # equal words, equal numbers
-        self.words = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[self.word]
+        self.bytes = a
+        self.words = range_hashes(a.astype(np.uint64) + np.uint64(1), P, self.start, self.end)
         self.runs()
 
     def runs(self) -> None:
@@ -120,6 +136,17 @@ class Block:
         self.anchor = least[self.first]
         self.hash = range_hashes(self.words, R, self.first, self.last + span - 1)
 
+    def differing(self, first: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The places of those pairs of ranges of so many words whose words differ, letter by letter."""
+        pair, step = spread(size)
+        a, b = first[pair] + step, other[pair] + step
+        length = self.end[a] - self.start[a]
+        differ = length != self.end[b] - self.start[b]
+        pair_of, a, b, length = pair[~differ], self.start[a[~differ]], self.start[b[~differ]], length[~differ]
+        word, letter = spread(length)
+        unlike = self.bytes[a[word] + letter] != self.bytes[b[word] + letter]
+        return np.unique(np.concatenate([pair[differ], pair_of[word[unlike]]]))
+
     def classes(self, first: np.ndarray, after: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """For each range of words the place of the first range with the same words; hashes only bring them together."""
         size = after - first
@@ -130,15 +157,14 @@ class Block:
         out = np.empty(len(order), np.int64)
         out[order] = head
         other = np.flatnonzero(out != np.arange(len(out)))
-        each = np.repeat(np.arange(len(other)), size[other])
-        step = np.arange(len(each)) - np.repeat(np.cumsum(size[other]) - size[other], size[other])
-        differ = self.word[first[other][each] + step] != self.word[first[out[other]][each] + step]
-        wrong = np.unique(each[differ])
+        upto = np.cumsum(size[other])
+        cuts = np.searchsorted(upto, np.arange(0, int(upto[-1]) + WORDS, WORDS)) if len(other) else [0]
+        wrong = np.concatenate([np.zeros(0, np.int64), *(at + self.differing(first[other[at:to]], first[out[other[at:to]]], size[other[at:to]]) for at, to in zip(cuts, [*cuts[1:], len(other)], strict=True) if to > at)])
         if len(wrong):  # ranges that share a hash but not their words
             clash = np.isin(out, np.unique(out[other[wrong]]))
             seen: dict[bytes, int] = {}
             for i in np.flatnonzero(clash).tolist():
-                out[i] = seen.setdefault(self.word[first[i] : after[i]].tobytes(), i)
+                out[i] = seen.setdefault(self.text(first[i], after[i]), i)
         return out
 
     def exploded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +289,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         """Each shard's runs of a block around shared anchors: every different run once."""
         b = _block_of(table, span)
         cold, warm = (np.sort(unpack(answer.column(c), np.uint64)[0]) for c in ("cold", "hot"))
-        is_in = lambda x, s: s[np.minimum(np.searchsorted(s, x), len(s) - 1)] == x if len(s) else np.zeros(len(x), bool)
         which = np.flatnonzero(is_in(b.anchor, cold))
         windows, hashes = b.exploded(np.flatnonzero(is_in(b.anchor, warm)))
         first = np.concatenate([b.first[which], windows])
@@ -297,10 +322,14 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         order = np.lexsort((low, key))
         cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         firsts: list[np.ndarray | None] = [None] * len(key)
+        # an anchor with one run: its smallest id is the first document of all its windows
+        numbers = numbered(texts)
+        text = np.fromiter(map(numbers.__getitem__, texts), np.int64, len(texts))[order]
+        inner = np.concatenate([[0], (text[1:] != text[:-1]) & (key[order][1:] == key[order][:-1])]) if len(key) else np.zeros(0)
+        different = np.add.reduceat(inner, cuts[:-1]) if len(key) else inner
         for g in range(len(cuts) - 1):
             group = order[cuts[g] : cuts[g + 1]].tolist()
-            one = texts[group[0]]
-            if all(texts[i] == one for i in group):  # an anchor with one run: its smallest id is the first document of all its windows
+            if not different[g]:
                 for i in group:
                     firsts[i] = np.full(n_windows[i], low[group[0]], np.int64)
                 continue
@@ -339,9 +368,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
 
             def remove(first: np.ndarray, size: np.ndarray, hashes: np.ndarray, told: np.ndarray, places: np.ndarray) -> None:
                 """Mark the windows whose first document is smaller than their own, in the ranges equal to those at ``places``."""
-                same = b.classes(first, first + size + span - 1, hashes)
+                some = np.flatnonzero(is_in(hashes, np.sort(hashes[places])))
+                first, size = first[some], size[some]
+                same = b.classes(first, first + size + span - 1, hashes[some])
                 of = np.full(len(first), -1, np.int64)
-                of[same[places]] = told
+                of[same[np.searchsorted(some, places)]] = told
                 hit = np.flatnonzero(of[same] >= 0)
                 found, size = begin[of[same[hit]]], size[hit]
                 shift = np.cumsum(size) - size
