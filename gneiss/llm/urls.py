@@ -82,19 +82,20 @@ def kind_after(parts: Column, level: int) -> Column:
 def templates(paths: DataFrame) -> DataFrame:
     """From the different (host, path, blocked, allowed): host, path, template, purity and whether it is rejected."""
     live = write_shared(paths.select("host", "path", segments(F.col("path")).alias("parts"), "blocked", "allowed", F.lit("").alias("template")), "url-level")
-    done, level = [], 0
-    while True:
+    tree_row = ("host", "path", "blocked", "allowed")
+    done, level = [live.filter("size(parts) = 0").select(*tree_row, "template")], 0
+    live = live.filter("size(parts) > 0")
+    while not live.isEmpty():
+        level += 1
+        live = live.withColumn("branch", F.element_at("parts", level)).withColumn("kind", kind_after(F.col("parts"), level))
+        kinds = live.groupBy("host", "template", "branch", "kind").agg(F.count("*").alias("ck"), F.sum("blocked").alias("cb"), F.sum("allowed").alias("ca"))
+        named = write_shared(longer(write_shared(kinds, "url-kinds")), "url-branches")
+        grown = write_shared(live.drop("kind").join(named, ["host", "template", "branch"]).select(*tree_row, "parts", F.col("longer").alias("template"), "alone"), "url-level")
         # what has ended, or is alone under its template, is named to its end
-        alone = live.groupBy("host", "template").agg(F.count("*").alias("n")).filter("n = 1").drop("n").withColumn("alone", F.lit(True))
-        live = live.join(alone, ["host", "template"], "left")
+        ended = F.col("alone") | (F.size("parts") <= level)
         rest = F.concat(F.col("template"), F.concat_ws("", F.transform(F.slice("parts", level + 1, 1 << 30), lambda s: F.concat(F.lit("/"), s))))
-        ended = F.col("alone").isNotNull() | (F.size("parts") <= level)
-        done.append(live.filter(ended).select("host", "path", "blocked", "allowed", rest.alias("template")))
-        live = live.filter(~ended).drop("alone")
-        level += 1
-        live = write_shared(grown(live, level), "url-level")
-        if live.isEmpty():
-            break
+        done.append(grown.filter(ended).select(*tree_row, rest.alias("template")))
+        live = grown.filter(~ended).drop("alone")
     tree = write_shared(functools.reduce(DataFrame.union, done), "url-tree")
     total = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("a")).first()
     overall = (total["b"] + 1.0) / (total["b"] + total["a"] + 2.0)
@@ -108,11 +109,9 @@ def templates(paths: DataFrame) -> DataFrame:
     return tree.join(judged, ["host", "template"]).select("host", "path", "template", "purity", "rejected")
 
 
-def grown(live: DataFrame, level: int) -> DataFrame:
-    """Rows with their templates extended by a branch, the segment at this level."""
-    live = live.withColumn("branch", F.element_at("parts", level)).withColumn("kind", kind_after(F.col("parts"), level))
+def longer(kinds: DataFrame) -> DataFrame:
+    """From the counts of (host, template, branch, kind): the template that each branch goes on as, and whether one path alone has it."""
     node = ["host", "template"]
-    kinds = live.groupBy(*node, "branch", "kind").agg(F.count("*").alias("ck"), F.sum("blocked").alias("cb"), F.sum("allowed").alias("ca"))
     children = kinds.groupBy(*node, "branch").agg(F.sum("ck").alias("c"), F.sum("cb").alias("cb"), F.sum("ca").alias("ca"))
     largest = F.min(F.struct((-F.col("c")).alias("less"), "branch", F.col("cb").alias("b"), F.col("ca").alias("a"))).alias("top")
     parents = children.groupBy(*node).agg(F.sum("c").alias("n"), largest)
@@ -134,8 +133,9 @@ def grown(live: DataFrame, level: int) -> DataFrame:
     z = apart / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m)))
     like = (F.col("c") < F.col("n")) & ((F.col("branch") == F.col("anchor")) | alike & F.coalesce(z < Z, F.lit(True)))
     name = F.when(F.col("variable") & F.col("rare"), "*").when(like, "~").otherwise(F.col("branch"))
-    named = both.select(*node, "branch", F.concat(F.col("template"), F.lit("/"), name).alias("longer"))
-    return live.join(named, [*node, "branch"]).select("host", "path", "parts", "blocked", "allowed", F.col("longer").alias("template"))
+    named = both.select(*node, "branch", "c", F.concat(F.col("template"), F.lit("/"), name).alias("longer"))
+    of_new = named.groupBy(*node, "longer").agg((F.sum("c") == 1).alias("alone"))
+    return named.drop("c").join(of_new, [*node, "longer"])
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
