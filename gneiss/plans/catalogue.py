@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
 from gneiss.functions.windows import chunked, frame, parity, previous, top_per
-from gneiss.operators import architecture, graph, history, matching, packages, security, style
+from gneiss.operators import architecture, graph, history, matching, packages, security, style, traffic
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -309,11 +309,11 @@ def merge_timing(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query("SELECT count(*) AS shared, count(*) >= 2 AS dual FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT count(*) >= 2 AS dual_merges FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def dual_merge_intersection(spark, d):
-    a = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k"))
-    b = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"))
-    return a.intersect(b).agg(F.count("*").alias("shared")).withColumn("dual", F.col("shared") >= 2)
+    a = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("subject"))
+    b = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("subject"))
+    return history.dual_merges(a, b)
 
 
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{LICENSE}') UNION SELECT doc_id FROM documents WHERE regexp_matches(text, '{MAIL}')")
@@ -510,10 +510,11 @@ def package_kinds_pivot(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("package")).agg(F.count("*").alias("files"), F.sum("p_size").alias("lines"), *(F.count_if(F.col("p_type") == k).alias(f"n_{k.lower()}") for k in kinds))
 
 
-@query(f"WITH {LINES_SQL} SELECT source AS module, count(*) FILTER (regexp_matches(line, '{LICENSE}')) AS marks, count(*) AS lines FROM lines GROUP BY source HAVING count(*) FILTER (regexp_matches(line, '{LICENSE}')) > 0 ORDER BY marks DESC, module LIMIT 50")
+@query(f"""WITH {LINES_SQL} SELECT source AS module, count(*) FILTER (regexp_matches(line, '{LICENSE}')) AS todo, count(*) FILTER (regexp_matches(line, '{MAIL}')) AS fixme FROM lines GROUP BY source
+    HAVING count(*) FILTER (regexp_matches(line, '{LICENSE}') OR regexp_matches(line, '{MAIL}')) > 0 ORDER BY todo + fixme DESC, module LIMIT 50""")
 def todo_density(spark, d):
-    per = lines(spark, d).groupBy(F.col("source").alias("module")).agg(F.count_if(F.col("line").rlike(LICENSE)).alias("marks"), F.count("*").alias("lines"))
-    return per.filter("marks > 0").orderBy(F.col("marks").desc(), "module").limit(50)
+    per = lines(spark, d).groupBy("doc_id", F.col("source").alias("package_name")).agg(F.count_if(F.col("line").rlike(LICENSE)).alias("todo_count"), F.count_if(F.col("line").rlike(MAIL)).alias("fixme_count"))
+    return packages.notes_by_module(per)
 
 
 # windows
@@ -596,8 +597,8 @@ def traffic_grouped(spark, d):
     parts = T.url_parts(F.col("url"))
     u = table(spark, d, "pages").select("page_id", parts["scheme"].alias("proto"), parts["host"].alias("uri"), (F.col("page_id") % 3).alias("module"))
     first = top_per(u, ["uri", "proto", "module"], [F.col("page_id")], 1)
-    calls = F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",")
-    return first.groupBy("proto", "uri").agg(F.count("*").alias("sites"), calls.alias("calls"))
+    found = traffic.grouped(first.select(F.lit("out").alias("direction"), "proto", "uri", F.col("page_id").alias("file_path"), F.lit(1).alias("line"), "module"))
+    return found.select("proto", "uri", "sites", F.array_join(F.transform("calls", lambda c: c["file_path"].cast("string")), ",").alias("calls"))
 
 
 # scores
