@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bitslice, bpe, mixing, pii, quality, simhash, substring, toxicity, urls, warc
+from gneiss.llm import bitslice, bpe, infill, kmtree, mixing, pii, quality, resampling, simhash, substring, toxicity, urls, warc
 from gneiss.llm.common import read_table
 
 #: Where the public vocabulary file lies; a parameter, the file is never part of this repository.
@@ -71,6 +71,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, labels), ["doc_id"])
 
 
+def op11_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return kmtree.search(kmtree.build(vectors), vectors.filter("vec_id % 20 = 0"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(read_table(spark, sf_dir, "documents"))
+    output = F.col("output")
+    digests = [F.sha2(output, 256).alias("output_sha256"), F.sha2(infill.restore(output, F.col("form")), 256).alias("restored_sha256")]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_urls": op2_urls,
@@ -82,6 +98,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_tree": op11_tree,
+    "op12_resampling": op12_resampling,
+    "op13_infill": op13_infill,
 }
 
 #: Patterns of the base kinds as RE2 reads them.
@@ -229,6 +248,52 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id < last THEN last END AS refers_to
         FROM d
     """,
+    "op12_resampling": r"""
+        WITH tbl AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(i, i + 9), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tbl
+        ), d AS (
+            SELECT row_number() OVER () AS r, doc_id, md5(coalesce(text, '')) AS content, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        ), w AS (
+            SELECT r, unnest(ws) AS w FROM d
+        ), b AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+        ), v AS (
+            SELECT w, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(x), 2), lambda i:
+                    CAST((strpos('0123456789ABCDEF', x[i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 2]) - 1 AS BIGINT))),
+                lambda c, byte: xor(c >> 8, tbl[(xor(c, byte) & 255) + 1]))) % 10000 AS bucket
+            FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM w UNION SELECT w FROM b)), tbl
+        ), g AS (
+            SELECT range AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t
+            FROM range(10000) LEFT JOIN (SELECT bucket, count(*) AS s FROM w JOIN v USING (w) GROUP BY bucket) ws ON ws.bucket = range
+            LEFT JOIN (SELECT bucket, count(*) AS t FROM b JOIN v USING (w) GROUP BY bucket) bs ON bs.bucket = range
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(s) OVER () + CAST(10000 AS DOUBLE)) / ((CAST(s AS DOUBLE) + 1) * (sum(t) OVER () + CAST(10000 AS DOUBLE))))) AS BIGINT) AS gain FROM g
+        ), per AS (
+            SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN v USING (w) JOIN gains USING (bucket) GROUP BY r
+        ), scored AS (
+            SELECT r, doc_id, content, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM d LEFT JOIN per USING (r)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, content) AS nth, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= 10 * n // 100 THEN nth END AS rank FROM ranked
+    """,
+    "op13_infill": """
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, list_transform(range(4), lambda i: CAST('0x' || sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[8 * i + 1:8 * i + 8] AS BIGINT)) AS h FROM documents
+        ), c AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ), p AS (
+            SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM c
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM p
+    """,
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q

@@ -14,7 +14,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from gneiss.llm import bitslice, bpe, jaccard, mixing, pii, quality, queries, simhash, substring, toxicity, urls, warc
+from gneiss.llm import bitslice, bpe, infill, jaccard, kmtree, mixing, pii, quality, queries, resampling, simhash, substring, toxicity, urls, warc
 from gneiss.llm.common import map_text, n_words, shared_dir, write_shared
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string, score string"
@@ -747,3 +747,183 @@ def test_map_text_keeps_other_columns(spark):
     out = map_text(table, "text", ["doc_id", "source"], [("n", "long")], lambda: lambda texts: [[len(t or "") for t in texts]])
     assert tuples(out) == [(1, "s", 1), (2, "t", 0)]
     assert pa.types.is_int64(out.toArrow().schema.field("n").type)
+
+
+# nearest neighbours by a k-means tree
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v], "l", 1.0) for i, v in rows], "vec_id long, embedding array<float>, leaf string, score double")
+
+
+def nearest_by_hand(rows, asked, k):
+    good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    out = []
+    for i, q in good:
+        if asked(i):
+            scored = []
+            for j, v in good:
+                if j != i:
+                    m = min(len(q), len(v))
+                    s = 0.0
+                    for a, b in zip(q[:m], v[:m], strict=True):
+                        s += a * b
+                    scored.append((-s, j))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows_per_block", [7, 8192])
+def test_tree_with_all_leaves_is_exact(spark, rows_per_block):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    rows += [(200 + i, [1.0, 0, 0, 0, 0, 0]) for i in range(40)]  # many equal rows, and ties
+    rows += [(5, rng.normal(size=6).tolist()), (300, [2.0, 1.0]), (301, [1.0] * 9)]  # a repeated id, a short and a long vector
+    rows += [(400, None), (401, []), (402, [0.0] * 6), (403, [None, 1.0]), (404, [float("nan")] * 6), (405, [float("inf")] * 6), (None, [1.0] * 6)]
+    table = vectors(spark, rows)
+    index = kmtree.build(table, k=4, recall=1.0, sample=100, leaf_rows=10, rows_per_block=rows_per_block)
+    assert index.tree.leaves > 5
+    index.visits = index.tree.leaves
+    found = kmtree.search(index, table.filter("vec_id % 5 = 0"), k=4, queries_per_block=16)
+    assert sorted(tuple(r) for r in found.collect()) == nearest_by_hand(rows, lambda i: i % 5 == 0, 4)
+
+
+def test_tree_reaches_the_recall_with_part_of_the_leaves(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(60, 16)) * 3
+    rows = [(i, (centers[i % 60] + rng.normal(size=16)).tolist()) for i in range(3000)]
+    table = vectors(spark, rows)
+    index = kmtree.build(table, k=10, leaf_rows=25, rows_per_block=500)
+    assert 1 <= index.visits < index.tree.leaves / 2
+    queries = table.filter("vec_id % 20 = 0")
+    want = {}
+    for i, _, j, _ in nearest_by_hand(rows, lambda i: i % 20 == 0, 10):
+        want.setdefault(i, set()).add(j)
+    got = kmtree.search(index, queries, k=10).collect()
+    hits = sum(r.vec_id in want[r.query_id] for r in got)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_tree_finds_all_of_few_and_none_of_nothing(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(7)]
+    table = vectors(spark, rows)
+    index = kmtree.build(table, leaf_rows=1, recall=0.01)
+    index.visits = 1
+    assert sorted(tuple(r) for r in kmtree.search(index, table).collect()) == nearest_by_hand(rows, lambda i: True, 20)
+    empty = vectors(spark, [])
+    assert kmtree.search(kmtree.build(empty), table).collect() == [] and kmtree.search(index, empty).collect() == []
+    huge = vectors(spark, [(1, [3e38, 3e38]), (2, [3e38, -3e38]), (3, [1.0, 1.0])])
+    assert len(kmtree.search(kmtree.build(huge), huge).collect()) == 6
+
+
+def test_tree_walks_best_bin_first():
+    tree = kmtree.fit(np.array([[x, y] for x in (0.0, 1, 10, 11) for y in (0.0, 1, 10, 11)] * 4), 8, branches=2)
+    order = list(tree.walk(np.array([1.0, 1.0])))
+    assert sorted(order) == list(range(tree.leaves))
+    at = tree.assign(np.array([[10.5, 10.5], [0.5, 0.5]]))
+    assert order[0] == at[0] and order.index(at[1]) > len(order) / 2
+
+
+# importance resampling
+
+
+def resampled_by_hand(rows, target, orders=1, buckets=10_000, least=20, percent=10):
+    import zlib
+
+    def features(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(resampling.UPPER, resampling.LOWER)))
+        return len(w), [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for i in range(len(w)) for k in range(1, orders + 1) if i + k <= len(w)]
+
+    s, t = [0] * buckets, [0] * buckets
+    for counts, texts in ((s, [x for _, x in rows]), (t, target)):
+        for x in texts:
+            for b in features(x)[1]:
+                counts[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    scored = []
+    for i, text in rows:
+        n, f = features(text)
+        h = int(hashlib.sha256(f"2024:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        scored.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n >= least, hashlib.md5((text or "").encode()).hexdigest()))
+    able = sorted((x for x in scored if x[4]), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1], x[5]))
+    drawn = percent * len(able) // 100
+    out = [(*x[:4], r + 1 if r < drawn else None) for r, x in enumerate(able)] + [(*x[:4], None) for x in scored if not x[4]]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("orders", "buckets", "percent", "per_range"), [(1, 10_000, 10, 20_000), (1, 50, 40, 7), (2, 300, 50, 5), (3, 10_000, 30, 20_000)])
+def test_resampling_matches_brute_force(spark, monkeypatch, orders, buckets, percent, per_range):
+    monkeypatch.setattr(resampling, "RANGE_ROWS", per_range)
+    monkeypatch.setattr(resampling.ranked, "__defaults__", (per_range,))
+    rng = random.Random(orders)
+    rows = [(i, babble(rng, rng.randint(0, 60), [*WORDS, "Éa", "ÀB", "İx", "x9", "日本", "A-B"])) for i in range(60)]
+    rows += [(None, None), (61, ""), (62, " -- "), (63, babble(rng, 5000)), (None, babble(rng, 30))]
+    same = babble(rng, 40)
+    rows += [(7, same)] * 9 + [(70 + i, same) for i in range(5)]
+    target = [babble(rng, 30, WORDS[:4]) for _ in range(5)] + [None, "", "alpha beta"]
+    aims = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
+    table = spark.createDataFrame([(i, t, 1, 2, "z", 0) for i, t in rows], "doc_id long, text string, rank int, bucket int, content string, copies int")
+    got = resampling.resample(table, aims, orders=orders, buckets=buckets, percent=percent)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == resampled_by_hand(rows, target, orders, buckets, percent=percent)
+
+
+def test_resampling_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, babble(random.Random(1), 30))] * 30, "doc_id long, text string")
+    assert resampling.resample(none, some).collect() == []
+    got = resampling.resample(some, none).collect()
+    assert sorted(r["rank"] or 99 for r in got) == [1, 2, 3] + [99] * 27 and {r.n_features for r in got} == {30}
+
+
+# fill in the middle
+
+
+def infilled_by_hand(rows, units, rate=90, spm=20, seed=1):
+    out = []
+    for i, text in rows:
+        t = text or ""
+        pieces = units(t)
+        h = [int(hashlib.sha256(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
+        a, b = sorted((h[0] % (len(pieces) + 1), h[1] % (len(pieces) + 1)))
+        prefix, middle, suffix = ("".join(x) for x in (pieces[:a], pieces[a:b], pieces[b:]))
+        if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+            out.append((i, len(pieces), "plain", None, None, t))
+        elif h[3] % 100 < spm:
+            out.append((i, len(pieces), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"))
+        else:
+            out.append((i, len(pieces), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"))
+    return sorted(out, key=repr)
+
+
+UNITS = {
+    "every_character": list,
+    "word_starts": lambda t: re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*(?![\x20\x09-\x0D])|[\x20\x09-\x0D]+", t) if not t[:1].isspace() else re.findall(r"^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t),
+    "line_starts": lambda t: re.findall(r"[^\n]*\n|[^\n]+", t),
+}
+
+
+@pytest.mark.parametrize("unit", sorted(UNITS))
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_infill_matches_brute_force_and_restores(spark, unit, chunk):
+    rng = random.Random(chunk)
+    rows = [(i, "".join(rng.choice(["a", "é", "😀", " ", "\n", "<", "P>", "日本", "\t", "x y"]) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    rows += [(None, None), (None, "ab cd\nef"), (90, ""), (91, "x<P>y"), (92, "x<S>"), (93, "<M>"), (94, "\n"), (95, " "), (96, "<"), (97, "long 😀 line\n" * (20 if chunk == 1 else 3000)), (3, "again"), (3, "again")]
+    table = spark.createDataFrame([(i, t, "a", 1, "b") for i, t in rows], "doc_id long, text string, n string, low int, t string")
+    cut = infill.transform(table, ends=getattr(infill, unit), chunk=chunk).withColumn("restored", infill.restore(F.col("output"), F.col("form")))
+    got = cut.collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output")) for r in got), key=repr) == infilled_by_hand(rows, UNITS[unit])
+    assert sorted((r.doc_id, r.restored) for r in got if r.doc_id is not None) == sorted((i, t) for i, t in rows if i is not None)
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+
+
+def test_infill_keeps_columns_and_refuses_what_it_cannot_restore(spark):
+    table = spark.createDataFrame([(1, "abc", 7), (2, None, 8)], "doc_id long, text string, k0 int")
+    assert infill.transform(table.limit(0)).collect() == []
+    assert {(r.doc_id, r.k0) for r in infill.transform(table, keep=("doc_id", "k0")).collect()} == {(1, 7), (2, 8)}
+    assert infill.transform(table, markers=("[a", "[b", "[c")).columns[0] == "doc_id"
+    for bad in (("<P>", "<P>", "<M>"), ("<P>", "<P>x", "<M>"), ("aba", "<S>", "<M>"), ("ab", "ba", "<M>"), ("", "<S>", "<M>"), ("x<S>y", "<S>", "<M>")):
+        with pytest.raises(ValueError, match="told apart"):
+            infill.transform(table, markers=bad)
+    with pytest.raises(ValueError, match="clash"):
+        infill.transform(table.withColumn("output", F.lit(1)), keep=("output",))

@@ -20,13 +20,16 @@ TYPES = {
     "op8_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op9_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_quality": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op11_tree": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op12_resampling": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
+    "op13_infill": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string"},
 }
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -46,6 +49,13 @@ def test_query(spark, duck, name):
         want = duck.execute(queries.ORACLE_SQL[name])
         assert shown(df.columns, [tuple(r) for r in rows]) == shown([d[0] for d in want.description], want.fetchall())
         return
+    if name == "op11_tree":  # recall by a whole scan
+        nearest = """SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+            QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 20"""
+        want = set(duck.execute(nearest).fetchall())
+        found = [(r.query_id, r.vec_id) for r in rows]
+        assert len(set(found)) == len(found) == len(want) and len(want & set(found)) >= 0.9 * len(want)
+        return
     texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     if name == "op6_toxicity":
