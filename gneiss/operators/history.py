@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.windows import top_per
+from gneiss.operators.ancestry import feature_commits, reachable  # noqa: F401  part of the history's operators
 
 
 def author_stats(commits: DataFrame) -> DataFrame:
@@ -228,28 +229,3 @@ def growth(snapshots: DataFrame) -> DataFrame:
     """One row: first and last number of files, and the net growth in per cent."""
     first, last = F.min(F.struct("ts", "files"))["files"], F.max(F.struct("ts", "files"))["files"]
     return snapshots.agg(first.alias("first_files"), last.alias("last_files")).withColumn("growth", F.when(F.col("first_files") > 0, 100.0 * (F.col("last_files") - F.col("first_files")) / F.col("first_files")).otherwise(0.0))
-
-
-def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
-    """(tip, hash): all ancestors of each tip, itself included; parents has (hash, parent).
-
-    Steps are doubled each round, so a history of any depth takes some log2 of it.
-    """
-    from gneiss.functions.lineage import cut
-
-    found = cut(tips.select("tip", F.col("tip").alias("hash")).distinct())
-    jumps, n = cut(parents.select("hash", "parent").distinct()), found.count()
-    while True:
-        found = cut(found.union(found.join(jumps, "hash").select("tip", F.col("parent").alias("hash"))).distinct())
-        if (more := found.count()) == n:
-            return found
-        onward = jumps.select(F.col("hash").alias("parent"), F.col("parent").alias("next"))
-        jumps, n = cut(jumps.union(jumps.join(onward, "parent").select("hash", F.col("next").alias("parent"))).distinct()), more
-
-
-def feature_commits(parents: DataFrame, merges: DataFrame) -> DataFrame:
-    """(merge, hash): the commits that each merge (merge, main_parent, tip) brought in."""
-    all_of = reachable(parents, merges.select(F.explode(F.array("main_parent", "tip")).alias("tip")).distinct())
-    side = merges.join(all_of, "tip").select("merge", "hash")
-    main = merges.join(all_of.withColumnRenamed("tip", "main_parent"), "main_parent").select("merge", "hash")
-    return side.join(main, ["merge", "hash"], "left_anti")

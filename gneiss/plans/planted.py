@@ -227,7 +227,6 @@ def planted_algorithm_names(spark, d):
 _SUFFIXES = names.structure_rules()
 _BODY = " ".join(f"var {w}: Int" for strong, _ in names.EVIDENCE.values() for w in strong[:1]) + " var concat: Int; var split: Int"
 BUILT = [("src/S{k}.swift", f"// type\nfinal class Own{{k}}{suffix} {{\n{_BODY}\n}}") for suffix, _, _ in _SUFFIXES]
-BARE = [("src/S{k}.swift", f"struct Own{{k}}{suffix} {{\nvar size: Int\n}}") for suffix in names.EVIDENCE]
 
 
 @query(f"""SELECT 'src/S' || p_partkey || '.swift' AS file_path, 'Own' || p_partkey || {sql_list([s for s, _, _ in _SUFFIXES])}[p_partkey % {len(BUILT)} + 1] AS name, 2 AS line,
@@ -237,10 +236,15 @@ def planted_structure_names(spark, d):
     return constructs.named_structures(constructs.scanned(planted(spark, d, BUILT))).select("file_path", "name", "line", "label", "category")
 
 
-@query("SELECT count(*) AS found FROM part WHERE false")
+_AMBIGUOUS = [(suffix, label) for suffix, label, _ in _SUFFIXES if suffix in names.EVIDENCE]
+MIXED = [(p, t) for suffix, _ in _AMBIGUOUS for p, t in (("src/S{k}.swift", f"struct Own{{k}}{suffix} {{\nvar size: Int\n}}"), ("src/S{k}.swift", f"struct Own{{k}}{suffix} {{\n{_BODY}\n}}"))]
+
+
+@query(f"""SELECT 'Own' || p_partkey || {sql_list([s for s, _ in _AMBIGUOUS])}[p_partkey % {len(MIXED)} // 2 + 1] AS name, {sql_list([label for _, label in _AMBIGUOUS])}[p_partkey % {len(MIXED)} // 2 + 1] AS label
+    FROM part WHERE p_partkey % 2 = 1""")
 def planted_structures_unproven(spark, d):
-    """Ambiguous endings without a word of proof: none is found."""
-    return constructs.named_structures(constructs.scanned(planted(spark, d, BARE))).agg(F.count("*").alias("found"))
+    """Ambiguous endings with and without a word of proof in one repository: only the proven ones are found."""
+    return constructs.named_structures(constructs.scanned(planted(spark, d, MIXED))).select("name", "label")
 
 
 LINKED = [
@@ -314,10 +318,11 @@ def planted_health(spark, d):
     return constructs.health(constructs.scanned(planted(spark, d, LOOPED)))
 
 
-USED = [("src/U{k}.swift", "let a: [Int] = b"), ("src/U{k}.swift", "let d: [String: Int] = e"), ("src/U{k}.swift", "let s = Set(x) // Set"), ("src/U{k}.swift", "let z = x.lazy.map"), ("src/U{k}.swift", "struct G: Sequence, IteratorProtocol {"), ("src/U{k}.swift", 'let t = "Array Set"')]
+USED = [("src/U{k}.swift", "let a: [Int] = b"), ("src/U{k}.swift", "let d: [String: Int] = e"), ("src/U{k}.swift", "let s = Set(x) // Set"), ("src/U{k}.swift", "let z = x.lazy.map"), ("src/U{k}.swift", "struct G: Sequence, IteratorProtocol {"), ("src/U{k}.swift", 'let t = "Array Set"'),
+    ("src/U{k}.swift", "let a: [Array<Int>] = b"), ("src/U{k}.swift", "func f() -> [String: Dictionary<Int, Int>] { }")]
 
 
-@query(f"SELECT count(*) FILTER (i = 0) AS \"array\", count(*) FILTER (i = 1) AS dictionary, count(*) FILTER (i = 2) AS \"set\", 2 * count(*) FILTER (i = 4) AS sequence, count(*) FILTER (i = 3) AS lazy FROM (SELECT p_partkey % {len(USED)} AS i FROM part)")
+@query(f"SELECT count(*) FILTER (i = 0) + 2 * count(*) FILTER (i = 6) AS \"array\", count(*) FILTER (i = 1) + 2 * count(*) FILTER (i = 7) AS dictionary, count(*) FILTER (i = 2) AS \"set\", 2 * count(*) FILTER (i = 4) AS sequence, count(*) FILTER (i = 3) AS lazy FROM (SELECT p_partkey % {len(USED)} AS i FROM part)")
 def planted_collections(spark, d):
     """How often each kind of collection is named outside comments and strings."""
     return constructs.collection_usage(constructs.scanned(planted(spark, d, USED)))
@@ -413,6 +418,25 @@ def planted_import_classes(spark, d):
     return packages.classified(parse.imports(files), files)
 
 
+# one name of every kind, and names that only look like the platform's
+IMPORTED = [
+    ("SnapKit", "external"), ("PromiseKit", "external"), ("CorePlot", "external"), ("MetalPetal", "external"), ("GRPCServices", "external"), ("GoogleMobileAdsUI", "external"), ("AVMetrics", "external"),
+    ("AdSupport", "apple"), ("MetalFX", "apple"), ("TipKit", "apple"), ("WalletPasses", "apple"), ("os.signpost", "apple"), ("UIKit.UIView", "apple"), ("sqlite3", "apple"), ("MobileCoreServices", "apple"), ("ARKit", "apple"),
+    ("SpringBoardServices", "private"), ("FrontBoard.Scene", "private"), ("BaseBoard", "private"), ("TCC", "private"), ("UIKitCore", "private"),
+    ("pthread", ""), ("sys", ""), ("lua", ""), ("Lua", "external"), ("Mod{k}", "local"), ("File{k}", ""), ("Far{k}", "external"),
+]
+
+
+@query(f"""SELECT DISTINCT replace(x.n, '{{k}}', CAST(p_partkey AS VARCHAR)) AS name, x.c AS class FROM (SELECT p_partkey, unnest({sql_list([f"{n}:{c}" for n, c in IMPORTED])}) AS s FROM part),
+    LATERAL (SELECT string_split(s, ':')[1] AS n, string_split(s, ':')[2] AS c) x WHERE x.c <> '' AND (p_partkey % {len(IMPORTED)} = list_position({sql_list([n for n, _ in IMPORTED])}, x.n) - 1)""")
+def planted_import_lists(spark, d):
+    """Public, private, local and outside names, told by the fixed lists and the project's own names."""
+    files = planted(spark, d, [("Packages/Mod{k}/Sources/Mod{k}/File{k}.swift", f"import {n}\nlet a = 1") for n, _ in IMPORTED])
+    parsed = parse.parsed(files)
+    homes = parsed.join(parse.packages(parsed.select("file_path"), parsed.select(F.col("file_path").alias("rel_path"))), "file_path")
+    return packages.classified(parse.imports(homes), homes)
+
+
 # design patterns: name of the pattern, category, text
 
 DESIGNS = [
@@ -494,7 +518,7 @@ def main_line(spark, d) -> DataFrame:
     line = k.select(name("m", F.col("k")).alias("hash"), F.when(F.col("k") > 1, name("m", F.col("k") - 1)).alias("parent"), (F.col("k") * 86400).alias("ts"))
     side = k.filter("k % 5 = 0 AND k > 0").select("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("i"))
     of = F.concat(F.lit("s"), F.col("k").cast("string"), F.lit("_"))
-    side = side.select(F.concat(of, F.col("i").cast("string")).alias("hash"), F.when(F.col("i") == 1, name("m", F.col("k") - 3)).otherwise(F.concat(of, (F.col("i") - 1).cast("string"))).alias("parent"), ((F.col("k") - 3) * 86400 + F.col("i") * 3600).alias("ts"))
+    side = side.select(F.concat(of, F.col("i").cast("string")).alias("hash"), F.when(F.col("i") == 1, name("m", F.col("k") - 3)).otherwise(F.concat(of, (F.col("i") - 1).cast("string"))).alias("parent"), ((F.col("k") - 3) * 86400 + F.col("i") * (3600 + F.col("k") % 7 * 600)).alias("ts"))
     return line.union(side)
 
 
@@ -515,7 +539,8 @@ def planted_feature_commits(spark, d):
     return brought(spark, d)
 
 
-@query("SELECT CAST(2 AS DOUBLE) / 24 AS lifetime_days, CAST(71 AS DOUBLE) / 24 AS time_to_merge_days, CAST(69 AS DOUBLE) AS delay_hours")
+@query("""SELECT avg(CAST(2 * pace AS DOUBLE) / 86400) AS lifetime_days, avg(CAST(3 * 86400 - pace AS DOUBLE) / 86400) AS time_to_merge_days, avg(CAST(3 * 86400 - 3 * pace AS DOUBLE) / 3600) AS delay_hours
+    FROM (SELECT 3600 + s_suppkey % 7 * 600 AS pace FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey > 0)""")
 def planted_merge_times(spark, d):
     """Means of lifetime, time to merge and delay, from the commits that merges brought in."""
     return history.merge_timing(history.merge_times(main_line(spark, d), merges(spark, d), brought(spark, d)))

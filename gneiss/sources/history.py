@@ -45,7 +45,8 @@ def commit_files(blocks: DataFrame) -> DataFrame:
 
 
 def parents(commit_rows: DataFrame) -> DataFrame:
-    return commit_rows.select("hash", F.explode("parents").alias("parent"))
+    """hash, parent and its number, the main parent's first."""
+    return commit_rows.select("hash", F.posexplode("parents").alias("nth", "parent"))
 
 
 def merges(commit_rows: DataFrame, k: int = 50) -> DataFrame:
