@@ -12,6 +12,12 @@ def frame(value: Column, keys: list[str], order: str, first: int, last: int, sep
     return F.array_join(F.collect_list(value).over(w), separator)
 
 
+def around(rows: Column, at: Column, first: int, last: int, separator: str = " ") -> Column:
+    """The items first..last around one of an array, joined: a frame inside a row; ``at`` counts from 0."""
+    begin = F.greatest(at + first, F.lit(0))
+    return F.array_join(F.slice(rows, begin + 1, at + last - begin + 1), separator)
+
+
 def previous(value: Column, keys: list[str], order: str) -> Column:
     return F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
 

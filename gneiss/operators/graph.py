@@ -117,6 +117,61 @@ def learning_path(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return order.join(d, "id").select("id", (-F.col("position")).alias("place"), category.alias("category"))
 
 
+def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): vertices that reach each other share a component, named by its least id.
+
+    Colouring, forward and backward: each vertex takes the greatest key that reaches it, then, inside its colour,
+    the greatest key that it reaches; where both are one, it lies in that key's component and is done. Keys are
+    hashed anew each round, so lines fall apart in some log rounds, and a colour's own colour is taken at each
+    step, so colours travel by doubling. Vertices without edges in or out are done at once.
+    """
+    rest, found, turn = cut(vertices.select("id").distinct()), [], 0
+    inner = cut(clean(edges, rest))
+    while not rest.isEmpty():
+        busy = inner.select(F.col("src").alias("id")).intersect(inner.select(F.col("dst").alias("id")))
+        found.append(rest.join(busy, "id", "left_anti").select("id", F.col("id").alias("root")))
+        keyed = cut(busy.select("id", F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("id")).alias("key")))
+        inner = cut(clean(inner, keyed))
+        forward = _greatest(keyed, inner)
+        of = lambda end: forward.select(F.col("id").alias(end), F.col("color").alias(f"{end}_color"))  # noqa: B023, E731  called at once
+        inner = cut(inner.join(of("src"), "src").join(of("dst"), "dst").filter("src_color = dst_color").select("src", "dst"))
+        backward = _greatest(keyed, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = cut(forward.join(backward.withColumnRenamed("color", "back"), "id"))
+        found.append(both.filter("color = back").select("id", F.col("color.id").alias("root")))
+        rest = cut(both.filter("color <> back").select("id"))
+        inner, turn = cut(clean(inner, rest)), turn + 1
+    rooted = found[0] if found else rest.select("id", F.col("id").alias("root"))
+    for some in found[1:]:
+        rooted = rooted.union(some)
+    rooted = cut(rooted)
+    return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+
+
+def _greatest(keyed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, color): the greatest key of what reaches each vertex, itself included."""
+    colors = cut(keyed.select("id", F.col("key").alias("color")))
+    while True:
+        handed = edges.join(colors.select(F.col("id").alias("src"), "color"), "src").select(F.col("dst").alias("id"), "color")
+        best = colors.union(handed).groupBy("id").agg(F.max("color").alias("color"))
+        # what reaches the vertex that reaches this one reaches this one
+        further = best.join(colors.select(F.col("id").alias("via"), F.col("color").alias("more")), F.col("color.id") == F.col("via"))
+        grown = further.select("id", F.greatest("color", "more").alias("color"))
+        new = cut(grown.join(colors.withColumnRenamed("color", "old"), "id").select("id", "color", (F.col("color") != F.col("old")).alias("changed")))
+        if new.filter("changed").isEmpty():
+            return new.select("id", "color")
+        colors = new.select("id", "color")
+
+
+def condensed(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component, members, level): strong components, their sizes, and the level of each among the others."""
+    named = cut(strong_components(vertices, edges))
+    of = lambda end: named.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c"))
+    between = clean(edges, vertices).join(of("src"), "src").join(of("dst"), "dst").filter("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct()
+    heads = named.groupBy("component").agg(F.count("*").alias("members"))
+    leveled = levels(heads.select(F.col("component").alias("id")), between).withColumnRenamed("id", "component")
+    return named.join(heads, "component").join(leveled, "component").select("id", "component", "members", "level")
+
+
 def collapsed(edges: DataFrame, group_of: DataFrame) -> DataFrame:
     """(a, b, connections): undirected links between the groups (id, grp) of different vertices."""
     a = group_of.select(F.col("id").alias("src"), F.col("grp").alias("ga"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import name_tokens
@@ -61,6 +61,30 @@ def innermost(points: DataFrame, ranges: DataFrame, key: list[str], at: str, fir
     return points.join(best, [*key, at], "left").withColumn("symbol", F.coalesce("symbol", F.lit(default)))
 
 
+def located(points: DataFrame, ranges: DataFrame, key: list[str], at: str, first: str, last: str, width: int = 64) -> DataFrame:
+    """points with the further columns of the range of the same key that holds them, null where none does; ranges of a key don't overlap.
+
+    Ranges are dealt to buckets of ``width`` and joined by equality, so one key's points and ranges spread over many tasks.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    more = [c for c in ranges.columns if c not in (*key, first, last)]
+    wide = ranges.select(*(F.col(c).alias(f"_{c}") for c in ranges.columns), F.explode(F.sequence(bucket(first), bucket(last))).alias("_bucket"))
+    marked = points.withColumn("_at", bucket(at))
+    same = F.col("_at") == F.col("_bucket")
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    found = marked.join(wide, same & (F.col(at) >= F.col(f"_{first}")) & (F.col(at) <= F.col(f"_{last}")), "left")
+    return found.select(*points.columns, *(F.col(f"_{c}").alias(c) for c in more))
+
+
+def runs(rows: DataFrame, key: list[str], at: str, value: str) -> DataFrame:
+    """(key, first, last, value): rows of a key whose places follow each other and hold one value, as one interval."""
+    order = Window.partitionBy(*key).orderBy(at)
+    new = ~((F.col(at) == F.lag(at).over(order) + 1) & F.col(value).eqNullSafe(F.lag(value).over(order)))
+    numbered = rows.withColumn("_run", F.sum(F.coalesce(new, F.lit(True)).cast("long")).over(order))
+    return numbered.groupBy(*key, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first(value).alias(value)).drop("_run")
+
+
 def overlapping(rules: DataFrame, rule_items: str, items: DataFrame, item: str) -> DataFrame:
     """rules any of whose items (an array) occurs, with those that do as ``matched``."""
     each = rules.select("*", F.explode(rule_items).alias("_item")).join(items.select(F.col(item).alias("_item")).distinct(), "_item")

@@ -133,6 +133,30 @@ def ancestors(path: Column, most: int = 64) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+# fixed values: manifests, and which counts where a folder holds several
+MANIFESTS = (("Package.swift", 1, "SwiftPM"), ("BUILD", 2, "Bazel"), ("BUILD.bazel", 2, "Bazel"), ("Project.swift", 3, "Tuist"))
+
+
+def manifests(listing: DataFrame) -> DataFrame:
+    """dir and build_system of every folder with a manifest, from all paths of the project (rel_path)."""
+    name = F.regexp_extract("rel_path", "([^/]*)$", 1)
+    kinds = F.create_map(*(x for m, rank, system in MANIFESTS for x in (F.lit(m), F.struct(F.lit(rank).alias("rank"), F.lit(system).alias("system")))))
+    held = listing.select(F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), kinds[name].alias("kind")).filter("kind IS NOT NULL")
+    return held.groupBy("dir").agg(F.min("kind")["system"].alias("build_system"))
+
+
+def nearest_manifest(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """file_path, home (the nearest folder above with a manifest; '' is the root) and build_system; null for none.
+
+    Each file's folders are joined by equality with those that hold manifests, and the deepest one wins.
+    """
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("dir")))
+    each = files.select("file_path", F.explode(above).alias("a")).select("file_path", "a.depth", "a.dir")
+    best = each.join(manifests(listing), "dir").groupBy("file_path").agg(F.max(F.struct("depth", "dir", "build_system")).alias("m"))
+    return files.select("file_path").join(best, "file_path", "left").select("file_path", F.col("m.dir").alias("home"), F.col("m.build_system").alias("build_system"))
+
+
 def packages(files: DataFrame, listing: DataFrame) -> DataFrame:
     """From (file_path) and all paths of the project (rel_path): package_name, module_name, build_system.
 
@@ -146,9 +170,7 @@ def packages(files: DataFrame, listing: DataFrame) -> DataFrame:
     back = F.array_position(F.reverse(parts), "Sources").cast("int")
     above = F.when((back > 0) & (F.size(parts) - back > 0), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - back), "/"))
     base = files.select("file_path", framework.alias("framework"), named.alias("named"), above.alias("root"))
-    manifest = F.when(F.col("name") == "Package.swift", F.struct(F.lit(1).alias("o"), F.lit("SwiftPM").alias("b"))).when(F.col("name").isin("BUILD", "BUILD.bazel"), F.struct(F.lit(2).alias("o"), F.lit("Bazel").alias("b"))).when(F.col("name") == "Project.swift", F.struct(F.lit(3).alias("o"), F.lit("Tuist").alias("b")))
     all_files = listing.select(F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), F.regexp_extract("rel_path", "([^/]*)$", 1).alias("name"))
-    manifests = all_files.withColumn("m", manifest).filter("m IS NOT NULL").groupBy(F.col("dir").alias("root")).agg(F.min("m")["b"].alias("system"))
     # umbrella headers: the nearest ancestor D with D/D.h, if no root lies at or below it
     marks = all_files.groupBy("dir").agg(F.bool_or(F.col("name") == F.concat(F.regexp_extract("dir", "([^/]*)$", 1), F.lit(".h"))).alias("umbrella"), F.bool_or(F.col("name") == "Package.swift").alias("stop"))
     roots = listing.select(F.regexp_extract("rel_path", r"^((?:[^/]+/)*)(?:\.git|[^/]+\.xcodeproj)/", 1).alias("r"), "rel_path").filter(F.col("rel_path").rlike(r"(^|/)(\.git|[^/]+\.xcodeproj)/")).select(F.rtrim(F.regexp_replace("r", "/$", "")).alias("dir")).distinct().withColumn("root_mark", F.lit(True))
@@ -156,7 +178,7 @@ def packages(files: DataFrame, listing: DataFrame) -> DataFrame:
     stop = F.coalesce(F.col("stop"), F.lit(False)) | F.col("root_mark").isNotNull()
     near = up.groupBy("file_path").agg(F.min(F.when(F.col("umbrella") & ~stop, F.struct("i", "dir"))).alias("u"), F.min(F.when(stop, F.col("i"))).alias("s"))
     near = near.filter("u IS NOT NULL AND (s IS NULL OR u.i < s)").select("file_path", F.regexp_extract(F.col("u.dir"), "([^/]*)$", 1).alias("header_dir"))
-    out = base.join(manifests, "root", "left").join(near, "file_path", "left")
+    out = base.join(manifests(listing).toDF("root", "system"), "root", "left").join(near, "file_path", "left")
     by_root = F.when(F.col("system").isNotNull(), F.regexp_extract("root", "([^/]*)$", 1))
     package = F.coalesce(F.nullif("framework", F.lit("")), F.nullif("named", F.lit("")), by_root, F.col("header_dir"), F.lit(""))
     system = F.when(F.col("framework") != "", "Unknown").when(F.col("named") != "", "SwiftPM").otherwise(F.coalesce("system", F.lit("Unknown")))

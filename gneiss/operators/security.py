@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import basename, calls, display_path, is_comment, snippet, trim
-from gneiss.functions.windows import frame, parity, previous
+from gneiss.functions.windows import around, frame, previous
+from gneiss.operators import matching
 
 CAP = 100
 # fixed values: category weights (sum 1000) and what a hit counts by priority
@@ -297,21 +298,23 @@ NEVER_FIRED = (60, 62)  # they couldn't fire before; compat leaves them out
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """From (file_path, text): file_path, line_no from 1, raw, code, bare and the context the checks need."""
-    rows = files.select("file_path", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("line_no", F.col("at") + 1).drop("at")
-    code = F.regexp_replace("raw", r'"(?:\\.|[^"\\])*+"?', '""')
-    bare = F.regexp_replace("raw", r'^((?:[^"/]++|"(?:\\.|[^"\\])*+"?|/(?!/))*+)//.*$', "$1")
-    rows = rows.withColumns({"code": code, "bare": bare})
-    by = ["file_path"]
-    marks = F.floor((F.length("raw") - F.length(F.replace("raw", F.lit('"""'), F.lit("")))) / 3)
-    upto = parity(marks, by, "line_no")
-    inside = (upto & (marks % 2 == 0)) | (~upto & (marks % 2 == 1))  # odd before this line
-    return rows.withColumns({
-        "in_text": inside,
-        "last_code": previous(F.col("code"), by, "line_no"),
-        "before5": F.lower(frame(F.col("raw"), by, "line_no", -5, 0, "")),
-        "around": frame(F.col("raw"), by, "line_no", -4, 5),
-    })
+    """From (file_path, text): file_path, line_no from 1, raw, code, bare and the context the checks need.
+
+    A file's lines are an array of its row, and frames are slices of it, so nothing is shuffled.
+    """
+    raw = F.col("raw_lines")
+    rows = files.select("file_path", F.split("text", "\n", -1).alias("raw_lines"))
+    code = lambda x: F.regexp_replace(x, r'"(?:\\.|[^"\\])*+"?', '""')
+    bare = lambda x: F.regexp_replace(x, r'^((?:[^"/]++|"(?:\\.|[^"\\])*+"?|/(?!/))*+)//.*$', "$1")
+    # lines on which a text of several lines begins or ends, from 0
+    odd = F.transform(raw, lambda x, i: F.when((F.length(x) - F.length(F.replace(x, F.lit('"""'), F.lit("")))) / 3 % 2 == 1, i))
+    rows = rows.withColumns({"code_lines": F.transform(raw, code), "odd_lines": F.array_compact(odd)})
+    each = F.transform(raw, lambda x, i: F.struct(
+        (i + 1).alias("line_no"), x.alias("raw"), F.get("code_lines", i).alias("code"), bare(x).alias("bare"),
+        (F.size(F.filter("odd_lines", lambda m: m < i)) % 2 == 1).alias("in_text"), F.when(i > 0, F.get("code_lines", i - 1)).alias("last_code"),
+        F.lower(around(raw, i, -5, 0, "")).alias("before5"), around(raw, i, -4, 5).alias("around"),
+    ))
+    return rows.select("file_path", F.explode(each).alias("line")).select("file_path", "line.*")
 
 
 def is_test(path: Column, compat: bool) -> Column:
@@ -361,11 +364,12 @@ def database_hits(lined: DataFrame, compat: bool = False) -> DataFrame:
     return some.filter(~is_comment(raw)).join(safe, "file_path").join(F.broadcast(project)).filter(hit).select(F.lit(12).alias("check_id"), "file_path", "line_no", "raw")
 
 
-def challenge_hits(lined: DataFrame, compat: bool = False) -> DataFrame:
-    """Check 31: useCredential inside a challenge handler before any trust evaluation; a fold over a file's lines."""
-    some = lined.filter(F.col("file_path").endswith(".swift") & ~is_test(F.col("file_path"), compat))
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "raw", "code", is_comment(F.col("raw")).alias("comment"))))
-    near = some.groupBy("file_path").agg(F.bool_or(F.col("code").contains("didReceive challenge:")).alias("any"), rows.alias("rows")).filter("any")
+def challenge_hits(files: DataFrame, compat: bool = False) -> DataFrame:
+    """Check 31: useCredential inside a challenge handler before any trust evaluation; a fold over a file's lines, in its row."""
+    some = files.filter(F.col("file_path").endswith(".swift") & ~is_test(F.col("file_path"), compat) & F.contains("text", F.lit("didReceive challenge:")))
+    code = lambda x: F.regexp_replace(x, r'"(?:\\.|[^"\\])*+"?', '""')
+    rows = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("raw"), code(x).alias("code"), is_comment(x).alias("comment")))
+    near = some.select("file_path", rows.alias("rows")).filter(F.exists("rows", lambda r: r["code"].contains("didReceive challenge:")))
     state = "struct<in:boolean,depth:int,entered:boolean,valid:boolean,hits:array<struct<line_no:int,raw:string>>>"
     start = F.struct(F.lit(False).alias("in"), F.lit(0).alias("depth"), F.lit(False).alias("entered"), F.lit(False).alias("valid"), F.array().cast("array<struct<line_no:int,raw:string>>").alias("hits")).cast(state)
 
@@ -430,18 +434,19 @@ def _or(columns: list[Column]) -> Column:
 def violations(sources: DataFrame, others: DataFrame, compat: bool = False) -> DataFrame:
     """All hits: check_id, file_path, line_no, display path and snippet."""
     lined = lines(sources)
-    hits = line_hits(lined, compat).unionByName(database_hits(lined, compat)).unionByName(challenge_hits(lined, compat)).unionByName(project_hits(sources, others, compat))
+    hits = line_hits(lined, compat).unionByName(database_hits(lined, compat)).unionByName(challenge_hits(sources, compat)).unionByName(project_hits(sources, others, compat))
     return hits.select("check_id", "file_path", "line_no", display_path(F.col("file_path")).alias("file"), snippet(F.col("raw")).alias("snippet"))
 
 
 def with_authors(hits: DataFrame, blame: DataFrame) -> DataFrame:
-    """Hits with the author of their line, from blame (path, line, author)."""
-    return hits.join(blame.select(F.col("path").alias("file_path"), F.col("line").alias("line_no"), "author"), ["file_path", "line_no"], "left")
+    """Hits with the author of their line, from blame intervals (path, first, last, author)."""
+    return matching.located(hits, blame.withColumnRenamed("path", "file_path"), ["file_path"], "line_no", "first", "last")
 
 
-def check_results(hits: DataFrame, checks: DataFrame, cap: int = CAP) -> DataFrame:
-    """Every check with its total (hits capped per file, then summed) and number of files."""
-    per = hits.groupBy("check_id", "file_path").agg(F.least(F.count("*"), F.lit(cap)).alias("n"))
+def check_results(hits: DataFrame, checks: DataFrame, cap: int | None = CAP) -> DataFrame:
+    """Every check with its total (hits capped per file, if a cap is given, then summed) and number of files."""
+    n = F.count("*") if cap is None else F.least(F.count("*"), F.lit(cap))
+    per = hits.groupBy("check_id", "file_path").agg(n.alias("n"))
     totals = per.groupBy("check_id").agg(F.sum("n").alias("total"), F.count("*").alias("files"))
     return checks.join(totals, "check_id", "left").fillna(0, ["total", "files"])
 
@@ -470,11 +475,11 @@ def weight_table(spark) -> DataFrame:
     return spark.createDataFrame(list(WEIGHTS.items()), "category string, weight int")
 
 
-def analyze(sources: DataFrame, others: DataFrame, compat: bool = False) -> dict[str, DataFrame]:
-    """violations, results, categories and score of a project."""
+def analyze(sources: DataFrame, others: DataFrame, compat: bool = False, cap: int | None = None) -> dict[str, DataFrame]:
+    """violations, results, categories and score of a project; cap: hits of a check that count in one file, None for all."""
     spark = sources.sparkSession
     hits = violations(sources, others, compat)
-    results = check_results(hits, check_table(spark))
+    results = check_results(hits, check_table(spark), cap)
     swift = sources.filter("file_path LIKE '%.swift'").count()
     if not swift:
         results = results.withColumn("total", F.lit(0))

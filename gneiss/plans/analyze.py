@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +42,7 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     out["learning_path"] = graph.learning_path(vertices, edges).orderBy("place", "id").limit(config.learning_path)
     out["package_graph"] = graph.collapsed(edges, nodes.filter("package <> ''").select(F.col("file_path").alias("id"), F.col("package").alias("grp")))
     lined = security.lines(texts)
-    out |= {f"security_{k}": v for k, v in security.analyze(texts, project, config.compat).items()}
+    out |= {f"security_{k}": v for k, v in security.analyze(texts, project, config.compat, config.limit("hits_per_file")).items()}
     out["style"] = style.analyze(lined, decls)
     out["patterns"] = patterns.detect(scan, decls)
     out["structures"] = constructs.grouped(constructs.structures(scan))
@@ -75,9 +73,10 @@ def _by_path():
     return Window.partitionBy(F.lit(0)).orderBy("file_path")  # at most max_files rows
 
 
-def history_tables(blocks: DataFrame, refs: DataFrame, merged: DataFrame, as_of: int, known: DataFrame | None = None) -> dict[str, DataFrame]:
+def history_tables(blocks: DataFrame, refs: DataFrame, merged: DataFrame, as_of: int, known: DataFrame | None = None, config: Config | None = None) -> dict[str, DataFrame]:
     """Tables from a log's blocks and refs; as_of is the time that ages are counted to."""
     commits, touched = cut(history_source.commits(blocks)), cut(history_source.commit_files(blocks))
+    config = config or Config()
     known = known if known is not None else touched.select("path").distinct()
     stats = history.author_stats(commits)
     files = history.files_modified(touched, known)
@@ -91,20 +90,28 @@ def history_tables(blocks: DataFrame, refs: DataFrame, merged: DataFrame, as_of:
     out["tags"] = history.tags(refs)
     out["branches"] = history.branch_counts(refs, merged)
     out["stale"] = history.stale(refs.filter("kind = 'head'"), F.lit(as_of))
-    merges = cut(history_source.merges(commits))
+    merges = cut(history_source.merges(commits, config.limit("timed_merges")))
     brought = history.feature_commits(history_source.parents(commits), merges)
     out["merge_timing"] = history.merge_timing(history.merge_times(commits, merges, brought))
     return out
 
 
-def branching(spark: SparkSession, root: str, tables: dict[str, DataFrame], refs: DataFrame, as_of: int) -> DataFrame:
+def branching(spark: SparkSession, root: str, tables: dict[str, DataFrame], refs: DataFrame, as_of: int, config: Config) -> DataFrame:
     """Scores of the branching models of a local repository."""
-    names = [r["name"] for r in history.ref_names(refs.filter("kind <> 'tag'")).orderBy("name").collect()]  # bounded by its branches
-    subjects = lambda b: spark.createDataFrame([(x,) for x in history_source.git(root, "log", b, "--merges", "-50", "--pretty=format:%s").splitlines() if x], "subject string")
-    integration = next((n for n in names if n in history.INTEGRATION), None)
-    dual = history.dual_merges(subjects("HEAD"), subjects(integration) if integration else subjects("HEAD").limit(0))
-    environments = [n for n in names if re.match(history.ENVIRONMENT, n)][:3]
-    cascades = any(history_source.git(root, "log", n, "--merges", "-3", "--pretty=format:%s").strip() for n in environments)
+    merges_of = lambda branch, most: history_source.commits(history_source.log_text(spark, root, branch, most=most, merges_only=True))
+    subjects = lambda branch: merges_of(branch, config.limit("compared_merges")).select("subject").filter("subject <> ''")
+    names = history.ref_names(refs.filter("kind <> 'tag'"))
+    found = lambda some: next((r["name"] for r in names.filter(some).orderBy("name").limit(1).collect()), None)
+    integration = found(F.col("name").isin(*history.INTEGRATION))
+    # a branch that is known from a remote only is asked for by the name it has there
+    at = lambda name: name if history_source.head(root, name) else f"origin/{name}"
+    main = subjects("HEAD")
+    dual = history.dual_merges(main, subjects(at(integration)) if integration and history_source.head(root, at(integration)) else main.limit(0))
+    environments = names.filter(F.col("name").rlike(history.ENVIRONMENT)).orderBy("name")
+    if (most := config.limit("environments")) is not None:
+        environments = environments.limit(most)
+    # the names are one per environment; each is asked for merges until one has some
+    cascades = any(history_source.head(root, at(r["name"])) and merges_of(at(r["name"]), config.limit("cascade_merges")).filter("subject <> ''").limit(1).count() for r in environments.collect())
     return history.branching_scores(history.branching_features(tables["commits"], refs, tables["merge_timing"], dual, cascades, F.lit(as_of)))
 
 
@@ -116,18 +123,18 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, as_of:
     project = cut(files_source.project_texts(spark, root, config.exclude))
     out = code_tables(texts, project, listed.select("rel_path"), config, listed)
     libraries = spark.createDataFrame([(n,) for n in files_source.LIBRARIES], "name string")
-    out |= {"assets": architecture.asset_totals(files_source.assets(listed)), "heavy_types": files_source.heavy_types(listed), "shaders": files_source.shaders(listed, config.exclude), "vendored": files_source.vendored(listed, libraries), "metadata": files_source.metadata(project, texts)}
-    if "://" not in root and history_source.git(root, "rev-parse", "HEAD"):
-        blocks = cut(history_source.log_text(spark, root))
+    out |= {"assets": architecture.asset_totals(files_source.assets(listed)), "heavy_types": files_source.heavy_types(listed), "shaders": files_source.shaders(listed, config.exclude), "vendored": files_source.vendored(listed, libraries), "metadata": files_source.metadata(project, texts, config.limit("version_files"))}
+    if "://" not in root and (commit := history_source.head(root)):
+        blocks = cut(history_source.log_text(spark, root, commit))
         now = as_of if as_of is not None else blocks.select(F.max(F.split(F.split("block", "\n")[0], "\t")[3].try_cast("long"))).first()[0]
         refs = cut(history_source.refs(spark, root))
-        out |= history_tables(blocks, refs, history_source.merged(spark, root), now, out["files"].select(F.col("file_path").alias("path")))
-        out["branching"] = branching(spark, root, out, refs, now)
+        out |= history_tables(blocks, refs, history_source.merged(spark, root), now, out["files"].select(F.col("file_path").alias("path")), config)
+        out["branching"] = branching(spark, root, out, refs, now, config)
         out["files"] = history.enriched(out["files"].withColumnRenamed("file_path", "path"), out["file_history"]).withColumnRenamed("path", "file_path")
         out["author_packages"] = packages.author_packages(out["files"].filter("top_authors IS NOT NULL"))
         hits = cut(out["security_violations"])
         lines = hits.filter("line_no > 0").select(F.col("file_path").alias("path"), F.col("line_no").alias("line"))
-        out["security_violations"] = security.with_authors(hits, history_source.blame_all(spark, root, lines))
+        out["security_violations"] = security.with_authors(hits, cut(history_source.blame(lines, root)))
     return out
 
 
@@ -137,7 +144,7 @@ def evolution(spark: SparkSession, root: str, config: Config | None = None) -> t
     commits = cut(history_source.commits(history_source.log_text(spark, root)))
     last = commits.agg(F.max("ts")).first()[0] or 0
     picked = cut(history.sampled(commits, config.interval_days * 86400, last - config.months * 30 * 86400))
-    trees = history_source.tree(spark, root, [r["hash"] for r in picked.collect()])
+    trees = history_source.trees(picked, root)
     per = trees.filter(F.col("path").rlike(r"\.(" + "|".join(config.extensions) + ")$")).groupBy("hash").agg(F.count("*").alias("files"))
     snapshots = picked.join(per, "hash", "left").fillna(0, ["files"]).withColumn("est_lines", F.col("files") * 50).orderBy("ts")
     return snapshots, history.growth(snapshots)

@@ -13,6 +13,10 @@ EXCLUDED = (
 )
 
 
+# fixed values: how many merges, environment branches, files and hits a compatible run looks at
+COMPAT_LIMITS = {"timed_merges": 50, "compared_merges": 50, "cascade_merges": 3, "environments": 3, "version_files": 1000, "hits_per_file": 100}
+
+
 class GneissError(Exception):
     """A run that can't go on."""
 
@@ -50,6 +54,13 @@ class Config:
     compat: bool = False
     cache: str | None = None
     links: str | None = None
+    #: None: all; with compat, None means the numbers of COMPAT_LIMITS.
+    timed_merges: int | None = None
+    compared_merges: int | None = None
+    cascade_merges: int | None = None
+    environments: int | None = None
+    version_files: int | None = None
+    hits_per_file: int | None = None
     ai: dict = field(default_factory=lambda: {"enabled": False, "files": 10, "preview": 3000})
 
     @classmethod
@@ -67,6 +78,11 @@ class Config:
         base = asdict(cls())
         return cls(**{k: (base[k] | v if isinstance(base[k], dict) else v) for k, v in given.items()})
 
+    def limit(self, name: str) -> int | None:
+        """A limit's number, None for none."""
+        given = getattr(self, name)
+        return COMPAT_LIMITS[name] if given is None and self.compat else given
+
     def create(self, path: str) -> None:
         """Write the configuration, sorted; an existing file is left alone."""
         if Path(path).exists():

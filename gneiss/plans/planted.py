@@ -102,8 +102,9 @@ HITS_SQL = f"""hits AS (
 
 
 def check_hits(spark, d) -> DataFrame:
-    lined = security.lines(planted(spark, d, CHECKED))
-    return security.line_hits(lined).unionByName(security.database_hits(lined)).unionByName(security.challenge_hits(lined))
+    files = planted(spark, d, CHECKED)
+    lined = security.lines(files)
+    return security.line_hits(lined).unionByName(security.database_hits(lined)).unionByName(security.challenge_hits(files))
 
 
 @query(f"WITH {HITS_SQL} SELECT file_path, check_id, line_no FROM hits")

@@ -141,16 +141,17 @@ VERSIONS = (  # fixed values: features that a language version brought
 TARGETS = (("IPHONEOS", "iOS"), ("MACOSX", "macOS"), ("TVOS", "tvOS"), ("WATCHOS", "watchOS"))
 
 
-def language_version(files: DataFrame, most: int = 1000) -> DataFrame:
-    """One row: the highest version whose features the code uses, with a plus; '' for none."""
-    some = files.filter("file_path LIKE '%.swift' AND file_path NOT LIKE '%/Tests/%'").orderBy("file_path").limit(most)
+def language_version(files: DataFrame, most: int | None = None) -> DataFrame:
+    """One row: the highest version whose features the code uses, with a plus; '' for none. most: of the first so many files only."""
+    some = files.filter("file_path LIKE '%.swift' AND file_path NOT LIKE '%/Tests/%'")
+    some = some if most is None else some.orderBy("file_path").limit(most)
     version = None
     for v, pattern in VERSIONS:
         version = F.when(F.col("text").rlike(pattern), v) if version is None else version.when(F.col("text").rlike(pattern), v)
     return some.agg(F.coalesce(F.concat(F.max(version), F.lit("+")), F.lit("")).alias("version"))
 
 
-def metadata(project: DataFrame, files: DataFrame) -> DataFrame:
+def metadata(project: DataFrame, files: DataFrame, version_files: int | None = None) -> DataFrame:
     """One row: language version, deployment targets and app version, each from the first source that has it."""
     text, path = F.col("text"), F.col("file_path")
     root_manifest, pbx = path == "Package.swift", path.rlike(r"^[^/]+\.xcodeproj/project\.pbxproj$")
@@ -165,7 +166,7 @@ def metadata(project: DataFrame, files: DataFrame) -> DataFrame:
         F.min(F.when(root_manifest & (F.size(platforms) > 0), platforms)).alias("platforms"), F.min(F.when(pbx & (F.size(by_project) > 0), by_project)).alias("settings"),
         F.coalesce(pick(pbx, r"MARKETING_VERSION\s*=\s*([\d.]+)"), pick(path == ".bazelrc", r"(?i)version\s*=\s*([\d.]+)"), pick(path == "Project.swift", r"""CFBundleShortVersionString["':\s]+([\d.]+)"""), pick(plist, short)).alias("app_version"),
     )
-    both = row.join(language_version(files))
+    both = row.join(language_version(files, version_files))
     return both.select(F.coalesce("tools", "setting", "version").alias("language_version"), F.coalesce("platforms", "settings", F.array().cast("array<string>")).alias("targets"), F.coalesce("app_version", F.lit("")).alias("app_version"))
 
 

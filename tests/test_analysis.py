@@ -113,7 +113,7 @@ def test_every_line_check_fires(spark):
 
 def test_authors_of_hits(spark):
     hits = spark.createDataFrame([(1, "a", 3), (1, "a", 4)], "check_id int, file_path string, line_no int")
-    blame = spark.createDataFrame([("a", 3, "Ann")], "path string, line int, author string")
+    blame = spark.createDataFrame([("a", 2, 3, "Ann"), ("a", 5, 900, "Bob")], "path string, first int, last int, author string")
     assert rows(security.with_authors(hits, blame), "line_no", "author") == [(3, "Ann"), (4, None)]
 
 
@@ -242,7 +242,9 @@ def test_imports_and_packages(spark, parsed):
     assert cats == {"Shop": "dev"}
     kinds = spark.createDataFrame([("UIKit",), ("os.log",), ("os",), ("RxSwift",), ("XCTest",), ("Alamofire",), ("libavcodec",)], "n string")
     assert [r.c for r in kinds.select(packages.framework_category(F.col("n")).alias("c")).collect()] == ["UI/Media", "Dev Tools", "Architecture/System", "Architecture/System", "Dev Tools", "Data/Networking", "UI/Media"]
-    assert packages.rolled_up(placed).filter("build_system IS NULL").count() == 1 if "build_system" in placed.columns else True
+    summed = packages.rolled_up(placed.withColumn("build_system", F.lit("SwiftPM"))).collect()
+    whole = [r for r in summed if r["of"] == "all"]
+    assert [(r.files, r.build_system, r.layer) for r in whole] == [(placed.count(), None, None)] and {r["of"] for r in summed} == {"package", "build system", "layer", "all"}
     assert packages.notes_by_module(placed).first().todo == 1
     assert packages.longest(parsed).first().name == "slowest"
     assert packages.major(packages.totals(placed, decls)).filter("major").count() == 0

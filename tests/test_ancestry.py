@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import ancestry
+from gneiss.operators import ancestry, graph
 
 
 def closure(parents, tips):
@@ -86,3 +86,36 @@ def test_tables_stay_linear_on_a_long_line(spark, monkeypatch):
     parents = line.union(side).union(into)
     assert ancestry.feature_commits(parents, merges).count() == 3 * every.count()
     assert max(largest) <= 1.01 * parents.count()
+
+
+def components_by_hand(n, edges):
+    reach = closure([(a, b, 0) for a, b in edges], range(n))
+    return {i: min(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n)}
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 30, 45), (2, 40, 40), (3, 12, 60)])
+def test_strong_components_match_brute_force(spark, seed, n, m):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n - 1, n - 1), (0, n + 5)]
+    want = components_by_hand(n, [(a, b) for a, b in edges if b < n])
+    vertices, links = spark.range(n), spark.createDataFrame(edges, "src long, dst long")
+    assert {r.id: r.component for r in graph.strong_components(vertices, links).collect()} == want
+    if seed == 1:
+        got = {r.id: r for r in graph.condensed(vertices, links).collect()}
+        assert all(r.members == sum(c == r.component for c in want.values()) for r in got.values())
+        assert all(got[a].level < got[b].level for a, b in edges if b < n and want[a] != want[b])
+
+
+def test_strong_components_of_little(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert graph.strong_components(spark.range(0), none).collect() == []
+    assert [tuple(r) for r in graph.condensed(spark.range(1), none).collect()] == [(0, 0, 1, 0)]
+
+
+def test_a_long_ring_is_one_component_in_few_rounds(spark, monkeypatch):
+    n, rounds = 2000, []
+    kept = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or kept(df))
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    assert graph.strong_components(spark.range(n), ring).select("component").distinct().collect()[0].component == 0
+    assert len(rounds) < 80

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from gneiss.plans import catalogue, planted  # noqa: F401  planted adds its queries to the catalogue
+from gneiss.plans import catalogue, planted, projects  # noqa: F401  these add their queries to the catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -235,8 +235,8 @@ def test_reachability_and_sampling(spark):
 def test_blame(spark):
     a, b = "a" * 40, "b" * 40
     text = f"{a} 1 1 2\nauthor Ann\nfilename x\n\tcode\n{a} 2 2\n\tmore\n{b} 1 3 1\nauthor Bob\n\tauthor not me\n"
-    assert sh.parse_blame(text) == [(1, "Ann"), (2, "Ann"), (3, "Bob")]
-    assert [tuple(r) for r in sh.blame(spark.createDataFrame([("x", text)], "path string, text string")).collect()][2] == ("x", 3, "Bob")
+    assert list(sh.parse_blame(text.split("\n"))) == [(1, "Ann"), (2, "Ann"), (3, "Bob")]
+    assert list(sh.intervals("x", [(7, "Ann"), (2, "Ann"), (1, "Ann"), (3, "Bob"), (8, "Ann")])) == [("x", 1, 2, "Ann"), ("x", 3, 3, "Bob"), ("x", 7, 8, "Ann")]
 
 
 @pytest.fixture(scope="module")
@@ -258,8 +258,10 @@ def test_git_source(spark, repo):
     times = history.merge_times(sh.commits(blocks), m, history.feature_commits(sh.parents(sh.commits(blocks)), m)).first()
     assert (times.lifetime_days, times.time_to_merge_days, times.delay_hours) == (0.0, 2.0, 48.0)
     assert sh.main_branch(repo) == "main" and sh.merged(spark, repo).count() == 2
-    blame = sh.blame_of(spark, repo, {"App/AuthHandler.swift": [1, 15]})
-    assert {(r.line, r.author) for r in blame.collect()} == {(1, "Ann"), (15, "Bob")}
+    lines = spark.createDataFrame([("App/AuthHandler.swift", 1), ("App/AuthHandler.swift", 15), ("App/AuthHandler.swift", 0)], "path string, line int")
+    assert {tuple(r)[1:] for r in sh.blame(lines, repo).collect()} == {(1, 1, "Ann"), (15, 15, "Bob")}
+    tips = spark.createDataFrame([(sh.head(repo),), (sh.head(repo, "HEAD~1"),)], "hash string")
+    assert sh.trees(tips, repo).filter("path = 'App/AuthHandler.swift'").count() == 2
 
 
 def test_file_sources(spark, repo, tmp_path):

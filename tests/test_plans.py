@@ -4,6 +4,7 @@ import subprocess
 
 import pytest
 
+from gneiss.operators import matching
 from gneiss.plans import report
 from gneiss.plans.analyze import analyze, evolution
 from gneiss.plans.config import Config
@@ -52,7 +53,16 @@ def test_blame_of_every_line(spark, tmp_path):
         subprocess.run(["git", "-C", str(root), *args], check=True, capture_output=True)
     want = {(f"{n}.swift", i, "Ann") for n in "az" for i in range(1, 2701)}
     lines = spark.createDataFrame([(p, i) for p, i, _ in want] + [("a.swift", 1)], "path string, line int")
-    for files in (1, 200):
-        got = [tuple(r) for r in history.blame_all(spark, str(root), lines, files).collect()]
-        assert len(got) == 5400 and set(got) == want
-    assert history.blame_all(spark, str(root), lines.limit(0)).collect() == []
+    for partitions in (1, 3):
+        got = history.blame(lines, str(root), partitions)
+        assert sorted(tuple(r) for r in got.collect()) == [("a.swift", 1, 2700, "Ann"), ("z.swift", 1, 2700, "Ann")]
+    assert {tuple(r) for r in matching.located(lines, got, ["path"], "line", "first", "last").collect()} == want
+    assert history.blame(lines.limit(0), str(root)).collect() == []
+    few = spark.createDataFrame([("a.swift", 3), ("a.swift", 4), ("a.swift", 9), ("new.swift", 1)], "path string, line int")
+    (root / "new.swift").write_text("let n = 1\n")  # not committed: nobody's lines
+    assert sorted(tuple(r) for r in history.blame(few, str(root)).collect()) == [("a.swift", 3, 4, "Ann"), ("a.swift", 9, 9, "Ann")]
+
+
+def test_limits_are_of_compatible_runs_only():
+    assert Config().limit("timed_merges") is None and Config(compat=True).limit("timed_merges") == 50
+    assert Config(compat=True, timed_merges=7).limit("timed_merges") == 7 and Config(hits_per_file=3).limit("hits_per_file") == 3
