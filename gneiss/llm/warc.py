@@ -33,6 +33,8 @@ from gneiss.llm.common import write_shared
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528  # fixed values: magic numbers of the two kinds of frame
 ARCHIVE_BYTES, DICTIONARY_BYTES, LEAST_SAMPLES = 8 << 20, 32 << 10, 32
 SALTS = 16
+#: Bytes of an archive that one task decodes, about, and tasks over which parts are dealt, at most.
+PART_BYTES, MOST_TASKS = 32 << 20, 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -77,29 +79,67 @@ def pack(records: list[bytes]) -> bytes:
     return lead + b"".join(coder.compress(r) for r in records)
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """The decompressed frames of an archive, one record each."""
-    view, at, trained = memoryview(data), 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE:
-        size = struct.unpack_from("<I", data, 4)[0]
-        if 8 + size > len(data):
-            raise WarcError("the dictionary frame is cut short")
-        raw, at = bytes(view[8 : 8 + size]), 8 + size
-        if raw[:4] == struct.pack("<I", FRAME):  # the dictionary may be compressed itself
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-        trained = zstandard.ZstdCompressionDict(raw)
-    decoder = zstandard.ZstdDecompressor(dict_data=trained)
-    while at < len(data):
-        if len(data) - at < 4 or struct.unpack_from("<I", data, at)[0] != FRAME:
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the frame that begins at a byte ends: its header, its blocks' headers and its checksum tell, without decoding."""
+    try:
+        head = zstandard.get_frame_parameters(data[at : at + 18])
+        end = at + zstandard.frame_header_size(data[at : at + 18])
+    except zstandard.ZstdError as e:
+        raise WarcError(f"bad frame header at byte {at}: {e}") from e
+    last = False
+    while not last:
+        if end + 3 > len(data):
+            raise WarcError(f"the frame at byte {at} is cut short")
+        block = int.from_bytes(data[end : end + 3], "little")
+        last, kind, size = bool(block & 1), block >> 1 & 3, block >> 3
+        if kind == 3:
+            raise WarcError(f"bad block at byte {end}")
+        end += 3 + (1 if kind == 1 else size)  # a run holds one byte however long it is
+    end += 4 * head.has_checksum
+    if end > len(data):
+        raise WarcError(f"the frame at byte {at} is cut short")
+    return end
+
+
+def leading(view: memoryview) -> tuple[bytes, int]:
+    """The dictionary in the leading skippable frame, b"" for none, and where the records begin."""
+    if len(view) < 8 or struct.unpack_from("<I", view)[0] != SKIPPABLE:
+        return b"", 0
+    size = struct.unpack_from("<I", view, 4)[0]
+    if 8 + size > len(view):
+        raise WarcError("the dictionary frame is cut short")
+    raw = bytes(view[8 : 8 + size])
+    if raw[:4] == struct.pack("<I", FRAME):  # the dictionary may be compressed itself
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+    return raw, 8 + size
+
+
+def spans(view: memoryview, at: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of each frame from a byte on."""
+    while at < len(view):
+        if len(view) - at < 4 or struct.unpack_from("<I", view, at)[0] != FRAME:
             raise WarcError(f"no frame at byte {at}")
+        end = frame_end(view, at)
+        yield at, end
+        at = end
+
+
+def frames(data: bytes, trained: bytes | None = None) -> Iterator[bytes]:
+    """The decompressed frames of an archive, one record each, each decoded from its own bytes only.
+
+    trained: the dictionary of the archive that ``data`` is a part of; None: it may lead the data.
+    """
+    view = memoryview(data)
+    raw, at = leading(view) if trained is None else (trained, 0)
+    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    for begin, end in spans(view, at):
         one = decoder.decompressobj()
         try:
-            out = one.decompress(view[at:])
+            out = one.decompress(view[begin:end])
         except zstandard.ZstdError as e:
-            raise WarcError(f"bad frame at byte {at}: {e}") from e
-        if not one.eof:
-            raise WarcError(f"the frame at byte {at} is cut short")
-        at = len(data) - len(one.unused_data)
+            raise WarcError(f"bad frame at byte {begin}: {e}") from e
+        if not one.eof or one.unused_data:
+            raise WarcError(f"the frame at byte {begin} doesn't end where its blocks do")
         yield out
 
 
@@ -244,8 +284,35 @@ def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYT
     return write_shared(rows.mapInArrow(run, "name string, data binary"), "warc")
 
 
-def decoded(archives: DataFrame, data: str, make, schema: str) -> DataFrame:
-    """Rows of ``schema`` that make(headers, block) gives for records, but for those where it gives None."""
+def parts(archives: DataFrame, data: str, part_bytes: int) -> DataFrame:
+    """(trained, part): archives cut at frames into parts of about ``part_bytes``, each with the archive's dictionary.
+
+    Only headers are read to cut; a long archive is then decoded by many tasks.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for archive in batch.column(0):
+                view = memoryview(archive.as_buffer())
+                raw, begin = leading(view)
+                done = begin
+                for _, end in spans(view, begin):
+                    if end - begin >= part_bytes or end == len(view):
+                        yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([view[begin:end]], pa.binary())], names=["trained", "part"])
+                        begin = end
+                    done = end
+                if done != len(view):
+                    raise WarcError(f"bytes after the frame that ends at {done}")
+
+    return archives.select(F.col(data)).mapInArrow(run, "trained binary, part binary")
+
+
+def decoded(archives: DataFrame, data: str, make, schema: str, trained: str | None = None) -> DataFrame:
+    """Rows of ``schema`` that make(headers, block) gives for records, but for those where it gives None.
+
+    trained: the column of the dictionaries, where ``data`` holds parts of archives.
+    """
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -257,9 +324,9 @@ def decoded(archives: DataFrame, data: str, make, schema: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), kinds, strict=True)], names=kinds.names)
 
         for batch in batches:
-            for archive in batch.column(0):
+            for archive, dictionary in zip(batch.column(0), batch.column(1), strict=True):
                 rows, held = [], 0
-                for one in frames(archive.as_py()):
+                for one in frames(archive.as_py(), dictionary.as_py()):
                     row = make(*parse(one))
                     if row is not None:
                         rows.append(row)
@@ -270,16 +337,16 @@ def decoded(archives: DataFrame, data: str, make, schema: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return archives.select(F.col(data)).mapInArrow(run, schema)
+    return archives.select(F.col(data), F.col(trained) if trained else F.lit(None).cast("binary")).mapInArrow(run, schema)
 
 
-def read_records(archives: DataFrame, data: str = "data") -> DataFrame:
+def read_records(archives: DataFrame, data: str = "data", trained: str | None = None) -> DataFrame:
     """All records of archives (a table with a binary column), of any type: the columns of RECORD.
 
     ``headers`` has lower-case names, repeated ones joined by commas; ``payload`` is an HTTP body without
     chunk sizes, or else the whole block, and null for a revisit.
     """
-    return decoded(archives, data, lambda headers, block: (*(r := whole(headers, block))[:4], list(r[4].items()), *r[5:]), RECORD)
+    return decoded(archives, data, lambda headers, block: (*(r := whole(headers, block))[:4], list(r[4].items()), *r[5:]), RECORD, trained)
 
 
 def read(archives: DataFrame, data: str = "data") -> DataFrame:
@@ -287,6 +354,13 @@ def read(archives: DataFrame, data: str = "data") -> DataFrame:
     return decoded(archives, data, lambda headers, block: interpret(headers, block) if headers["warc-type"] in ("response", "revisit") else None, RESULT)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """All records, as read_records gives them, of .warc.zst files that any Hadoop store holds."""
-    return read_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(path), "content")
+def read_files(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """All records, as read_records gives them, of .warc.zst files of up to 2 GB that any Hadoop store holds.
+
+    Files are cut at frames into parts, and parts are dealt over tasks before they are decoded.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(path)
+    n = max(1, (files.agg(F.sum("length")).first()[0] or 0) // part_bytes)
+    cut = parts(files, "content", part_bytes)
+    # dealt by content, so a repeated task deals them alike
+    return read_records(cut.repartition(min(n, MOST_TASKS), F.xxhash64("part")), "part", "trained")

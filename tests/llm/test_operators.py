@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -361,6 +362,35 @@ def test_warc_archives_are_validated(tmp_path, spark):
     assert warc.read_files(spark, str(tmp_path)).count() == 200
 
 
+def test_warc_reading_is_linear_in_bytes(tmp_path, spark):
+    """Frames are decoded from their own bytes: twice the archive takes about twice the time, whatever follows a frame."""
+    rng = random.Random(1)
+    record = [warc.record(i, f"http://h/{i}", rng.randbytes(700), None) for i in range(2000)]
+    coder = zstandard.ZstdCompressor()
+    took = []
+    for times in (1, 8):
+        data = b"".join(coder.compress(r) for r in record) * times
+        began = time.process_time()
+        assert sum(1 for _ in warc.frames(data)) == 2000 * times
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0]
+    (tmp_path / "big.warc.zst").write_bytes(warc.pack(record) * 1)
+    (tmp_path / "none.warc.zst").write_bytes(b"")
+    read = warc.read_files(spark, str(tmp_path), part_bytes=200_000)
+    assert read.rdd.getNumPartitions() > 4 and sorted(r.record_id for r in read.collect()) == sorted(f"<urn:page:{i}>" for i in range(2000))
+
+
+def test_warc_frame_ends():
+    for level, text in ((1, b""), (3, b"a" * 1_000_000), (19, random.Random(2).randbytes(300_000)), (5, b"abc " * 50_000)):
+        for sized, checked in ((True, True), (False, False)):
+            one = zstandard.ZstdCompressor(level=level, write_content_size=sized, write_checksum=checked).compress(text)
+            assert warc.frame_end(memoryview(b"x" + one + one), 1) == 1 + len(one)
+            assert list(warc.frames(one + one)) == [text, text]
+            for bad in (one[:-1], one[:6], one[:4]):
+                with pytest.raises(warc.WarcError):
+                    list(warc.frames(one + bad))
+
+
 def test_warc_reads_ordinary_archives(tmp_path, spark):
     """Records of other tools: any type, uuid ids, chunked bodies, folded and missing headers."""
     made = lambda kind, more, block: (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n{more}Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
