@@ -135,55 +135,146 @@ def features(files: DataFrame, declarations: DataFrame) -> DataFrame:
     return wide.join(declaration_counts(declarations)).join(imports)  # one row each
 
 
-def steps(c: Column, *tiers: tuple[int, float]) -> Column:
-    """The value of the highest tier that a count reaches; tiers from the highest down."""
-    out = None
-    for least, value in tiers:
-        out = F.when(c >= least, value) if out is None else out.when(c >= least, value)
-    return out.otherwise(0.0)
-
-
-def pattern_scores() -> dict[str, Column]:
-    """The score of each pattern over the feature row (fixed values: the points)."""
-    f = lambda r: F.col(f"f_{r}")
-    t = lambda r: F.col(f"f_{r}") + F.col(f"d_{r}")
-    d = lambda r: F.col(f"d_{r}")
-    imported = lambda m: F.array_contains("imports", m)
-    bonus = lambda c, v: F.when(c, v).otherwise(0.0)
-    stores, states, actions = F.col("stores"), F.col("states"), F.col("actions")
-    views = f("view") + f("viewController")
+# fixed values: points of each pattern by what it is counted on; of a group's tiers (at least, points) the highest one reached counts.
+# f: files of a role, d: its types, t: both; i: whether a module is imported
+TIERS = (
+    ("TCA", "base", "i_ComposableArchitecture", ((1, 0.65),)),
+    ("TCA", "base", "f_feature", ((2, 0.20), (1, 0.10))),
+    ("TCA", "base", "d_feature", ((2, 0.10), (1, 0.05))),
+    ("TCA", "base", "f_reducer", ((2, 0.05), (1, 0.02))),
+    ("TCA", "base", "d_reducer", ((2, 0.10), (1, 0.05))),
+    ("TCA", "base", "states", ((2, 0.08), (1, 0.04))),
+    ("TCA", "base", "actions", ((2, 0.08), (1, 0.04))),
+    ("TCA", "base", "stores", ((1, 0.05),)),
+    ("VIP", "base", "business", ((1, 0.30),)),
+    ("VIP", "base", "presentation", ((1, 0.25),)),
+    ("VIP", "base", "display", ((1, 0.20),)),
+    ("VIP", "base", "routing", ((1, 0.15),)),
+    ("VIP", "base", "f_interactor", ((2, 0.05), (1, 0.02))),
+    ("VIP", "base", "f_presenter", ((2, 0.05), (1, 0.02))),
+    ("VIPER", "hits", "views", ((1, 1.0),)),
+    ("VIPER", "hits", "t_interactor", ((1, 1.0),)),
+    ("VIPER", "hits", "t_presenter", ((1, 1.0),)),
+    ("VIPER", "hits", "t_entity", ((1, 1.0),)),
+    ("VIPER", "hits", "t_router", ((1, 1.0),)),
+    ("RIBs", "base", "t_builder", ((3, 0.35), (2, 0.25), (1, 0.15))),
+    ("RIBs", "base", "t_router", ((3, 0.30), (2, 0.22), (1, 0.12))),
+    ("RIBs", "base", "t_interactor", ((3, 0.25), (2, 0.18), (1, 0.10))),
+    ("Clean", "hits", "f_useCase", ((1, 1.0),)),
+    ("Clean", "hits", "f_repository", ((1, 1.0),)),
+    ("Clean", "hits", "t_entity", ((2, 1.0),)),
+    ("Clean", "base", "f_useCase", ((3, 0.35), (2, 0.25), (1, 0.15))),
+    ("Clean", "base", "f_repository", ((2, 0.30), (1, 0.18))),
+    ("Clean", "base", "t_entity", ((2, 0.15),)),
+    ("Clean", "base", "f_service", ((1, 0.08),)),
+    ("Redux", "base", "i_ReSwift|Redux", ((1, 0.55),)),
+    ("Redux", "base", "states", ((2, 0.20), (1, 0.10))),
+    ("Redux", "base", "actions", ((2, 0.20), (1, 0.10))),
+    ("Redux", "base", "t_reducer", ((1, 0.08),)),
+    ("Redux", "base", "f_reducer", ((2, 0.07),)),
+    ("Redux", "base", "stores", ((1, 0.10),)),
+    ("MVVM+C", "base", "t_viewModel", ((2, 0.50), (1, 0.35))),
+    ("MVVM+C", "base", "f_viewModel", ((3, 0.20),)),
+    ("MVVM+C", "base", "f_coordinator", ((2, 0.15),)),
+    ("MVVM+C", "base", "f_model", ((1, 0.10),)),
+    ("MVVM+S", "base", "t_viewModel", ((2, 0.45), (1, 0.30))),
+    ("MVVM+S", "base", "f_viewModel", ((3, 0.15),)),
+    ("MVVM+S", "base", "t_service", ((4, 0.30), (2, 0.20))),
+    ("MVVM+S", "base", "f_model", ((1, 0.10),)),
+    ("MVVM", "base", "t_viewModel", ((2, 0.40), (1, 0.22))),
+    ("MVVM", "base", "f_viewModel", ((3, 0.20),)),
+    ("MVVM", "base", "f_model", ((2, 0.15),)),
+    ("MVVM", "base", "views", ((2, 0.15),)),
+    ("MVVM", "penalty", "t_coordinator", ((1, 0.20),)),
+    ("MVVM", "penalty", "t_service", ((2, 0.15),)),
+    ("MVP", "base", "t_presenter", ((2, 0.50), (1, 0.30))),
+    ("MVP", "base", "f_presenter", ((3, 0.20),)),
+    ("MVP", "base", "views", ((2, 0.20),)),
+    ("MVP", "base", "f_model", ((1, 0.10),)),
+    ("MVC", "base", "f_viewController", ((5, 0.60), (2, 0.40), (1, 0.25))),
+    ("MVC", "base", "i_UIKit", ((1, 0.20),)),
+    ("MVC", "base", "f_model", ((1, 0.10),)),
+    ("MV", "base", "i_SwiftUI", ((1, 0.50),)),
+    ("MV", "base", "f_view", ((3, 0.30),)),
+    ("MV", "base", "f_model", ((1, 0.20),)),
+    ("PureMVC", "hits", "t_facade", ((1, 1.0),)),
+    ("PureMVC", "hits", "t_proxy", ((1, 1.0),)),
+    ("PureMVC", "hits", "t_mediator", ((1, 1.0),)),
+    ("PureMVC", "hits", "t_command", ((1, 1.0),)),
+    ("PureMVC", "base", "i_PureMVC", ((1, 0.75),)),
+    ("PureMVC", "base", "t_facade", ((1, 0.10),)),
+    ("PureMVC", "base", "t_proxy", ((3, 0.15), (1, 0.08))),
+    ("PureMVC", "base", "t_mediator", ((3, 0.15), (1, 0.08))),
+    ("PureMVC", "base", "t_command", ((3, 0.10), (1, 0.05))),
+)
+PATTERNS = tuple(dict.fromkeys(t[0] for t in TIERS))
+FEATURES = tuple(
+    [f"{x}_{r.name}" for r in ROLES for x in "fdt"]
+    + ["views", "business", "presentation", "display", "routing", "stores", "states", "actions"]
+    + ["i_ComposableArchitecture", "i_ReSwift|Redux", "i_UIKit", "i_SwiftUI", "i_PureMVC"]
+)
+
+
+def feature_values(row: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, feature, value) from rows of ``features``: what the tiers of the patterns are held against."""
+    f, d = (lambda r: F.col(f"f_{r}")), (lambda r: F.col(f"d_{r}"))
+    value = {f"f_{r.name}": f(r.name) for r in ROLES} | {f"d_{r.name}": d(r.name) for r in ROLES} | {f"t_{r.name}": f(r.name) + d(r.name) for r in ROLES}
+    value |= {"views": f("view") + f("viewController")} | {c: F.col(c) for c in ("business", "presentation", "display", "routing", "stores", "states", "actions")}
+    value |= {x: F.arrays_overlap("imports", F.array(*map(F.lit, x[2:].split("|")))).cast("long") for x in FEATURES if x.startswith("i_")}
+    pairs = F.array(*(F.struct(F.lit(x).alias("feature"), F.coalesce(value[x], F.lit(0)).cast("long").alias("value")) for x in FEATURES))
+    return row.select(*(keys or []), F.explode(pairs).alias("v")).select(*(keys or []), "v.*")
+
+
+def scorecard(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pattern, score) of every pattern for every key, from (keys, feature, value); a feature without a row is 0.
+
+    Values meet the table of tiers by their feature, what they reach is summed per pattern, and each pattern's
+    conditions are applied to the sums; any number of projects are scored at once.
+    """
+    rows = [(p, part, x, least, points) for p, part, x, tiers in TIERS for least, points in tiers]
+    tiers = values.sparkSession.createDataFrame(rows, "pattern string, part string, feature string, least long, points double")
+    reached = values.join(F.broadcast(tiers), "feature").filter("value >= least").groupBy(*keys, "pattern", "part", "feature").agg(F.max("points").alias("points"))
+    part = lambda x: F.sum(F.when(F.col("part") == x, F.col("points"))).alias(x)
+    sums = reached.groupBy(*keys, "pattern").agg(part("base"), part("hits"), part("penalty"))
+    wide = values.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("feature") == x, F.col("value"))), F.lit(0)).alias(x) for x in FEATURES))
+    every = wide.withColumn("pattern", F.explode(F.array(*map(F.lit, PATTERNS))))
+    got = every.join(sums, [*keys, "pattern"], "left").fillna(0.0, ["base", "hits", "penalty"])
+    f, t = (lambda r: F.col(f"f_{r}")), (lambda r: F.col(f"t_{r}"))
+    imported = lambda m: F.col(f"`i_{m}`") > 0
+    views, base, hits = F.col("views"), F.col("base"), F.col("hits")
+    few = lambda c, share: (views >= 20) & (c < F.greatest(F.lit(1), F.floor(views / share)))
     logic = F.col("business") + F.col("presentation") + F.col("display")
-    composable = imported("ComposableArchitecture")
-    out = {}
-    out["TCA"] = bonus(composable, 0.65) + steps(f("feature"), (2, 0.20), (1, 0.10)) + steps(d("feature"), (2, 0.10), (1, 0.05)) + steps(f("reducer"), (2, 0.05), (1, 0.02)) + steps(d("reducer"), (2, 0.10), (1, 0.05)) + steps(states, (2, 0.08), (1, 0.04)) + steps(actions, (2, 0.08), (1, 0.04)) + steps(stores, (1, 0.05))
-    out["VIP"] = steps(F.col("business"), (1, 0.30)) + steps(F.col("presentation"), (1, 0.25)) + steps(F.col("display"), (1, 0.20)) + steps(F.col("routing"), (1, 0.15)) + steps(f("interactor"), (2, 0.05), (1, 0.02)) + steps(f("presenter"), (2, 0.05), (1, 0.02))
-    viper = steps(views, (1, 1.0)) + sum((steps(t(r), (1, 1.0)) for r in ("interactor", "presenter", "entity", "router")), F.lit(0.0))
-    out["VIPER"] = F.when(viper >= 2, F.greatest(viper / 5 * 0.85 - F.least(logic * 0.05, F.lit(0.3)), F.lit(0.0))).otherwise(0.0)
-    ribs = steps(t("builder"), (3, 0.35), (2, 0.25), (1, 0.15)) + steps(t("router"), (3, 0.30), (2, 0.22), (1, 0.12)) + steps(t("interactor"), (3, 0.25), (2, 0.18), (1, 0.10))
-    out["RIBs"] = ribs + bonus(ribs > 0, 0.10)
-    hits = steps(f("useCase"), (1, 1.0)) + steps(f("repository"), (1, 1.0)) + steps(t("entity"), (2, 1.0))
-    out["Clean"] = F.when(hits >= 2, steps(f("useCase"), (3, 0.35), (2, 0.25), (1, 0.15)) + steps(f("repository"), (2, 0.30), (1, 0.18)) + steps(t("entity"), (2, 0.15)) + steps(f("service"), (1, 0.08))).otherwise(0.0)
-    reducers = F.when(t("reducer") >= 1, steps(f("reducer"), (2, 0.15), (0, 0.08))).otherwise(0.0)
-    out["Redux"] = F.when(composable, 0.0).otherwise(bonus(imported("ReSwift") | imported("Redux"), 0.55) + steps(states, (2, 0.20), (1, 0.10)) + steps(actions, (2, 0.20), (1, 0.10)) + reducers + steps(stores, (1, 0.10)))
-    few = lambda c, part: (views >= 20) & (c < F.greatest(F.lit(1), F.floor(views / part)))
-    out["MVVM+C"] = F.when((t("viewModel") < 1) | (t("coordinator") < 1) | few(f("coordinator"), 200) | ((t("service") > t("coordinator")) & (t("coordinator") <= 1)), 0.0).otherwise(steps(t("viewModel"), (2, 0.50), (1, 0.35)) + steps(f("viewModel"), (3, 0.20)) + steps(f("coordinator"), (2, 0.15)) + steps(f("model"), (1, 0.10)))
-    out["MVVM+S"] = F.when((t("viewModel") < 1) | (f("service") < 1) | few(f("service"), 100) | (t("service") < t("coordinator")), 0.0).otherwise(steps(t("viewModel"), (2, 0.45), (1, 0.30)) + steps(f("viewModel"), (3, 0.15)) + steps(t("service"), (2, 0.20)) + steps(t("service"), (4, 0.10)) + steps(f("model"), (1, 0.10)))
-    penalty = F.least(steps(t("coordinator"), (1, 0.20)) + steps(t("service"), (2, 0.15)), F.lit(0.25))
-    out["MVVM"] = F.when((t("viewModel") < 1) | few(f("viewModel"), 100), 0.0).otherwise(F.greatest(steps(t("viewModel"), (2, 0.40), (1, 0.22)) + steps(f("viewModel"), (3, 0.20)) + steps(f("model"), (2, 0.15)) + steps(views, (2, 0.15)) - penalty, F.lit(0.0)))
-    out["MVP"] = F.when((t("presenter") < 1) | (t("viewModel") > 0), 0.0).otherwise(steps(t("presenter"), (2, 0.50), (1, 0.30)) + steps(f("presenter"), (3, 0.20)) + steps(views, (2, 0.20)) + steps(f("model"), (1, 0.10)))
-    out["MVC"] = F.when((f("viewController") < 1) | (t("viewModel") > 0) | (f("presenter") > 0) | composable, 0.0).otherwise(steps(f("viewController"), (2, 0.40), (1, 0.25)) + bonus(imported("UIKit"), 0.20) + steps(f("viewController"), (5, 0.20)) + steps(f("model"), (1, 0.10)) + bonus(f("router") == 0, 0.10))
-    out["MV"] = F.when(~imported("SwiftUI") | (t("viewModel") > 0) | (f("viewController") > 0), 0.0).otherwise(0.5 + steps(f("view"), (3, 0.30)) + steps(f("model"), (1, 0.20)))
-    kinds = sum((steps(t(r), (1, 1.0)) for r in ("facade", "proxy", "mediator", "command")), F.lit(0.0))
-    pure = bonus(imported("PureMVC"), 0.75) + steps(t("facade"), (1, 0.10)) + steps(t("proxy"), (3, 0.15), (1, 0.08)) + steps(t("mediator"), (3, 0.15), (1, 0.08)) + steps(t("command"), (3, 0.10), (1, 0.05))
-    out["PureMVC"] = F.when(~imported("PureMVC") & (kinds < 2), 0.0).otherwise(pure)
-    return {k: F.least(v, F.lit(1.0)) for k, v in out.items()}
+    # fixed values: when a pattern scores nothing
+    none = {
+        "VIPER": hits < 2,
+        "Clean": hits < 2,
+        "Redux": imported("ComposableArchitecture"),
+        "MVVM+C": (t("viewModel") < 1) | (t("coordinator") < 1) | few(f("coordinator"), 200) | ((t("service") > t("coordinator")) & (t("coordinator") <= 1)),
+        "MVVM+S": (t("viewModel") < 1) | (f("service") < 1) | few(f("service"), 100) | (t("service") < t("coordinator")),
+        "MVVM": (t("viewModel") < 1) | few(f("viewModel"), 100),
+        "MVP": (t("presenter") < 1) | (t("viewModel") > 0),
+        "MVC": (f("viewController") < 1) | (t("viewModel") > 0) | (f("presenter") > 0) | imported("ComposableArchitecture"),
+        "MV": ~imported("SwiftUI") | (t("viewModel") > 0) | (f("viewController") > 0),
+        "PureMVC": ~imported("PureMVC") & (hits < 2),
+    }
+    # and what is more than a sum
+    made = {
+        "VIPER": hits / 5 * 0.85 - F.least(logic * 0.05, F.lit(0.3)),
+        "RIBs": base + F.when(base > 0, 0.10).otherwise(0.0),
+        "MVVM": base - F.least(F.col("penalty"), F.lit(0.25)),
+        "MVC": base + F.when(f("router") == 0, 0.10).otherwise(0.0),
+    }
+    score = F.lit(0.0)
+    for p in PATTERNS:
+        score = F.when(F.col("pattern") == p, F.when(none[p], 0.0).otherwise(made.get(p, base)) if p in none else made.get(p, base)).otherwise(score)
+    return got.select(*keys, "pattern", F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))).alias("score"))
 
 
 def patterns(files: DataFrame, declarations: DataFrame, threshold: float = 0.15, k: int = 5) -> DataFrame:
     """The k best patterns (pattern, score) of at least the threshold."""
-    cases = [F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("pattern"), score.alias("score")) for i, (name, score) in enumerate(pattern_scores().items())]
-    rows = features(files, declarations).select(F.explode(F.array(*cases)).alias("p")).select("p.*")
-    return rows.filter(F.col("score") >= threshold).orderBy(F.round("score", 9).desc(), "ordinal").limit(k).select("pattern", "score")
+    scores = scorecard(feature_values(features(files, declarations)), [])
+    place = F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("pattern"))
+    return scores.filter(F.col("score") >= threshold).orderBy(F.round("score", 9).desc(), place).limit(k)
 
 
 def role_health(files: Column, lines: Column, decls: Column) -> Column:
@@ -192,11 +283,21 @@ def role_health(files: Column, lines: Column, decls: Column) -> Column:
 
 
 # fixed values: the roles that a pattern's letters stand for
-LETTERS = {
-    "TCA": "feature state action reducer", "VIP": "view interactor presenter", "VIPER": "view interactor presenter entity router", "RIBs": "router interactor builder", "Clean": "useCase repository entity",
-    "Redux": "state action reducer store", "MVVM+C": "model view viewModel coordinator", "MVVM+S": "model view viewModel service", "MVVM": "model view viewModel", "MVP": "model view presenter",
-    "MVC": "model view viewController", "MV": "model view", "PureMVC": "facade proxy mediator command",
-}
+LETTERS = (
+    ("TCA", ("feature", "state", "action", "reducer")),
+    ("VIP", ("view", "interactor", "presenter")),
+    ("VIPER", ("view", "interactor", "presenter", "entity", "router")),
+    ("RIBs", ("router", "interactor", "builder")),
+    ("Clean", ("useCase", "repository", "entity")),
+    ("Redux", ("state", "action", "reducer", "store")),
+    ("MVVM+C", ("model", "view", "viewModel", "coordinator")),
+    ("MVVM+S", ("model", "view", "viewModel", "service")),
+    ("MVVM", ("model", "view", "viewModel")),
+    ("MVP", ("model", "view", "presenter")),
+    ("MVC", ("model", "view", "viewController")),
+    ("MV", ("model", "view")),
+    ("PureMVC", ("facade", "proxy", "mediator", "command")),
+)
 
 
 def all_roles(files: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -206,18 +307,23 @@ def all_roles(files: DataFrame, declarations: DataFrame) -> DataFrame:
     return roles.unionByName(declaration_counts(declarations).select(F.explode(kinds).alias("k")).select("k.*"))
 
 
+def letter_health(found: DataFrame, roles: DataFrame) -> DataFrame:
+    """pattern, ordinal, role, files, decls and health of every letter of patterns (pattern), from ``all_roles``."""
+    table = found.sparkSession.createDataFrame([(p, i, r) for p, some in LETTERS for i, r in enumerate(some)], "pattern string, ordinal int, role string")
+    return found.join(F.broadcast(table), "pattern").join(roles, "role").select(*found.columns, "ordinal", "role", "files", "decls", role_health(F.col("files"), F.col("lines"), F.col("decls")).alias("health"))
+
+
 def pattern_letters(files: DataFrame, declarations: DataFrame) -> DataFrame:
     """pattern, role, files, decls and health of every letter of the patterns found."""
-    spark = files.sparkSession
-    table = spark.createDataFrame([(p, i, r) for p, some in LETTERS.items() for i, r in enumerate(some.split())], "pattern string, ordinal int, role string")
-    found = patterns(files, declarations).join(table, "pattern").join(all_roles(files, declarations), "role")
-    return found.select("pattern", "ordinal", "role", "files", "decls", role_health(F.col("files"), F.col("lines"), F.col("decls")).alias("health"), "score").orderBy(F.round("score", 9).desc(), "pattern", "ordinal").drop("score")
+    found = letter_health(patterns(files, declarations), all_roles(files, declarations))
+    return found.orderBy(F.round("score", 9).desc(), "pattern", "ordinal").select("pattern", "ordinal", "role", "files", "decls", "health")
 
 
 def letters(files: DataFrame, declarations: DataFrame) -> DataFrame:
     """One row: whether a command layer and an event bus stand beside the pattern; a weak one is hidden by a strong pattern."""
     row = features(files, declarations).join(role_stats(files, declarations).filter("role = 'command'").select(F.col("lines").alias("command_lines")))
-    top = F.array_max(F.array(*pattern_scores().values()))
+    best = scorecard(feature_values(features(files, declarations)), []).agg(F.max("score").alias("top"))
+    row, top = row.join(best), F.col("top")  # one row each
     health = role_health(F.col("f_command"), F.col("command_lines"), F.col("d_command"))
     bus = (F.col("f_eventBus") > 0) | F.arrays_overlap("imports", F.array(F.lit("EmitterKit"), F.lit("Signals"))) | (F.col("notification_names") >= 3)
     return row.select(((health == "present") | ((health == "weak") & (top < 0.5))).alias("command"), bus.alias("event_bus"))

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import graph, matching, packages, parse
+from gneiss.operators import architecture, graph, matching, packages, parse
 from gneiss.plans.catalogue import query, table
-from gneiss.plans.planted import placed
+from gneiss.plans.planted import placed, planted, sql_list
 
 # a tree of folders by the digits of a part's key; manifests stand on some of them, two in one folder of each tenth
 _FOLDERS = """SELECT p_partkey AS k, 'T' || p_partkey % 7 AS top, 'M' || p_partkey % 5 AS mid, 'L' || p_partkey % 3 AS leaf FROM part"""
@@ -91,3 +91,98 @@ def supplier_cycles(spark, d):
 def project_summary(spark, d):
     """Files and lines by package, build system and layer, and in all, from one pass."""
     return packages.rolled_up(placed(spark, d))
+
+
+# scores of architecture patterns for a project per part: counts of roles, types and imports follow from its key
+
+_COUNTS = [x for x in architecture.FEATURES if x[:2] in ("f_", "d_") or x in ("business", "presentation", "display", "routing", "stores", "states", "actions")]
+_MODULES = ["ComposableArchitecture", "ReSwift", "Redux", "UIKit", "SwiftUI", "PureMVC"]
+
+
+def count_sql(i: int) -> str:
+    """The i-th count of project k: 0 in most, else up to 30."""
+    return f"(CASE WHEN (k * {2 * i + 3} + k // 7) % 11 < 5 THEN 0 WHEN (k * {2 * i + 3} + k // 7) % 11 < 10 THEN (k + {i}) % 6 ELSE 30 END)"
+
+
+def _sql_steps(x: str, *tiers: tuple[int, float]) -> str:
+    return "(CASE " + " ".join(f"WHEN {x} >= {n} THEN {v}" for n, v in tiers) + " ELSE 0 END)"
+
+
+def _scores_sql() -> str:
+    s = _sql_steps
+    t = lambda r: f"(f_{r} + d_{r})"
+    few = lambda c, n: f"(views >= 20 AND {c} < greatest(1, views // {n}))"
+    yes = lambda c, v: f"(CASE WHEN {c} THEN {v} ELSE 0 END)"
+    add = " + ".join
+    hits = add(s(x, (1, 1)) for x in ("views", t("interactor"), t("presenter"), t("entity"), t("router")))
+    ribs = add((s(t("builder"), (3, 0.35), (2, 0.25), (1, 0.15)), s(t("router"), (3, 0.30), (2, 0.22), (1, 0.12)), s(t("interactor"), (3, 0.25), (2, 0.18), (1, 0.10))))
+    pure = add(yes(f"{t(r)} >= 1", 1) for r in ("facade", "proxy", "mediator", "command"))
+    return ", ".join(f"least({e}, 1.0) AS \"{name}\"" for name, e in {
+        "TCA": add((yes("tca", 0.65), s("f_feature", (2, 0.20), (1, 0.10)), s("d_feature", (2, 0.10), (1, 0.05)), s("f_reducer", (2, 0.05), (1, 0.02)), s("d_reducer", (2, 0.10), (1, 0.05)), s("states", (2, 0.08), (1, 0.04)), s("actions", (2, 0.08), (1, 0.04)), s("stores", (1, 0.05)))),
+        "VIP": add((s("business", (1, 0.30)), s("presentation", (1, 0.25)), s("display", (1, 0.20)), s("routing", (1, 0.15)), s("f_interactor", (2, 0.05), (1, 0.02)), s("f_presenter", (2, 0.05), (1, 0.02)))),
+        "VIPER": yes(f"{hits} >= 2", f"greatest(({hits}) / 5.0 * 0.85 - least((business + presentation + display) * 0.05, 0.3), 0)"),
+        "RIBs": f"{ribs} + {yes(f'{ribs} > 0', 0.10)}",
+        "Clean": yes(f"{yes('f_useCase >= 1', 1)} + {yes('f_repository >= 1', 1)} + {yes(t('entity') + ' >= 2', 1)} >= 2", add((s("f_useCase", (3, 0.35), (2, 0.25), (1, 0.15)), s("f_repository", (2, 0.30), (1, 0.18)), s(t("entity"), (2, 0.15)), s("f_service", (1, 0.08))))),
+        "Redux": yes("NOT tca", add((yes("redux", 0.55), s("states", (2, 0.20), (1, 0.10)), s("actions", (2, 0.20), (1, 0.10)), yes(f"{t('reducer')} >= 1", s("f_reducer", (2, 0.15), (0, 0.08))), s("stores", (1, 0.10))))),
+        "MVVM+C": yes(f"NOT ({t('viewModel')} < 1 OR {t('coordinator')} < 1 OR {few('f_coordinator', 200)} OR ({t('service')} > {t('coordinator')} AND {t('coordinator')} <= 1))",
+            add((s(t("viewModel"), (2, 0.50), (1, 0.35)), s("f_viewModel", (3, 0.20)), s("f_coordinator", (2, 0.15)), s("f_model", (1, 0.10))))),
+        "MVVM+S": yes(f"NOT ({t('viewModel')} < 1 OR f_service < 1 OR {few('f_service', 100)} OR {t('service')} < {t('coordinator')})",
+            add((s(t("viewModel"), (2, 0.45), (1, 0.30)), s("f_viewModel", (3, 0.15)), s(t("service"), (2, 0.20)), s(t("service"), (4, 0.10)), s("f_model", (1, 0.10))))),
+        "MVVM": yes(f"NOT ({t('viewModel')} < 1 OR {few('f_viewModel', 100)})", "greatest(0, " + add((s(t("viewModel"), (2, 0.40), (1, 0.22)), s("f_viewModel", (3, 0.20)), s("f_model", (2, 0.15)), s("views", (2, 0.15)))) + f" - least({s(t('coordinator'), (1, 0.20))} + {s(t('service'), (2, 0.15))}, 0.25))"),
+        "MVP": yes(f"NOT ({t('presenter')} < 1 OR {t('viewModel')} > 0)", add((s(t("presenter"), (2, 0.50), (1, 0.30)), s("f_presenter", (3, 0.20)), s("views", (2, 0.20)), s("f_model", (1, 0.10))))),
+        "MVC": yes(f"NOT (f_viewController < 1 OR {t('viewModel')} > 0 OR f_presenter > 0 OR tca)", add((s("f_viewController", (2, 0.40), (1, 0.25)), yes("uikit", 0.20), s("f_viewController", (5, 0.20)), s("f_model", (1, 0.10)), yes("f_router = 0", 0.10)))),
+        "MV": yes(f"swiftui AND {t('viewModel')} = 0 AND f_viewController = 0", add(("0.5", s("f_view", (3, 0.30)), s("f_model", (1, 0.20))))),
+        "PureMVC": yes(f"pure OR {pure} >= 2", add((yes("pure", 0.75), s(t("facade"), (1, 0.10)), s(t("proxy"), (3, 0.15), (1, 0.08)), s(t("mediator"), (3, 0.15), (1, 0.08)), s(t("command"), (3, 0.10), (1, 0.05))))),
+    }.items())
+
+
+_PROJECTS = f"""p AS (SELECT p_partkey AS k FROM part), c AS (SELECT k, {', '.join(f'{count_sql(i)} AS {x}' for i, x in enumerate(_COUNTS))},
+    k % 5 = 0 AS tca, k % 7 IN (1, 3) AS redux, k % 3 = 0 AS uikit, k % 4 = 1 AS swiftui, k % 13 = 6 AS pure FROM p), v AS (SELECT *, f_view + f_viewController AS views FROM c)"""
+
+
+@query(f"WITH {_PROJECTS}, w AS (SELECT k, {_scores_sql()} FROM v), u AS (UNPIVOT w ON COLUMNS(* EXCLUDE k) INTO NAME pattern VALUE score) SELECT k, pattern, round(CAST(score AS DOUBLE), 6) AS score FROM u")
+def pattern_scorecard(spark, d):
+    """The thirteen pattern scores of every project, all projects at once."""
+    k = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    has = {"ComposableArchitecture": "k % 5 = 0", "ReSwift": "k % 7 = 1", "Redux": "k % 7 = 3", "UIKit": "k % 3 = 0", "SwiftUI": "k % 4 = 1", "PureMVC": "k % 13 = 6"}
+    counts = [F.expr(count_sql(i).replace("//", "div")).alias(x) for i, x in enumerate(_COUNTS)]
+    imports = F.array_compact(F.array(*(F.when(F.expr(has[m]), F.lit(m)) for m in _MODULES))).alias("imports")
+    scores = architecture.scorecard(architecture.feature_values(k.select("k", *counts, imports), ["k"]), ["k"])
+    return scores.select("k", "pattern", F.round("score", 6).alias("score"))
+
+
+# a file of every role by name or by folder: path, declaration, roles of the file, role of the type
+ACTING = [
+    ("src/Item{k}Model.swift", "struct Item{k}Model { }", ["model"], "model"), ("src/Item{k}DTO.swift", "struct Item{k}DTO { }", ["model"], ""), ("src/models/Item{k}.swift", "struct Item{k} { }", ["model"], ""),
+    ("src/Item{k}View.swift", "struct Item{k}View { }", ["view"], ""), ("src/Item{k}Screen.swift", "struct Item{k}Screen { }", ["view"], ""), ("src/views/Item{k}.swift", "struct Item{k} { }", ["view"], ""),
+    ("src/Item{k}ViewController.swift", "class Item{k}ViewController { }", ["viewController"], ""), ("src/Item{k}Controller.swift", "class Item{k}Controller { }", ["viewController"], ""), ("src/Odd{k}.swift", "class Odd{k}ViewController { }", ["viewController"], ""),
+    ("src/Item{k}ViewModel.swift", "class Item{k}ViewModel { }", ["model", "viewModel"], "viewModel+model"), ("src/Item{k}Presenter.swift", "class Item{k}Presenter { }", ["presenter"], "presenter"), ("src/Item{k}Interactor.swift", "class Item{k}Interactor { }", ["interactor"], "interactor"),
+    ("src/Item{k}Router.swift", "class Item{k}Router { }", ["router"], "router"), ("src/Item{k}Wireframe.swift", "class Item{k}Wireframe { }", ["router"], "router"), ("src/Item{k}Coordinator.swift", "class Item{k}Coordinator { }", ["coordinator"], "coordinator"),
+    ("src/entities/Item{k}.swift", "struct Item{k}Entity { }", ["entity"], "entity"), ("src/Item{k}Builder.swift", "class Item{k}Builder { }", ["builder"], "builder"), ("src/Item{k}Feature.swift", "struct Item{k}Feature { }", ["feature"], "feature"),
+    ("src/Item{k}Reducer.swift", "struct Item{k}Reducer { }", ["reducer"], "reducer"), ("src/Item{k}Service.swift", "class Item{k}Service { }", ["service"], "service"), ("src/use-cases/Item{k}.swift", "struct Item{k} { }", ["useCase"], ""),
+    ("src/Item{k}Repository.swift", "class Item{k}Repository { }", ["repository"], ""), ("src/Item{k}Command.swift", "class Item{k}Command { }", ["command"], "command"), ("src/Item{k}EventBus.swift", "class Item{k}EventBus { }", ["eventBus"], "eventBus"),
+    ("src/Heard{k}.swift", "import Signals\nlet a = 1", ["eventBus"], ""), ("src/Item{k}Facade.swift", "class Item{k}Facade { }", ["facade"], "facade"), ("src/Item{k}Proxy.swift", "class Item{k}Proxy { }", ["proxy"], "proxy"),
+    ("src/Item{k}Mediator.swift", "class Item{k}Mediator { }", ["mediator"], "mediator"), ("src/Plain{k}.swift", "struct Item{k}State { }", [], "state"), ("src/Plain{k}.swift", "enum Item{k}Action { }", [], "action"), ("src/Plain{k}.swift", "class Item{k}Store { }", [], "store"),
+]
+_ACTING = f"""a AS (SELECT p_partkey AS k, p_partkey % {len(ACTING)} AS i FROM part), f AS (SELECT unnest(string_split({sql_list(['+'.join(x[2]) for x in ACTING])}[i + 1], '+')) AS role, CASE i WHEN {[x[0] for x in ACTING].index('src/Heard{k}.swift')} THEN 2 ELSE 1 END AS n FROM a),
+    d AS (SELECT unnest(string_split({sql_list([x[3] for x in ACTING])}[i + 1], '+')) AS role FROM a), names AS (SELECT unnest({sql_list([r.name for r in architecture.ROLES] + ["state", "action", "store"])}) AS role),
+    r AS (SELECT role, (SELECT count(*) FROM f WHERE f.role = names.role) AS files, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM f WHERE f.role = names.role) AS lines, (SELECT count(*) FROM d WHERE d.role = names.role) AS decls FROM names)"""
+
+
+def acting(spark, d):
+    files = parse.parsed(planted(spark, d, [(p, t) for p, t, _, _ in ACTING]))
+    return architecture.all_roles(files, parse.declarations(files))
+
+
+@query(f"WITH {_ACTING} SELECT role, files, lines, decls FROM r")
+def role_counts(spark, d):
+    """Files, lines and types of all twenty roles, and of states, actions and stores."""
+    return acting(spark, d)
+
+
+@query(f"""WITH {_ACTING}, l AS (SELECT unnest({sql_list([p for p, some in architecture.LETTERS for _ in some])}) AS pattern, unnest({[i for _, some in architecture.LETTERS for i in range(len(some))]}) AS ordinal, unnest({sql_list([r for _, some in architecture.LETTERS for r in some])}) AS role)
+    SELECT pattern, CAST(ordinal AS INT) AS ordinal, role, files, decls, CASE WHEN files = 0 AND decls = 0 THEN 'missing' WHEN files <= 1 AND lines < 150 AND decls <= 1 THEN 'weak' ELSE 'present' END AS health FROM l JOIN r USING (role)""")
+def pattern_letters(spark, d):
+    """The health of the role behind each letter of each pattern."""
+    every = spark.createDataFrame([(p,) for p in architecture.PATTERNS], "pattern string")
+    return architecture.letter_health(every, acting(spark, d))
