@@ -28,7 +28,7 @@ from gneiss.llm.common import map_text, write_shared
 
 #: At most so many labelled documents are learnt from; a prefix needs LEAST toxic ones, and SHARE of all of them.
 SAMPLE, LEAST, SHARE = 6000, 3, 0.02
-#: Depth of the lexicon's trie in letters: no term is longer, a stem of that length matches whatever follows.
+#: Letters of the longest stem that fit() learns, a parameter: a word of n letters has n stems. Whole words are learnt at any length.
 DEPTH = 64
 TOKEN = re.compile(r"[^\W_]+")
 LEET = str.maketrans("013457", "oieast")
@@ -182,8 +182,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn_terms(sample: DataFrame) -> list[tuple[str, bool]]:
-    """Terms and stems from a bounded sample (toxic, text)."""
+def learn_terms(sample: DataFrame, depth: int = DEPTH) -> list[tuple[str, bool]]:
+    """Terms of any length, and stems of up to ``depth`` letters, from a bounded sample (toxic, text)."""
 
     def count(batches):
         import pyarrow as pa
@@ -194,9 +194,8 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool]]:
                 some = set()
                 for w in {plain(m[0]) for m in tokens(text or "")}:
                     if w.isalpha():
-                        some.update(w[:k] for k in range(3, min(len(w), DEPTH) + 1))
-                        if len(w) <= DEPTH:
-                            some.add(w + "$")
+                        some.update(w[:k] for k in range(3, min(len(w), depth) + 1))
+                        some.add(w + "$")
                 seen[t] += 1
                 (toxic if t else clean).update(some)
         keys = ["", *(toxic.keys() | clean.keys())]
@@ -249,13 +248,13 @@ def choose_terms(of: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) ->
     return sorted(set(found))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 400, depth: int = DEPTH) -> Model:
     """Learn from at most ``sample`` labelled documents that aren't held out, those of the smallest hash; one row an id."""
     chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     some = write_shared(some.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")).select("one.*"), "toxic-sample")
-    terms = learn_terms(some)
+    terms = learn_terms(some, depth)
     rows = map_text(some, "text", ["toxic"], [("x", "array<double>")], _scorer(terms)).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["toxic"], r["x"]))
     y = np.array([r["toxic"] for r in rows], float)
@@ -285,7 +284,11 @@ def _scorer(terms):
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns with score and the numbers of exact, near and quoted hits as ``hits``."""
+    """The kept columns with score and the numbers of exact, near and quoted hits as ``hits``.
+
+    A kept column of one of these names gives way to the new one.
+    """
+    keep = [c for c in keep if c not in ("score", "hits")]
 
     def make():
         lexicon, known = Lexicon(model.terms), {}

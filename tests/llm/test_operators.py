@@ -957,3 +957,13 @@ def test_infill_keeps_columns_and_refuses_what_it_cannot_restore(spark):
             infill.transform(table, markers=bad)
     with pytest.raises(ValueError, match="clash"):
         infill.transform(table.withColumn("output", F.lit(1)), keep=("output",))
+
+
+def test_toxicity_learns_long_words_and_keeps_names_apart(spark):
+    long = "qwertzuiopasdfghjklyxcvbnm" * 4
+    rows = [(i, f"a fine day {long if i % 2 else 'indeed'} number", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels, depth=10)
+    assert (long, False) in model.terms
+    got = toxicity.score(docs(spark, rows), model, ["doc_id", "score"])
+    assert got.columns == ["doc_id", "score", "hits"] and all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got.collect())
