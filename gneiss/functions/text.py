@@ -104,9 +104,10 @@ def escape_html(c: Column) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    """Bytes as B, KB, MB or GB."""
-    step = lambda n, unit: F.concat(F.format_number(size / n, 1), F.lit(" " + unit))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, step(1024, "KB")).when(size < 1024**3, step(1024**2, "MB")).otherwise(step(1024**3, "GB"))
+    """Bytes as B, whole KB, or MB with one digit; halves go to the even digit."""
+    kb = F.format_string("%.0f KB", F.bround(size / 1024, 0))
+    mb = F.format_string("%.1f MB", F.bround(size / 1024**2, 1))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, kb).otherwise(mb)
 
 
 def big_o(order: Column, kind: Column) -> Column:

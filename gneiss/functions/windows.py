@@ -34,6 +34,20 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def examples_per(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
+    """keys, count and ``name``: the first k rows of each key as an array; the order must be total.
+
+    Each task keeps its first k rows of a key before anything is shuffled, so no array and no task holds more
+    than some k rows of a key, however many there are.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
+    rest = [c for c in df.columns if c not in keys]
+    rows = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.struct(*rest).alias("row")))), lambda x: x["row"]).alias(name))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("count"))
+    return counts.join(rows, keys)
+
+
 def chunked(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     """df with the number of the chunk of ``size`` rows that each row falls in; for bounded lists."""
     return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))

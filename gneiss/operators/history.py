@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.windows import top_per
@@ -225,6 +225,29 @@ def sampled(commits: DataFrame, every: int, since: int | None = None) -> DataFra
     return best.select("b.hash", "b.ts").distinct()
 
 
+def replayed(changes: DataFrame) -> DataFrame:
+    """(path, ts, ord, delta) where a path comes or goes, from changes (path, ts, ord, gone) in any order.
+
+    What is there stays until it goes: a change of a present path, or the end of an absent one, is none.
+    """
+    order = Window.partitionBy("path").orderBy("ts", "ord")
+    there, before = ~F.col("gone"), F.coalesce(~F.lag("gone").over(order), F.lit(False))
+    return changes.withColumn("delta", there.cast("long") - before.cast("long")).filter("delta <> 0").select("path", "ts", "ord", "delta")
+
+
+def as_of(deltas: DataFrame, begin: int, every: int, steps: int) -> DataFrame:
+    """(ts, files): how many paths there are at ``begin`` and each of so many steps after it, from (ts, delta).
+
+    Each change counts from the first instant that isn't before it; changes are summed per instant, then
+    instants run up, so one pass gives all snapshots.
+    """
+    step = F.greatest(F.ceil((F.col("ts") - begin) / every), F.lit(0))
+    per = deltas.groupBy(step.alias("step")).agg(F.sum("delta").alias("delta")).filter(F.col("step") <= steps)
+    all_steps = deltas.sparkSession.range(steps + 1).select(F.col("id").alias("step"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row per instant
+    return all_steps.join(per, "step", "left").select((F.col("step") * every + begin).alias("ts"), F.coalesce(F.sum("delta").over(upto), F.lit(0)).alias("files"))
+
+
 def growth(snapshots: DataFrame) -> DataFrame:
     """One row: first and last number of files, and the net growth in per cent."""
     first, last = F.min(F.struct("ts", "files"))["files"], F.max(F.struct("ts", "files"))["files"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import basename, extension, trim
-from gneiss.functions.windows import top_per
+from gneiss.functions.windows import examples_per, top_per
 
 # fixed values: files that hold no runtime connections
 SKIP_NAMES = ("Package.swift", "Package.resolved", "Project.swift", "Podfile")
@@ -96,6 +96,8 @@ def entries(files: DataFrame) -> DataFrame:
     return first.drop("ord").orderBy("direction", F.when((F.col("proto") == "TCP") & (F.col("direction") == "out"), 0).otherwise(1), F.when(F.col("direction") == "out", F.col("proto")), "uri", "module")
 
 
-def grouped(found: DataFrame) -> DataFrame:
-    """proto, uri and the call sites in order."""
-    return found.groupBy("direction", "proto", "uri").agg(F.count("*").alias("sites"), F.array_sort(F.collect_list(F.struct("file_path", "line", "module"))).alias("calls"))
+def grouped(found: DataFrame, shown: int = 100) -> DataFrame:
+    """direction, proto, uri, the number of call sites and the first ones in order."""
+    keys = ["direction", "proto", "uri"]
+    sites = found.select(*keys, "file_path", "line", "module")
+    return examples_per(sites, keys, [F.col("file_path"), F.col("line"), F.col("module")], shown, "calls").withColumnRenamed("count", "sites")

@@ -5,11 +5,16 @@ As in ``planted``, what the operators must find follows from keys, and the DuckD
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from gneiss.operators import architecture, graph, matching, packages, parse
+from gneiss.functions import lineage
+from gneiss.functions import text as T
+from gneiss.operators import architecture, constructs, graph, history, matching, packages, parse
 from gneiss.plans.catalogue import query, table
 from gneiss.plans.planted import placed, planted, sql_list
+from gneiss.sources import files as sources
 
 # a tree of folders by the digits of a part's key; manifests stand on some of them, two in one folder of each tenth
 _FOLDERS = """SELECT p_partkey AS k, 'T' || p_partkey % 7 AS top, 'M' || p_partkey % 5 AS mid, 'L' || p_partkey % 3 AS leaf FROM part"""
@@ -186,3 +191,208 @@ def pattern_letters(spark, d):
     """The health of the role behind each letter of each pattern."""
     every = spark.createDataFrame([(p,) for p in architecture.PATTERNS], "pattern string")
     return architecture.letter_health(every, acting(spark, d))
+
+
+# events as changes of files: a user's event changes one of some files, and some events delete theirs
+
+_CHANGES = """c AS (SELECT event_id * 7 % 211 AS path, epoch_us(ts) // 1000000 AS ts, event_id AS ord, event_id % 3 = 0 AS gone FROM events)"""
+_REPLAY = f"""{_CHANGES}, r AS (SELECT path, ts, ord, CAST(NOT gone AS INT) - CAST(coalesce(NOT lag(gone) OVER (PARTITION BY path ORDER BY ts, ord), false) AS INT) AS delta FROM c), g AS (SELECT min(ts) AS low, max(ts) AS high FROM c)"""
+
+
+def changes(spark, d):
+    e = table(spark, d, "events")
+    at = F.col("event_id")
+    return e.select((at * 7 % 211).alias("path"), F.unix_timestamp("ts").alias("ts"), at.alias("ord"), (at % 3 == 0).alias("gone"))
+
+
+def snapshots(spark, d):
+    some = changes(spark, d)
+    low, high = some.agg(F.min("ts"), F.max("ts")).first()
+    return history.as_of(history.replayed(some), low, 86400, -(-(high - low) // 86400))
+
+
+@query(f"WITH {_REPLAY} SELECT path, ts, ord, CAST(delta AS BIGINT) AS delta FROM r WHERE delta <> 0")
+def replayed_changes(spark, d):
+    """When each path came and went."""
+    return history.replayed(changes(spark, d))
+
+
+@query(f"""WITH {_REPLAY}, i AS (SELECT low + 86400 * n AS ts FROM g, range(CAST(ceil((high - low) / 86400.0) AS BIGINT) + 1) t(n)),
+    s AS (SELECT i.ts, r.path, arg_max(gone, (r.ts, r.ord)) AS gone FROM i JOIN c r ON r.ts <= i.ts GROUP BY i.ts, r.path) SELECT i.ts, count(*) FILTER (NOT gone) AS files FROM i LEFT JOIN s USING (ts) GROUP BY i.ts""")
+def snapshot_files(spark, d):
+    """Files that there are at the start and each day after it, by replaying changes; the SQL looks up each path as of each day."""
+    return snapshots(spark, d)
+
+
+@query(f"""WITH {_REPLAY}, a AS (SELECT count(*) FILTER (NOT gone) AS n FROM (SELECT path, arg_max(gone, (ts, ord)) AS gone FROM c, g WHERE ts <= low GROUP BY path)), b AS (SELECT count(*) FILTER (NOT gone) AS n FROM (SELECT path, arg_max(gone, (ts, ord)) AS gone FROM c GROUP BY path))
+    SELECT a.n AS first_files, b.n AS last_files, round(CASE WHEN a.n > 0 THEN 100.0 * (b.n - a.n) / a.n ELSE 0.0 END::DOUBLE, 6) AS growth FROM a, b""")
+def snapshot_growth(spark, d):
+    """Net growth from the first snapshot to the last."""
+    return history.growth(snapshots(spark, d)).withColumn("growth", F.round("growth", 6))
+
+
+@query("""WITH n AS (SELECT event_type AS label, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events)
+    SELECT label, count(*) AS count, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (r <= 5) AS first FROM n GROUP BY label""")
+def bounded_groups(spark, d):
+    """Every label's count and its first rows, however many it has."""
+    some = constructs.grouped(table(spark, d, "events").select(F.col("event_type").alias("label"), "event_id"), shown=5)
+    return some.select("label", "count", F.array_join(F.transform("occurrences", lambda x: x["event_id"].cast("string")), ",").alias("first"))
+
+
+# a project parsed twice: between the two a third of its files change, one in ten goes, one in ten comes
+
+_VERSIONS = """SELECT 'src/V' || p_partkey || '.swift' AS file_path, CASE WHEN p_partkey % 3 = 1 THEN 3 ELSE 2 END AS line_count, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END AS todo_count FROM part WHERE p_partkey % 10 <> 7"""
+
+
+@query(_VERSIONS)
+def parse_cache(spark, d):
+    """What is parsed again after changes, with kept rows of what didn't: the rows of a full parse."""
+    k = F.col("p_partkey")
+    parts = table(spark, d, "part")
+    name = F.concat(F.lit("src/V"), k, F.lit(".swift"))
+    plain = F.concat(F.lit("import A"), k, F.lit("\nlet a = 1"))
+    changed = F.concat(plain, F.lit("\n// TODO: more"))
+    before = parts.filter(k % 10 != 9).select(name.alias("file_path"), plain.alias("text"))
+    after = parts.filter(k % 10 != 7).select(name.alias("file_path"), F.when(k % 3 == 1, changed).otherwise(plain).alias("text"))
+    kept = f"{lineage.shared(spark)}/parse-{uuid.uuid4().hex}"
+    for files in (before, after):
+        listed = files.select(F.col("file_path").alias("rel_path"), F.lit(0).alias("modified"), F.length("text").alias("size_bytes"))
+        out = sources.cached(listed, files, parse.parsed, kept)
+    return out.select("file_path", "line_count", "todo_count")
+
+
+# packages of every category: what each has by its part's key
+
+BOXES = [
+    ("Packages/Box{k}/Sources/Box{k}/F{k}.swift", "import UIKit\nclass Cell{k} { }", "ui"), ("Packages/Box{k}/Sources/Box{k}/F{k}.swift", "import CoreData\nstruct A{k} { }", "data"),
+    ("Packages/Box{k}/Sources/Box{k}/F{k}.swift", "import Combine\nstruct A{k} { }", "arch"), ("Packages/Box{k}/Sources/Box{k}/F{k}.swift", "import SwiftSyntax\nimport UIKit\nstruct A{k} { }", "dev"),
+    ("Packages/Tool{k}/Sources/Tool{k}/F{k}.swift", "import XCTest\nstruct A{k} { }", "dev"), ("Packages/Box{k}/Sources/Box{k}/F{k}.swift", "import UIKit\nimport CoreData\nstruct A{k} { }", "ui"),
+    ("Packages/Box{k}/Sources/Box{k}/database/F{k}.swift", "import CryptoKit\nstruct A{k} { }", "data"), ("Packages/Box{k}/Sources/Box{k}/utilities/F{k}.swift", "struct A{k} { }", "arch"),
+    ("Packages/Box{k}/Sources/Box{k}/ButtonManager{k}.swift", "struct A{k} { }", "ui"), ("Packages/Box{k}/Sources/Box{k}/F{k}.swift", "struct A{k} { }", "ui"),
+]
+
+
+@query(f"SELECT (CASE p_partkey % {len(BOXES)} WHEN 4 THEN 'Tool' ELSE 'Box' END) || p_partkey AS package, {sql_list([c for _, _, c in BOXES])}[p_partkey % {len(BOXES)} + 1] AS category FROM part")
+def package_categories(spark, d):
+    """The category of every package, by its imports, types, folders and names."""
+    files = parse.parsed(planted(spark, d, [(p, t) for p, t, _ in BOXES]))
+    homes = lineage.cut(files.join(parse.packages(files.select("file_path"), files.select(F.col("file_path").alias("rel_path"))), "file_path"))
+    return packages.categories(homes, parse.imports(homes), parse.declarations(homes)).select("package", "category")
+
+
+@query("""WITH t AS (SELECT o_custkey % 60 AS package, CAST(sum(floor(o_totalprice)) AS BIGINT) AS lines, count(*) FILTER (o_orderkey % 5 < o_custkey % 4) AS "class", count(*) FILTER (o_orderkey % 7 = 1) AS struct FROM orders GROUP BY ALL)
+    SELECT package, lines >= 0.015 * (SELECT sum(lines) FROM t) AND lines >= 10000 AND "class" + struct >= 80 AS major FROM t""")
+def major_packages(spark, d):
+    """Which packages are major: by share of lines, lines, and declarations."""
+    key = F.col("o_orderkey")
+    orders = table(spark, d, "orders").groupBy((F.col("o_custkey") % 60).alias("package"))
+    zero = [F.lit(0).alias(x) for x in packages.KINDS if x not in ("class", "struct")]
+    totals = orders.agg(F.sum(F.floor("o_totalprice")).alias("lines"), F.count_if(key % 5 < F.col("o_custkey") % 4).alias("class"), F.count_if(key % 7 == 1).alias("struct")).select("*", *zero)
+    return packages.major(totals).select("package", "major")
+
+
+_WORDS = ["the", "and", "und", "der", "les", "des", "que", "los"]
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT i AS rule, unnest({_WORDS}[i % 8 + 1:i % 8 + 1 + i // 8]) AS item FROM range(34) t(i))
+    SELECT CAST(rule AS INT) AS rule, string_agg(DISTINCT item, ',' ORDER BY item) AS matched FROM r JOIN w ON item = w GROUP BY rule""")
+def word_components(spark, d):
+    """Rules any of whose words some text has, from an inverted index of all body words."""
+    words = table(spark, d, "documents").select(F.explode(T.body_tokens(F.col("text"))).alias("word"))
+    rules = spark.createDataFrame([(i, _WORDS[i % 8 : i % 8 + 1 + i // 8]) for i in range(34)], "rule int, words array<string>")
+    return matching.overlapping(rules, "words", words, "word").select("rule", F.array_join("matched", ",").alias("matched"))
+
+
+# names, paths and labels: one row per part or document, made from its key
+
+FRAMED = [("Combine", "Architecture/System"), ("RxSwift", "Architecture/System"), ("rxFoo", "Architecture/System"), ("Swinject", "Architecture/System"), ("os", "Architecture/System"), ("os.signpost", "Dev Tools"), ("os.log", "Dev Tools"), ("XCTest", "Dev Tools"),
+    ("SwiftSyntaxBuilder", "Dev Tools"), ("BazelRules", "Dev Tools"), ("UIKit.UIView", "UI/Media"), ("SnapKit", "UI/Media"), ("libavcodec", "UI/Media"), ("WebP", "UI/Media"), ("Alamofire", "Data/Networking"), ("CoreData", "Data/Networking"), ("Kit{k}", "Data/Networking")]
+
+
+@query(f"SELECT p_partkey, {sql_list([c for _, c in FRAMED])}[p_partkey % {len(FRAMED)} + 1] AS category FROM part")
+def framework_categories(spark, d):
+    """The category of an imported framework."""
+    return planted(spark, d, [(n, "{k}") for n, _ in FRAMED]).select(F.col("text").cast("long").alias("p_partkey"), packages.framework_category(F.col("file_path")).alias("category"))
+
+
+BUILT_BY = [("src/App{k}.swift", False), ("third/rules_swift/T{k}.swift", True), ("rules_own/T{k}.swift", True), ("a/bazel-out/T{k}.swift", True), ("a/build-system/T{k}.swift", True), ("a/.build/T{k}.swift", True), ("a/my_rules_/T{k}.swift", False), ("a/apple_support/T{k}.swift", True)]
+
+
+@query(f"SELECT p_partkey, {[b for _, b in BUILT_BY]}[p_partkey % {len(BUILT_BY)} + 1] AS infrastructure FROM part")
+def build_files(spark, d):
+    """Whether a file belongs to the build system rather than to the project."""
+    return planted(spark, d, [(p, "{k}") for p, _ in BUILT_BY]).select(F.col("text").cast("long").alias("p_partkey"), packages.is_infrastructure(F.col("file_path")).alias("infrastructure"))
+
+
+@query("""WITH r AS (SELECT CASE c_custkey % 5 WHEN 0 THEN 'origin/' WHEN 1 THEN '' WHEN 2 THEN 'fork/' WHEN 3 THEN 'origin/origin/' ELSE 'origin/HEAD' END || CASE c_custkey % 5 WHEN 4 THEN '' ELSE 'b' || c_custkey // 10 END AS name FROM customer)
+    SELECT DISTINCT CASE WHEN starts_with(name, 'origin/') THEN name[8:] ELSE name END AS name FROM r WHERE name <> 'origin/HEAD'""")
+def branch_names(spark, d):
+    """Branch names without their remote, once each."""
+    k = F.col("c_custkey")
+    head = F.when(k % 5 == 0, "origin/").when(k % 5 == 1, "").when(k % 5 == 2, "fork/").when(k % 5 == 3, "origin/origin/").otherwise("origin/HEAD")
+    refs = table(spark, d, "customer").select(F.concat(head, F.when(k % 5 == 4, "").otherwise(F.concat(F.lit("b"), F.floor(k / 10)))).alias("name"))
+    return history.ref_names(refs)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'M' || p_partkey WHEN 1 THEN 'Shared' ELSE '' END AS module_name FROM part""")
+def module_names(spark, d):
+    """The module of every file: the folder below the last Sources, else the package."""
+    return placed(spark, d).select(F.regexp_extract("file_path", r"([0-9]+)\.[a-z]+$", 1).cast("long").alias("p_partkey"), "module_name")
+
+
+_SHOWN = r"""d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars, 'src/' || source || '/' || lang || '/D' || doc_id || '.swift' AS path, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents)"""
+
+
+@query(f"""WITH {_SHOWN}, t AS (SELECT *, trim(line, ' ' || chr(9)) AS cut FROM d) SELECT doc_id, source || '/' || lang || '/D' || doc_id || '.swift' AS display, CASE WHEN doc_id % 2 = 0 THEN 'Mod' ELSE lang END AS badge,
+    CASE WHEN doc_id % 3 = 0 THEN source END AS scene, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, CASE WHEN length(cut) > 100 THEN cut[1:100] || '…' ELSE cut END AS snippet FROM t""")
+def display_fields(spark, d):
+    """How paths, modules, scenes, texts and lines are shown."""
+    doc = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/D"), "doc_id", F.lit(".swift"))
+    scenes = F.concat(F.when(F.col("doc_id") % 3 == 0, "App/Scenes/").otherwise("App/"), "source", F.lit("/D.swift"))
+    module = F.when(F.col("doc_id") % 2 == 0, "Mod").otherwise("")
+    return doc.select("doc_id", T.display_path(path).alias("display"), T.module_badge(path, module).alias("badge"), T.scene_group(scenes).alias("scene"), T.escape_html(F.col("text")).alias("escaped"), T.snippet(F.element_at(F.split("text", "\n"), 1)).alias("snippet"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name, CAST(p_size AS BIGINT) * p_partkey * 97 AS b FROM part)
+    SELECT k, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.0f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END AS size,
+    CASE k % 7 WHEN 0 THEN 'O(1)' WHEN 1 THEN 'O(n)' ELSE 'O(n' || ['²', '³', '⁴', '⁵', '⁶'][k % 7 - 1] || ')' END AS cost, 'https://en.wikipedia.org/wiki/' || replace(p_name, ' ', '_') AS article FROM p""")
+def labels_of_numbers(spark, d):
+    """Sizes in units, costs as orders, names as articles."""
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("long") * k * 97
+    return table(spark, d, "part").select(k.alias("k"), T.file_size(size).alias("size"), T.big_o(k % 7, F.lit("time")).alias("cost"), T.encyclopedia_url(F.concat("p_name", F.lit(" (x)"))).alias("article"))
+
+
+@query("""WITH s AS (SELECT event_id AS ord, CASE event_id % 4 WHEN 0 THEN 'fix: ' WHEN 1 THEN 'feat(' || event_type || ')!: ' WHEN 2 THEN 'fix ' ELSE event_type || ': ' END || event_id AS subject FROM events),
+    o AS (SELECT subject, ord FROM s WHERE NOT regexp_matches(subject, '^(feat|fix|docs|chore|refactor|test|style|ci|build|perf|revert)(\([^)]+\))?!?:\s') ORDER BY ord LIMIT 5)
+    SELECT (count(*) FILTER (regexp_matches(subject, '^(feat|fix|docs|chore|refactor|test|style|ci|build|perf|revert)(\([^)]+\))?!?:\s')))::DOUBLE / count(*) AS compliance, (SELECT string_agg(subject, '|' ORDER BY ord) FROM o) AS samples FROM s""")
+def subject_compliance(spark, d):
+    """The share of conventional subjects, and the first others."""
+    at = F.col("event_id")
+    head = F.when(at % 4 == 0, "fix: ").when(at % 4 == 1, F.concat(F.lit("feat("), "event_type", F.lit(")!: "))).when(at % 4 == 2, "fix ").otherwise(F.concat("event_type", F.lit(": ")))
+    rows = table(spark, d, "events").select(at.alias("ord"), F.concat(head, at.cast("string")).alias("subject"))
+    return history.compliance(rows).select("compliance", F.array_join("samples", "|").alias("samples"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey % 3 AS n, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS ts FROM orders)
+    SELECT count(*) AS main_commits, count(*) FILTER (n = 2)::DOUBLE / count(*) AS merge_ratio, count(*) FILTER (n = 2) / greatest((2000000000 - min(ts)) / 86400.0, 1.0) AS merges_per_day, (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 1) AS releases,
+    (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 2) AS hotfixes, (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 3) AS env_branches FROM c""")
+def branching_evidence(spark, d):
+    """The row of evidence for branching models: merges among commits and per day, branches by kind."""
+    parents = F.array_repeat(F.lit("p"), (F.col("o_custkey") % 3).cast("int"))
+    commits = table(spark, d, "orders").select(parents.alias("parents"), T.epoch_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+    k = F.col("n_nationkey")
+    refs = table(spark, d, "nation").select(F.concat(F.when(k % 4 == 1, "release/").when(k % 4 == 2, "origin/hotfix-").when(k % 4 == 3, "staging-").otherwise("feature/"), k).alias("name"), F.lit("head").alias("kind"))
+    none = spark.range(1).select(F.lit(0.0).alias("lifetime_days"))
+    found = history.branching_features(commits, refs, none, spark.range(1).select(F.lit(False).alias("dual_merges")), False, F.lit(2_000_000_000))
+    return found.select("main_commits", "merge_ratio", "merges_per_day", "releases", "hotfixes", "env_branches")
+
+
+@query("""WITH f AS (SELECT o_orderkey, o_orderpriority AS package, unnest([o_custkey % 40, o_custkey % 7, 50 + o_orderkey % 3]) AS author FROM orders), n AS (SELECT author, package, count(*) AS files FROM f GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY files DESC, package) AS nth FROM n) SELECT author, package, files FROM r WHERE nth <= 3""")
+def author_package_matrix(spark, d):
+    """The three packages of which each author is among the top of most files."""
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    files = table(spark, d, "orders").select(F.array(c % 40, c % 7, 50 + o % 3).alias("top_authors"), F.col("o_orderpriority").alias("package_name"))
+    return packages.author_packages(files)

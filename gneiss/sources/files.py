@@ -176,17 +176,20 @@ SCHEMA_VERSION = "1"
 
 
 def cached(listed: DataFrame, files: DataFrame, parse, path: str) -> DataFrame:
-    """parse(files), with rows kept in a Parquet table by a key of path, time, size and schema; only misses are parsed."""
+    """parse(files), with rows kept in a Parquet table by a key of path, time, size, content and schema; only misses are parsed.
+
+    Rows of files that changed or are gone don't come back: the kept table is joined with the keys of now.
+    """
     spark = files.sparkSession
-    key = F.md5(F.concat_ws(":", "rel_path", F.col("modified").cast("string"), F.col("size_bytes").cast("string"), F.lit(SCHEMA_VERSION)))
-    keys = listed.select(F.col("rel_path").alias("file_path"), key.alias("key"))
+    at = listed.select(F.col("rel_path").alias("file_path"), "modified", "size_bytes")
+    seen = files.join(at, "file_path").select("file_path", F.md5(F.concat_ws(":", "file_path", F.col("modified").cast("string"), F.col("size_bytes").cast("string"), F.md5("text"), F.lit(SCHEMA_VERSION))).alias("key"))
     try:
         stored = spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = None
-    missing = keys if stored is None else keys.join(stored.select("key"), "key", "left_anti")
+    missing = seen if stored is None else seen.join(stored.select("key"), "key", "left_anti")
     fresh = parse(files.join(missing.select("file_path"), "file_path", "left_semi")).join(missing, "file_path")
     fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"]).drop("key")
+    return spark.read.parquet(path).join(seen.select("key"), "key", "left_semi").dropDuplicates(["key"]).drop("key")

@@ -117,7 +117,7 @@ def test_scalars(spark):
     assert one(T.module_of(lit("a/Sources/M/x/f.swift"), lit("p"))) == "M" and one(T.module_of(lit("a/f.swift"), lit("p"))) == "p"
     assert one(T.display_path(lit("a/b/c/d.swift"))) == "b/c/d.swift" and one(T.display_path(lit("d.swift"))) == "d.swift"
     assert one(T.snippet(lit("  " + "x" * 120))) == "x" * 100 + "…"
-    assert one(T.file_size(lit(2048))) == "2.0 KB" and one(T.big_o(lit(3), lit("time"))) == "O(n³)"
+    assert one(T.file_size(lit(2560))) == "2 KB" and one(T.file_size(lit(5 * 2**30))) == "5120.0 MB" and one(T.big_o(lit(3), lit("time"))) == "O(n³)"
     assert one(T.encyclopedia_url(lit("Kadane (Max Subarray)"))) == "https://en.wikipedia.org/wiki/Kadane"
     assert one(T.source_link(lit("a.swift"), lit(3), "https://host/r/")) == "https://host/r/a.swift#L3"
     assert one(T.scene_group(lit("a/Scenes/Home/x.swift"))) == "Home" and one(T.scene_group(lit("a/x.swift"))) is None
