@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import lineage
 from gneiss.functions import text as T
-from gneiss.operators import architecture, constructs, graph, history, matching, packages, parse
+from gneiss.operators import architecture, constructs, graph, history, matching, packages, parse, patterns
 from gneiss.plans.catalogue import query, table
 from gneiss.plans.planted import placed, planted, sql_list
+from gneiss.rules import names
 from gneiss.sources import files as sources
 
 # a tree of folders by the digits of a part's key; manifests stand on some of them, two in one folder of each tenth
@@ -396,3 +397,36 @@ def author_package_matrix(spark, d):
     c, o = F.col("o_custkey"), F.col("o_orderkey")
     files = table(spark, d, "orders").select(F.array(c % 40, c % 7, 50 + o % 3).alias("top_authors"), F.col("o_orderpriority").alias("package_name"))
     return packages.author_packages(files)
+
+
+# patterns that other pieces of the project decide, and near misses
+
+DECIDED = [
+    ("class Cart{k}Factory { }", "Factory Method"), ("os_unfair_lock_lock(&l)\nif a == nil {\nif b == nil { }\n}", "Double-Checked Locking"), ("os_unfair_lock_lock(&l)\nif a == nil { }", ""),
+    ("protocol State {\nfunc f()\n}", ""), ("class Idle{k}: State {\nvar a = 1\n}", "State"), ("class Other{k}: Stateful {\nvar a = 1\n}", ""), ("if a == nil {\nif b == nil { }\n}", ""),
+]
+_CATEGORY = {"Factory Method": "creational", "Double-Checked Locking": "concurrency", "State": "behavioral"}
+
+
+@query(f"""SELECT name, CASE name {' '.join(f"WHEN '{n}' THEN '{c}'" for n, c in _CATEGORY.items())} END AS category, count(*) AS count, min('src/E' || p_partkey || '.swift') AS example_path
+    FROM (SELECT p_partkey, {sql_list([n for _, n in DECIDED])}[p_partkey % {len(DECIDED)} + 1] AS name FROM part) WHERE name <> '' GROUP BY name""")
+def decided_patterns(spark, d):
+    """Factory methods where no factory is a protocol, states where the protocol is there, locks that are checked twice."""
+    files = planted(spark, d, [("src/E{k}.swift", t) for t, _ in DECIDED])
+    return patterns.detect(constructs.scanned(files), parse.declarations(parse.parsed(files))).select("name", "category", "count", "example_path")
+
+
+# names that stand for an algorithm only beside, or without, certain other words
+BESIDE = [
+    ("gcd", "gcd"), ("gcdQueue", ""), ("gcdWebServer", ""), ("simplexSolve", "simplex"), ("simplexTexture", ""), ("yenRoutes", "yen"), ("yen", ""), ("yenPathsPrice", ""), ("johnsonEdges", "johnson"), ("johnson", ""), ("johnsonNodesFamily", ""),
+    ("hungarianWorkers", "hungarian"), ("hungarian", ""), ("hungarianTaskLocale", ""), ("kahnIndegree", "kahn"), ("kahn", ""), ("kahnDagLesson", ""),
+]
+_OF_WORD = {t[0]: label for _, label, _, t, _, _ in names.algorithm_rules() if len(t) == 1}
+
+
+@query(f"""SELECT 'src/B' || p_partkey || '.swift' AS file_path, symbol, label FROM (SELECT p_partkey, {sql_list([n for n, _ in BESIDE])}[p_partkey % {len(BESIDE)} + 1] AS symbol,
+    {sql_list([_OF_WORD.get(w, '') for _, w in BESIDE])}[p_partkey % {len(BESIDE)} + 1] AS label FROM part) WHERE label <> ''""")
+def contextual_algorithms(spark, d):
+    """Ambiguous names that the words around them confirm or rule out."""
+    files = planted(spark, d, [("src/B{k}.swift", f"func {n}() {{ go() }}") for n, _ in BESIDE])
+    return constructs.algorithms(constructs.scanned(files)).select("file_path", "symbol", "label")

@@ -40,7 +40,7 @@ def history(rng, n, merge_share):
     return parents
 
 
-@pytest.mark.parametrize(("seed", "n", "share", "order"), [(1, 40, 0.5, True), (2, 90, 0.3, True), (3, 60, 0.9, False), (4, 25, 0.0, True)])
+@pytest.mark.parametrize(("seed", "n", "share", "order"), [(1, 40, 0.5, True), (3, 50, 0.9, False)])
 def test_feature_commits_match_brute_force(spark, seed, n, share, order):
     rng = random.Random(seed)
     parents = history(rng, n, share) + [("x2", "x1", 0), ("x3", "x2", 0), ("x3", "x0", 1)]  # a second root
@@ -93,7 +93,7 @@ def components_by_hand(n, edges):
     return {i: min(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n)}
 
 
-@pytest.mark.parametrize(("seed", "n", "m"), [(1, 30, 45), (2, 40, 40), (3, 12, 60)])
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 24, 34), (2, 30, 30)])
 def test_strong_components_match_brute_force(spark, seed, n, m):
     rng = random.Random(seed)
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n - 1, n - 1), (0, n + 5)]
@@ -113,9 +113,9 @@ def test_strong_components_of_little(spark):
 
 
 def test_a_long_ring_is_one_component_in_few_rounds(spark, monkeypatch):
-    n, rounds = 2000, []
+    n, rounds = 500, []
     kept = graph.cut
     monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or kept(df))
     ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
     assert graph.strong_components(spark.range(n), ring).select("component").distinct().collect()[0].component == 0
-    assert len(rounds) < 80
+    assert len(rounds) < 70
