@@ -206,11 +206,11 @@ def file_history(spark, d):
     return h.withColumn("top_authors", F.array_join(F.transform("top_authors", lambda a: a.cast("string")), ",")).withColumn("recent_messages", F.array_join("recent_messages", ","))
 
 
-KNOWN_SQL = "known AS (SELECT DISTINCT 'file' || p_partkey AS path FROM part WHERE p_partkey % 3 = 0)"
+KNOWN_SQL = "known AS (SELECT DISTINCT 'file' || s_suppkey AS path FROM supplier)"
 
 
 def known_files(spark, d) -> DataFrame:
-    return table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.concat(F.lit("file"), F.col("p_partkey").cast("string")).alias("path"))
+    return table(spark, d, "supplier").select(F.concat(F.lit("file"), F.col("s_suppkey").cast("string")).alias("path"))
 
 
 @query(f"WITH {TOUCHED_SQL}, {KNOWN_SQL} SELECT author, count(DISTINCT path) AS files_modified FROM touched SEMI JOIN known USING (path) GROUP BY author")
@@ -330,9 +330,9 @@ def reported_except(spark, d):
 # graph
 
 
-@query(f"WITH {PAIRS_SQL} SELECT DISTINCT src, dst FROM pairs WHERE src <> dst AND dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AND src IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+@query(f"WITH {PAIRS_SQL} SELECT DISTINCT src, dst FROM pairs WHERE src <> dst AND dst IN (SELECT s_nationkey FROM supplier) AND src IN (SELECT s_nationkey FROM supplier)")
 def edge_dedupe(spark, d):
-    known = table(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("id"))
+    known = table(spark, d, "supplier").select(F.col("s_nationkey").alias("id")).distinct()
     return graph.clean(nation_pairs(spark, d), known)
 
 
@@ -407,7 +407,7 @@ def token_join_edges(spark, d):
     return graph.type_edges(tokens, types, 9)
 
 
-IMPORTS_SQL = "f AS (SELECT p_partkey AS path, split_part(p_name, ' ', 2) AS stem, p_brand AS module FROM part WHERE p_partkey % 7 = 0), i AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'Lib.' || split_part(p_name, ' ', 2) ELSE p_brand END AS name FROM part)"
+IMPORTS_SQL = "f AS (SELECT p_partkey AS path, split_part(p_name, ' ', 2) AS stem, p_brand AS module FROM part), i AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'Lib.' || split_part(p_name, ' ', 2) ELSE p_brand END AS name FROM part)"
 
 
 @query(f"""WITH {IMPORTS_SQL}, t AS (SELECT name, max(path) AS target FROM (SELECT stem AS name, path FROM f UNION ALL SELECT module, path FROM f) GROUP BY name)
@@ -415,20 +415,21 @@ IMPORTS_SQL = "f AS (SELECT p_partkey AS path, split_part(p_name, ' ', 2) AS ste
 def import_fallback_join(spark, d):
     p = table(spark, d, "part")
     word = F.split("p_name", " ")[1]
-    f = p.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("path"), word.alias("stem"), F.col("p_brand").alias("module"), F.col("p_partkey").alias("ordinal"))
+    f = p.select(F.col("p_partkey").alias("path"), word.alias("stem"), F.col("p_brand").alias("module"), F.col("p_partkey").alias("ordinal"))
     i = p.select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Lib."), word)).otherwise(F.col("p_brand")).alias("name"))
     return graph.import_edges(f, i)
 
 
-@query("""WITH t AS (SELECT DISTINCT lang AS package, doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM documents WHERE doc_id % 3 = 0),
-    n AS (SELECT lang AS package, doc_id, regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*') AS name FROM documents WHERE doc_id % 2 = 0),
+@query("""WITH t AS (SELECT DISTINCT lang AS package, doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM documents),
+    n AS (SELECT lang AS package, doc_id, regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*') AS name FROM documents),
     c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY doc_id DESC, name) AS r FROM n WHERE length(name) >= 4) WHERE r <= 100),
     s AS (SELECT package, doc_id, name FROM c WHERE doc_id % 3 = 0)
     SELECT DISTINCT s.package, s.name AS src, c.name AS dst FROM s JOIN t ON s.doc_id = t.doc_id AND s.package = t.package JOIN c ON c.package = s.package AND c.name = t.token WHERE c.name <> s.name""")
 def declaration_graph(spark, d):
+    """A type per document, every third a class; classes name others, structs are named only."""
     f = files(spark, d).withColumn("name", F.regexp_extract("text", "[A-Za-z_][A-Za-z0-9_]*", 0))
-    decls = f.filter("doc_id % 2 = 0").select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), "name", F.when(F.col("doc_id") % 3 == 0, "class").otherwise("struct").alias("kind"), F.col("doc_id").alias("score"))
-    tokens = f.filter("doc_id % 3 = 0").select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), F.explode(T.identifiers(F.col("text"), 1, ascii_only=True)).alias("token"))
+    decls = f.select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), "name", F.when(F.col("doc_id") % 3 == 0, "class").otherwise("struct").alias("kind"), F.col("doc_id").alias("score"))
+    tokens = f.select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), F.explode(T.identifiers(F.col("text"), 1, ascii_only=True)).alias("token"))
     return graph.declaration_graph(decls, tokens).select("package", "src", "dst")
 
 
