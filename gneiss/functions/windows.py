@@ -22,10 +22,14 @@ def previous(value: Column, keys: list[str], order: str) -> Column:
     return F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
 
 
+def running(value: Column, keys: list[str], order: str) -> Column:
+    """The sum of the values up to and with each row."""
+    return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def parity(count: Column, keys: list[str], order: str) -> Column:
     """Whether the number of marks up to and with each row is odd."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(count).over(w) % 2 == 1
+    return running(count, keys, order) % 2 == 1
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

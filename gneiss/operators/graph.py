@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import cut
+from gneiss.functions.ranking import numbered
 
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
 
@@ -77,17 +78,54 @@ def hotspots(ranks: DataFrame, k: int = 15) -> DataFrame:
     return ranks.orderBy(F.round("score", 12).desc(), "id").limit(k)
 
 
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, steps) between vertices that don't lie inside a line, and (id, root, steps) of those that do.
+
+    Inside a line is what has one edge in and one out. Its root, the first vertex before it that doesn't, is found
+    by steps of doubled length; rings that nothing enters have no root and are left out.
+    """
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
+    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("at"))
+    walk = cut(into.join(out, "id").filter("n = 1 AND out = 1").select("id", "at", F.lit(1).cast("long").alias("steps")))
+    most, length = walk.count(), 1
+    inner = walk.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+    while length <= most and not walk.join(inner, "at", "left_semi").isEmpty():
+        walk = cut(walk.join(inner, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        inner = walk.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        length *= 2
+    inside = walk.select("id")
+    rooted = walk.join(inside.select(F.col("id").alias("at")), "at", "left_anti").select("id", F.col("at").alias("root"), "steps")
+    outer = edges.join(inside.select(F.col("id").alias("dst")), "dst", "left_anti")
+    from_ring = walk.join(rooted.select("id"), "id", "left_anti").select(F.col("id").alias("src"), F.lit(True).alias("ring"))
+    ends = outer.join(rooted.withColumnRenamed("id", "src"), "src", "left").join(from_ring, "src", "left").filter("ring IS NULL")
+    return ends.groupBy(F.coalesce("root", "src").alias("src"), "dst").agg(F.max(F.coalesce("steps", F.lit(0)) + 1).alias("steps")), rooted
+
+
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): the round in which each vertex has no in-edges left; null on and behind cycles."""
-    kept = cut(edges.select("src", "dst"))
-    into = kept.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    state = cut(vertices.select("id").join(into, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("level")))
-    free, level = F.col("level").isNull() & (F.col("waits") == 0), 0
-    while not state.filter(free).isEmpty():
-        done = kept.join(state.filter(free).select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-        state = cut(state.join(done, "id", "left").select("id", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.when(free, level).otherwise(F.col("level")).alias("level")))
-        level += 1
-    return state.select("id", "level")
+    """(id, level): how many edges the longest way to each vertex has; null on and behind cycles.
+
+    Vertices are done once all before them are, a round for each step of the graph whose lines are contracted.
+    """
+    short, rooted = contracted(cut(edges.select("src", "dst")))
+    short, rooted = cut(short), cut(rooted)
+    own = vertices.select("id")
+    into = short.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    # what lies inside a line isn't waited for; a ring without an entry stays without a level
+    single = _inside(edges).select("id")
+    state = cut(own.join(single, "id", "left_anti").join(into, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("waits"), F.lit(0).cast("long").alias("most"), F.lit(None).cast("long").alias("level")))
+    free = F.col("level").isNull() & (F.col("waits") == 0)
+    while not (ready := state.filter(free)).isEmpty():
+        done = short.join(ready.select(F.col("id").alias("src"), F.col("most").alias("at")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.max(F.col("at") + F.col("steps")).alias("far"))
+        state = cut(state.join(done, "id", "left").select("id", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("most", F.coalesce("far", F.lit(0))).alias("most"), F.when(free, F.col("most")).otherwise(F.col("level")).alias("level")))
+    inner = rooted.join(state.select(F.col("id").alias("root"), "level"), "root").select("id", (F.col("level") + F.col("steps")).alias("level"))
+    named = state.select("id", "level").union(inner)
+    return own.join(named, "id", "left").select("id", F.col("level").cast("int").alias("level"))
+
+
+def _inside(edges: DataFrame) -> DataFrame:
+    """Vertices with one edge in and one out."""
+    once = lambda end: edges.groupBy(F.col(end).alias("id")).count().filter("count = 1").select("id")
+    return once("src").intersect(once("dst"))
 
 
 def has_cycle(leveled: DataFrame) -> bool:
@@ -96,14 +134,7 @@ def has_cycle(leveled: DataFrame) -> bool:
 
 def topological_order(leveled: DataFrame) -> DataFrame | None:
     """(id, level, position), or None if there is a cycle."""
-    from pyspark.sql import Window
-
-    if has_cycle(leveled):
-        return None
-    per = leveled.groupBy("level").agg(F.count("*").alias("n"))
-    before = per.select("level", (F.sum("n").over(Window.orderBy("level")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("level").orderBy("id"))
-    return leveled.withColumn("inside", inside).join(F.broadcast(before), "level").select("id", "level", (F.col("before") + F.col("inside")).alias("position"))
+    return None if has_cycle(leveled) else numbered(leveled.select("id", "level"), [F.col("level"), F.col("id")])
 
 
 def learning_path(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -443,20 +443,28 @@ def with_authors(hits: DataFrame, blame: DataFrame) -> DataFrame:
     return matching.located(hits, blame.withColumnRenamed("path", "file_path"), ["file_path"], "line_no", "first", "last")
 
 
+def totals(hits: DataFrame, keys: list[str], cap: int | None = CAP) -> DataFrame:
+    """(keys, total, files): hits capped per file, if a cap is given, then summed, and the number of files."""
+    n = F.count("*") if cap is None else F.least(F.count("*"), F.lit(cap))
+    per = hits.groupBy(*keys, "file_path").agg(n.alias("n"))
+    return per.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("files"))
+
+
 def check_results(hits: DataFrame, checks: DataFrame, cap: int | None = CAP) -> DataFrame:
     """Every check with its total (hits capped per file, if a cap is given, then summed) and number of files."""
-    n = F.count("*") if cap is None else F.least(F.count("*"), F.lit(cap))
-    per = hits.groupBy("check_id", "file_path").agg(n.alias("n"))
-    totals = per.groupBy("check_id").agg(F.sum("n").alias("total"), F.count("*").alias("files"))
-    return checks.join(totals, "check_id", "left").fillna(0, ["total", "files"])
+    return checks.join(totals(hits, ["check_id"], cap), "check_id", "left").fillna(0, ["total", "files"])
+
+
+def densities(results: DataFrame, keys: list[str], files: Column) -> DataFrame:
+    """(keys, density, risk): totals weighted by their checks' multipliers, per file, and how they saturate."""
+    density = F.coalesce(F.sum(F.col("total") * F.col("multiplier")), F.lit(0.0)) / F.greatest(F.max(files), F.lit(1))
+    return results.groupBy(*keys).agg(density.alias("density")).withColumn("risk", F.col("density") / (F.col("density") + 2))
 
 
 def category_scores(results: DataFrame, files: int | Column, weights: DataFrame) -> DataFrame:
     """(category, density, risk, points): weighted hits per file, saturating, times the category's weight."""
-    n = F.greatest(F.lit(files) if isinstance(files, int) else files, F.lit(1))
-    per = results.groupBy("category").agg(F.sum(F.col("total") * F.col("multiplier")).alias("weighted"))
-    density = F.coalesce("weighted", F.lit(0.0)) / n
-    out = weights.join(per, "category", "left").withColumn("density", density).withColumn("risk", F.col("density") / (F.col("density") + 2))
+    per = densities(results, ["category"], F.lit(files) if isinstance(files, int) else files)
+    out = weights.join(per, "category", "left").fillna(0.0, ["density", "risk"])
     return out.select("category", "density", "risk", F.round(F.col("risk") * F.col("weight")).cast("long").alias("points"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import cut
+from gneiss.functions.ranking import numbered
 from gneiss.functions.text import identifiers, stem
 from gneiss.operators import architecture, constructs, graph, history, packages, parse, patterns, security, style, traffic
 from gneiss.plans.config import Config
@@ -25,7 +26,7 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     placed = parsed.join(parse.packages(parsed.select("file_path"), paths), "file_path")
     placed = cut(placed)
     decls, imports = cut(parse.declarations(parsed)), parse.imports(parsed)
-    nodes = placed.select("file_path", stem(F.col("file_path")).alias("stem"), F.col("module_name").alias("module"), F.row_number().over(_by_path()).alias("ordinal"), F.col("package_name").alias("package"))
+    nodes = numbered(placed, [F.col("file_path")], "ordinal").select("file_path", stem(F.col("file_path")).alias("stem"), F.col("module_name").alias("module"), F.col("ordinal"), F.col("package_name").alias("package"))
     out = {"files": placed, "declarations": decls, "imports": imports}
     swift = texts.filter("file_path LIKE '%.swift'").join(nodes.select("file_path", "package"), "file_path")
     tokens = swift.select("package", F.col("file_path").alias("path"), F.explode(identifiers(F.col("text"))).alias("token"))
@@ -66,12 +67,6 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     return out
 
 
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("file_path")  # at most max_files rows
-
-
 def history_tables(blocks: DataFrame, refs: DataFrame, merged: DataFrame, as_of: int, known: DataFrame | None = None, config: Config | None = None) -> dict[str, DataFrame]:
     """Tables from a log's blocks and refs; as_of is the time that ages are counted to."""
     commits, touched = cut(history_source.commits(blocks)), cut(history_source.commit_files(blocks))

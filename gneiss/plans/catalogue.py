@@ -2,16 +2,16 @@
 
 The tables stand in for a repository: documents are files, events are commits (user = author, k = file),
 the order chain between nations is a dependency graph, part names are type names, conversations are
-ordered lines. Every query goes through the operators that real repositories use.
+ordered lines. Queries go through the operators that real repositories use, but for a few plain ones (unions, differences, flags).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
-from gneiss.functions.windows import chunked, frame, parity, previous, top_per
+from gneiss.functions.windows import chunked, frame, parity, previous, running, top_per
 from gneiss.operators import architecture, graph, history, matching, packages, security, style, traffic
 
 QUERIES: dict = {}
@@ -143,8 +143,7 @@ def secret_lines(spark, d):
 @query(f"""WITH {HITS_SQL}, per AS (SELECT doc_id, lang, check_id, least(count(*), 2) AS n FROM hits GROUP BY ALL)
     SELECT lang, check_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS files FROM per GROUP BY lang, check_id""")
 def secret_file_caps(spark, d):
-    per = text_hits(spark, d).groupBy("doc_id", "lang", "check_id").agg(F.least(F.count("*"), F.lit(2)).alias("n"))
-    return per.groupBy("lang", "check_id").agg(F.sum("n").alias("total"), F.count("*").alias("files"))
+    return security.totals(text_hits(spark, d).withColumnRenamed("doc_id", "file_path"), ["lang", "check_id"], 2)
 
 
 @query(f"""WITH {HITS_SQL}, {DIM_SQL}, per AS (SELECT doc_id, lang, check_id, least(count(*), 100) AS n FROM hits GROUP BY ALL),
@@ -152,11 +151,10 @@ def secret_file_caps(spark, d):
     f AS (SELECT lang, count(*) AS files FROM documents GROUP BY lang)
     SELECT lang, category, round(weighted / files, 6) AS density, round((weighted / files) / (weighted / files + 2), 6) AS risk FROM t JOIN f USING (lang)""")
 def risk_score_by_lang(spark, d):
-    per = text_hits(spark, d).groupBy("doc_id", "lang", "check_id").agg(F.least(F.count("*"), F.lit(100)).alias("n"))
-    t = per.join(F.broadcast(check_dim(spark)), "check_id").groupBy("lang", "category").agg(F.sum(F.col("n") * F.col("multiplier")).alias("weighted"))
+    counted = security.totals(text_hits(spark, d).withColumnRenamed("doc_id", "file_path"), ["lang", "check_id"]).drop("files")
     n = files(spark, d).groupBy("lang").agg(F.count("*").alias("files"))
-    density = F.col("weighted") / F.col("files")
-    return t.join(n, "lang").select("lang", "category", F.round(density, 6).alias("density"), F.round(density / (density + 2), 6).alias("risk"))
+    found = security.densities(counted.join(F.broadcast(check_dim(spark)), "check_id").join(n, "lang"), ["lang", "category"], F.col("files"))
+    return found.select("lang", "category", F.round("density", 6).alias("density"), F.round("risk", 6).alias("risk"))
 
 
 @query(f"""WITH {HITS_SQL}, {DIM_SQL}, per AS (SELECT doc_id, check_id, least(count(*), 100) AS n FROM hits GROUP BY ALL),
@@ -507,8 +505,14 @@ def layer_classifier(spark, d):
 
 @query("SELECT p_brand AS package, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS lines, " + ", ".join(f"count(*) FILTER (p_type = '{t}') AS n_{t.lower()}" for t in ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")) + " FROM part GROUP BY p_brand")
 def package_kinds_pivot(spark, d):
-    kinds = ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("package")).agg(F.count("*").alias("files"), F.sum("p_size").alias("lines"), *(F.count_if(F.col("p_type") == k).alias(f"n_{k.lower()}") for k in kinds))
+    kinds = dict(zip(("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE"), packages.KINDS, strict=True))
+    p = table(spark, d, "part")
+    of = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    found = packages.totals(
+        p.select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("package_name"), F.col("p_size").alias("line_count")),
+        p.select(F.col("p_partkey").alias("file_path"), of[F.col("p_type")].alias("kind")),
+    )
+    return found.select("package", "files", "lines", *(F.col(k).alias(f"n_{t.lower()}") for t, k in kinds.items()))
 
 
 @query(f"""WITH {LINES_SQL} SELECT source AS module, count(*) FILTER (regexp_matches(line, '{LICENSE}')) AS todo, count(*) FILTER (regexp_matches(line, '{MAIL}')) AS fixme FROM lines GROUP BY source
@@ -565,7 +569,7 @@ def running_parity(spark, d):
     SELECT page_id, CAST(max(depth) AS BIGINT) AS deepest, CAST(arg_max(depth, line_no) AS BIGINT) AS final FROM (SELECT page_id, line_no, sum(net) OVER (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth FROM m) GROUP BY page_id""")
 def brace_depth_max(spark, d):
     count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
-    depth = F.sum((count("{") - count("}")).cast("long")).over(Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    depth = running((count("{") - count("}")).cast("long"), ["page_id"], "line_no")
     per = page_lines(spark, d).select("page_id", "line_no", depth.alias("depth"))
     return per.groupBy("page_id").agg(F.max("depth").alias("deepest"), F.max_by("depth", "line_no").alias("final"))
 

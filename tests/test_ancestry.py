@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gneiss.functions.ranking import numbered
 from gneiss.operators import ancestry, graph
 
 
@@ -113,9 +114,40 @@ def test_strong_components_of_little(spark):
 
 
 def test_a_long_ring_is_one_component_in_few_rounds(spark, monkeypatch):
-    n, rounds = 500, []
+    n, rounds = 128, []
     kept = graph.cut
     monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or kept(df))
     ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
     assert graph.strong_components(spark.range(n), ring).select("component").distinct().collect()[0].component == 0
-    assert len(rounds) < 70
+    assert len(rounds) < 60
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k int, v int")
+    got = numbered(rows, [F.col("k")], per_range=10).collect()
+    assert sorted((r.k, r.position) for r in got) == [(k, k + 1) for k in range(101)]
+    assert numbered(rows.limit(0), [F.col("k")]).collect() == []
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 40, 50), (2, 30, 25)])
+def test_levels_match_brute_force(spark, seed, n, m):
+    rng = random.Random(seed)
+    edges = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b}
+    edges |= {(n + i, n + i + 1) for i in range(9)}  # a line
+    edges |= {(n + 20, n + 21), (n + 21, n + 22), (n + 22, n + 20)}  # a ring that nothing enters
+    edges |= {(n + 30, n + 31), (n + 31, n + 32), (n + 32, n + 31), (n + 32, n + 33), (n + 33, n + 34)}  # a ring with an entry, and what is behind it
+    want = {}
+    for v in range(n + 40):
+        before = [a for a, b in edges if b == v]
+        want[v] = None if n + 20 <= v <= n + 22 or n + 31 <= v <= n + 34 else max((want[a] + 1 for a in before), default=0)
+    got = graph.levels(spark.range(n + 40), spark.createDataFrame(list(edges), "src long, dst long"))
+    assert {r.id: r.level for r in got.collect()} == want
+
+
+def test_a_long_line_has_levels_in_few_rounds(spark, monkeypatch):
+    n, rounds = 5000, []
+    kept = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or kept(df))
+    line = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.levels(spark.range(n), line).filter("id = level").count()
+    assert got == n and len(rounds) < 25
