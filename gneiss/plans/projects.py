@@ -13,6 +13,7 @@ from gneiss.functions import lineage
 from gneiss.functions import text as T
 from gneiss.operators import architecture, constructs, graph, history, matching, packages, parse, patterns
 from gneiss.plans.catalogue import query, table
+from gneiss.plans.config import EXCLUDED
 from gneiss.plans.planted import placed, planted, sql_list
 from gneiss.rules import names
 from gneiss.sources import files as sources
@@ -430,3 +431,78 @@ def contextual_algorithms(spark, d):
     """Ambiguous names that the words around them confirm or rule out."""
     files = planted(spark, d, [("src/B{k}.swift", f"func {n}() {{ go() }}") for n, _ in BESIDE])
     return constructs.algorithms(constructs.scanned(files)).select("file_path", "symbol", "label")
+
+
+# a listing of a project's files: path by the part's key, size by its retail price and key
+
+LISTED = [
+    ("src/A{k}.swift", True), ("Pods/P{k}.swift", False), ("src/build/B{k}.swift", False), ("src/Builder/C{k}.swift", True), ("res/Pic.xcassets/one{k}.png", False), ("res/pic{k}.PNG", True), ("res/snd{k}.mp3", True), ("res/raw{k}.bin", True),
+    ("res/Big.xcassets/model{k}.usdz", False), ("Packages/Gfx/Sources/Gfx/s{k}.metal", True), ("App/Draw/Sources/s{k}.metal", True), ("shade{k}.metal", True), ("third/zlib/z{k}.c", True), ("deep/third/zlib/z{k}.c", True), ("lib/Lua/l{k}.h", True), ("lib/nothing/n{k}.h", True),
+]
+_LISTED = f"""l AS (SELECT p_partkey AS k, p_partkey % {len(LISTED)} AS i, replace({sql_list([p for p, _ in LISTED])}[p_partkey % {len(LISTED)} + 1], '{{k}}', CAST(p_partkey AS VARCHAR)) AS rel_path, CAST(floor(p_retailprice * 100) AS BIGINT) + p_partkey % 5 * 10000 AS size_bytes FROM part)"""
+
+
+def listed(spark, d):
+    k = F.col("p_partkey")
+    path = F.replace(F.element_at(F.array(*(F.lit(p) for p, _ in LISTED)), (k % len(LISTED) + 1).cast("int")), F.lit("{k}"), k.cast("string"))
+    return table(spark, d, "part").select(path.alias("rel_path"), (F.floor(F.col("p_retailprice") * 100) + k % 5 * 10000).alias("size_bytes"))
+
+
+@query(f"WITH {_LISTED} SELECT rel_path FROM l WHERE i IN ({', '.join(str(i) for i, (_, kept) in enumerate(LISTED) if kept)})")
+def kept_files(spark, d):
+    """Files of a listing that lie in no excluded folder and in no bundle."""
+    return listed(spark, d).filter(sources.kept(F.col("rel_path"), list(EXCLUDED))).select("rel_path")
+
+
+@query(f"WITH {_LISTED} SELECT rel_path, lower(regexp_extract(rel_path, '[.]([^.]*)$', 1)) AS ext, size_bytes FROM l WHERE i IN (4, 5, 6)")
+def media_files(spark, d):
+    """Media files with their type and size."""
+    return sources.assets(listed(spark, d))
+
+
+@query(f"WITH {_LISTED} SELECT DISTINCT 'usdz' AS ext FROM l WHERE i = 8 AND size_bytes > 102400")
+def heavy_asset_types(spark, d):
+    """Types of large files in asset catalogues that aren't media."""
+    return sources.heavy_types(listed(spark, d))
+
+
+@query(f"WITH {_LISTED} SELECT rel_path, CASE i WHEN 9 THEN 'Gfx' WHEN 10 THEN 'Draw' ELSE '' END AS package, size_bytes FROM l WHERE i IN (9, 10, 11)")
+def shader_files(spark, d):
+    """Shaders and the packages they lie in."""
+    return sources.shaders(listed(spark, d), list(EXCLUDED))
+
+
+@query(f"""WITH {_LISTED} SELECT 'zlib' AS name, 'third/zlib' AS path, count(*) AS file_count, CAST(sum(size_bytes // 40) AS BIGINT) AS est_lines FROM l WHERE i = 12 HAVING count(*) > 1
+    UNION ALL SELECT 'lua', 'lib/Lua', count(*), CAST(sum(size_bytes // 40) AS BIGINT) FROM l WHERE i = 14 HAVING count(*) > 1""")
+def vendored_libraries(spark, d):
+    """Folders named like a known library, the one nearest to the root of each name."""
+    names_of = spark.createDataFrame([(n,) for n in sources.LIBRARIES], "name string")
+    return sources.vendored(listed(spark, d), names_of)
+
+
+# sources whose features tell the language version, one per brand, and project files with settings
+
+FEATURES_OF = [("let a{k} = 1", ""), ("@main struct A{k} { }", "5.3"), ("@State var a{k} = 1", "5.1"), ("func f{k}() async { }", "5.5"), ("if let a{k} { }", "5.7"), ("#Preview { A{k}() }", "5.9"), ("@Test func t{k}() { }", "6.0")]
+
+
+@query(f"""WITH f AS (SELECT p_brand AS brand, {sql_list([v for _, v in FEATURES_OF])}[p_partkey % {len(FEATURES_OF)} + 1] AS v, p_partkey % 11 = 0 AS test FROM part)
+    SELECT CASE WHEN max(v) FILTER (NOT test) = '' OR max(v) FILTER (NOT test) IS NULL THEN '' ELSE max(v) FILTER (NOT test) || '+' END AS version FROM f""")
+def language_of_sources(spark, d):
+    """The highest language version that the features of all sources outside of tests need."""
+    k = F.col("p_partkey")
+    text = F.replace(F.element_at(F.array(*(F.lit(t) for t, _ in FEATURES_OF)), (k % len(FEATURES_OF) + 1).cast("int")), F.lit("{k}"), k.cast("string"))
+    path = F.concat(F.when(k % 11 == 0, "src/Tests/F").otherwise("src/F"), k, F.lit(".swift"))
+    return sources.language_version(table(spark, d, "part").select(path.alias("file_path"), text.alias("text")))
+
+
+@query("""SELECT '5.' || max(p_size) AS language_version, ['iOS 1' || min(p_size), 'macOS 1' || max(p_size)] AS targets, '1.' || count(*) AS app_version FROM part""")
+def project_metadata(spark, d):
+    """Language version, targets and app version from manifests whose numbers are the table's."""
+    few = table(spark, d, "part").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"), F.count("*").alias("n"))
+    manifest = F.concat(F.lit("// swift-tools-version: 5."), "high", F.lit("\nplatforms: [.iOS(.v1"), "low", F.lit("), .macOS(.v1"), "high", F.lit(")]"))
+    plist = F.concat(F.lit("<key>CFBundleShortVersionString</key>\n<string>1."), "n", F.lit("</string>"))
+    texts = F.array(F.struct(F.lit("Package.swift").alias("file_path"), manifest.alias("text")), F.struct(F.lit("Info.plist").alias("file_path"), plist.alias("text")))
+    project = few.select(F.explode(texts).alias("t")).select("t.*")
+    code = planted(spark, d, [("src/F{k}.swift", t) for t, _ in FEATURES_OF])
+    found = sources.metadata(project, code)
+    return found.select("language_version", "targets", "app_version")
