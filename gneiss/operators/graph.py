@@ -162,12 +162,14 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         busy = inner.select(F.col("src").alias("id")).intersect(inner.select(F.col("dst").alias("id")))
         found.append(rest.join(busy, "id", "left_anti").select("id", F.col("id").alias("root")))
         keyed = cut(busy.select("id", F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("id")).alias("key")))
+        if keyed.isEmpty():
+            break
         inner = cut(clean(inner, keyed))
         forward = _greatest(keyed, inner)
         of = lambda end: forward.select(F.col("id").alias(end), F.col("color").alias(f"{end}_color"))  # noqa: B023, E731  called at once
         inner = cut(inner.join(of("src"), "src").join(of("dst"), "dst").filter("src_color = dst_color").select("src", "dst"))
         backward = _greatest(keyed, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        both = cut(forward.join(backward.withColumnRenamed("color", "back"), "id"))
+        both = forward.join(backward.withColumnRenamed("color", "back"), "id")
         found.append(both.filter("color = back").select("id", F.col("color.id").alias("root")))
         rest = cut(both.filter("color <> back").select("id"))
         inner, turn = cut(clean(inner, rest)), turn + 1
@@ -180,7 +182,7 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _greatest(keyed: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, color): the greatest key of what reaches each vertex, itself included."""
-    colors = cut(keyed.select("id", F.col("key").alias("color")))
+    colors = keyed.select("id", F.col("key").alias("color"))
     while True:
         handed = edges.join(colors.select(F.col("id").alias("src"), "color"), "src").select(F.col("dst").alias("id"), "color")
         best = colors.union(handed).groupBy("id").agg(F.max("color").alias("color"))

@@ -366,7 +366,7 @@ def labels_of_numbers(spark, d):
     return table(spark, d, "part").select(k.alias("k"), T.file_size(size).alias("size"), T.big_o(k % 7, F.lit("time")).alias("cost"), T.encyclopedia_url(F.concat("p_name", F.lit(" (x)"))).alias("article"))
 
 
-@query("""WITH s AS (SELECT event_id AS ord, CASE event_id % 4 WHEN 0 THEN 'fix: ' WHEN 1 THEN 'feat(' || event_type || ')!: ' WHEN 2 THEN 'fix ' ELSE event_type || ': ' END || event_id AS subject FROM events),
+@query(r"""WITH s AS (SELECT event_id AS ord, CASE event_id % 4 WHEN 0 THEN 'fix: ' WHEN 1 THEN 'feat(' || event_type || ')!: ' WHEN 2 THEN 'fix ' ELSE event_type || ': ' END || event_id AS subject FROM events),
     o AS (SELECT subject, ord FROM s WHERE NOT regexp_matches(subject, '^(feat|fix|docs|chore|refactor|test|style|ci|build|perf|revert)(\([^)]+\))?!?:\s') ORDER BY ord LIMIT 5)
     SELECT (count(*) FILTER (regexp_matches(subject, '^(feat|fix|docs|chore|refactor|test|style|ci|build|perf|revert)(\([^)]+\))?!?:\s')))::DOUBLE / count(*) AS compliance, (SELECT string_agg(subject, '|' ORDER BY ord) FROM o) AS samples FROM s""")
 def subject_compliance(spark, d):
