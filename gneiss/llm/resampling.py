@@ -76,10 +76,10 @@ def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS, scale: int
     """bucket and gain of every bucket, seen or not, from tables of runs."""
     every = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = write_shared(every.join(counts(raw, buckets, "s"), "bucket", "left").join(counts(target, buckets, "t"), "bucket", "left").fillna(0), "resampling-counts")
-    totals = both.agg(F.sum("s").cast("double").alias("all_s"), F.sum("t").cast("double").alias("all_t"))
+    all_s, all_t = both.agg(F.sum("s"), F.sum("t")).first()  # two numbers
     s, t = F.col("s").cast("double"), F.col("t").cast("double")
-    share = ((t + 1) * (F.col("all_s") + buckets)) / ((s + 1) * (F.col("all_t") + buckets))
-    return both.crossJoin(F.broadcast(totals)).select("bucket", F.floor(scale * F.log(share)).cast("long").alias("gain"))  # totals is one row
+    share = ((t + 1) * F.lit(float(all_s + buckets))) / ((s + 1) * F.lit(float(all_t + buckets)))
+    return both.select("bucket", F.floor(scale * F.log(share)).cast("long").alias("gain"))
 
 
 def weighed(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", orders: int = ORDERS, buckets: int = BUCKETS, scale: int = SCALE) -> DataFrame:
