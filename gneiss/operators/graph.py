@@ -224,8 +224,9 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
     """(id, depth): seeds at 0, then what refers to them (edges src -> dst), at most so many rounds."""
     found = frontier = seeds.select("id", F.lit(0).alias("depth"))
     for depth in range(1, rounds + 1):
-        step = edges.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
-        frontier = step.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"))
+        # nodes grow with the graph, so none of these are broadcast
+        step = edges.join(frontier.select(F.col("id").alias("dst")).hint("merge"), "dst").select(F.col("src").alias("id")).distinct()
+        frontier = step.join(found.select("id").hint("merge"), "id", "left_anti").select("id", F.lit(depth).alias("depth"))
         found = found.unionByName(frontier)
     return found
 

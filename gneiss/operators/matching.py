@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import name_tokens
-from gneiss.functions.windows import top_per
 
 
-def longest_suffix(names: DataFrame, rules: DataFrame, key: list[str], name: str = "name") -> DataFrame:
+def longest_suffix(names: DataFrame, rules: DataFrame, key: list[str], name: str = "name", kept: list[str] | None = None) -> DataFrame:
     """names with the label of the longest rule (suffix, label) that they end with; rows without one go.
 
-    Names are exploded to their suffixes and joined by equality, so no row meets every rule.
+    Names are exploded to their suffixes and joined by equality with the rules, a fixed table that is broadcast,
+    so no row meets every rule and the names, which grow, stay where they are. kept: further columns of the names.
     """
     n = F.length(name)
-    ends = names.select("*", F.explode(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(name), i, n)))).alias("suffix"))
-    found = ends.join(rules, "suffix")
-    best = found.groupBy(*key).agg(F.max(F.struct(F.length("suffix").alias("n"), "suffix", "label")).alias("b"))
-    return best.select(*key, F.col("b.suffix").alias("suffix"), F.col("b.label").alias("label"))
+    rest = kept or []
+    ends = names.select(*key, *rest, F.explode(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(name), i, n)))).alias("suffix"))
+    found = ends.join(F.broadcast(rules.select("suffix", "label")), "suffix")
+    best = found.groupBy(*key).agg(F.max(F.struct(F.length("suffix").alias("n"), "suffix", "label")).alias("b"), *(F.first(c).alias(c) for c in rest))
+    return best.select(*key, F.col("b.suffix").alias("suffix"), F.col("b.label").alias("label"), *rest)
 
 
 def token_rules(names: DataFrame, rules: DataFrame, key: list[str], name: str = "name") -> DataFrame:
@@ -26,16 +27,14 @@ def token_rules(names: DataFrame, rules: DataFrame, key: list[str], name: str =
 
     rules: ordinal, label, tokens, blockers, context (arrays; context empty: none needed). A rule fits if the
     name has all its tokens, or holds them joined if they are several; none of its blockers; some context.
+    The rules are a fixed table, which is broadcast; names are read once and never broadcast.
     """
     rules = rules.withColumn("joined", F.array_join("tokens", ""))
-    toks = names.select(*key, name_tokens(F.col(name)).alias("have")).withColumn("have", F.array_distinct("have"))
-    # by tokens: a rule all of whose tokens are met
-    need = rules.select("ordinal", F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("size"))
-    met = toks.select(*key, F.explode("have").alias("token")).join(need, "token").groupBy(*key, "ordinal", "size").count().filter("count = size").select(*key, "ordinal")
-    # joined: substrings of as many letters as some rule of several tokens has
-    many = rules.filter("size(tokens) > 1").select("ordinal", "joined")
-    lengths = [r[0] for r in many.select(F.length("joined")).distinct().collect()]  # of a fixed table
-    whole = names.select(*key, F.array_join(name_tokens(F.col(name)), "").alias("all"))
+    # what a rule is met by: all of its tokens, or its joined text if it has several
+    by_token = rules.select("ordinal", F.explode(F.array_distinct("tokens")).alias("term"), F.size(F.array_distinct("tokens")).alias("need"), F.lit(False).alias("whole"))
+    by_text = rules.filter("size(tokens) > 1").select("ordinal", F.col("joined").alias("term"), F.lit(1).alias("need"), F.lit(True).alias("whole"))
+    lengths = [r[0] for r in by_text.select(F.length("term")).distinct().collect()]  # of a fixed table
+    cut = names.select(*key, name_tokens(F.col(name)).alias("cut")).select(*key, F.array_distinct("cut").alias("have"), F.array_join("cut", "").alias("all"))
     none = F.array().cast("array<string>")
 
     def pieces(n: int):
@@ -43,12 +42,13 @@ def token_rules(names: DataFrame, rules: DataFrame, key: list[str], name: str =
         starts = F.sequence(F.lit(1), F.length("all") - n + 1)
         return F.when(F.length("all") >= n, F.transform(starts, lambda i: F.substring(F.col("all"), i, F.lit(n)))).otherwise(none)
 
-    parts = F.flatten(F.array(*map(pieces, sorted(lengths)))) if lengths else none
-    held = whole.select(*key, F.explode(F.array_distinct(parts)).alias("joined")).join(many, "joined").select(*key, "ordinal")
-    found = met.unionByName(held).distinct().join(toks, key).join(rules, "ordinal")
-    found = found.filter(~F.arrays_overlap("have", "blockers") & ((F.size("context") == 0) | F.arrays_overlap("have", "context")))
-    order = [F.size("tokens").desc(), F.length("joined").desc(), F.col("ordinal")]
-    return top_per(found, key, order, 1).select(*key, "ordinal", "label")
+    parts = F.array_distinct(F.flatten(F.array(*map(pieces, sorted(lengths))))) if lengths else none
+    marked = lambda terms, whole: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(whole).alias("whole")))
+    each = cut.select(*key, "have", F.explode(F.concat(marked(F.col("have"), False), marked(parts, True))).alias("t")).select(*key, "have", "t.term", "t.whole")
+    met = each.join(F.broadcast(by_token.union(by_text)), ["term", "whole"]).groupBy(*key, "ordinal", "whole", "need").agg(F.count("*").alias("count"), F.first("have").alias("have")).filter("count = need")
+    found = met.join(F.broadcast(rules), "ordinal").filter(~F.arrays_overlap("have", "blockers") & ((F.size("context") == 0) | F.arrays_overlap("have", "context")))
+    order = F.struct((-F.size("tokens")).alias("tokens"), (-F.length("joined")).alias("joined"), "ordinal", "label")
+    return found.groupBy(*key).agg(F.min(order).alias("b")).select(*key, "b.ordinal", "b.label")
 
 
 def innermost(points: DataFrame, ranges: DataFrame, key: list[str], at: str, first: str, last: str, label: str, default: str = "(top level)") -> DataFrame:

@@ -18,12 +18,21 @@ def sql_list(values) -> str:
     return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + "]"
 
 
+#: Files planted in one task: keys are few bytes, so a split of the table holds far more of them than a task should parse.
+FILES_PER_TASK = 5000
+
+
+def dealt(rows: DataFrame, key: str, per_task: int = FILES_PER_TASK) -> DataFrame:
+    """rows dealt by their key to tasks of about so many rows, however few bytes they have."""
+    return rows.repartition(max(1, -(-rows.count() // per_task)), key)
+
+
 def planted(spark, d, snippets: list[tuple[str, str]]) -> DataFrame:
     """(file_path, text): file k of a part's key has snippet k % n; ``{k}`` in it is the key."""
     k = F.col("p_partkey")
     at = (k % len(snippets) + 1).cast("int")
     pick = lambda i: F.replace(F.element_at(F.array(*(F.lit(s[i]) for s in snippets)), at), F.lit("{k}"), k.cast("string"))
-    return table(spark, d, "part").select(pick(0).alias("file_path"), pick(1).alias("text"))
+    return dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select(pick(0).alias("file_path"), pick(1).alias("text"))
 
 
 # security checks: (path, text, what is found as (check, line))
