@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, jaccard, mixing, pii, quality
+from gneiss.llm import bpe, jaccard, mixing, pii, quality, simhash
 from gneiss.llm.common import read_table, write_shared
 from gneiss.llm.queries import vocabulary_path
 
@@ -27,12 +27,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component (five-word shingles, similarity 0.8 or more), the one of the smallest id.
+    """One document of each near-duplicate component, the one of the smallest id.
 
+    SimHash fingerprints within four bits, by op9's operator, and MinHash bands say which documents are compared;
+    an exact check of their five-word shingles, similar by 0.8 or more, decides which of these link.
     Texts without words, null or empty, are one component; a null id stays only where its component has no
     other; of rows that repeat the smallest id the one of the smallest content stays; repeated rows are one.
     """
-    return jaccard.deduplicated(docs)
+    return simhash.survivors(docs, linked)
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """From doc_id, text, _content: doc_id, _content and ``root``, the same for all documents of a component."""
+    slim = write_shared(simhash.fingerprints(docs, ["doc_id", "_content"]), "fingerprints")
+    return jaccard.label(docs, met=simhash.label(slim).select("_content", F.xxhash64(F.lit("simhash"), "root").alias("key")))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,11 +137,17 @@ def links(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMIL
     return pairs.join(of("a"), "a").join(of("b"), "b").filter(similar(similarity)).select("a", "b")
 
 
-def label(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """From doc_id, text, _content: doc_id, _content and ``root``, which is the same for all documents of a component."""
+def label(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, met: DataFrame | None = None) -> DataFrame:
+    """From doc_id, text, _content: doc_id, _content and ``root``, which is the same for all documents of a component.
+
+    met: further keys (_content, key) under which texts are compared, beside those of the bands.
+    """
     slim = write_shared(indexed(docs, ["doc_id", "_content"]), "shingles")
     nodes = slim.groupBy("node").agg(F.min_by(F.struct("n", "keys", "_content"), "_content").alias("of")).select("node", "of.*")
     keyed = nodes.select("node", "n", "_content", F.explode("keys").alias("key"))
+    if met is not None:
+        more = slim.select("_content", "node").join(met.hint("merge"), "_content").select("node", "key").distinct()
+        keyed = keyed.union(nodes.select("node", "n", "_content").join(more.hint("merge"), "node").select("node", "n", "_content", "key"))
     # a key of one node links nothing; only nodes with another key are cut into sets again, one text a node: sets are larger than the texts
     shared = keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
     keyed = write_shared(keyed.join(shared, "key"), "keys")

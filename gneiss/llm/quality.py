@@ -131,6 +131,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 150) -> Model:
     """Train on two of three sampled documents, calibrate on the third."""
     quality, n, features, counts = sample_features(docs, labels, sample)
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
     size = 3 << BITS
     good = int(quality.sum())
     if good in (0, len(quality)):
