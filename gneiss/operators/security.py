@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.functions.lineage import cut
 from gneiss.functions.text import basename, calls, display_path, is_comment, snippet, trim
 from gneiss.functions.windows import around, frame, previous
 from gneiss.operators import matching
@@ -345,10 +346,11 @@ def line_hits(lined: DataFrame, compat: bool = False) -> DataFrame:
             vetoes.append(F.when(c.veto(n), F.lit(c.id)))
     none = F.array().cast("array<int>")
     ids = lambda cases: F.filter(F.array(*cases), lambda x: x.isNotNull()) if cases else none
-    marked = lined.select("file_path", "line_no", "raw", ids(found).alias("hits"), ids(vetoes).alias("vetoes"))
+    # lines are looked at once; the few with a mark are read again below
+    marked = cut(lined.select("file_path", "line_no", "raw", ids(found).alias("hits"), ids(vetoes).alias("vetoes")).filter("size(hits) > 0 OR size(vetoes) > 0"))
     hits = marked.select("file_path", "line_no", "raw", F.explode("hits").alias("check_id"))
     vetoed = marked.select("file_path", F.explode("vetoes").alias("check_id")).distinct()
-    hits = hits.join(vetoed, ["file_path", "check_id"], "left_anti")
+    hits = hits.join(vetoed.hint("merge"), ["file_path", "check_id"], "left_anti")  # both grow with the project
     once = [c.id for c in CHECKS if c.kind == "file"]
     first = hits.filter(F.col("check_id").isin(once)).groupBy("check_id", "file_path").agg(F.min(F.struct("line_no", "raw")).alias("f")).select("check_id", "file_path", "f.line_no", "f.raw")
     return hits.filter(~F.col("check_id").isin(once)).select("check_id", "file_path", "line_no", "raw").unionByName(first)
@@ -358,10 +360,17 @@ def database_hits(lined: DataFrame, compat: bool = False) -> DataFrame:
     """Check 12: stores without protection in a file, Realm without a key in the whole project."""
     some = lined.filter(F.col("file_path").endswith(".swift") & ~is_test(F.col("file_path"), compat))
     code, raw = F.col("code"), F.col("raw")
-    safe = some.groupBy("file_path").agg(F.bool_or(any_of(raw, ["NSPersistentStoreFileProtectionKey", "NSFileProtectionComplete"])).alias("core"), F.bool_or(any_of(raw, ["sqlite3_key(", "SQLCipher"])).alias("sqlite"))
-    project = some.agg(F.coalesce(F.bool_or(raw.contains("encryptionKey")), F.lit(False)).alias("realm"))
-    hit = (code.contains("addPersistentStore") & ~F.col("core")) | (any_call(code, ["sqlite3_open(", "sqlite3_open_v2("]) & ~F.col("sqlite")) | (code.contains("Realm(") & ~F.col("realm"))
-    return some.filter(~is_comment(raw)).join(safe, "file_path").join(F.broadcast(project)).filter(hit).select(F.lit(12).alias("check_id"), "file_path", "line_no", "raw")
+    marks = {
+        "core": any_of(raw, ["NSPersistentStoreFileProtectionKey", "NSFileProtectionComplete"]), "sqlite": any_of(raw, ["sqlite3_key(", "SQLCipher"]), "realm": raw.contains("encryptionKey"),
+        "opens_core": code.contains("addPersistentStore") & ~is_comment(raw), "opens_sqlite": any_call(code, ["sqlite3_open(", "sqlite3_open_v2("]) & ~is_comment(raw), "opens_realm": code.contains("Realm(") & ~is_comment(raw),
+    }
+    # lines are looked at once; the few with a mark are read again below
+    marked = cut(some.select("file_path", "line_no", "raw", *(m.alias(k) for k, m in marks.items())).filter(_or([F.col(k) for k in marks])))
+    safe = marked.groupBy("file_path").agg(F.bool_or("core").alias("core"), F.bool_or("sqlite").alias("sqlite"))
+    project = marked.agg(F.coalesce(F.bool_or("realm"), F.lit(False)).alias("realm"))
+    opens = marked.filter("opens_core OR opens_sqlite OR opens_realm").drop("core", "sqlite", "realm")
+    hit = (F.col("opens_core") & ~F.col("core")) | (F.col("opens_sqlite") & ~F.col("sqlite")) | (F.col("opens_realm") & ~F.col("realm"))
+    return opens.join(safe.hint("merge"), "file_path").join(F.broadcast(project)).filter(hit).select(F.lit(12).alias("check_id"), "file_path", "line_no", "raw")
 
 
 def challenge_hits(files: DataFrame, compat: bool = False) -> DataFrame:
