@@ -237,8 +237,11 @@ def scorecard(values: DataFrame, keys: list[str]) -> DataFrame:
     part = lambda x: F.sum(F.when(F.col("part") == x, F.col("points"))).alias(x)
     sums = reached.groupBy(*keys, "pattern").agg(part("base"), part("hits"), part("penalty"))
     wide = values.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("feature") == x, F.col("value"))), F.lit(0)).alias(x) for x in FEATURES))
-    every = wide.withColumn("pattern", F.explode(F.array(*map(F.lit, PATTERNS))))
-    got = every.join(sums, [*keys, "pattern"], "left").fillna(0.0, ["base", "hits", "penalty"])
+    # the sums of a key's patterns are one array, so that the wide rows meet them once and are not multiplied before
+    of_key = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pattern", F.struct("base", "hits", "penalty")))).alias("sums"))
+    both = wide.join(of_key.hint("merge"), keys, "left") if keys else wide.join(of_key)
+    got = both.withColumn("pattern", F.explode(F.array(*map(F.lit, PATTERNS)))).withColumn("sum", F.try_element_at("sums", F.col("pattern")))
+    got = got.withColumns({x: F.coalesce(F.col(f"sum.{x}"), F.lit(0.0)) for x in ("base", "hits", "penalty")})
     f, t = (lambda r: F.col(f"f_{r}")), (lambda r: F.col(f"t_{r}"))
     imported = lambda m: F.col(f"`i_{m}`") > 0
     views, base, hits = F.col("views"), F.col("base"), F.col("hits")
