@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def linked(docs: DataFrame) -> DataFrame:
     """From doc_id, text, _content: doc_id, _content and ``root``, the same for all documents of a component."""
     slim = write_shared(simhash.fingerprints(docs, ["doc_id", "_content"]), "fingerprints")
-    return jaccard.label(docs, met=simhash.label(slim).select("_content", F.xxhash64(F.lit("simhash"), "root").alias("key")))
+    return jaccard.label(docs, met=simhash.clusters(slim).select("_content", F.xxhash64(F.lit("simhash"), "root").alias("key")))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,6 +145,12 @@ def roots(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def clusters(slim: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``slim`` (with fp) with ``root``, the same for all fingerprints of a component; for callers that need no component_id."""
+    found = roots(links(write_shared(slim.select("fp").distinct(), "nodes"), distance)).toDF("fp", "root")
+    return slim.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def label(slim: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``slim`` (with doc_id and fp) with ``root`` and ``component_id``, the smallest doc_id of the component."""
     nodes = write_shared(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")

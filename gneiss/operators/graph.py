@@ -33,8 +33,12 @@ def import_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def type_edges(tokens: DataFrame, types: DataFrame, least: int = 4) -> DataFrame:
-    """From tokens (package, path, token) and types (package, path, name): an edge where a file names another's type."""
-    named = types.filter(F.length("name") >= least).select("package", F.col("name").alias("token"), F.col("path").alias("dst"))
+    """From tokens (package, path, token) and types (package, path, name): an edge where a file names another's type.
+
+    Tokens too short for any name, and repeats in a file, go before the join; what is left are the edges themselves.
+    """
+    tokens = tokens.filter(F.length("token") >= least).select("package", "path", "token").distinct()
+    named = types.filter(F.length("name") >= least).select("package", F.col("name").alias("token"), F.col("path").alias("dst")).distinct()
     return tokens.join(named, ["package", "token"]).filter("path <> dst").select(F.col("path").alias("src"), "dst").distinct()
 
 

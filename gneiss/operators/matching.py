@@ -92,7 +92,10 @@ def overlapping(rules: DataFrame, rule_items: str, items: DataFrame, item: str)
     return each.groupBy(*keys).agg(F.array_sort(F.collect_set("_item")).alias("matched"))
 
 
-def constants(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """tokens (value, is_hex, ...) with the labels of equal values in (value, label, category); decimals below 65536 say too little."""
+def constants(tokens: DataFrame, table: DataFrame, fixed: bool = False) -> DataFrame:
+    """tokens (value, is_hex, ...) with the labels of equal values in (value, label, category); decimals below 65536 say too little.
+
+    fixed: the table doesn't grow and is broadcast, so that a value that very many tokens have stays spread.
+    """
     named = table.groupBy("value").agg(F.array_join(F.array_sort(F.collect_set("label")), " / ").alias("label"))
-    return tokens.filter((F.col("value") >= 65536) | F.col("is_hex")).join(named, "value")
+    return tokens.filter((F.col("value") >= 65536) | F.col("is_hex")).join(F.broadcast(named) if fixed else named, "value")

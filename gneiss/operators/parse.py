@@ -158,10 +158,11 @@ def nearest_manifest(files: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def packages(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """From (file_path) and all paths of the project (rel_path): package_name, module_name, build_system.
+    """files (file_path and others) with package_name, build_system and module_name, from all paths of the project (rel_path).
 
     In order: a binary framework, Packages/<name>, the folder above the last Sources that holds a manifest,
-    the nearest of ten ancestors with a header of its own name below a repository root.
+    the nearest of ten ancestors with a header of its own name below a repository root. Folders are looked up once,
+    however many files they hold, and only those meet that hold a header, a manifest or a root.
     """
     parts = F.split("file_path", "/")
     framework = F.regexp_extract("file_path", r"(?:^|/)([^/]+)\.xcframework(?:/|$)", 1)
@@ -169,17 +170,20 @@ def packages(files: DataFrame, listing: DataFrame) -> DataFrame:
     named = F.regexp_extract("file_path", r"(?:^|/)Packages/([^/]+)/", 1)
     back = F.array_position(F.reverse(parts), "Sources").cast("int")
     above = F.when((back > 0) & (F.size(parts) - back > 0), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - back), "/"))
-    base = files.select("file_path", framework.alias("framework"), named.alias("named"), above.alias("root"))
-    all_files = listing.select(F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), F.regexp_extract("rel_path", "([^/]*)$", 1).alias("name"))
+    folder = F.when(F.size(parts) > 1, F.regexp_replace("file_path", "/[^/]*$", ""))
+    base = files.select(*files.columns, framework.alias("_framework"), named.alias("_named"), above.alias("_root"), folder.alias("_folder"))
     # umbrella headers: the nearest ancestor D with D/D.h, if no root lies at or below it
-    marks = all_files.groupBy("dir").agg(F.bool_or(F.col("name") == F.concat(F.regexp_extract("dir", "([^/]*)$", 1), F.lit(".h"))).alias("umbrella"), F.bool_or(F.col("name") == "Package.swift").alias("stop"))
-    roots = listing.select(F.regexp_extract("rel_path", r"^((?:[^/]+/)*)(?:\.git|[^/]+\.xcodeproj)/", 1).alias("r"), "rel_path").filter(F.col("rel_path").rlike(r"(^|/)(\.git|[^/]+\.xcodeproj)/")).select(F.rtrim(F.regexp_replace("r", "/$", "")).alias("dir")).distinct().withColumn("root_mark", F.lit(True))
-    up = base.select("file_path", F.posexplode(F.slice(ancestors(F.col("file_path")), 1, 10)).alias("i", "dir")).join(marks, "dir", "left").join(roots, "dir", "left")
-    stop = F.coalesce(F.col("stop"), F.lit(False)) | F.col("root_mark").isNotNull()
-    near = up.groupBy("file_path").agg(F.min(F.when(F.col("umbrella") & ~stop, F.struct("i", "dir"))).alias("u"), F.min(F.when(stop, F.col("i"))).alias("s"))
-    near = near.filter("u IS NOT NULL AND (s IS NULL OR u.i < s)").select("file_path", F.regexp_extract(F.col("u.dir"), "([^/]*)$", 1).alias("header_dir"))
-    out = base.join(manifests(listing).toDF("root", "system"), "root", "left").join(near, "file_path", "left")
-    by_root = F.when(F.col("system").isNotNull(), F.regexp_extract("root", "([^/]*)$", 1))
-    package = F.coalesce(F.nullif("framework", F.lit("")), F.nullif("named", F.lit("")), by_root, F.col("header_dir"), F.lit(""))
-    system = F.when(F.col("framework") != "", "Unknown").when(F.col("named") != "", "SwiftPM").otherwise(F.coalesce("system", F.lit("Unknown")))
-    return out.select("file_path", package.alias("package_name"), system.alias("build_system")).withColumn("module_name", module_of(F.col("file_path"), F.col("package_name")))
+    dir, name = F.regexp_replace("rel_path", "/?[^/]*$", ""), F.regexp_extract("rel_path", "([^/]*)$", 1)
+    held = listing.select(dir.alias("dir"), (name == F.concat(F.regexp_extract(dir, "([^/]*)$", 1), F.lit(".h"))).alias("umbrella"), (name == "Package.swift").alias("stop")).filter("umbrella OR stop")
+    root = F.rtrim(F.regexp_replace(F.regexp_extract("rel_path", r"^((?:[^/]+/)*)(?:\.git|[^/]+\.xcodeproj)/", 1), "/$", ""))
+    roots = listing.filter(F.col("rel_path").rlike(r"(^|/)(\.git|[^/]+\.xcodeproj)/")).select(root.alias("dir"), F.lit(False).alias("umbrella"), F.lit(True).alias("stop"))
+    marks = held.union(roots).groupBy("dir").agg(F.bool_or("umbrella").alias("umbrella"), F.bool_or("stop").alias("stop"))
+    folders = base.select("_folder").filter("_folder IS NOT NULL").distinct()
+    up = folders.select("_folder", F.posexplode(F.slice(ancestors(F.concat("_folder", F.lit("/x"))), 1, 10)).alias("i", "dir")).join(marks, "dir")
+    near = up.groupBy("_folder").agg(F.min(F.when(F.col("umbrella") & ~F.col("stop"), F.struct("i", "dir"))).alias("u"), F.min(F.when(F.col("stop"), F.col("i"))).alias("s"))
+    near = near.filter("u IS NOT NULL AND (s IS NULL OR u.i < s)").select("_folder", F.regexp_extract(F.col("u.dir"), "([^/]*)$", 1).alias("_header"))
+    out = base.join(manifests(listing).toDF("_root", "_system"), "_root", "left").join(near, "_folder", "left")
+    by_root = F.when(F.col("_system").isNotNull(), F.regexp_extract("_root", "([^/]*)$", 1))
+    package = F.coalesce(F.nullif("_framework", F.lit("")), F.nullif("_named", F.lit("")), by_root, F.col("_header"), F.lit(""))
+    system = F.when(F.col("_framework") != "", "Unknown").when(F.col("_named") != "", "SwiftPM").otherwise(F.coalesce("_system", F.lit("Unknown")))
+    return out.select(*files.columns, package.alias("package_name"), system.alias("build_system")).withColumn("module_name", module_of(F.col("file_path"), F.col("package_name")))

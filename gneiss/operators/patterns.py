@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.functions.lineage import cut
 from gneiss.functions.text import trim
 from gneiss.operators.constructs import not_own_scanner
 
@@ -84,9 +85,13 @@ def marker_protocols(scan: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def detect(scan: DataFrame, declarations: DataFrame) -> DataFrame:
-    """name, category, count, example_path, is_idiom; by category, most first."""
-    per = marks(scan)
-    decls = declarations.filter(tested(F.col("file_path")))
+    """name, category, count, example_path, is_idiom; by category, most first.
+
+    Files are scanned and parsed once: what many patterns look at is written and read again.
+    """
+    scan = cut(scan.select("file_path", "stripped"))
+    per = cut(marks(scan))
+    decls = cut(declarations.filter(tested(F.col("file_path"))).select("file_path", "name", "kind"))
     own = decls.filter("kind <> 'extension'")
     marked = own.join(per, "file_path", "left")
     hit = lambda name, category, rows, path="file_path": rows.select(F.lit(name).alias("name"), F.lit(category).alias("category"), F.col(path).alias("path"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.functions.lineage import cut
 from gneiss.functions.text import is_comment, trim
 from gneiss.functions.windows import frame
 from gneiss.operators import graph
@@ -70,17 +71,17 @@ def count(lined: DataFrame, declarations: DataFrame) -> DataFrame:
 
     Classes and protocols are counted by name, other kinds by occurrence. ``extra`` counts are informational.
     """
-    swift = declarations.filter("file_path LIKE '%.swift'")
+    swift = cut(declarations.filter("file_path LIKE '%.swift'").select("name", "kind"))  # this and the lines are read many times, made once
     names = lambda kind: swift.filter(F.col("kind") == kind).select("name").distinct()
     kinds = swift.agg(*(F.coalesce(F.countDistinct(F.when(F.col("kind") == k, F.col("name"))) if k in ("class", "protocol") else F.count_if(F.col("kind") == k), F.lit(0)).alias(a) for k, a in (("class", "classes"), ("protocol", "protocols"), ("struct", "structs"), ("enum", "enums"), ("actor", "actors"))))
     rows = lined.filter(F.col("file_path").endswith(".swift")).withColumn("after5", frame(trim(F.col("raw")), ["file_path"], "line_no", 1, 5, "\n"))
-    rows = rows.filter(~is_comment(F.col("raw"))).withColumn("t", trim(F.col("raw")))
+    rows = cut(rows.filter(~is_comment(F.col("raw"))).select("file_path", "line_no", "raw", "code", "after5", trim(F.col("raw")).alias("t")))
     protocols, classes = names("protocol").withColumn("is_protocol", F.lit(True)), names("class").withColumn("is_class", F.lit(True))
     # types that conform: one row per declaration with the names it lists
     is_class, is_struct = F.col("raw").rlike(CLASS), F.col("raw").rlike(STRUCT)
     listed = F.when(is_class, conformances(F.regexp_extract("raw", CLASS, 3))).when(is_struct, conformances(F.regexp_extract("raw", STRUCT, 1)))
     types = rows.filter(is_class | is_struct).select(F.concat_ws(":", "file_path", F.col("line_no").cast("string")).alias("at"), is_class.alias("class"), F.regexp_extract("raw", CLASS, 1).alias("modifiers"), F.regexp_extract("raw", CLASS, 2).alias("name"), listed.alias("listed"))
-    each = types.select("at", "class", F.col("name").alias("child"), F.posexplode("listed").alias("i", "name")).join(protocols, "name", "left").join(classes, "name", "left")
+    each = cut(types.select("at", "class", F.col("name").alias("child"), F.posexplode("listed").alias("i", "name")).join(protocols, "name", "left").join(classes, "name", "left"))
     parent = F.col("class") & (F.col("i") == 0) & ((F.col("name") == "NSObject") | F.col("is_class").isNotNull() | F.col("is_protocol").isNull())
     per = each.groupBy("at").agg((F.count("*") - F.count_if(parent)).alias("n"))
     spread = types.join(per, "at", "left").select(F.coalesce("n", F.lit(0)).alias("n"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.functions.lineage import cut
 from gneiss.operators import constructs, graph, history, packages, parse, patterns, security, style, traffic
 from gneiss.plans.catalogue import query, table
 from gneiss.rules import names
@@ -28,11 +29,15 @@ def dealt(rows: DataFrame, key: str, per_task: int = FILES_PER_TASK) -> DataFram
 
 
 def planted(spark, d, snippets: list[tuple[str, str]]) -> DataFrame:
-    """(file_path, text): file k of a part's key has snippet k % n; ``{k}`` in it is the key."""
+    """(file_path, text): file k of a part's key has snippet k % n; ``{k}`` in it is the key.
+
+    Files are dealt by their path, where each has one of its own, so that what groups by it shuffles no further.
+    """
     k = F.col("p_partkey")
     at = (k % len(snippets) + 1).cast("int")
     pick = lambda i: F.replace(F.element_at(F.array(*(F.lit(s[i]) for s in snippets)), at), F.lit("{k}"), k.cast("string"))
-    return dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select(pick(0).alias("file_path"), pick(1).alias("text"))
+    named = table(spark, d, "part").select("p_partkey", pick(0).alias("file_path"))
+    return dealt(named, "file_path" if all("{k}" in path for path, *_ in snippets) else "p_partkey").select("file_path", pick(1).alias("text"))
 
 
 # security checks: (path, text, what is found as (check, line))
@@ -275,7 +280,7 @@ _LINKED = [["Twig:1:Binary Tree Node"], ["Ring:1:Doubly Linked Node"], ["Bead:1:
     FROM (SELECT p_partkey, unnest(string_split({sql_list([';'.join(x) for x in _LINKED]).replace("''", 'NULL')}[p_partkey % {len(LINKED)} + 1], ';')) AS x FROM part)""")
 def planted_linked(spark, d):
     """Types that refer to themselves, by shape, and types that embed them, at most two steps away."""
-    scan = constructs.scanned(planted(spark, d, LINKED))
+    scan = cut(constructs.scanned(planted(spark, d, LINKED)).select("file_path", "types"))  # read twice, scanned once
     return constructs.linked_structures(scan, constructs.named_structures(scan)).select("file_path", "name", "line", "label")
 
 
@@ -390,8 +395,13 @@ def planted_declarations(spark, d):
 
 
 def placed(spark, d) -> DataFrame:
-    p = parse.parsed(planted(spark, d, PARSED))
-    return p.join(parse.packages(p.select("file_path"), p.select(F.col("file_path").alias("rel_path"))), "file_path")
+    return homes(planted(spark, d, PARSED))
+
+
+def homes(files: DataFrame) -> DataFrame:
+    """Parsed files with their packages; parsed once, as paths are read for the folders too."""
+    p = cut(parse.parsed(files))
+    return parse.packages(p, p.select(F.col("file_path").alias("rel_path")))
 
 
 @query(f"SELECT file_path, package_name, CASE package_name WHEN '' THEN 'Unknown' ELSE 'SwiftPM' END AS build_system FROM ({_PARSED})")
@@ -442,9 +452,8 @@ IMPORTED = [
 def planted_import_lists(spark, d):
     """Public, private, local and outside names, told by the fixed lists and the project's own names."""
     files = planted(spark, d, [("Packages/Mod{k}/Sources/Mod{k}/File{k}.swift", f"import {n}\nlet a = 1") for n, _ in IMPORTED])
-    parsed = parse.parsed(files)
-    homes = parsed.join(parse.packages(parsed.select("file_path"), parsed.select(F.col("file_path").alias("rel_path"))), "file_path")
-    return packages.classified(parse.imports(homes), homes)
+    of = homes(files)
+    return packages.classified(parse.imports(of), of)
 
 
 # design patterns: name of the pattern, category, text
