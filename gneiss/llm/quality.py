@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gneiss.llm.common import map_text
 
@@ -99,8 +100,8 @@ def base_counts(text: str, data: bytes, words: list[bytes], ids: np.ndarray, n_d
     return chars, symbols, dup, repeat
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Quality and number of features of each sampled document, and all features and counts end to end."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """place, quality, features and counts of each sampled document."""
     place = F.xxhash64("doc_id")
     chosen = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.select("doc_id", "quality", place.alias("place")).orderBy("place", "doc_id").limit(sample)
@@ -122,16 +123,37 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
         return one
 
-    table = map_text(texts, "text", ["place", "quality"], [("features", "array<int>"), ("counts", "array<float>")], make, 64).toArrow()
+    return map_text(texts, "text", ["place", "quality"], [("features", "array<int>"), ("counts", "array<float>")], make, 64)
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quality and number of features of each document, in order of place, and all features and counts end to end."""
     table = table.append_column("n", pc.list_value_length(table["features"])).sort_by([("place", "ascending"), ("n", "ascending")]).combine_chunks()
     flat = lambda c: table[c].combine_chunks().flatten().to_numpy()
     return table["quality"].to_numpy(), table["n"].to_numpy(), flat("features"), flat("counts")
 
 
+def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(sampled(docs, labels, sample).toArrow())
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 150) -> Model:
-    """Train on two of three sampled documents, calibrate on the third."""
-    quality, n, features, counts = sample_features(docs, labels, sample)
-    pa.default_memory_pool().release_unused()  # the driver goes on to other work
+    """Train on two of three sampled documents, calibrate on the third, in one task: the driver gets the weights only."""
+    some = sampled(docs, labels, sample)
+    kinds = to_arrow_schema(some.schema)
+
+    def run(batches):
+        batches = list(batches)  # at most ``sample`` rows
+        model = trained(*unpacked(pa.Table.from_batches(batches) if batches else kinds.empty_table()), rounds)
+        yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "shift": model.shift}])
+
+    one = some.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").first()
+    if one is None:  # no document is labelled
+        return trained(*unpacked(kinds.empty_table()), rounds)
+    return Model(np.frombuffer(one.weights, np.float32), one.bias, one.slope, one.shift)
+
+
+def trained(quality: np.ndarray, n: np.ndarray, features: np.ndarray, counts: np.ndarray, rounds: int) -> Model:
     size = 3 << BITS
     good = int(quality.sum())
     if good in (0, len(quality)):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gneiss.llm import jaccard, simhash
+from gneiss.llm import jaccard, quality, simhash
 
 
 def test_fingerprints_within_four_bits_are_compared(spark, monkeypatch):
@@ -16,3 +16,23 @@ def test_fingerprints_within_four_bits_are_compared(spark, monkeypatch):
     assert (bits[1] ^ bits[2]).bit_count() <= 4
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+
+
+def test_clusters_are_the_components(spark):
+    """The cheaper labels part texts as op9's components do: linked ones share a root, all others have their own."""
+    near = [0b1111, 0, -1, 1 << 40, (1 << 40) | (1 << 20) | 0b1, 0]
+    slim = spark.createDataFrame(list(enumerate(near)), "doc_id long, fp long")
+    parts = lambda df, c: {frozenset(r.ids) for r in df.groupBy(c).agg(F.collect_set("doc_id").alias("ids")).collect()}
+    assert parts(simhash.clusters(slim), "root") == parts(simhash.label(slim), "component_id") == {frozenset({0, 1, 3, 4, 5}), frozenset({2})}
+
+
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver never holds the sample's features, only the weights, which are those of a fit beside it."""
+    rows = [(i, ("good plain words of text number %d " if i % 2 else "buy cheap pills now %d ") % i * 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    here = quality.trained(*quality.sample_features(docs, labels), 150)
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: (_ for _ in ()).throw(AssertionError("the sample came to the driver")))
+    there = quality.fit(docs, labels)
+    assert (there.weights == here.weights).all() and (there.bias, there.slope, there.shift) == (here.bias, here.slope, here.shift)
+    assert quality.fit(docs, labels.filter("quality > 5")).bias == 0.0
