@@ -218,13 +218,13 @@ _NEST = [2, 1, 1, 2, 0, 1, 0, 0, 1, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 3, 1, 1, 0, 0,
 @query(f"SELECT 'src/A' || p_partkey || '.swift' AS file_path, 'q' || p_partkey || 'z' AS symbol, 2 AS line, label FROM (SELECT p_partkey, {sql_list(SHAPES)}[p_partkey % {len(SHAPES)} + 1] AS label FROM part) WHERE label <> ''")
 def planted_fingerprints(spark, d):
     """Each of the 27 algorithms from the shape of a function whose name tells nothing."""
-    return constructs.algorithms(constructs.scanned(planted(spark, d, SHAPED))).select("file_path", "symbol", "line", "label")
+    return constructs.algorithms(constructs.scanned(planted(spark, d, SHAPED), "functions", "types")).select("file_path", "symbol", "line", "label")
 
 
 @query(f"SELECT 'src/A' || p_partkey || '.swift' AS file_path, 'q' || p_partkey || 'z' AS name, 2 AS start, {sql_list([3 + b.count(chr(10)) + 1 for b in SHAPES.values()])}[p_partkey % {len(SHAPES)} + 1] AS end_line, {sql_list(_NEST)}[p_partkey % {len(SHAPES)} + 1] AS nest FROM part")
 def planted_functions(spark, d):
     """Range and nest of loops of every function."""
-    return constructs.each(constructs.scanned(planted(spark, d, SHAPED)), "functions").select("file_path", "name", "start", F.col("end").alias("end_line"), "nest")
+    return constructs.each(constructs.scanned(planted(spark, d, SHAPED), "functions"), "functions").select("file_path", "name", "start", F.col("end").alias("end_line"), "nest")
 
 
 # algorithms and structures by their names
@@ -236,7 +236,7 @@ NAMED = [("src/N{k}.swift", "func " + "".join(w.capitalize() if i else w for i,
 @query(f"SELECT 'src/N' || p_partkey || '.swift' AS file_path, {sql_list([t.split()[1].partition('(')[0] for _, t in NAMED])}[p_partkey % {len(NAMED)} + 1] AS symbol, {sql_list([r[1] for r in _RULES])}[p_partkey % {len(NAMED)} + 1] AS label FROM part")
 def planted_algorithm_names(spark, d):
     """Functions named with the words of each rule that needs no context."""
-    return constructs.algorithms(constructs.scanned(planted(spark, d, NAMED))).select("file_path", "symbol", "label")
+    return constructs.algorithms(constructs.scanned(planted(spark, d, NAMED), "functions", "types")).select("file_path", "symbol", "label")
 
 
 _SUFFIXES = names.structure_rules()
@@ -248,7 +248,7 @@ BUILT = [("src/S{k}.swift", f"// type\nfinal class Own{{k}}{suffix} {{\n{_BODY}\
     {sql_list([label for _, label, _ in _SUFFIXES])}[p_partkey % {len(BUILT)} + 1] AS label, {sql_list([c for _, _, c in _SUFFIXES])}[p_partkey % {len(BUILT)} + 1] AS category FROM part""")
 def planted_structure_names(spark, d):
     """Types named with the ending of each rule, with words in their bodies that prove the ambiguous ones."""
-    return constructs.named_structures(constructs.scanned(planted(spark, d, BUILT))).select("file_path", "name", "line", "label", "category")
+    return constructs.named_structures(constructs.scanned(planted(spark, d, BUILT), "types")).select("file_path", "name", "line", "label", "category")
 
 
 _AMBIGUOUS = [(suffix, label) for suffix, label, _ in _SUFFIXES if suffix in names.EVIDENCE]
@@ -259,7 +259,7 @@ MIXED = [(p, t) for suffix, _ in _AMBIGUOUS for p, t in (("src/S{k}.swift", f"st
     FROM part WHERE p_partkey % 2 = 1""")
 def planted_structures_unproven(spark, d):
     """Ambiguous endings with and without a word of proof in one repository: only the proven ones are found."""
-    return constructs.named_structures(constructs.scanned(planted(spark, d, MIXED))).select("name", "label")
+    return constructs.named_structures(constructs.scanned(planted(spark, d, MIXED), "types")).select("name", "label")
 
 
 LINKED = [
@@ -280,7 +280,7 @@ _LINKED = [["Twig:1:Binary Tree Node"], ["Ring:1:Doubly Linked Node"], ["Bead:1:
     FROM (SELECT p_partkey, unnest(string_split({sql_list([';'.join(x) for x in _LINKED]).replace("''", 'NULL')}[p_partkey % {len(LINKED)} + 1], ';')) AS x FROM part)""")
 def planted_linked(spark, d):
     """Types that refer to themselves, by shape, and types that embed them, at most two steps away."""
-    scan = cut(constructs.scanned(planted(spark, d, LINKED)).select("file_path", "types"))  # read twice, scanned once
+    scan = cut(constructs.scanned(planted(spark, d, LINKED), "types"))  # read twice, scanned once
     return constructs.linked_structures(scan, constructs.named_structures(scan)).select("file_path", "name", "line", "label")
 
 
@@ -295,7 +295,7 @@ _LABELS = [label for _, label in [*_NUMBERS, *_TEXTS]] + [""]
 @query(f"SELECT 'src/K' || p_partkey || '.swift' AS file_path, 3 AS line, 'seed' || p_partkey AS symbol, label FROM (SELECT p_partkey, {sql_list(_LABELS)}[p_partkey % {len(CONSTANT)} + 1] AS label FROM part) WHERE label <> ''")
 def planted_constants(spark, d):
     """Each known constant, as hexadecimal, decimal or text, with the function around it."""
-    return constructs.constants(constructs.scanned(planted(spark, d, CONSTANT))).select("file_path", "line", "symbol", "label")
+    return constructs.constants(constructs.scanned(planted(spark, d, CONSTANT), "numbers", "literals", "functions")).select("file_path", "line", "symbol", "label")
 
 
 LOOPED = [
@@ -317,20 +317,20 @@ def _worst_sql(expected: list[str]) -> str:
 @query(_worst_sql(_TIME))
 def planted_time(spark, d):
     """The worst nested or linear work of every function."""
-    return constructs.worst(constructs.scanned(planted(spark, d, LOOPED)), "time").select("file_path", "symbol", "order", "line", "reason")
+    return constructs.worst(constructs.scanned(planted(spark, d, LOOPED), "findings"), "time").select("file_path", "symbol", "order", "line", "reason")
 
 
 @query(_worst_sql(_SPACE))
 def planted_space(spark, d):
     """The worst allocation in a loop of every function."""
-    return constructs.worst(constructs.scanned(planted(spark, d, LOOPED)), "space").select("file_path", "symbol", "order", "line", "reason")
+    return constructs.worst(constructs.scanned(planted(spark, d, LOOPED), "findings"), "space").select("file_path", "symbol", "order", "line", "reason")
 
 
 @query(f"""SELECT count(*) FILTER (i < 5) AS scopes, CAST(round(100.0 * (count(*) FILTER (i < 5) - count(*) FILTER (i < 3)) / count(*) FILTER (i < 5)) AS INT) AS time_health,
     CAST(round(100.0 * (count(*) FILTER (i < 5) - count(*) FILTER (i IN (1, 3))) / count(*) FILTER (i < 5)) AS INT) AS space_health FROM (SELECT p_partkey % {len(LOOPED)} AS i FROM part)""")
 def planted_health(spark, d):
     """Per cent of looping functions without findings."""
-    return constructs.health(constructs.scanned(planted(spark, d, LOOPED)))
+    return constructs.health(constructs.scanned(planted(spark, d, LOOPED), "findings", "scopes"))
 
 
 USED = [("src/U{k}.swift", "let a: [Int] = b"), ("src/U{k}.swift", "let d: [String: Int] = e"), ("src/U{k}.swift", "let s = Set(x) // Set"), ("src/U{k}.swift", "let z = x.lazy.map"), ("src/U{k}.swift", "struct G: Sequence, IteratorProtocol {"), ("src/U{k}.swift", 'let t = "Array Set"'),
@@ -340,7 +340,7 @@ USED = [("src/U{k}.swift", "let a: [Int] = b"), ("src/U{k}.swift", "let d: [Stri
 @query(f"SELECT count(*) FILTER (i = 0) + 2 * count(*) FILTER (i = 6) AS \"array\", count(*) FILTER (i = 1) + 2 * count(*) FILTER (i = 7) AS dictionary, count(*) FILTER (i = 2) AS \"set\", 2 * count(*) FILTER (i = 4) AS sequence, count(*) FILTER (i = 3) AS lazy FROM (SELECT p_partkey % {len(USED)} AS i FROM part)")
 def planted_collections(spark, d):
     """How often each kind of collection is named outside comments and strings."""
-    return constructs.collection_usage(constructs.scanned(planted(spark, d, USED)))
+    return constructs.collection_usage(constructs.scanned(planted(spark, d, USED), "stripped"))
 
 
 STRIPPED = [
@@ -354,7 +354,7 @@ STRIPPED = [
 @query(f"""SELECT 'src/X' || p_partkey || '.swift' AS file_path, string_split({sql_list(['|'.join(x) for _, _, x in STRIPPED])}[p_partkey % 4 + 1], '|') AS stripped FROM part""")
 def planted_stripped(spark, d):
     """Lines without comments and strings, their numbers kept."""
-    return constructs.scanned(planted(spark, d, [s[:2] for s in STRIPPED])).select("file_path", "stripped")
+    return constructs.scanned(planted(spark, d, [s[:2] for s in STRIPPED]), "stripped").select("file_path", "stripped")
 
 
 # parsed files, packages
@@ -477,7 +477,7 @@ DESIGNS = [
 def planted_patterns(spark, d):
     """Design patterns by names and marks, with the first file of each."""
     files = planted(spark, d, [("src/D{k}.swift", t) for _, _, t in DESIGNS])
-    return patterns.detect(constructs.scanned(files), parse.declarations(parse.parsed(files)))
+    return patterns.detect(constructs.scanned(files, "stripped"), parse.declarations(parse.parsed(files)))
 
 
 # traffic: text, then direction, uri, port, protocol, format of what is found

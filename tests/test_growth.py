@@ -61,3 +61,18 @@ def test_files_are_parsed_once_for_their_packages(spark):
     """Paths of the listing and folders come from the written rows, not from further parses."""
     plan = planted.placed(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_a_scan_works_out_what_is_wanted_and_no_more(monkeypatch):
+    monkeypatch.setattr(constructs, "fingerprint", None)
+    assert constructs.scan_of("class A { }\nfunc f() { }", ("types", "stripped"))["types"][0]["name"] == "A"
+
+
+def test_types_and_functions_come_from_one_scan(spark, monkeypatch):
+    """A union of both would run the scan, the dearest step, once for each."""
+    plans = []
+    kept = constructs.cut
+    monkeypatch.setattr(constructs, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    files = spark.createDataFrame([("a.swift", "class QuickSort { }\nfunc quickSort() { }")], "file_path string, text string")
+    found = constructs.algorithms(constructs.scanned(files, "functions", "types")).select("symbol", "line").collect()
+    assert sorted(found) == [("QuickSort", 1), ("quickSort", 2)] and [p.count("MapInArrow") for p in plans] == [1]
