@@ -71,9 +71,7 @@ def parse_swift(text: str) -> dict:
             if m[1] != "extension":
                 types.start(number, name=m[2], kind=m[1])
         if not line.startswith("//"):
-            for c in line:
-                scope += (c == "{") - (c == "}")
-            scope = max(scope, 0)
+            scope = max(scope + line.count("{") - line.count("}"), 0)
             if "func " in line and (f := FUNCTION.search(line)):
                 functions.start(number, name=f[1])
         functions.feed(number, line)
@@ -139,6 +137,7 @@ MANIFESTS = (("Package.swift", 1, "SwiftPM"), ("BUILD", 2, "Bazel"), ("BUILD.baz
 
 def manifests(listing: DataFrame) -> DataFrame:
     """dir and build_system of every folder with a manifest, from all paths of the project (rel_path)."""
+    listing = listing.filter(F.col("rel_path").rlike("(^|/)(" + "|".join(re.escape(m) for m, _, _ in MANIFESTS) + ")$"))  # few of all files
     name = F.regexp_extract("rel_path", "([^/]*)$", 1)
     kinds = F.create_map(*(x for m, rank, system in MANIFESTS for x in (F.lit(m), F.struct(F.lit(rank).alias("rank"), F.lit(system).alias("system")))))
     held = listing.select(F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), kinds[name].alias("kind")).filter("kind IS NOT NULL")
@@ -174,10 +173,15 @@ def packages(files: DataFrame, listing: DataFrame) -> DataFrame:
     base = files.select(*files.columns, framework.alias("_framework"), named.alias("_named"), above.alias("_root"), folder.alias("_folder"))
     # umbrella headers: the nearest ancestor D with D/D.h, if no root lies at or below it
     dir, name = F.regexp_replace("rel_path", "/?[^/]*$", ""), F.regexp_extract("rel_path", "([^/]*)$", 1)
-    held = listing.select(dir.alias("dir"), (name == F.concat(F.regexp_extract(dir, "([^/]*)$", 1), F.lit(".h"))).alias("umbrella"), (name == "Package.swift").alias("stop")).filter("umbrella OR stop")
+    path = F.col("rel_path")
+    header = F.when(path.endswith(".h"), name == F.concat(F.regexp_extract(dir, "([^/]*)$", 1), F.lit(".h"))).otherwise(False)
+    stop = (path == "Package.swift") | path.endswith("/Package.swift")
     root = F.rtrim(F.regexp_replace(F.regexp_extract("rel_path", r"^((?:[^/]+/)*)(?:\.git|[^/]+\.xcodeproj)/", 1), "/$", ""))
-    roots = listing.filter(F.col("rel_path").rlike(r"(^|/)(\.git|[^/]+\.xcodeproj)/")).select(root.alias("dir"), F.lit(False).alias("umbrella"), F.lit(True).alias("stop"))
-    marks = held.union(roots).groupBy("dir").agg(F.bool_or("umbrella").alias("umbrella"), F.bool_or("stop").alias("stop"))
+    mark = lambda where, umbrella, stop: F.struct(where.alias("dir"), umbrella.alias("umbrella"), stop.alias("stop"))
+    held = F.when(header | stop, mark(dir, header, stop))
+    within = F.when(path.rlike(r"(^|/)(\.git|[^/]+\.xcodeproj)/"), mark(root, F.lit(False), F.lit(True)))
+    marks = listing.select(F.explode(F.array_compact(F.array(held, within))).alias("m")).select("m.*")  # both from one look at a path
+    marks = marks.groupBy("dir").agg(F.bool_or("umbrella").alias("umbrella"), F.bool_or("stop").alias("stop"))
     folders = base.select("_folder").filter("_folder IS NOT NULL").distinct()
     up = folders.select("_folder", F.posexplode(F.slice(ancestors(F.concat("_folder", F.lit("/x"))), 1, 10)).alias("i", "dir")).join(marks, "dir")
     near = up.groupBy("_folder").agg(F.min(F.when(F.col("umbrella") & ~F.col("stop"), F.struct("i", "dir"))).alias("u"), F.min(F.when(F.col("stop"), F.col("i"))).alias("s"))

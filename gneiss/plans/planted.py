@@ -400,7 +400,11 @@ def placed(spark, d) -> DataFrame:
 
 def homes(files: DataFrame) -> DataFrame:
     """Parsed files with their packages; parsed once, as paths are read for the folders too."""
-    p = cut(parse.parsed(files))
+    return located(cut(parse.parsed(files)))
+
+
+def located(p: DataFrame) -> DataFrame:
+    """Parsed files, written before, with their packages."""
     return parse.packages(p, p.select(F.col("file_path").alias("rel_path")))
 
 
@@ -414,8 +418,8 @@ def planted_packages(spark, d):
     count(*) FILTER (k % 3 = 0) AS struct, count(*) FILTER (k % 3 = 1) AS enum, count(*) FILTER (k % 3 = 1) AS protocol, count(*) FILTER (k % 3 = 1) AS actor FROM ({_PARSED}) GROUP BY package_name""")
 def planted_package_totals(spark, d):
     """Files, lines and declarations by kind of every package."""
-    files = placed(spark, d)
-    return packages.totals(files, parse.declarations(files)).select("package", "files", "lines", "class", "struct", "enum", "protocol", "actor")
+    p = cut(parse.parsed(planted(spark, d, PARSED)))
+    return packages.totals(located(p), parse.declarations(p)).select("package", "files", "lines", "class", "struct", "enum", "protocol", "actor")
 
 
 @query(f"""SELECT module, todo, fixme FROM (SELECT coalesce(nullif(package_name, ''), 'App') AS module, CAST(sum(todo_count) AS BIGINT) AS todo, CAST(sum(fixme_count) AS BIGINT) AS fixme FROM ({_PARSED}) GROUP BY ALL)
@@ -434,8 +438,8 @@ def planted_longest(spark, d):
 @query(f"""SELECT name, CASE WHEN name IN ('Foundation', 'Combine', 'CoreData', 'UIKit') THEN 'apple' ELSE 'external' END AS class FROM (SELECT DISTINCT unnest(imports) AS name FROM ({_PARSED}))""")
 def planted_import_classes(spark, d):
     """What every imported name is: the platform's or from outside."""
-    files = placed(spark, d)
-    return packages.classified(parse.imports(files), files)
+    p = cut(parse.parsed(planted(spark, d, PARSED)))
+    return packages.classified(parse.imports(p), located(p))  # imports don't need the packages
 
 
 # one name of every kind, and names that only look like the platform's
@@ -452,8 +456,8 @@ IMPORTED = [
 def planted_import_lists(spark, d):
     """Public, private, local and outside names, told by the fixed lists and the project's own names."""
     files = planted(spark, d, [("Packages/Mod{k}/Sources/Mod{k}/File{k}.swift", f"import {n}\nlet a = 1") for n, _ in IMPORTED])
-    of = homes(files)
-    return packages.classified(parse.imports(of), of)
+    p = cut(parse.parsed(files))
+    return packages.classified(parse.imports(p), located(p))
 
 
 # design patterns: name of the pattern, category, text
