@@ -50,7 +50,8 @@ class Span:
             self.open = None
 
 
-def parse_swift(text: str) -> dict:
+def parse_swift(text: str, whole: bool = True) -> dict:
+    """What SCHEMA names of one file; not whole: its lines, imports and declarations, and nothing else is worked out."""
     lines = re.split(r"\r\n|\n|\r", text)
     if lines and lines[-1] == "":
         lines.pop()
@@ -68,12 +69,14 @@ def parse_swift(text: str) -> dict:
         if (m := DECLARATION.match(line)) and m[2] not in NOT_NAMES and scope == 0:
             out["declarations"].append({"name": m[2], "kind": m[1], "line": number})
             out["description"] = out["description"] or " ".join(doc)
-            if m[1] != "extension":
+            if whole and m[1] != "extension":
                 types.start(number, name=m[2], kind=m[1])
         if not line.startswith("//"):
             scope = max(scope + line.count("{") - line.count("}"), 0)
-            if "func " in line and (f := FUNCTION.search(line)):
+            if whole and "func " in line and (f := FUNCTION.search(line)):
                 functions.start(number, name=f[1])
+        if not whole:
+            continue
         functions.feed(number, line)
         types.feed(number, line)
         if line.startswith("///"):
@@ -92,21 +95,27 @@ def parse_objc(text: str) -> dict:
     return {"imports": found, "declarations": decls, "description": "", "todo_count": 0, "fixme_count": 0, "line_count": text.count("\n") + 1, "longest_function": None, "biggest_type": None}
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """From (file_path, text): SCHEMA, one row per .swift, .h, .m or .mm file; other files go."""
+#: Columns that need no look at documentation, notes and extents.
+BRIEF = ("file_path", "line_count", "imports", "declarations")
+
+
+def parsed(files: DataFrame, *wanted: str) -> DataFrame:
+    """From (file_path, text): file_path and the wanted columns of SCHEMA (none named: all), one row per .swift, .h, .m or .mm file; other files go."""
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T._parse_datatype_string(SCHEMA)
-    arrow = to_arrow_schema(schema)
+    if wanted:
+        schema = T.StructType([schema[c] for c in ("file_path", *wanted)])
+    arrow, whole = to_arrow_schema(schema), not wanted or not set(wanted) <= set(BRIEF)
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                make = parse_swift if path.endswith(".swift") else parse_objc
-                rows.append({"file_path": path, **make(text or "")})
+                made = parse_swift(text or "", whole) if path.endswith(".swift") else parse_objc(text or "")
+                rows.append({"file_path": path, **made})
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     ext = extension(F.col("file_path"))

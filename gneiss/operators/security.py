@@ -298,10 +298,15 @@ CHECKS = (
 NEVER_FIRED = (60, 62)  # they couldn't fire before; compat leaves them out
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """From (file_path, text): file_path, line_no from 1, raw, code, bare and the context the checks need.
+#: The columns of lines that the checks look at.
+LOOKED_AT = ("line_no", "raw", "code", "bare", "in_text", "last_code", "before5", "around")
 
-    A file's lines are an array of its row, and frames are slices of it, so nothing is shuffled.
+
+def lines(files: DataFrame, *wanted: str) -> DataFrame:
+    """From (file_path, text): file_path, line_no from 1, raw, code, bare and the context the checks and the style need.
+
+    A file's lines are an array of its row, and frames are slices of it, so nothing is shuffled. Of the columns
+    after file_path only the wanted ones are worked out (none named: all).
     """
     raw = F.col("raw_lines")
     rows = files.select("file_path", F.split("text", "\n", -1).alias("raw_lines"))
@@ -310,12 +315,16 @@ def lines(files: DataFrame) -> DataFrame:
     # lines on which a text of several lines begins or ends, from 0
     odd = F.transform(raw, lambda x, i: F.when((F.length(x) - F.length(F.replace(x, F.lit('"""'), F.lit("")))) / 3 % 2 == 1, i))
     rows = rows.withColumns({"code_lines": F.transform(raw, code), "odd_lines": F.array_compact(odd)})
-    each = F.transform(raw, lambda x, i: F.struct(
-        (i + 1).alias("line_no"), x.alias("raw"), F.get("code_lines", i).alias("code"), bare(x).alias("bare"),
-        (F.size(F.filter("odd_lines", lambda m: m < i)) % 2 == 1).alias("in_text"), F.when(i > 0, F.get("code_lines", i - 1)).alias("last_code"),
-        F.lower(around(raw, i, -5, 0, "")).alias("before5"), around(raw, i, -4, 5).alias("around"),
-    ))
-    return rows.select("file_path", F.explode(each).alias("line")).select("file_path", "line.*")
+    columns = {
+        "line_no": lambda x, i: i + 1, "raw": lambda x, i: x, "code": lambda x, i: F.get("code_lines", i), "bare": lambda x, i: bare(x),
+        "in_text": lambda x, i: F.size(F.filter("odd_lines", lambda m: m < i)) % 2 == 1, "last_code": lambda x, i: F.when(i > 0, F.get("code_lines", i - 1)),
+        "before5": lambda x, i: F.lower(around(raw, i, -5, 0, "")), "around": lambda x, i: around(raw, i, -4, 5), "after5": lambda x, i: around(raw, i, 1, 5, "\n"),
+    }
+    wanted = wanted or tuple(columns)
+    later = {"code", "raw"} <= set(wanted) and "last_code" not in wanted  # code of one line only: of the lines that a filter leaves
+    each = F.transform(raw, lambda x, i: F.struct(*(columns[c](x, i).alias(c) for c in wanted if c != "code" or not later)))
+    out = rows.select("file_path", F.explode(each).alias("line")).select("file_path", "line.*")
+    return (out.withColumn("code", code(F.col("raw"))) if later else out).select("file_path", *wanted)
 
 
 def is_test(path: Column, compat: bool) -> Column:
@@ -442,7 +451,7 @@ def _or(columns: list[Column]) -> Column:
 
 def violations(sources: DataFrame, others: DataFrame, compat: bool = False) -> DataFrame:
     """All hits: check_id, file_path, line_no, display path and snippet."""
-    lined = lines(sources)
+    lined = lines(sources, *LOOKED_AT)
     hits = line_hits(lined, compat).unionByName(database_hits(lined, compat)).unionByName(challenge_hits(sources, compat)).unionByName(project_hits(sources, others, compat))
     return hits.select("check_id", "file_path", "line_no", display_path(F.col("file_path")).alias("file"), snippet(F.col("raw")).alias("snippet"))
 

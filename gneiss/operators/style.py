@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import cut
 from gneiss.functions.text import is_comment, trim
-from gneiss.functions.windows import frame
 from gneiss.operators import graph
 
 COUNTS = ("classes", "structs", "protocols", "enums", "generics", "conform_one", "conform_many", "extended", "associated", "opaque", "composed", "finals", "enum_payloads", "depth_sum", "depth_count", "overrides", "root_objects", "implemented")
@@ -60,6 +61,12 @@ STRUCT = r"^\s*(?:(?:public|internal|private|fileprivate)\s+)*struct\s+[A-Z]\w*(
 CONSTRAINED = r"\bfunc\s+\w+\s*<[^>]*:\s*[A-Z]|\bwhere\s+\w+\s*:\s*[A-Z]"
 
 
+# fixed values: a line with none of these has no feature
+SAID = ("class", "struct", "extension ", "some", "override ", "associatedtype ", "case ", "&", "func", "where")
+#: The columns of lines (see security.lines) that are looked at.
+LOOKED_AT = ("raw", "code", "after5")
+
+
 def conformances(clause: Column) -> Column:
     """The names of a conformance list, up to its where clause."""
     head = F.split(F.concat(clause, F.lit(" ")), r"\swhere\s")[0]
@@ -70,45 +77,77 @@ def count(lined: DataFrame, declarations: DataFrame) -> DataFrame:
     """The one row of counts from lines (see security.lines) and declarations (file_path, name, kind).
 
     Classes and protocols are counted by name, other kinds by occurrence. ``extra`` counts are informational.
+    Lines are looked at once: one that may have a feature becomes a row of its flags and of the names it uses, and
+    all names meet the declared ones in one join.
     """
-    swift = cut(declarations.filter("file_path LIKE '%.swift'").select("name", "kind"))  # this and the lines are read many times, made once
-    names = lambda kind: swift.filter(F.col("kind") == kind).select("name").distinct()
-    kinds = swift.agg(*(F.coalesce(F.countDistinct(F.when(F.col("kind") == k, F.col("name"))) if k in ("class", "protocol") else F.count_if(F.col("kind") == k), F.lit(0)).alias(a) for k, a in (("class", "classes"), ("protocol", "protocols"), ("struct", "structs"), ("enum", "enums"), ("actor", "actors"))))
-    rows = lined.filter(F.col("file_path").endswith(".swift")).withColumn("after5", frame(trim(F.col("raw")), ["file_path"], "line_no", 1, 5, "\n"))
-    rows = cut(rows.filter(~is_comment(F.col("raw"))).select("file_path", "line_no", "raw", "code", "after5", trim(F.col("raw")).alias("t")))
-    protocols, classes = names("protocol").withColumn("is_protocol", F.lit(True)), names("class").withColumn("is_class", F.lit(True))
-    # types that conform: one row per declaration with the names it lists
-    is_class, is_struct = F.col("raw").rlike(CLASS), F.col("raw").rlike(STRUCT)
+    # how each declared name is used, one row a name
+    of = lambda kind: F.col("kind") == kind
+    swift = declarations.filter("file_path LIKE '%.swift'").groupBy("name")
+    roles = cut(swift.agg(F.bool_or(of("class")).alias("is_class"), F.bool_or(of("protocol")).alias("is_protocol"), *(F.count_if(of(k)).alias(a) for k, a in (("struct", "structs"), ("enum", "enums"), ("actor", "actors")))))
+    named = F.col("name").isNotNull()
+    kinds = roles.agg(F.count_if(named & F.col("is_class")).alias("classes"), F.count_if(named & F.col("is_protocol")).alias("protocols"), *(F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in ("structs", "enums", "actors")))
+    raw, code, t = F.col("raw"), F.col("code"), F.col("t")
+    said = functools.reduce(lambda a, b: a | b, (raw.contains(w) for w in SAID))  # before any pattern, so these are tried once and on few lines
+    rows = lined.filter(F.col("file_path").endswith(".swift") & said & ~is_comment(raw)).select("raw", "code", "after5", trim(raw).alias("t"))
+    is_class, is_struct = raw.contains("class") & raw.rlike(CLASS), raw.contains("struct") & raw.rlike(STRUCT)
     listed = F.when(is_class, conformances(F.regexp_extract("raw", CLASS, 3))).when(is_struct, conformances(F.regexp_extract("raw", STRUCT, 1)))
-    types = rows.filter(is_class | is_struct).select(F.concat_ws(":", "file_path", F.col("line_no").cast("string")).alias("at"), is_class.alias("class"), F.regexp_extract("raw", CLASS, 1).alias("modifiers"), F.regexp_extract("raw", CLASS, 2).alias("name"), listed.alias("listed"))
-    each = cut(types.select("at", "class", F.col("name").alias("child"), F.posexplode("listed").alias("i", "name")).join(protocols, "name", "left").join(classes, "name", "left"))
-    parent = F.col("class") & (F.col("i") == 0) & ((F.col("name") == "NSObject") | F.col("is_class").isNotNull() | F.col("is_protocol").isNull())
-    per = each.groupBy("at").agg((F.count("*") - F.count_if(parent)).alias("n"))
-    spread = types.join(per, "at", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    spread = spread.agg(F.count_if(F.col("n") == 0).alias("conform_none"), F.count_if(F.col("n") == 1).alias("types_one"), F.count_if(F.col("n") >= 2).alias("types_many"))
-    met = each.filter("is_protocol").groupBy("name").agg(F.count("*").alias("n"))
+    filled = F.exists(F.transform(F.split("after5", "\n"), trim), lambda x: (x != "") & (x != "}") & ~x.startswith("//"))
+    marked = rows.select(
+        is_class.alias("class"),
+        F.when(is_class, F.regexp_extract("raw", CLASS, 2)).alias("child"),
+        (is_class & F.regexp_extract("raw", CLASS, 1).contains("final")).alias("final"),
+        listed.alias("listed"),
+        F.when(t.startswith("extension "), F.struct(F.regexp_extract("raw", r"^\s*extension\s+(\w+)", 1).alias("name"), filled.alias("filled"))).alias("extension"),
+        F.when(code.contains("some"), F.regexp_extract_all("code", F.lit(r"\bsome\s+(\w+)"), F.lit(1))).alias("some"),
+        t.startswith("override ").alias("override"),
+        t.startswith("associatedtype ").alias("associated"),
+        (t.startswith("case ") & t.rlike(r"^case (?!\.|let|var).*\(")).alias("payload"),
+        (code.contains("&") & code.rlike(r"\b[A-Z]\w*\s*&\s*[A-Z]\w*")).alias("composed"),
+        code.rlike(CONSTRAINED).alias("generic"),
+    )
+    marked = cut(marked)
+    plain = marked.agg(
+        F.count_if("override").alias("overrides"),
+        F.count_if("associated").alias("associated"),
+        F.count_if("payload").alias("enum_payloads"),
+        F.count_if("composed").alias("composed"),
+        F.count_if("generic").alias("generics"),
+        F.count_if("final").alias("finals"),
+        F.count_if(F.size("listed") == 0).alias("alone"),
+    )
+    # what types list, what extensions extend, and what ``some`` stands before
+    use = lambda of, name, first=F.lit(False), filled=F.lit(False): F.struct(F.lit(of).alias("of"), name.alias("name"), first.alias("first"), filled.alias("filled"))
+    lists = (
+        F.transform("listed", lambda x, i: use("type", x, i == 0)),
+        F.when(F.col("extension").isNotNull(), F.array(use("extension", F.col("extension.name"), filled=F.col("extension.filled")))),
+        F.transform("some", lambda x: use("some", x)),
+    )
+    uses = F.flatten(F.array_compact(F.array(*lists)))
+    each = marked.select("class", "child", F.size("listed").alias("n"), F.explode(uses).alias("u")).select("class", "child", "n", "u.*")
+    each = each.join(roles.filter("is_class OR is_protocol").select("name", "is_class", "is_protocol").hint("merge"), "name", "left")  # both grow with the project
+    each = cut(each.select("name", "class", "child", "n", "of", "first", "filled", F.coalesce("is_class", F.lit(False)).alias("is_class"), F.coalesce("is_protocol", F.lit(False)).alias("is_protocol")))
+    of = lambda use: F.col("of") == use
+    first, own = of("type") & F.col("first"), F.col("class") & (F.col("name") == "NSObject")
+    parent = F.col("class") & (own | F.col("is_class") | ~F.col("is_protocol"))
+    n = F.when(first, F.col("n") - F.when(parent, 1).otherwise(0))
+    totals = each.agg(
+        F.count_if(n == 0).alias("conform_none"),
+        F.count_if(n == 1).alias("types_one"),
+        F.count_if(n >= 2).alias("types_many"),
+        F.count_if(first & own).alias("root_objects"),
+        F.count_if(of("extension")).alias("extensions"),
+        F.count_if(of("extension") & F.col("is_protocol") & F.col("filled")).alias("extended"),
+        F.count_if(of("some") & F.col("is_protocol")).alias("opaque"),
+        F.count_if(of("some") & ~F.col("is_protocol")).alias("opaque_framework"),
+    )
+    met = each.filter(of("type") & F.col("is_protocol")).groupBy("name").agg(F.count("*").alias("n"))
     met = met.agg(F.count_if(F.col("n") == 1).alias("conform_one"), F.count_if(F.col("n") >= 2).alias("conform_many"), F.count("*").alias("implemented"))
-    roots = each.agg(F.count_if(F.col("class") & (F.col("i") == 0) & (F.col("name") == "NSObject")).alias("root_objects"))
-    finals = types.agg(F.count_if(F.col("class") & F.col("modifiers").contains("final")).alias("finals"))
-    above = each.filter(F.col("class") & (F.col("i") == 0) & F.col("is_class") & (F.col("name") != F.col("child"))).groupBy(F.col("child").alias("id")).agg(F.max("name").alias("parent"))
+    above = each.filter(first & F.col("class") & F.col("is_class") & (F.col("name") != F.col("child"))).groupBy(F.col("child").alias("id")).agg(F.max("name").alias("parent"))
     depths = graph.chain_depths(above).agg(F.coalesce(F.sum(F.col("depth") + 1), F.lit(0)).alias("depth_sum"), F.count("*").alias("depth_count"), F.coalesce(F.max(F.col("depth") + 1), F.lit(1)).alias("max_depth"))
-    filled = F.exists(F.split("after5", "\n"), lambda x: (x != "") & (x != "}") & ~x.startswith("//"))
-    ext = rows.filter(F.col("t").startswith("extension ")).select(F.regexp_extract("raw", r"^\s*extension\s+(\w+)", 1).alias("name"), filled.alias("filled")).join(protocols, "name", "left")
-    ext = ext.agg(F.count("*").alias("extensions"), F.count_if(F.col("is_protocol") & F.col("filled")).alias("extended"))
-    some = rows.select(F.explode(F.regexp_extract_all("code", F.lit(r"\bsome\s+(\w+)"), F.lit(1))).alias("name")).join(protocols, "name", "left")
-    some = some.agg(F.count_if(F.col("is_protocol")).alias("opaque"), F.count_if(F.col("is_protocol").isNull()).alias("opaque_framework"))
-    t = F.col("t")
-    plain = rows.agg(
-        F.count_if(t.startswith("override ")).alias("overrides"),
-        F.count_if(t.startswith("associatedtype ")).alias("associated"),
-        F.count_if(t.rlike(r"^case (?!\.|let|var).*\(")).alias("enum_payloads"),
-        F.count_if(F.col("code").rlike(r"\b[A-Z]\w*\s*&\s*[A-Z]\w*")).alias("composed"),
-        F.count_if(F.col("code").rlike(CONSTRAINED)).alias("generics"),
-    )
     out = kinds
-    for part in (spread, met, roots, finals, depths, ext, some, plain):
+    for part in (totals, met, depths, plain):
         out = out.join(part)  # one row by one row
-    return out
+    return out.withColumn("conform_none", F.col("conform_none") + F.col("alone")).drop("alone")
 
 
 def analyze(lined: DataFrame, declarations: DataFrame) -> DataFrame:

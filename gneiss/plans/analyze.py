@@ -42,7 +42,7 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     out |= {"vertices": vertices, "edges": edges, "ranks": ranks, "degrees": graph.degrees(vertices, edges), "hotspots": graph.hotspots(ranks, config.hotspots)}
     out["learning_path"] = graph.learning_path(vertices, edges).orderBy("place", "id").limit(config.learning_path)
     out["package_graph"] = graph.collapsed(edges, nodes.filter("package <> ''").select(F.col("file_path").alias("id"), F.col("package").alias("grp")))
-    lined = security.lines(texts)
+    lined = security.lines(texts, *style.LOOKED_AT)
     out |= {f"security_{k}": v for k, v in security.analyze(texts, project, config.compat, config.limit("hits_per_file")).items()}
     out["style"] = style.analyze(lined, decls)
     out["patterns"] = patterns.detect(scan, decls)

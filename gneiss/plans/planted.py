@@ -117,7 +117,7 @@ HITS_SQL = f"""hits AS (
 
 def check_hits(spark, d) -> DataFrame:
     files = planted(spark, d, CHECKED)
-    lined = security.lines(files)
+    lined = security.lines(files, *security.LOOKED_AT)
     return security.line_hits(lined).unionByName(security.database_hits(lined)).unionByName(security.challenge_hits(files))
 
 
@@ -527,7 +527,7 @@ STYLED = [
 def planted_style(spark, d):
     """Counts of protocol, value and inheritance features; one protocol that many types conform to."""
     files = planted(spark, d, [("src/Y{k}.swift", t) for t in STYLED])
-    counts = style.count(security.lines(files), parse.declarations(parse.parsed(files)))
+    counts = style.count(security.lines(files, *style.LOOKED_AT), parse.declarations(parse.parsed(files, "declarations")))
     return counts.select("classes", "structs", "protocols", "enums", "generics", "finals", "enum_payloads", "overrides", "root_objects", "extended", "associated", "composed", "opaque", "implemented", "conform_one", "conform_many", "conform_none", "depth_sum", "depth_count")
 
 
