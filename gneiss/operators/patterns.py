@@ -1,7 +1,7 @@
 """Design patterns: ends of declared names, and marks in a file's stripped lines, joined and counted.
 
-A mark is a regular expression over single lines or a test over a file; all marks are tested in one pass
-and grouped per file. Patterns are then rows of (name, category, source of the count).
+A mark is a regular expression over single lines or a test over a file. A file's marks and declarations tell,
+in its own row, of patterns (name, category); these are then counted.
 """
 
 from __future__ import annotations
@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import cut
-from gneiss.functions.text import trim
 from gneiss.operators.constructs import not_own_scanner
 
-MODIFIERS = r"^(?:@\w+(?:\([^)]*\))?\s+|(?:public|private|internal|fileprivate|open|package|final|override|mutating|nonmutating|nonisolated|required|convenience|weak|unowned|lazy|dynamic|indirect|class|static)(?:\(set\))?\s+)*"
 # fixed values: what marks a file, as patterns over its lines
 LINE_MARKS = {
     "singleton": r"static (?:let|var) (?:shared|instance(?!\w))",
@@ -48,6 +46,8 @@ BY_MARK = (
     ("Singleton", "creational", "singleton"), ("Prototype", "creational", "copies"), ("Multiton", "creational", "multiton"), ("Lazy Initialization", "creational", "lazy"), ("Read–Write Lock", "concurrency", "barrier"),
     ("Double-Checked Locking", "concurrency", "double_check"), ("Thread Pool", "concurrency", "thread_pool"), ("Fluent Interface", "structural", "fluent"), ("Iterator", "behavioral", "iterates"), ("Template Method", "behavioral", "template"),
 )
+#: A factory's name, where no factory of the project is a protocol.
+FACTORY = "Factory Method"
 IDIOMS = ("Lazy Initialization", "Extension", "Monitor Object")
 CATEGORIES = ("creational", "structural", "concurrency", "behavioral")
 
@@ -56,82 +56,90 @@ def tested(path: Column) -> Column:
     return path.endswith(".swift") & ~path.contains("/Tests/") & ~path.contains("/Test/")
 
 
-def marks(scan: DataFrame) -> DataFrame:
-    """One row per scanned file with a boolean per mark."""
-    some = scan.filter(tested(F.col("file_path")) & not_own_scanner(F.col("file_path")))
-    line = some.select("file_path", F.explode("stripped").alias("line"))
-    bare = F.regexp_replace(trim(F.col("line")), MODIFIERS, "")
-    def fits(pattern: str) -> Column:
-        return F.col("line").rlike(pattern) | bare.rlike("^(?:" + pattern + ")")
+def marks(lines: Column, text: Column) -> dict[str, Column]:
+    """Whether a file has each mark, from its stripped lines and from these as one text.
 
-    count = lambda p: F.sum(F.regexp_count("line", F.lit(p)))
-    has = lambda p: F.bool_or(F.col("line").rlike(p))
-    per = line.groupBy("file_path").agg(
-        *(F.bool_or(fits(p)).alias(m) for m, p in LINE_MARKS.items()),
-        (has("DispatchQueue") & has(r"\.barrier")).alias("barrier"),
-        (has("os_unfair_lock") & (count("== nil") > 1)).alias("double_check"),
-        (has("OperationQueue") & has("maxConcurrentOperationCount") & ~has("maxConcurrentOperationCount ?= ?1")).alias("thread_pool"),
-        (F.count_if(F.col("line").contains("func ") & F.col("line").contains("-> Self")) > 1).alias("fluent"),
-        (has("var commands")).alias("has_commands"),
-    )
-    return per.withColumn("invokes", F.col("invokes") | (F.col("has_commands") & F.col("calls_execute")))
+    No pattern of a mark spans lines, so the whole text is tried once. Nor need modifiers be taken off first:
+    what fits a line's rest fits the line.
+    """
+    has = lambda p: text.rlike(p)
+    out = {m: has(p) for m, p in LINE_MARKS.items()} | {
+        "barrier": text.contains("DispatchQueue") & text.contains(".barrier"),
+        "double_check": text.contains("os_unfair_lock") & (F.regexp_count(text, F.lit("== nil")) > 1),
+        "thread_pool": text.contains("OperationQueue") & text.contains("maxConcurrentOperationCount") & ~has("maxConcurrentOperationCount ?= ?1"),
+        "fluent": F.size(F.filter(lines, lambda x: x.contains("func ") & x.contains("-> Self"))) > 1,
+    }
+    out["invokes"] = out["invokes"] | (text.contains("var commands") & out["calls_execute"])
+    return out
+
+
+def evidence(scan: DataFrame) -> DataFrame:
+    """name, category, how and path of everything in files (file_path, stripped, declarations) that tells of a pattern.
+
+    how: ``sure``, which counts; ``maybe``, which counts where the pattern is proven in the project and nothing is sure;
+    ``proof``. It is told in the file's row, so nothing is shuffled.
+    """
+    own = scan.filter(tested(F.col("file_path"))).select("file_path", "stripped", F.coalesce("declarations", F.array()).alias("declarations"))
+    own = own.withColumn("text", F.array_join("stripped", "\n"))
+    looked = not_own_scanner(F.col("file_path"))
+    found = {m: F.coalesce(looked & c, F.lit(False)).alias(m) for m, c in marks(F.col("stripped"), F.col("text")).items()}
+    empty = F.coalesce(F.regexp_extract_all("text", F.lit(r"protocol\s+(\w+)[^{}]*\{\s*\}"), F.lit(1)), F.array())  # protocols with an empty body
+    files = own.select("file_path", "declarations", empty.alias("empty"), *found.values())
+    one = lambda fits, name, category, how="sure": F.when(fits, F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(how).alias("how")))
+    col = F.col
 
+    def declared(d: Column) -> Column:
+        name, kind = d["name"], d["kind"]
+        other = kind != "extension"
+        cases = []
+        for pattern, category, end, kinds, mark in BY_NAME:
+            fits = other & name.endswith(end)
+            if kinds:
+                fits = fits & kind.isin(*kinds.split())
+            cases.append(one(fits & col(mark) if mark else fits, pattern, category))
+        factory = other & name.endswith("Factory")
+        typed = kind.isin("class", "struct", "protocol") & (name.contains("Command") | (name.rlike("Action|Operation|Task") & col("executes")))
+        return F.array_compact(F.array(
+            *cases,
+            one(name.rlike("^Null[A-Z]") & kind.isin("class", "struct", "enum"), "Null Object", "behavioral"),
+            one(kind == "actor", "Monitor Object", "concurrency"),
+            one(~other, "Extension", "structural"),
+            one((kind == "protocol") & F.array_contains("empty", name), "Marker", "structural"),
+            one(factory, FACTORY, "creational"),
+            one(factory & (kind == "protocol"), FACTORY, "creational", "proof"),
+            one(typed, "Command", "behavioral"),
+        ))
 
-def marker_protocols(scan: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Protocols (name, file_path) with an empty body."""
-    own = scan.filter(tested(F.col("file_path"))).select("file_path", F.array_join("stripped", "\n").alias("text"))
-    empty = own.select("file_path", F.explode(F.regexp_extract_all("text", F.lit(r"protocol\s+(\w+)[^{}]*\{\s*\}"), F.lit(1))).alias("name"))
-    return declarations.filter("kind = 'protocol'").select("file_path", "name").join(empty.distinct(), ["file_path", "name"], "left_semi")
+    injects = lambda d: d["name"].rlike("(ServiceLocator|DIContainer|Injector)$") & d["kind"].isin("class", "struct", "protocol", "actor")
+    primary = col("executes") | col("command_protocol") | col("invokes")
+    # what many things of a file tell of counts once
+    whole = F.array_compact(F.array(
+        *(one(col(m), name, category) for name, category, m in BY_MARK),
+        one(F.exists("declarations", injects) | col("injects"), "Dependency Injection", "creational"),
+        one(col("observes") | col("publishes"), "Observer", "behavioral"),
+        one(F.exists("declarations", lambda d: (d["kind"] != "extension") & d["name"].endswith("Interpreter")) | col("interprets"), "Interpreter", "behavioral"),
+        one(col("state_conforms"), "State", "behavioral", "maybe"),
+        one(col("state_protocol"), "State", "behavioral", "proof"),
+        one(primary | col("calls_execute"), "Command", "behavioral", "maybe"),  # types by name come first, else files
+        one(primary, "Command", "behavioral", "proof"),
+    ))
+    told = F.concat(whole, F.flatten(F.transform("declarations", declared)))
+    return files.select(F.explode(told).alias("p"), F.col("file_path").alias("path")).select("p.*", "path")
 
 
-def detect(scan: DataFrame, declarations: DataFrame) -> DataFrame:
+def detect(scan: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
     """name, category, count, example_path, is_idiom; by category, most first.
 
-    Files are scanned and parsed once: what many patterns look at is written and read again.
+    From scanned files with their declarations, in one pass, or with declarations from elsewhere (file_path, name, kind).
     """
-    scan = cut(scan.select("file_path", "stripped"))
-    per = cut(marks(scan))
-    decls = cut(declarations.filter(tested(F.col("file_path"))).select("file_path", "name", "kind"))
-    own = decls.filter("kind <> 'extension'")
-    marked = own.join(per, "file_path", "left")
-    hit = lambda name, category, rows, path="file_path": rows.select(F.lit(name).alias("name"), F.lit(category).alias("category"), F.col(path).alias("path"))
-    parts = []
-    cases = []
-    for name, category, end, kinds, mark in BY_NAME:
-        fits = F.col("name").endswith(end)
-        if kinds:
-            fits = fits & F.col("kind").isin(*kinds.split())
-        if mark:
-            fits = fits & F.coalesce(F.col(mark), F.lit(False))
-        cases.append(F.when(fits, F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"))))
-    null_object = F.col("name").rlike("^Null[A-Z]") & F.col("kind").isin("class", "struct", "enum")
-    cases.append(F.when(null_object, F.struct(F.lit("Null Object").alias("name"), F.lit("behavioral").alias("category"))))
-    cases.append(F.when(F.col("kind") == "actor", F.struct(F.lit("Monitor Object").alias("name"), F.lit("concurrency").alias("category"))))
-    parts.append(marked.select(F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("p"), F.col("file_path").alias("path")).select("p.name", "p.category", "path"))
-    parts.append(hit("Extension", "structural", decls.filter("kind = 'extension'")))
-    files = [F.when(F.col(m), F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"))) for n, c, m in BY_MARK]
-    parts.append(per.select(F.explode(F.filter(F.array(*files), lambda x: x.isNotNull())).alias("p"), F.col("file_path").alias("path")).select("p.name", "p.category", "path"))
-    factories = own.filter(F.col("name").endswith("Factory"))
-    label = factories.agg(F.when(F.bool_or(F.col("kind") == "protocol"), "Abstract Factory").otherwise("Factory Method").alias("name"))
-    parts.append(factories.join(F.broadcast(label.withColumnRenamed("name", "label"))).select(F.col("label").alias("name"), F.lit("creational").alias("category"), F.col("file_path").alias("path")))
-    parts.append(hit("Marker", "structural", marker_protocols(scan, decls)))
-    # unions of evidence are counted by file
-    injectors = own.filter(F.col("name").rlike("(ServiceLocator|DIContainer|Injector)$") & F.col("kind").isin("class", "struct", "protocol", "actor"))
-    parts.append(hit("Dependency Injection", "creational", injectors.select("file_path").union(per.filter("injects").select("file_path")).distinct()))
-    parts.append(hit("Observer", "behavioral", per.filter("observes OR publishes")))
-    parts.append(hit("Interpreter", "behavioral", own.filter(F.col("name").endswith("Interpreter")).select("file_path").union(per.filter("interprets").select("file_path")).distinct()))
-    states = per.agg(F.bool_or("state_protocol").alias("any_state"))
-    parts.append(hit("State", "behavioral", per.filter("state_conforms").join(F.broadcast(states)).filter("any_state")))
-    # commands: types by name (others than Command need an execute in their file), else files with evidence
-    kinds = F.col("kind").isin("class", "struct", "protocol")
-    typed = marked.filter(kinds & (F.col("name").contains("Command") | (F.col("name").rlike("Action|Operation|Task") & F.coalesce("executes", F.lit(False))))).select("file_path")
-    primary = per.filter("executes OR command_protocol OR invokes").select("file_path")
-    gate = typed.agg((F.count("*") > 0).alias("typed")).join(primary.agg((F.count("*") > 0).alias("primary")))
-    found = per.filter("executes OR command_protocol OR invokes OR calls_execute").select("file_path").join(F.broadcast(gate)).filter("NOT typed AND primary").select("file_path")
-    parts.append(hit("Command", "behavioral", typed.union(found)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if declarations is not None:
+        per = declarations.filter(tested(F.col("file_path"))).groupBy("file_path").agg(F.collect_list(F.struct("name", "kind")).alias("declarations"))
+        scan = scan.select("file_path", "stripped").join(per, "file_path", "full")
+    how = lambda x: F.col("how") == x
+    first = lambda x: F.min(F.when(how(x), F.col("path"))).alias(f"{x}_path")
+    told = evidence(scan).groupBy("name", "category").agg(F.count_if(how("sure")).alias("sure"), F.count_if(how("maybe")).alias("maybe"), F.bool_or(how("proof")).alias("proven"), first("sure"), first("maybe"))
+    sure = F.col("sure") > 0
+    name = F.when((F.col("name") == FACTORY) & F.col("proven"), "Abstract Factory").otherwise(F.col("name"))
+    found = told.filter(sure | (F.col("proven") & (F.col("maybe") > 0))).select(name.alias("name"), "category", F.when(sure, F.col("sure")).otherwise(F.col("maybe")).alias("count"), F.when(sure, F.col("sure_path")).otherwise(F.col("maybe_path")).alias("example_path"))
     order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
-    grouped = out.groupBy("name", "category").agg(F.count("*").alias("count"), F.min("path").alias("example_path"))
-    return grouped.withColumn("is_idiom", F.col("name").isin(*IDIOMS)).orderBy(order, F.col("count").desc(), "name")
+    return cut(found).withColumn("is_idiom", F.col("name").isin(*IDIOMS)).orderBy(order, F.col("count").desc(), "name")

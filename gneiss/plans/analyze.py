@@ -45,7 +45,7 @@ def code_tables(texts: DataFrame, project: DataFrame, paths: DataFrame, config:
     lined = security.lines(texts, *style.LOOKED_AT)
     out |= {f"security_{k}": v for k, v in security.analyze(texts, project, config.compat, config.limit("hits_per_file")).items()}
     out["style"] = style.analyze(lined, decls)
-    out["patterns"] = patterns.detect(scan, decls)
+    out["patterns"] = patterns.detect(scan)
     for name, found in (("structure", constructs.structures(scan)), ("algorithm", constructs.algorithms(scan)), ("constant", constructs.constants(scan))):
         out |= {f"{name}s": constructs.grouped(found), f"{name}_occurrences": found}
     out |= {"complexity_time": constructs.worst(scan, "time"), "complexity_space": constructs.worst(scan, "space"), "complexity_health": constructs.health(scan), "collection_usage": constructs.collection_usage(scan)}
