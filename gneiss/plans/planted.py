@@ -481,7 +481,7 @@ DESIGNS = [
 def planted_patterns(spark, d):
     """Design patterns by names and marks, with the first file of each."""
     files = planted(spark, d, [("src/D{k}.swift", t) for _, _, t in DESIGNS])
-    return patterns.detect(constructs.scanned(files, "stripped"), parse.declarations(parse.parsed(files)))
+    return patterns.detect(constructs.scanned(files, "stripped", "declarations"))
 
 
 # traffic: text, then direction, uri, port, protocol, format of what is found
