@@ -243,17 +243,18 @@ def chain_depths(parent_of: DataFrame) -> DataFrame:
     """
     known = cut(parent_of.select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth")))
     most = known.count() + 1  # no chain without a cycle is longer
+    met = known.select(F.col("id").alias("at")).hint("merge")  # names grow with the graph, so none of these are broadcast
     jumps, step = known, 1
     while True:
         up = jumps.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        further = jumps.join(up, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        further = jumps.join(up.hint("merge"), "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         further = cut(further)
-        if step > most or further.join(known.select(F.col("id").alias("at")), "at", "left_semi").isEmpty():
+        if step > most or further.join(met, "at", "left_semi").isEmpty():
             break
         jumps, step = further, 2 * step
     # a chain that still has a parent after so many steps runs into a cycle
-    endless = further.join(known.select(F.col("id").alias("at")), "at", "left_semi").select("id", "at")
-    plain = further.join(endless.select("id"), "id", "left_anti").select("id", F.col("depth").cast("int").alias("depth"))
+    endless = further.join(met, "at", "left_semi").select("id", "at")
+    plain = further.join(endless.select("id").hint("merge"), "id", "left_anti").select("id", F.col("depth").cast("int").alias("depth"))
     return plain if endless.isEmpty() else plain.unionByName(_into_cycles(known, endless.select("id")))
 
 
