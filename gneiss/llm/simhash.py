@@ -4,7 +4,8 @@ A fingerprint is cut into segments so few that, of any two fingerprints that lin
 in at most one bit. Each segment is indexed under every variant with one bit as a wildcard; fingerprints
 that share a variant are joined by equality and verified on all bits. Equal fingerprints are one node, so
 copies never meet in a join. Components are found by alternating large and small stars, each round
-written to the shared folder.
+written to the shared folder. Joins merge: Spark takes a table's size from its compressed file and doesn't
+count the rows that ``explode`` makes of one, so it would broadcast hundreds of times what it expects.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links like
 any other; repeated rows share a node; a null doc_id never names a component unless its component has no
@@ -122,7 +123,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, refine: bool = True) -> Da
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     x = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance)
-    return left.join(right, ["place", "bits"]).filter(near & first_shared(x, F.col("place"), distance, refine)).select("a", "b")
+    return left.join(right.hint("merge"), ["place", "bits"]).filter(near & first_shared(x, F.col("place"), distance, refine)).select("a", "b")
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -133,10 +134,10 @@ def roots(edges: DataFrame) -> DataFrame:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
         spread = both.filter("v > u").withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))  # a hub's neighbours are dealt over several tasks
-        large = spread.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread.join(least.hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours link to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         new = write_shared(small.filter("u <> v").distinct(), "stars")
         state = [df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for df in (pairs, new)]
         discard(pairs)
@@ -157,13 +158,13 @@ def label(slim: DataFrame, distance: int = DISTANCE) -> DataFrame:
     found = roots(links(nodes, distance))
     # only linked nodes meet by root, dealt over several tasks: one component may hold most of them
     members = found.union(found.select("root", "root").distinct())
-    linked = write_shared(nodes.join(members.toDF("fp", "root"), "fp"), "linked")
+    linked = write_shared(nodes.join(members.toDF("fp", "root").hint("merge"), "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     least = least.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     dealt = linked.select("fp", "root", F.pmod(F.hash("fp"), F.lit(SALTS)).alias("salt"))
-    named = dealt.join(least, ["root", "salt"]).select("fp", "root", "component_id")
-    of_all = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return slim.join(write_shared(of_all, "components"), "fp")
+    named = dealt.join(least.hint("merge"), ["root", "salt"]).select("fp", "root", "component_id")
+    of_all = nodes.join(named.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return slim.join(write_shared(of_all, "components").hint("merge"), "fp")
 
 
 def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

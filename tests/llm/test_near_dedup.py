@@ -36,3 +36,20 @@ def test_quality_is_fitted_in_a_task(spark, monkeypatch):
     there = quality.fit(docs, labels)
     assert (there.weights == here.weights).all() and (there.bias, there.slope, there.shift) == (here.bias, here.slope, here.shift)
     assert quality.fit(docs, labels.filter("quality > 5")).bias == 0.0
+
+
+def planned(monkeypatch, module) -> list[str]:
+    """Gets the plan of every table that the module writes, as planned with sizes taken from files."""
+    plans, kept = [], module.write_shared
+    monkeypatch.setattr(module, "write_shared", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    return plans
+
+
+def test_keys_of_simhash_are_not_broadcast(spark, monkeypatch):
+    """A small file of nodes is hundreds of times its rows as keys, which its size doesn't tell."""
+    plans = planned(monkeypatch, simhash)
+    texts = spark.createDataFrame([(i, f"some words of text {i // 2} in a row") for i in range(40)], "doc_id long, text string")
+    found = simhash.components(texts)
+    assert {r.component_id for r in found.collect()} == set(range(0, 40, 2))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
