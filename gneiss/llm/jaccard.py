@@ -9,6 +9,7 @@ Components need not all their links, so most pairs of a cluster of near copies a
 key's nodes are verified against one of them, a hub, in STARS rounds with different hubs: rows in proportion
 to the keys, however large the groups. Nodes joined so far are one root, and then only pairs of one key whose
 roots differ are left; all of these are made, the nodes outside a key's commonest root against all others.
+Joins merge, as in ``simhash``: a set's hashes repeated under many keys are small in a file and large as rows.
 
 Why not SimHash bits: at similarity 0.8 fingerprints differ in about ten of 64 bits and in up to 16 or so,
 where the segments of ``simhash.segments`` are of seven or eight bits and select nothing.
@@ -92,7 +93,7 @@ def hubs(keyed: DataFrame, seed: int) -> DataFrame:
     order = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n")
     of_key = keyed.groupBy("key").agg(F.min(order).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     spread = of_key.select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    return keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(spread, ["key", "salt"]).select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
+    return keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(spread.hint("merge"), ["key", "salt"]).select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
 
 
 def crossing(keyed: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -104,13 +105,13 @@ def crossing(keyed: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SI
     """
     per = keyed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("different"))
     per = per.filter("different > 1").select("key", "main", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    mixed = write_shared(keyed.join(per, "key").join(sets, "node"), "mixed")
+    mixed = write_shared(keyed.join(per.hint("merge"), "key").join(sets.hint("merge"), "node"), "mixed")
     of = lambda x: (F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("hashes").alias(f"h{x}"))
     outside = mixed.filter("root <> main").select("key", *of("a"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     every = mixed.select("key", *of("b"), (F.col("root") != F.col("main")).alias("out"), F.pmod(F.hash("node"), F.col("tiles")).alias("tile"))
     once = (F.col("ra") != F.col("rb")) & (~F.col("out") | (F.col("a") < F.col("b")))
     meet = (outside["key"] == every["key"]) & (outside["tile"] == every["tile"])
-    return outside.join(every, meet & once & sized(similarity) & similar(similarity)).select("a", "b").distinct()
+    return outside.join(every.hint("merge"), meet & once & sized(similarity) & similar(similarity)).select("a", "b").distinct()
 
 
 def sized(similarity: tuple[int, int]):
@@ -134,7 +135,7 @@ def candidates(pairs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
 def links(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets (node, hashes) are at least so similar."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(similar(similarity)).select("a", "b")
+    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").filter(similar(similarity)).select("a", "b")
 
 
 def label(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, met: DataFrame | None = None) -> DataFrame:
@@ -150,18 +151,18 @@ def label(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, met: DataFr
         keyed = keyed.union(nodes.select("node", "n", "_content").join(more.hint("merge"), "node").select("node", "n", "_content", "key"))
     # a key of one node links nothing; only nodes with another key are cut into sets again, one text a node: sets are larger than the texts
     shared = keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    keyed = write_shared(keyed.join(shared, "key"), "keys")
+    keyed = write_shared(keyed.join(shared.hint("merge"), "key"), "keys")
     wanted = keyed.select("node", "_content").distinct()
     make = lambda: lambda texts: [[shingles(t) for t in texts]]
-    texts = docs.select("_content", "text").join(wanted, "_content").dropDuplicates(["node"])
+    texts = docs.select("_content", "text").join(wanted.hint("merge"), "_content").dropDuplicates(["node"])
     sets = write_shared(map_text(texts, "text", ["node"], [("hashes", "array<long>")], make, rows=64), "sets")
     keyed, made = keyed.drop("_content"), []
     for seed in range(STARS):
         made.append(write_shared(links(candidates(hubs(keyed, seed), similarity), sets, similarity), "similar"))
     found = roots(functools.reduce(DataFrame.union, made))
-    rooted = keyed.join(found.withColumnRenamed("root", "r"), "node", "left").select("key", "node", "n", F.coalesce("r", "node").alias("root"))
+    rooted = keyed.join(found.withColumnRenamed("root", "r").hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("r", "node").alias("root"))
     found = roots(functools.reduce(DataFrame.union, [crossing(rooted, sets, similarity), found.toDF("a", "b")]))
-    return slim.select("doc_id", "_content", "node").join(found, "node", "left").select("doc_id", "_content", F.coalesce("root", "node").alias("root"))
+    return slim.select("doc_id", "_content", "node").join(found.hint("merge"), "node", "left").select("doc_id", "_content", F.coalesce("root", "node").alias("root"))
 
 
 def deduplicated(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

@@ -139,7 +139,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     took = queue(placed, at[doc_id], at[text], at[source], **how).filter("passes > 0").select(F.col("h").alias("took_h"), F.col("source").alias("took_source"), F.col("passes").alias("took"))
     keyed = placed.select("*", order_key(at[doc_id], at[text]).alias("key"))
-    out = keyed.join(took, (F.col("key") == F.col("took_h")) & F.col(at[source]).eqNullSafe(F.col("took_source")))
+    # as many rows as documents, so not broadcast
+    out = keyed.join(took.hint("merge"), (F.col("key") == F.col("took_h")) & F.col(at[source]).eqNullSafe(F.col("took_source")))
     return repeated(out.select(*placed.columns, "took"), F.col("took")).select(*placed.columns).toDF(*docs.columns)
 
 

@@ -149,7 +149,7 @@ def roots(edges: DataFrame) -> DataFrame:
 def clusters(slim: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``slim`` (with fp) with ``root``, the same for all fingerprints of a component; for callers that need no component_id."""
     found = roots(links(write_shared(slim.select("fp").distinct(), "nodes"), distance)).toDF("fp", "root")
-    return slim.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return slim.join(found.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def label(slim: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -186,7 +186,7 @@ def survivors(docs: DataFrame, labelled) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_content").alias("c"))
     stay = labelled(marked.select(*at.values(), "_content")).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.c").alias("_content"))
     # the content tells the id too, so texts are dealt by it once, for the join and for repeated rows
-    return marked.join(stay, "_content", "left_semi").dropDuplicates(["_content"]).drop("_content").toDF(*columns)
+    return marked.join(stay.hint("merge"), "_content", "left_semi").dropDuplicates(["_content"]).drop("_content").toDF(*columns)
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -1,9 +1,11 @@
 """The pipeline's near-dedup compares what SimHash finds."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gneiss.llm import jaccard, quality, simhash
+from gneiss.llm import jaccard, mixing, quality, simhash
 
 
 def test_fingerprints_within_four_bits_are_compared(spark, monkeypatch):
@@ -53,3 +55,23 @@ def test_keys_of_simhash_are_not_broadcast(spark, monkeypatch):
     assert {r.component_id for r in found.collect()} == set(range(0, 40, 2))
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_near_dedup_broadcasts_nothing(spark, monkeypatch):
+    """Keys, sets and components grow with the documents, and their files tell little of their size as rows."""
+    of_simhash, of_jaccard = planned(monkeypatch, simhash), planned(monkeypatch, jaccard)
+    rng = random.Random(5)
+    rows = []
+    for base in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(10 * base + k, " ".join([*words[:-1], f"x{k}"])) for k in range(3)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    last = kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 10))
+    assert len(of_jaccard) >= 5 and not any("Broadcast" in p for p in [*of_simhash, *of_jaccard, last])
+
+
+def test_documents_taken_are_not_broadcast(spark):
+    """The mix's documents meet their texts by merging; only the table of sources is broadcast."""
+    table = spark.createDataFrame([(i, f"text of some words {i}", "a" if i % 3 else "b") for i in range(30)], "doc_id long, text string, source string")
+    assert "Broadcast" not in mixing.mixed(table)._jdf.queryExecution().executedPlan().toString()
