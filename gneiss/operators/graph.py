@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.lineage import cut
 from gneiss.functions.ranking import numbered
 
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
+#: Files naming a type, and files declaring it, that are paired at once.
+TILE = 2048
 
 
 def clean(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -35,11 +37,23 @@ def import_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
 def type_edges(tokens: DataFrame, types: DataFrame, least: int = 4) -> DataFrame:
     """From tokens (package, path, token) and types (package, path, name): an edge where a file names another's type.
 
-    Tokens too short for any name, and repeats in a file, go before the join; what is left are the edges themselves.
+    Of a common name every file that names it meets every file that declares it, so the edges grow by the product.
+    Both sides of a name are dealt in tiles of about TILE files, so that they are made by many tasks. Only edges to
+    a file with several types can be found twice; those are made different, the others are not shuffled.
     """
-    tokens = tokens.filter(F.length("token") >= least).select("package", "path", "token").distinct()
+    key = ["package", "token"]
+    tiles = lambda c: F.ceil(F.count("*") / TILE).cast("int").alias(c)
     named = types.filter(F.length("name") >= least).select("package", F.col("name").alias("token"), F.col("path").alias("dst")).distinct()
-    return tokens.join(named, ["package", "token"]).filter("path <> dst").select(F.col("path").alias("src"), "dst").distinct()
+    named = cut(named.withColumn("alone", F.count("*").over(Window.partitionBy("dst")) == 1))
+    naming = tokens.filter(F.length("token") >= least).select("package", "token", F.col("path").alias("src"))
+    naming = cut(naming.join(named.groupBy(*key).agg(tiles("across")).hint("merge"), key).distinct())
+    down = naming.groupBy(*key, "across").agg(tiles("down"))
+    left = naming.join(down.drop("across").hint("merge"), key).withColumn("row", F.pmod(F.hash("src"), F.col("down")))
+    left = left.select(*key, "src", "row", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("col"))
+    right = named.join(down.hint("merge"), key).withColumn("col", F.pmod(F.hash("dst"), F.col("across")))
+    right = right.select(*key, "dst", "alone", "col", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("row"))
+    meet = lambda some: left.join(some.hint("merge"), [*key, "row", "col"]).filter("src <> dst").select("src", "dst")
+    return meet(right.filter("alone")).union(meet(right.filter("NOT alone")).distinct())
 
 
 def interop_edges(files: DataFrame, imports: DataFrame) -> DataFrame:

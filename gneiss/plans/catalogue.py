@@ -397,12 +397,12 @@ def penetration(spark, d):
 
 @query("""WITH tok AS (SELECT DISTINCT lang AS package, doc_id AS path, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM documents),
     names AS (SELECT DISTINCT lang AS package, doc_id AS path, regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*') AS name FROM documents)
-    SELECT DISTINCT t.path AS src, n.path AS dst FROM tok t JOIN names n ON t.package = n.package AND t.token = n.name WHERE length(n.name) >= 9 AND length(token) >= 4 AND t.path <> n.path""")
+    SELECT DISTINCT t.path AS src, n.path AS dst FROM tok t JOIN names n ON t.package = n.package AND t.token = n.name WHERE length(n.name) >= 4 AND length(token) >= 4 AND t.path <> n.path""")
 def token_join_edges(spark, d):
     f = files(spark, d)
     tokens = f.select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), F.explode(T.identifiers(F.col("text"), ascii_only=True)).alias("token"))
     types = f.select(F.col("lang").alias("package"), F.col("doc_id").alias("path"), F.regexp_extract("text", "[A-Za-z_][A-Za-z0-9_]*", 0).alias("name"))
-    return graph.type_edges(tokens, types, 9)
+    return graph.type_edges(tokens, types)
 
 
 IMPORTS_SQL = "f AS (SELECT p_partkey AS path, split_part(p_name, ' ', 2) AS stem, p_brand AS module FROM part), i AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'Lib.' || split_part(p_name, ' ', 2) ELSE p_brand END AS name FROM part)"

@@ -1,5 +1,7 @@
 """Tables that grow are neither broadcast nor left to one task."""
 
+import re
+
 import pytest
 
 from gneiss.operators import constructs, graph, packages, parse, patterns, security, style
@@ -165,3 +167,28 @@ def test_chains_are_followed_without_a_broadcast(spark):
     parents = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(1, 20)], "id string, parent string")
     found = graph.chain_depths(parents)
     assert broadcast_scans(found) == [] and {r.id: r.depth for r in found.collect()} == {f"c{i}": i for i in range(1, 20)}
+
+
+def test_every_type_of_four_letters_is_named(spark):
+    """The names of a document are its first identifiers; those of four to eight letters make nearly all edges."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()
+    first = {(r.lang, r.doc_id, re.search("[A-Za-z_][A-Za-z0-9_]*", r.text or "")) for r in docs}
+    named = [(lang, path, m.group()) for lang, path, m in first if m and len(m.group()) >= 4]
+    words = [(r.lang, r.doc_id, set(re.findall("[A-Za-z_][A-Za-z0-9_]*", r.text or ""))) for r in docs]
+    want = {(a, b) for lang, a, some in words for other, b, name in named if lang == other and a != b and name in some}
+    got = [tuple(r) for r in catalogue.token_join_edges(spark, SF).collect()]
+    assert len(got) == len(set(got)) > 100 and set(got) == want
+
+
+def test_a_common_type_is_dealt_in_tiles(spark, monkeypatch):
+    """One name that all files use is many tasks' work, and edges come once, also to files of several types or packages."""
+    monkeypatch.setattr(graph, "TILE", 4)
+    rows = [("p", f"f{i}", w) for i in range(30) for w in ("Same", f"Own{i}", "abc")] + [("q", "f1", "Same"), ("q", "f2", "Same"), ("p", "f1", "Same"), (None, "f1", "Same"), ("p", None, "Same")]
+    types = [("p", f"f{i}", "Same") for i in range(20)] + [("p", f"f{i}", f"Own{i + 1}") for i in range(5)] + [("q", "f2", "Same"), ("p", "f3", "abc"), (None, "f2", "Same"), ("p", None, "Same"), ("p", "f9", None)]
+    want = {(a, b) for p, a, w in rows for q, b, n in types if p and a and b and n and p == q and w == n and len(n) >= 4 and a != b}
+    edges = graph.type_edges(spark.createDataFrame(rows, "package string, path string, token string"), spark.createDataFrame(types, "package string, path string, name string"))
+    got = [tuple(r) for r in edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame([], "package string, path string, token string")
+    assert graph.type_edges(empty, empty.withColumnRenamed("token", "name")).collect() == []
